@@ -3,7 +3,8 @@
 Jaccard distance is a metric. Documents of equal sets are one point. A region is a set of points that holds
 both ends of every link that is still sought in it. The first regions are laid by rare shingles: of any two
 linked sets, the shortest prefixes that cannot miss (in one order of all shingles, frequent ones last) share
-a shingle. Each round then
+a shingle. They are cut by size, the distance from the empty set: linked sets lie in one band of sizes or in
+neighbouring ones, and each point is replicated to the next band. Each round then
 
 - picks pivots in every region and measures every point of the region against them (the links of pivots are so
   found, and the pivots leave the region);
@@ -17,6 +18,8 @@ It ends when no region is left. No pair of a group is written but those of point
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,9 +35,9 @@ from .hashing import shingle_sets
 SHINGLE, SIMILARITY = 4, 85
 INNER = 0.35
 #: Pivots of a region in the first rounds and in all later ones.
-PIVOTS = (1, 4, 16)
+PIVOTS = (1, 16, 128)
 #: Buckets of the sketch of shingle frequencies, as a power of 2. Its size affects speed only.
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 #: Slots of the filter over documents whose sets are needed, as a power of 2. As above.
 FILTER_BITS = 21
 _ROWS = 512
@@ -64,23 +67,24 @@ def frequent_buckets(texts: DataFrame, k: int, seed: int) -> np.ndarray:
     """Which buckets of shingle hashes hold many more documents than others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SKETCH_BITS, np.int64)
+        sums = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
             for _, sets in _sets(b, k, seed):
                 if sets:
-                    sums += np.bincount((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), minlength=len(sums))
+                    found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
+                    sums[found] += n.astype(np.int32)
         chunks = sums.reshape(16, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in chunks], pa.binary())], ["chunk", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         sums = 0
         for x in table.column("sums").to_pylist():
-            sums = sums + np.frombuffer(x, np.int64)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+            sums = sums + np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "sums": pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())})
 
     rows = texts.mapInArrow(count, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
-    sums = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(1 << SKETCH_BITS)
-    return sums > 2 * sums.mean() + 100
+    sums = np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(1 << SKETCH_BITS)
+    return sums > sums.mean() + 6 * np.sqrt(sums.mean()) + 4
 
 
 def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -106,9 +110,13 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
             break
         seed += 1
 
-    live = nodes.select("node", "first", F.explode("prefix").alias("region"))
-    shared = live.groupBy("region").agg(F.count("*").alias("points")).where("points > 1")
-    live = scratch.save(live.join(shared.select("region"), "region").select("region", "node", "first"))
+    def shared(regions: DataFrame) -> DataFrame:
+        more = regions.groupBy("region").agg(F.count("*").alias("points")).where("points > 1").select("region")
+        return scratch.save(regions.join(more, "region"))
+
+    live = shared(nodes.select("node", "first", "n", F.explode("prefix").alias("region")))
+    band = F.floor(F.log("n") / F.lit(-math.log(similarity / 100) + 1e-9))
+    live = shared(live.select("node", "first", F.explode(F.array(F.xxhash64("region", band), F.xxhash64("region", band + 1))).alias("region")))
     sets = scratch.save(_needed_sets(given, live, k, seed, scratch))
     live = live.select("region", "node").withColumn("component", F.col("node"))
     links: list[DataFrame] = []
@@ -124,8 +132,14 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         measured = measured.select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
         measured = measured.select("node", "pivot", (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("distance"), (F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).alias("link"))
         measured = scratch.save(measured)
-        links.append(measured.where("link").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        labels = components(scratch, reduce(DataFrame.unionByName, links))
+        new = measured.where("link").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        if labels is not None:  # only links between components matter from now on
+            ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
+            new = new.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+            new = scratch.save(new)
+        if labels is None or new.limit(1).count():
+            links.append(new)
+            labels = components(scratch, reduce(DataFrame.unionByName, links))
         at = met.join(measured, ["node", "pivot"], "left")
         points = at.groupBy("region", "node").agg(
             F.max(F.col("node") == F.col("pivot")).alias("is_pivot"),
