@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, quality, suffix_tree, toxicity
+from . import decontaminate, jaccard_join, licenses, line_dedup, mixing, quality, suffix_index, suffix_tree, toxicity
 
 QUERIES = {
     "op1_suffix_tree_scores": suffix_tree.op1_suffix_tree_scores,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op10_suffix_index_dedup": suffix_index.op10_suffix_index_dedup,
+}
+SQL = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+    "op5_benchmark_decontamination": decontaminate.OP5_SQL,
+    "op6_jaccard_join": jaccard_join.OP6_SQL,
+    "op8_source_mixing": mixing.OP8_SQL,
 }
-SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op8_source_mixing": mixing.OP8_SQL}

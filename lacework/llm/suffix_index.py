@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, id_or_lowest, id_or_null
 from .hashing import Powers, mix, prefix_sums
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM = 200, 48
 #: Batches in which a table is inserted.
 BATCHES = 4
 #: Bits for positions beside a hash in one number; enough for texts of 16 GiB.
