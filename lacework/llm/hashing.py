@@ -75,7 +75,7 @@ def shingle_sets(texts: list[bytes | None], k: int, seed: int = 0) -> list[np.nd
         if hi - lo >= k:
             out.append(np.unique(runs[lo : hi - k + 1]))
         elif hi > lo:
-            out.append(mix((words[lo:hi] * rng[: hi - lo]).sum(keepdims=True, dtype=U) + U(hi - lo) * rng[k]))
+            out.append(mix((words[lo:hi] * rng[: hi - lo]).sum(keepdims=True, dtype=U) + rng[k : k + 1] * U(hi - lo)))
         else:
             out.append(np.zeros(0, U))
     return out

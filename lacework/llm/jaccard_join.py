@@ -3,11 +3,12 @@
 Jaccard distance is a metric. Documents of equal sets are one point. A region is a set of points that holds
 both ends of every link that is still sought in it. The first regions are laid by rare shingles: of any two
 linked sets, the shortest prefixes that cannot miss (in one order of all shingles, frequent ones last) share
-a shingle. They are cut by size, the distance from the empty set: linked sets lie in one band of sizes or in
-neighbouring ones, and each point is replicated to the next band. Each round then
+a shingle. They are cut where neighbouring sizes, distances from the empty set, differ by more than a link's
+ends can. Each round then
 
 - picks pivots in every region and measures every point of the region against them (the links of pivots are so
-  found, and the pivots leave the region);
+  found, and the pivots leave the region). Measuring is spared where a bound shows the distance to exceed
+  INNER + radius: a point's distances from the PARTS parts of all shingles differ from the pivot's by too much;
 - gives each point to the first pivot within INNER of it, or else to what is left of the region;
 - replicates the boundary: by the triangle inequality both ends of a link lie within INNER + radius of a pivot
   if one lies within INNER, so points between INNER and INNER + radius of an earlier pivot go to it as well;
@@ -18,7 +19,6 @@ It ends when no region is left. No pair of a group is written but those of point
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, id_or_lowest, id_or_null
-from .hashing import shingle_sets
+from .hashing import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
 SHINGLE, SIMILARITY = 4, 85
-INNER = 0.35
+INNER = 0.15
+#: Parts of all shingles whose shares in a set bound its distances; fewer than 257.
+PARTS = 64
 #: Pivots of a region in the first rounds and in all later ones.
 PIVOTS = (1, 16, 128)
 #: Buckets of the sketch of shingle frequencies, as a power of 2. Its size affects speed only.
@@ -63,18 +65,28 @@ def _node(s: np.ndarray, salt: int) -> int:
     return (x ^ (x >> 29)) - (1 << 63)
 
 
-def frequent_buckets(texts: DataFrame, k: int, seed: int) -> np.ndarray:
-    """Which buckets of shingle hashes hold many more documents than others."""
+def describe(given: DataFrame, k: int, seed: int) -> DataFrame:
+    """_id, _text, n, node, check: each row's set by size and hashes; and rows (chunk, sums) of a sketch of how many sets hold shingles."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << SKETCH_BITS, np.int32)
+        names = ["_id", "_text", "n", "node", "check", "chunk", "sums"]
         for b in batches:
-            for _, sets in _sets(b, k, seed):
-                if sets:
-                    found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
-                    sums[found] += n.astype(np.int32)
-        chunks = sums.reshape(16, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in chunks], pa.binary())], ["chunk", "sums"])
+            for part, sets in _sets(b, k, seed):
+                found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
+                sums[found] += n.astype(np.int32)
+                rows = len(sets)
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), *columns], names)
+        if sums.any():
+            chunks = [zlib.compress(c.tobytes(), 1) for c in sums.reshape(16, -1)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(16, pa.int64())] * 5, pa.array(range(16), pa.int32()), pa.array(chunks, pa.binary())], names)
+
+    return given.mapInArrow(run, "_id long, _text long, n long, node long, check long, chunk int, sums binary")
+
+
+def frequent_buckets(described: DataFrame) -> np.ndarray:
+    """Which buckets of shingle hashes many more sets hold than others."""
 
     def add(table: pa.Table) -> pa.Table:
         sums = 0
@@ -82,11 +94,84 @@ def frequent_buckets(texts: DataFrame, k: int, seed: int) -> np.ndarray:
             sums = sums + np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64)
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "sums": pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())})
 
-    rows = texts.mapInArrow(count, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
+    rows = described.where("chunk is not null").select("chunk", "sums").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
     sums = np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(1 << SKETCH_BITS)
     return sums > sums.mean() + 6 * np.sqrt(sums.mean()) + 4
 
 
+def _slots(column: DataFrame) -> np.ndarray:
+    """A filter of fixed size over a column of slots."""
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[column.toDF("slot").distinct().toArrow().column("slot").to_numpy()] = True
+    return out
+
+
+def first_regions(given: DataFrame, nodes: DataFrame, k: int, similarity: int, seed: int, hot: np.ndarray) -> DataFrame:
+    """region, node: the points of regions of two points or more.
+
+    Prefixes are made again for one document of each set, or a few: two filters of fixed size tell most copies.
+    Rows are dealt by shingle once, sorted by shingle and size, and only those with a near neighbour pass on.
+    """
+    mask = (1 << FILTER_BITS) - 1
+    copied = nodes.where("copies > 1")
+    slot = lambda c: c.bitwiseAND(F.lit(mask)).cast("int")
+    copied_slots, first_slots = _slots(copied.select(slot(F.col("node")))), _slots(copied.select(slot(F.col("node").bitwiseXOR(F.xxhash64("first")))))
+    shared = given.sparkSession.sparkContext.broadcast((hot, copied_slots, first_slots))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, copied, first = shared.value
+        for b in batches:
+            for part, sets in _sets(b, k, seed):
+                out, owners, sizes = [], [], []
+                for s, h in zip(sets, part.column("h").to_pylist(), strict=True):
+                    if not len(s):
+                        continue
+                    node = _node(s, 0)
+                    if copied[node & mask] and not first[(node ^ h) & mask]:
+                        continue
+                    often = hot[(s & np.uint64(len(hot) - 1)).astype(np.int64)]
+                    prefix = np.concatenate([s[~often], s[often]])[: len(s) - -(-similarity * len(s) // 100) + 1]
+                    out.append(_signed(prefix))
+                    owners.append(node)
+                    sizes.append(len(s))
+                if out:
+                    counts = [len(x) for x in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["shingle", "node", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        number = np.uint64(0)
+
+        def out(a, last):
+            """Passes on the runs of a that are whole; returns the rest, to be seen with the next batch."""
+            shingle, node, n = a
+            if not len(shingle):
+                return a, None
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < similarity * n[1:])])
+            starts = np.flatnonzero(new)
+            end = len(shingle) if last else starts[-1]
+            # Copies that the filters let pass stand beside one another only by chance: same node, same region.
+            run = np.cumsum(new)[:end] - 1
+            size = np.diff(np.concatenate([starts, [len(shingle)]]))
+            keep = size[run] > 1
+            region = mix(shingle[starts].astype(np.uint64) * np.uint64(31) + n[starts].astype(np.uint64)).view(np.int64)
+            batch = pa.RecordBatch.from_arrays([pa.array(region[run][keep]), pa.array(node[:end][keep])], ["region", "node"]) if keep.any() else None
+            return [x[end:] for x in a], batch
+
+        for b in batches:
+            columns = [b.column(c).to_numpy().astype(np.int64) for c in ("shingle", "node", "n")]
+            held, batch = out([np.concatenate(x) for x in zip(held, columns, strict=True)], False)
+            if batch:
+                yield batch
+        held, batch = out(held, True)
+        if batch:
+            yield batch
+
+    parts = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = given.withColumn("h", F.xxhash64("_id")).select("text", "h").mapInArrow(prefixes, "shingle long, node long, n int")
+    return rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "n").mapInArrow(cut, "region long, node long").distinct()
+
+
 def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """_id, _text (hash of the text), n_shingles and component_id, a row for each row of docs.
 
@@ -100,25 +185,17 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
     radius = 1 - similarity / 100
     seed = 0
     while True:
-        hot = frequent_buckets(given.select("text"), k, seed)
-        seen = scratch.save(_describe(given, k, similarity, seed, hot))
-        some = seen.where("n > 0")
+        described = scratch.save(describe(given, k, seed))
+        seen = described.where("chunk is null").select("_id", "_text", "n", "node", "check")
         # Sets are told apart by 128 bits: should 64 not do, all is hashed anew.
-        nodes = some.groupBy("node").agg(F.min("_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        nodes = seen.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("copies"))
         nodes = scratch.save(nodes)
         if not nodes.where("low <> high").limit(1).count():
             break
         seed += 1
-
-    def shared(regions: DataFrame) -> DataFrame:
-        more = regions.groupBy("region").agg(F.count("*").alias("points")).where("points > 1").select("region")
-        return scratch.save(regions.join(more, "region"))
-
-    live = shared(nodes.select("node", "first", "n", F.explode("prefix").alias("region")))
-    band = F.floor(F.log("n") / F.lit(-math.log(similarity / 100) + 1e-9))
-    live = shared(live.select("node", "first", F.explode(F.array(F.xxhash64("region", band), F.xxhash64("region", band + 1))).alias("region")))
-    sets = scratch.save(_needed_sets(given, live, k, seed, scratch))
-    live = live.select("region", "node").withColumn("component", F.col("node"))
+    live = scratch.save(first_regions(given, nodes, k, similarity, seed, frequent_buckets(described)))
+    sets = scratch.save(_needed_sets(given, live, nodes, k, seed, scratch))
+    live = live.withColumn("component", F.col("node"))
     links: list[DataFrame] = []
     labels = None
     for turn in range(10**6):
@@ -126,8 +203,10 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         pivots = pivots.agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("pivot"))).alias("p")).select("region", "p.*")
         met = scratch.save(live.join(pivots, "region"))
         pairs = met.where("node <> pivot").select("node", "pivot").distinct()
+        a, b = (sets.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("parts").alias(f"{x}_parts")) for x in ("node", "pivot"))
+        near = pairs.join(a, "node").join(b, "pivot").mapInArrow(_bound(INNER + radius), "node long, pivot long")
         a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
-        measured = pairs.join(a, "node").join(b, "pivot")
+        measured = scratch.save(near).join(a, "node").join(b, "pivot")
         both = F.size(F.array_intersect("node_set", "pivot_set"))
         measured = measured.select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
         measured = measured.select("node", "pivot", (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("distance"), (F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).alias("link"))
@@ -164,44 +243,35 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
     return out.select("_id", "_text", F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
-def _describe(given: DataFrame, k: int, similarity: int, seed: int, hot: np.ndarray) -> DataFrame:
-    """For each row: its set's size and hashes, and the prefix of which a linked set holds one at least."""
-    shared = given.sparkSession.sparkContext.broadcast(hot)
+def _bound(most: float):
+    """Drops pairs whose distance exceeds most for certain.
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for b in batches:
-            for part, sets in _sets(b, k, seed):
-                prefixes = []
-                for s in sets:
-                    take = len(s) - -(-similarity * len(s) // 100) + 1 if len(s) else 0
-                    often = hot[(s & np.uint64(len(hot) - 1)).astype(np.int64)]
-                    prefixes.append(_signed(np.concatenate([s[~often], s[often]])[:take]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("_id"),
-                        part.column("_text"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_node(s, 0) for s in sets], pa.int64()),
-                        pa.array([_node(s, 1) for s in sets], pa.int64()),
-                        pa.array(prefixes, pa.list_(pa.int64())),
-                    ],
-                    ["_id", "_text", "n", "node", "check", "prefix"],
-                )
+    With parts of all shingles, the sets' counts in a part differ by no more than the sets do there. So the sum
+    of the differences is at most the size of the symmetric difference. Counts above 255 count as 255.
+    """
 
-    return given.mapInArrow(describe, "_id long, _text long, n long, node long, check long, prefix array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("node_parts", "pivot_parts"))
+            apart = np.abs(a - b).sum(1)
+            n, m = (batch.column(c).to_numpy() for c in ("node_size", "pivot_size"))
+            apart = np.maximum(apart, np.abs(n - m))
+            near = pa.array(2 * apart / (n + m + apart) <= most + 1e-9)
+            yield batch.select(["node", "pivot"]).filter(near)
 
+    return run
 
-def _needed_sets(given: DataFrame, live: DataFrame, k: int, seed: int, scratch: Scratch) -> DataFrame:
-    """node, set: the whole sets of the points in regions, made again from their first documents.
+
+def _needed_sets(given: DataFrame, live: DataFrame, nodes: DataFrame, k: int, seed: int, scratch: Scratch) -> DataFrame:
+    """node, size, parts, set: the sets of the points in regions, made again from their first documents.
 
     A filter of fixed size spares most other documents; a join decides.
     """
     slot = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(1 << FILTER_BITS)).cast("int")
-    points = scratch.save(live.groupBy("node").agg(F.first("first").alias("first")))
-    slots = np.zeros(1 << FILTER_BITS, bool)
-    slots[points.select(slot("first").alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    shared = given.sparkSession.sparkContext.broadcast(slots)
+    points = scratch.save(live.select("node").distinct().join(nodes.select("node", "first"), "node"))
+    shared = given.sparkSession.sparkContext.broadcast(_slots(points.select(slot("first"))))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
@@ -209,10 +279,14 @@ def _needed_sets(given: DataFrame, live: DataFrame, k: int, seed: int, scratch:
             b = b.filter(pa.array(slots[b.column("slot").to_numpy()]))
             for part, sets in _sets(b, k, seed):
                 full = [i for i, s in enumerate(sets) if len(s)]
-                yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(full, pa.int64())), pa.array([_node(sets[i], 0) for i in full], pa.int64()), pa.array([_signed(sets[i]) for i in full], pa.list_(pa.int64()))], ["first", "node", "set"])
+                parts = [np.minimum(np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for i in full]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_id").take(pa.array(full, pa.int64())), pa.array([_node(sets[i], 0) for i in full], pa.int64()), pa.array([len(sets[i]) for i in full], pa.int32()), pa.array(parts, pa.binary()), pa.array([_signed(sets[i]) for i in full], pa.list_(pa.int64()))],
+                    ["first", "node", "size", "parts", "set"],
+                )
 
-    made = given.withColumn("slot", slot("_id")).select("_id", "text", "slot").mapInArrow(make, "first long, node long, set array<long>")
-    return made.join(points, ["node", "first"]).dropDuplicates(["node"]).select("node", "set")
+    made = given.withColumn("slot", slot("_id")).select("_id", "text", "slot").mapInArrow(make, "first long, node long, size int, parts binary, set array<long>")
+    return made.join(points, ["node", "first"]).dropDuplicates(["node"]).select("node", "size", "parts", "set")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
