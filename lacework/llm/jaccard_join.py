@@ -289,14 +289,11 @@ def _needed_sets(given: DataFrame, live: DataFrame, nodes: DataFrame, k: int, se
     return made.join(points, ["node", "first"]).dropDuplicates(["node"]).select("node", "size", "parts", "set")
 
 
-def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents of the smallest id of each group (of rows alike, one), with their columns.
-
-    At a similarity of SIMILARITY hundredths on shingles of SHINGLE words.
-    """
-    marks = linked_groups(docs).where("_id = component_id").select("_id", "_text").distinct()
+def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
+    """The documents of the smallest id of each group (of rows alike, one), with their columns."""
+    marks = linked_groups(docs, k, similarity).where("_id = component_id").select("_id", "_text").distinct()
     keyed = docs.withColumns({"_id": id_or_lowest("doc_id"), "_text": F.xxhash64("text")})
-    return keyed.join(marks, ["_id", "_text"], "left_semi").drop("_id", "_text")
+    return keyed.join(marks, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).drop("_id", "_text")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, licenses, line_dedup, mixing, quality, suffix_index, suffix_tree, toxicity
+from . import decontaminate, jaccard_join, licenses, line_dedup, mixing, nn_descent, quality, suffix_index, suffix_tree, toxicity
 
 QUERIES = {
     "op1_suffix_tree_scores": suffix_tree.op1_suffix_tree_scores,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_embedding_near_dedup": nn_descent.op9_embedding_near_dedup,
     "op10_suffix_index_dedup": suffix_index.op10_suffix_index_dedup,
 }
 SQL = {
