@@ -96,18 +96,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     met = seen.join(prints, "hash").select("_id", "_text", "c1", "c2", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     laid = met.join(small_side(items, MOST_PRINTS // 100), ["c1", "c2"]).groupBy("_id", "_text").agg(F.collect_list(F.struct("items", "offset", F.col("words").alias("item"))).alias("laid"))
 
-    both = keyed.join(laid, ["_id", "_text"], "left").withColumn("_words", words_of(F.col("text")))
-
-    def matches(c):
-        m = F.size(c["item"])
-        size = F.least(m, F.lit(span))
-        same = F.array_join(F.transform(c["item"], lambda w, j: F.when(F.get("_words", c["offset"] + j) == w, "1").otherwise("0")), "")
-        ones = F.repeat(F.lit("1"), size)
-        starts = F.filter(F.sequence(F.lit(0), m - size), lambda j: F.substring(same, j + 1, size) == ones)
-        return F.struct(c["items"].alias("items"), size.alias("size"), F.transform(starts, lambda j: j + c["offset"]).alias("starts"))
-
-    found = F.filter(F.transform("laid", matches), lambda c: F.size(c["starts"]) > 0)
-    both = both.withColumn("_found", found).withColumn("n_words", F.size("_words").cast("long")).drop("_words", "laid")
+    both = keyed.join(laid, ["_id", "_text"], "left")
+
+    def judge(words):
+        def matches(c):
+            m = F.size(c["item"])
+            size = F.least(m, F.lit(span))
+            same = F.array_join(F.transform(c["item"], lambda w, j: F.when(F.get(words, c["offset"] + j) == w, "1").otherwise("0")), "")
+            ones = F.repeat(F.lit("1"), size)
+            starts = F.filter(F.sequence(F.lit(0), m - size), lambda j: F.substring(same, j + 1, size) == ones)
+            return F.struct(c["items"].alias("items"), size.alias("size"), F.transform(starts, lambda j: j + c["offset"]).alias("starts"))
+
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.filter(F.transform("laid", matches), lambda c: F.size(c["starts"]) > 0).alias("found"))
+
+    # As above: the words get a name, lest they be split anew for each word compared.
+    judged = F.aggregate(F.array().cast("array<int>"), words_of(F.col("text")), lambda w, _: w, judge)
+    both = both.withColumn("_judged", judged).withColumns({"n_words": F.col("_judged.n_words"), "_found": F.col("_judged.found")}).drop("_judged", "laid")
     places = F.array_distinct(F.flatten(F.transform("_found", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(s, s + c["size"] - 1))))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["items"]))))
     starts = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["starts"]))))

@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 4, 85
 INNER = 0.15
 #: Parts of all shingles whose shares in a set bound its distances; fewer than 257.
 PARTS = 64
+#: Points of a region that are held against one another by that bound before the first round.
+PARTNERS = 64
 #: Pivots of a region in the first rounds and in all later ones.
 PIVOTS = (1, 16, 128)
 #: Buckets of the sketch of shingle frequencies, as a power of 2. Its size affects speed only.
@@ -66,23 +68,24 @@ def _node(s: np.ndarray, salt: int) -> int:
 
 
 def describe(given: DataFrame, k: int, seed: int) -> DataFrame:
-    """_id, _text, n, node, check: each row's set by size and hashes; and rows (chunk, sums) of a sketch of how many sets hold shingles."""
+    """_id, _text, n, node, check, parts: each row's set by size, hashes and counts in parts of all shingles; and rows (chunk, sums) of a sketch of how many sets hold shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["_id", "_text", "n", "node", "check", "chunk", "sums"]
+        names = ["_id", "_text", "n", "node", "check", "parts", "chunk", "sums"]
         for b in batches:
             for part, sets in _sets(b, k, seed):
                 found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
                 sums[found] += n.astype(np.int32)
                 rows = len(sets)
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                parts = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.array(parts, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), *columns], names)
         if sums.any():
             chunks = [zlib.compress(c.tobytes(), 1) for c in sums.reshape(16, -1)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(16, pa.int64())] * 5, pa.array(range(16), pa.int32()), pa.array(chunks, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(16, pa.int64())] * 5, pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array(chunks, pa.binary())], names)
 
-    return given.mapInArrow(run, "_id long, _text long, n long, node long, check long, chunk int, sums binary")
+    return given.mapInArrow(run, "_id long, _text long, n long, node long, check long, parts binary, chunk int, sums binary")
 
 
 def frequent_buckets(described: DataFrame) -> np.ndarray:
@@ -186,14 +189,15 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
     seed = 0
     while True:
         described = scratch.save(describe(given, k, seed))
-        seen = described.where("chunk is null").select("_id", "_text", "n", "node", "check")
+        seen = described.where("chunk is null").select("_id", "_text", "n", "node", "check", "parts")
         # Sets are told apart by 128 bits: should 64 not do, all is hashed anew.
-        nodes = seen.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("copies"))
+        nodes = seen.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("copies"), F.first("n").cast("int").alias("size"), F.first("parts").alias("parts"))
         nodes = scratch.save(nodes)
         if not nodes.where("low <> high").limit(1).count():
             break
         seed += 1
     live = scratch.save(first_regions(given, nodes, k, similarity, seed, frequent_buckets(described)))
+    live = scratch.save(_with_partners(live.join(nodes.select("node", "size", "parts"), "node"), radius))
     sets = scratch.save(_needed_sets(given, live, nodes, k, seed, scratch))
     live = live.withColumn("component", F.col("node"))
     links: list[DataFrame] = []
@@ -203,7 +207,7 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         pivots = pivots.agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("pivot"))).alias("p")).select("region", "p.*")
         met = scratch.save(live.join(pivots, "region"))
         pairs = met.where("node <> pivot").select("node", "pivot").distinct()
-        a, b = (sets.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("parts").alias(f"{x}_parts")) for x in ("node", "pivot"))
+        a, b = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("parts").alias(f"{x}_parts")) for x in ("node", "pivot"))
         near = pairs.join(a, "node").join(b, "pivot").mapInArrow(_bound(INNER + radius), "node long, pivot long")
         a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
         measured = scratch.save(near).join(a, "node").join(b, "pivot")
@@ -264,8 +268,47 @@ def _bound(most: float):
     return run
 
 
+def _with_partners(points: DataFrame, radius: float) -> DataFrame:
+    """region, node: without the points for which the bound excludes a link with any other of their region.
+
+    Regions of over PARTNERS points stay as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def out(last):
+            region, node, size, parts = held
+            edge = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
+            whole = len(edge) - (1 if last else 2)
+            keep = np.zeros(len(region), bool)
+            for lo, hi in zip(edge[:whole], edge[1 : whole + 1], strict=True):
+                if hi - lo > PARTNERS:
+                    keep[lo:hi] = True
+                    continue
+                p, n = parts[lo:hi].astype(np.int16), size[lo:hi]
+                apart = np.maximum(np.abs(p[:, None] - p[None]).sum(2), np.abs(n[:, None] - n[None]))
+                near = 2 * apart / (n[:, None] + n[None] + apart) <= radius + 1e-9
+                keep[lo:hi] = near.sum(1) > 1  # itself is one
+            start = edge[whole]
+            batch = pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[keep])], ["region", "node"])
+            held[:] = [x[start:] for x in held]
+            return batch
+
+        for b in batches:
+            if b.num_rows:
+                new = [b.column("region").to_numpy(), b.column("node").to_numpy(), b.column("size").to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)]
+                held[:] = new if not held else [np.concatenate(x) for x in zip(held, new, strict=True)]
+                yield out(False)
+        if held:
+            yield out(True)
+
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "region long, node long")
+
+
 def _needed_sets(given: DataFrame, live: DataFrame, nodes: DataFrame, k: int, seed: int, scratch: Scratch) -> DataFrame:
-    """node, size, parts, set: the sets of the points in regions, made again from their first documents.
+    """node, set: the sets of the points in regions, made again from their first documents.
 
     A filter of fixed size spares most other documents; a join decides.
     """
@@ -279,14 +322,13 @@ def _needed_sets(given: DataFrame, live: DataFrame, nodes: DataFrame, k: int, se
             b = b.filter(pa.array(slots[b.column("slot").to_numpy()]))
             for part, sets in _sets(b, k, seed):
                 full = [i for i, s in enumerate(sets) if len(s)]
-                parts = [np.minimum(np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for i in full]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(pa.array(full, pa.int64())), pa.array([_node(sets[i], 0) for i in full], pa.int64()), pa.array([len(sets[i]) for i in full], pa.int32()), pa.array(parts, pa.binary()), pa.array([_signed(sets[i]) for i in full], pa.list_(pa.int64()))],
-                    ["first", "node", "size", "parts", "set"],
+                    [part.column("_id").take(pa.array(full, pa.int64())), pa.array([_node(sets[i], 0) for i in full], pa.int64()), pa.array([_signed(sets[i]) for i in full], pa.list_(pa.int64()))],
+                    ["first", "node", "set"],
                 )
 
-    made = given.withColumn("slot", slot("_id")).select("_id", "text", "slot").mapInArrow(make, "first long, node long, size int, parts binary, set array<long>")
-    return made.join(points, ["node", "first"]).dropDuplicates(["node"]).select("node", "size", "parts", "set")
+    made = given.withColumn("slot", slot("_id")).select("_id", "text", "slot").mapInArrow(make, "first long, node long, set array<long>")
+    return made.join(points, ["node", "first"]).dropDuplicates(["node"]).select("node", "set")
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
