@@ -9,7 +9,9 @@ misses none. With an anchor goes the hash of the span of all the windows that sh
 New batches get an index of their own; it is scanned against the existing levels, and levels of the same rank
 merge, so that n batches leave log n levels and each entry is rewritten log n times. Long matches are then
 read off the family: an anchor whose whole span occurs twice lies in repeats only; where anchors are alike and
-their spans are not, the windows themselves are compared by their hashes.
+their spans are not, spans are cut into cells of CELL windows, which are compared in the same way by what all
+their windows hold and by all that they hold together; and where cells are alike in the one and not in the
+other, window by window. One of equal spans stands for all of them, so copies are compared once.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_or_lowest, id_or_null
@@ -28,12 +31,16 @@ from .hashing import Powers, mix, prefix_sums
 
 LENGTH, GRAM = 200, 48
 #: Batches in which a table is inserted.
-BATCHES = 4
+BATCHES = 2
 #: Bits for positions beside a hash in one number; enough for texts of 16 GiB.
 _PLACE = np.uint64(34)
 #: Bytes of text hashed at a time.
 _CHUNK = 1 << 21
-FILTER_BITS = 21
+#: Windows of a cell.
+CELL = 16
+#: Filters have up to so many slots, as a power of 2: 16 MB.
+MOST_FILTER_BITS = 27
+_STEP = 2147483629
 
 
 def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -49,60 +56,135 @@ def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _hash_at(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = Powers.to(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
-
-
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """text, low, high, gram, span: for each anchor its text's number, the first and last window that it is the anchor of (as byte positions in the text), and the hashes of its leading bytes and of the windows' span."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    windows = np.maximum(sizes - length + 1, 0)
-    empty = np.zeros(0, np.int64)
-    if not windows.sum():
-        return empty, empty, empty, empty, empty
-    sums = prefix_sums(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = _hash_at(sums, at, at + gram)
-    key = (grams >> _PLACE << _PLACE) | at.astype(np.uint64)
-    width, have = length - gram + 1, 1
-    while have * 2 <= width:
-        key = np.minimum(key[:-have], key[have:])
-        have *= 2
-    if have < width:
-        key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
-    place = (key & np.uint64((1 << 34) - 1)).astype(np.int64)
-    # Windows that lie in one text, with the text's number.
-    text = np.repeat(np.arange(len(texts)), windows)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[text]
-    anchor = place[start]
-    edge = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(text) != 0)]))
-    low, high, text, anchor = start[edge], start[np.concatenate([edge[1:], [len(start)]]) - 1], text[edge], anchor[edge]
-    shape = ((anchor - low) * 1000 + (high - low)).astype(np.uint64)
-    span = mix(_hash_at(sums, low, high + length) + shape)
-    return text, low - begin[text], high - begin[text], grams[anchor].view(np.int64), span.view(np.int64)
-
-
-def index_batch(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_id, _text, low, high, gram, span: the anchors of a table of texts."""
+class Texts:
+    """The anchors of a run of texts, and hashes of any part of them.
+
+    text, anchor, low, high: for each anchor its text's number, its place and those of the first and last window
+    that it is the anchor of, in all texts' bytes together; begin: the texts' own beginnings there.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, gram: int):
+        self.length = length
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(sizes) - sizes
+        windows = np.maximum(sizes - length + 1, 0)
+        self.text = self.anchor = self.low = self.high = np.zeros(0, np.int64)
+        if not windows.sum():
+            return
+        self.sums = prefix_sums(data)
+        up, down = Powers.to(len(data) + 1)
+        at = len(data) - gram + 1
+        key = (self.sums[gram:] - self.sums[:at]) * down[:at]
+        key *= np.uint64(0xD6E8FEB86659FD93)
+        key >>= _PLACE
+        key <<= _PLACE
+        key |= np.arange(at, dtype=np.uint64)
+        width, have = length - gram + 1, 1
+        while have * 2 <= width:
+            key = np.minimum(key[:-have], key[have:])
+            have *= 2
+        if have < width:
+            key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
+        place = (key & np.uint64((1 << 34) - 1)).astype(np.int64)
+        # Windows that lie in one text, with the text's number.
+        text = np.repeat(np.arange(len(texts)), windows)
+        start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + self.begin[text]
+        anchor = place[start]
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(text) != 0)]))
+        self.text, self.anchor, self.low = text[edge], anchor[edge], start[edge]
+        self.high = start[np.concatenate([edge[1:], [len(start)]]) - 1]
+
+    def hash(self, start: np.ndarray, end: np.ndarray, *salts: np.ndarray) -> np.ndarray:
+        """Of the bytes from start to end, and of some small numbers."""
+        _, down = Powers.to(len(self.sums))
+        x = (self.sums[end] - self.sums[start]) * down[start]
+        for i, salt in enumerate(salts):
+            x = x + salt.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25 + 2 * i)
+        return mix(x).view(np.int64)
+
+    def spans(self) -> np.ndarray:
+        return self.hash(self.low, self.high + self.length, self.anchor - self.low, self.high - self.low)
+
+    def cells(self, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """text, first and last window, common, whole: the cells of some anchors; equal windows fall into cells of one number, at equal places.
+
+        common is the hash of the bytes that all windows of such a cell hold, whole that of all that its windows hold.
+        """
+        a, low, high = self.anchor[of], self.low[of], self.high[of]
+        last, first = (a - low) // CELL, (a - high) // CELL
+        n = last - first + 1
+        row = np.repeat(np.arange(len(of)), n)
+        cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        a = a[row]
+        one = a - CELL * cell  # the last window of a whole cell
+        s0, s1 = np.maximum(one - CELL + 1, low[row]), np.minimum(one, high[row])
+        common = self.hash(one, one - CELL + 1 + self.length, cell)
+        whole = self.hash(s0, s1 + self.length, a - s0, a - s1)
+        return self.text[of][row], s0, s1, common, whole
+
+
+def own_hash(h, low):
+    """A number for a place in a text, of the text's hash; the same in Spark (columns) and numpy."""
+    if isinstance(h, np.ndarray):
+        return h ^ (low.astype(np.int64) * _STEP)
+    return h.bitwiseXOR(low.cast("long") * F.lit(_STEP))
+
+
+class Filter:
+    """A set of numbers that may hold others too; as large as the set asks for, up to MOST_FILTER_BITS."""
+
+    def __init__(self, numbers: DataFrame):
+        n = numbers.count()
+        self.bits = min(MOST_FILTER_BITS, max(16, (32 * n).bit_length()))
+        slot = F.col("number").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
+        at = numbers.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
+        flags = np.zeros(1 << self.bits, bool)
+        flags[at] = True
+        self.packed = np.packbits(flags, bitorder="little")
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        slot = numbers & ((1 << self.bits) - 1)
+        return (self.packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _scan(given: DataFrame, make, schema: str, filters: tuple = (), length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Runs make(texts, hashes of the texts, filters) over runs of texts; it returns (text numbers, columns).
+
+    The first filter, if any, tells the texts that matter.
+    """
+    shared = given.sparkSession.sparkContext.broadcast(filters)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = shared.value
         for b in batches:
+            if filters:
+                b = b.filter(pa.array(filters[0](b.column("h").to_numpy())))
             for first, held in _chunks(b.column("text").to_pylist()):
-                text, low, high, g, span = anchors(held, length, gram)
-                take = pa.array(text + first)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("_id").take(take), b.column("_text").take(take), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(g), pa.array(span)],
-                    ["_id", "_text", "low", "high", "gram", "span"],
-                )
+                texts = Texts(held, length, gram)
+                if len(texts.text):
+                    h = b.column("h").to_numpy()[first : first + len(held)]
+                    text, columns = make(texts, h, filters)
+                    take = pa.array(text + first)
+                    yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_text").take(take), *map(pa.array, columns)], names)
+
+    return given.select("_id", "_text", "text", F.xxhash64("_id", "_text").alias("h")).mapInArrow(run, schema)
+
+
+def index_batch(given: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """_id, _text, low, high, gram, span: the anchors of a table of texts."""
+
+    def make(t: Texts, h, filters):
+        begin = t.begin[t.text]
+        grams = t.hash(t.anchor, t.anchor + gram)
+        return t.text, [(t.low - begin).astype(np.int32), (t.high - begin).astype(np.int32), grams, t.spans()]
 
-    return texts.select("_id", "_text", "text").mapInArrow(run, "_id long, _text long, low int, high int, gram long, span long")
+    return _scan(given, make, "_id long, _text long, low int, high int, gram long, span long", (), length, gram)
 
 
 class IndexFamily:
-    """Levels of (gram, span, n, place): how often each span occurs at anchors, and where it does first."""
+    """Levels of (gram, span, n, first): how often each span occurs at anchors, and the place that stands for it."""
 
     def __init__(self, scratch: Scratch):
         self.scratch = scratch
@@ -110,11 +192,11 @@ class IndexFamily:
 
     @staticmethod
     def _merge(tables: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, tables).groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+        return reduce(DataFrame.unionByName, tables).groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
     def insert(self, batch: DataFrame) -> None:
         """A batch of anchors becomes a level; levels of equal rank merge, by a scan of both, into the next."""
-        own = batch.select("gram", "span", F.lit(1).cast("long").alias("n"), F.struct("_id", "_text", "low", "high").alias("place"))
+        own = batch.select("gram", "span", F.lit(1).cast("long").alias("n"), own_hash(F.xxhash64("_id", "_text"), F.col("low")).alias("first"))
         rank, tables, old = 0, [own], []
         while self.levels and self.levels[-1][0] == rank:
             table = self.levels.pop()[1]
@@ -129,57 +211,63 @@ class IndexFamily:
         return tables[0] if len(tables) == 1 else self._merge(tables)
 
 
+def _alike(level: DataFrame, key: str) -> DataFrame:
+    """The rows of a level that occur more than once, or whose key has more than one kind (kinds)."""
+    kinds = F.count("*").over(W.partitionBy(key))
+    return level.withColumn("kinds", kinds).where("n > 1 or kinds > 1")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """_id, _text, spans (low, high) and starts: windows that occur elsewhere too, for each text that has any.
+    """_id, _text, spans (low, high): for each text that has any, windows that occur elsewhere too.
 
-    The windows are those that start from low to high, and those at starts; each is length bytes long.
+    The windows are those that start from low to high; each is length bytes long.
     """
     scratch = Scratch(docs.sparkSession)
     given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"))
+    h = F.xxhash64("_id", "_text")
     family = IndexFamily(scratch)
     parts = scratch.save(index_batch(given, length, gram).withColumn("_batch", F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(batches))))
     for i in range(batches):
         family.insert(parts.where(F.col("_batch") == i))
-    level = scratch.save(family.all())
-    again = parts.join(level.where("n > 1").select("gram", "span"), ["gram", "span"]).select("_id", "_text", "low", "high")
-    unlike = level.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    members = scratch.save(level.join(unlike, "gram").select("place.*", (F.col("n") > 1).alias("known")))
-    windows = scratch.save(_windows(given, members, length, scratch))
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = windows.where(~F.col("known")).join(twice, "window").select("_id", "_text", "start")
-    spans = again.groupBy("_id", "_text").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.lit(None).cast("array<int>").alias("starts"))
-    starts = single.groupBy("_id", "_text").agg(F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"), F.collect_set("start").alias("starts"))
-    return spans.unionByName(starts).groupBy("_id", "_text").agg(F.first("spans", True).alias("spans"), F.first("starts", True).alias("starts"))
-
-
-def _windows(given: DataFrame, members: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """window (hash), _id, _text, start, known: each window of the members, from their texts.
-
-    A filter of fixed size spares most other texts the shuffle; the join decides.
-    """
-    slot = lambda: F.pmod(F.xxhash64(F.lit(5), "_id", "_text"), F.lit(1 << FILTER_BITS)).cast("int")
-    slots = np.zeros(1 << FILTER_BITS, bool)
-    slots[members.select(slot().alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    shared = given.sparkSession.sparkContext.broadcast(slots)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(shared.value[b.column("slot").to_numpy()])).drop_columns(["slot"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                sums = prefix_sums(np.frombuffer(row["text"], np.uint8))
-                low = np.array([m["low"] for m in row["members"]])
-                n = np.array([m["high"] for m in row["members"]]) - low + 1
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                known = np.repeat(np.array([m["known"] for m in row["members"]]), n)
-                window = _hash_at(sums, start, start + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(np.full(len(start), row["_id"])), pa.array(np.full(len(start), row["_text"])), pa.array(start.astype(np.int32)), pa.array(known)], ["window", "_id", "_text", "start", "known"])
-
-    picked = given.withColumn("slot", slot()).mapInArrow(pick, "_id long, _text long, text binary").dropDuplicates(["_id", "_text"])
-    by_text = members.groupBy("_id", "_text").agg(F.collect_list(F.struct("low", "high", "known")).alias("members"))
-    return picked.join(by_text, ["_id", "_text"]).select("_id", "_text", "text", "members").mapInArrow(run, "window long, _id long, _text long, start int, known boolean")
+    met = _alike(family.all(), "gram").select("gram", "span", "n", "first", "kinds")
+    met = scratch.save(parts.drop("_batch").join(met, ["gram", "span"]).select("_id", "_text", "low", "high", "n", "kinds", (own_hash(h, F.col("low")) == F.col("first")).alias("stands")))
+    found = [met.where("n > 1").select("_id", "_text", "low", "high")]
+    scratch.drop(parts, *[t for _, t in family.levels])
+
+    def members(rows: DataFrame) -> tuple[Filter, Filter]:
+        """Filters over the texts and places of the rows that stand for a kind which is not the only one."""
+        rows = scratch.save(rows.where("kinds > 1 and stands").select(h.alias("h"), own_hash(h, F.col("low")).alias("own")))
+        return Filter(rows.select(F.col("h").alias("number")).distinct()), Filter(rows.select(F.col("own").alias("number")))
+
+    def cells(t: Texts, h, filters):
+        of = np.flatnonzero(filters[1](own_hash(h[t.text], t.low - t.begin[t.text])))
+        text, s0, s1, common, whole = t.cells(of)
+        return text, [(s0 - t.begin[text]).astype(np.int32), (s1 - t.begin[text]).astype(np.int32), common, whole]
+
+    of_spans = members(met)
+    cut = scratch.save(_scan(given, cells, "_id long, _text long, low int, high int, common long, whole long", of_spans, length, gram))
+    level = cut.groupBy("common", "whole").agg(F.count("*").alias("n"), F.min(own_hash(h, F.col("low"))).alias("first"))
+    alike = cut.join(_alike(level, "common"), ["common", "whole"]).select("_id", "_text", "low", "high", "n", "kinds", (own_hash(h, F.col("low")) == F.col("first")).alias("stands"))
+    alike = scratch.save(alike)
+    scratch.drop(cut)
+    found.append(alike.where("n > 1").select("_id", "_text", "low", "high"))
+
+    def windows(t: Texts, h, filters):
+        of = np.flatnonzero(filters[1](own_hash(h[t.text], t.low - t.begin[t.text])))
+        text, s0, s1, _, _ = t.cells(of)
+        keep = filters[2](own_hash(h[text], s0 - t.begin[text]))
+        text, s0, s1 = text[keep], s0[keep], s1[keep]
+        n = s1 - s0 + 1
+        row = np.repeat(np.arange(len(n)), n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s0[row]
+        return text[row], [(start - t.begin[text[row]]).astype(np.int32), t.hash(start, start + t.length)]
+
+    of_texts, of_cells = members(alike)
+    single = scratch.save(_scan(given, windows, "_id long, _text long, low int, window long", (of_texts, of_spans[1], of_cells), length, gram))
+    twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    found.append(single.join(twice, "window").select("_id", "_text", "low", F.col("low").alias("high")))
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("_id", "_text").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -201,16 +289,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                     for m in r["spans"] or ():
                         step[m["low"]] += 1
                         step[m["high"] + length] -= 1
-                    starts = np.array(r["starts"] or [], np.int64)
-                    np.add.at(step, starts, 1)
-                    np.add.at(step, starts + length, -1)
                     gone = np.cumsum(step)[:-1] > 0
                     runs = int(gone[0] if len(gone) else 0) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     rows.append((r["_id"], len(text), int(gone.sum()), runs, text if not runs else np.frombuffer(text, np.uint8)[~gone].tobytes()))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = given.join(found, ["_id", "_text"], "left").select("_id", "text", "spans", "starts")
+    both = given.join(found, ["_id", "_text"], "left").select("_id", "text", "spans")
     return both.mapInArrow(run, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
