@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The id that stands for a null document id: below every other.
 NULL_ID = -(2**63)
+#: Filters have up to so many slots, as a power of 2: 16 MB.
+MOST_FILTER_BITS = 27
 
 
 def lower_ascii(text: Column) -> Column:
@@ -102,3 +105,20 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         labels = new
         if not changed:
             return labels
+
+
+class Filter:
+    """A set of numbers that may hold others too; as large as the set asks for, up to MOST_FILTER_BITS."""
+
+    def __init__(self, numbers: DataFrame):
+        n = numbers.count()
+        self.bits = min(MOST_FILTER_BITS, max(16, (32 * n).bit_length()))
+        slot = F.col("number").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
+        at = numbers.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
+        flags = np.zeros(1 << self.bits, bool)
+        flags[at] = True
+        self.packed = np.packbits(flags, bitorder="little")
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        slot = numbers & ((1 << self.bits) - 1)
+        return (self.packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0

@@ -6,9 +6,11 @@ linked sets, the shortest prefixes that cannot miss (in one order of all shingle
 a shingle. They are cut where neighbouring sizes, distances from the empty set, differ by more than a link's
 ends can. Each round then
 
-- picks pivots in every region and measures every point of the region against them (the links of pivots are so
-  found, and the pivots leave the region). Measuring is spared where a bound shows the distance to exceed
-  INNER + radius: a point's distances from the PARTS parts of all shingles differ from the pivot's by too much;
+- picks pivots in every region and measures every point of the region against them in the space that the
+  counts of a set in PARTS parts of all shingles span. Its metric (the L1 distance, made relative to the sizes
+  as Jaccard's is) is never above Jaccard's, and needs no sets;
+- compares the sets of a point and a pivot of unlike components that lie within the radius there: the links of
+  pivots are so found, and the pivots leave the region;
 - gives each point to the first pivot within INNER of it, or else to what is left of the region;
 - replicates the boundary: by the triangle inequality both ends of a link lie within INNER + radius of a pivot
   if one lies within INNER, so points between INNER and INNER + radius of an earlier pivot go to it as well;
@@ -28,21 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, id_or_lowest, id_or_null
+from .common import Filter, Scratch, components, id_or_lowest, id_or_null
 from .hashing import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
 SHINGLE, SIMILARITY = 4, 85
 INNER = 0.15
-#: Parts of all shingles whose shares in a set bound its distances; fewer than 257.
+#: Parts of all shingles; a power of 2.
 PARTS = 64
-#: Points of a region that are held against one another by that bound before the first round.
+#: Points of a region that are held against one another by their counts before the first round.
 PARTNERS = 64
 #: Pivots of a region in the first rounds and in all later ones.
 PIVOTS = (1, 16, 128)
 #: Buckets of the sketch of shingle frequencies, as a power of 2. Its size affects speed only.
 SKETCH_BITS = 22
-#: Slots of the filter over documents whose sets are needed, as a power of 2. As above.
+#: Slots of the filters over copies, as a power of 2. As above.
 FILTER_BITS = 21
 _ROWS = 512
 
@@ -78,7 +80,7 @@ def describe(given: DataFrame, k: int, seed: int) -> DataFrame:
                 found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
                 sums[found] += n.astype(np.int32)
                 rows = len(sets)
-                parts = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
+                parts = [np.bincount((s >> np.uint64(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS).astype(np.int32).tobytes() for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.array(parts, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), *columns], names)
         if sums.any():
@@ -191,39 +193,36 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         described = scratch.save(describe(given, k, seed))
         seen = described.where("chunk is null").select("_id", "_text", "n", "node", "check", "parts")
         # Sets are told apart by 128 bits: should 64 not do, all is hashed anew.
-        nodes = seen.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("copies"), F.first("n").cast("int").alias("size"), F.first("parts").alias("parts"))
+        nodes = seen.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("copies"), F.first("parts").alias("parts"))
         nodes = scratch.save(nodes)
         if not nodes.where("low <> high").limit(1).count():
             break
         seed += 1
     live = scratch.save(first_regions(given, nodes, k, similarity, seed, frequent_buckets(described)))
-    live = scratch.save(_with_partners(live.join(nodes.select("node", "size", "parts"), "node"), radius))
+    live = scratch.save(_with_partners(live.join(nodes.select("node", "parts"), "node"), radius))
     sets = scratch.save(_needed_sets(given, live, nodes, k, seed, scratch))
     live = live.withColumn("component", F.col("node"))
     links: list[DataFrame] = []
-    labels = None
+    labels = nodes.select("node", F.col("node").alias("component")).limit(0)
     for turn in range(10**6):
         pivots = live.groupBy("region", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)])).alias("slice"))
-        pivots = pivots.agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("pivot"))).alias("p")).select("region", "p.*")
+        pivots = pivots.agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))).alias("p")).select("region", "p.*")
         met = scratch.save(live.join(pivots, "region"))
-        pairs = met.where("node <> pivot").select("node", "pivot").distinct()
-        a, b = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("parts").alias(f"{x}_parts")) for x in ("node", "pivot"))
-        near = pairs.join(a, "node").join(b, "pivot").mapInArrow(_bound(INNER + radius), "node long, pivot long")
-        a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
-        measured = scratch.save(near).join(a, "node").join(b, "pivot")
-        both = F.size(F.array_intersect("node_set", "pivot_set"))
-        measured = measured.select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
-        measured = measured.select("node", "pivot", (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("distance"), (F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).alias("link"))
-        measured = scratch.save(measured)
-        new = measured.where("link").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        if labels is not None:  # only links between components matter from now on
-            ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
-            new = new.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        pairs = met.where("node <> pivot").select("node", "pivot", (F.col("component") != F.col("pivot_component")).alias("apart")).distinct()
+        a, b = (nodes.select(F.col("node").alias(x), F.col("parts").alias(f"{x}_parts")) for x in ("node", "pivot"))
+        near = scratch.save(pairs.join(a, "node").join(b, "pivot").mapInArrow(_measure(INNER + radius), "node long, pivot long, apart boolean, distance double"))
+        unknown = near.where(F.col("apart") & (F.col("distance") <= radius + 1e-9)).select("node", "pivot")
+        if unknown.limit(1).count():
+            some_sets = _only(sets, Filter(unknown.select(F.col("node").alias("number")).union(unknown.select("pivot")).distinct()))
+            a, b = (some_sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
+            both = F.size(F.array_intersect("node_set", "pivot_set"))
+            compared = unknown.join(a, "node").join(b, "pivot").select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
+            new = compared.where(F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
             new = scratch.save(new)
-        if labels is None or new.limit(1).count():
-            links.append(new)
-            labels = components(scratch, reduce(DataFrame.unionByName, links))
-        at = met.join(measured, ["node", "pivot"], "left")
+            if new.limit(1).count():
+                links.append(new)
+                labels = components(scratch, reduce(DataFrame.unionByName, links))
+        at = met.join(near.drop("apart"), ["node", "pivot"], "left")
         points = at.groupBy("region", "node").agg(
             F.max(F.col("node") == F.col("pivot")).alias("is_pivot"),
             F.min(F.when(F.col("distance") <= INNER, F.struct("order", "pivot"))).alias("home"),
@@ -247,29 +246,46 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
     return out.select("_id", "_text", F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
-def _bound(most: float):
-    """Drops pairs whose distance exceeds most for certain.
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between rows of counts: their L1 distance, relative as Jaccard's distance is to the symmetric difference.
 
-    With parts of all shingles, the sets' counts in a part differ by no more than the sets do there. So the sum
-    of the differences is at most the size of the symmetric difference. Counts above 255 count as 255.
+    It is a metric (the biotope transform of L1), and at most Jaccard's distance, as the counts of two sets in
+    a part differ by no more than the sets do there.
     """
+    apart = np.abs(a - b).sum(-1)
+    return 2 * apart / np.maximum(a.sum(-1) + b.sum(-1) + apart, 1)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, PARTS)
+
+
+def _measure(most: float):
+    """The distance of pairs in the space of counts, where it is not above most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("node_parts", "pivot_parts"))
-            apart = np.abs(a - b).sum(1)
-            n, m = (batch.column(c).to_numpy() for c in ("node_size", "pivot_size"))
-            apart = np.maximum(apart, np.abs(n - m))
-            near = pa.array(2 * apart / (n + m + apart) <= most + 1e-9)
-            yield batch.select(["node", "pivot"]).filter(near)
+            if batch.num_rows:
+                distance = _distances(_counts(batch.column("node_parts")), _counts(batch.column("pivot_parts")))
+                columns = [*(batch.column(c) for c in ("node", "pivot", "apart")), pa.array(distance)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "pivot", "apart", "distance"]).filter(pa.array(distance <= most + 1e-9))
 
     return run
 
 
+def _only(sets: DataFrame, wanted: Filter) -> DataFrame:
+    """The sets that a filter lets pass, before they are dealt out."""
+    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value(b.column("node").to_numpy())))
+
+    return sets.mapInArrow(run, "node long, set array<long>")
+
+
 def _with_partners(points: DataFrame, radius: float) -> DataFrame:
-    """region, node: without the points for which the bound excludes a link with any other of their region.
+    """region, node: without the points for which their counts exclude a link with any other of their region.
 
     Regions of over PARTNERS points stay as they are.
     """
@@ -278,7 +294,7 @@ def _with_partners(points: DataFrame, radius: float) -> DataFrame:
         held: list = []
 
         def out(last):
-            region, node, size, parts = held
+            region, node, parts = held
             edge = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
             whole = len(edge) - (1 if last else 2)
             keep = np.zeros(len(region), bool)
@@ -286,9 +302,7 @@ def _with_partners(points: DataFrame, radius: float) -> DataFrame:
                 if hi - lo > PARTNERS:
                     keep[lo:hi] = True
                     continue
-                p, n = parts[lo:hi].astype(np.int16), size[lo:hi]
-                apart = np.maximum(np.abs(p[:, None] - p[None]).sum(2), np.abs(n[:, None] - n[None]))
-                near = 2 * apart / (n[:, None] + n[None] + apart) <= radius + 1e-9
+                near = _distances(parts[lo:hi, None], parts[None, lo:hi]) <= radius + 1e-9
                 keep[lo:hi] = near.sum(1) > 1  # itself is one
             start = edge[whole]
             batch = pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[keep])], ["region", "node"])
@@ -297,7 +311,7 @@ def _with_partners(points: DataFrame, radius: float) -> DataFrame:
 
         for b in batches:
             if b.num_rows:
-                new = [b.column("region").to_numpy(), b.column("node").to_numpy(), b.column("size").to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)]
+                new = [b.column("region").to_numpy(), b.column("node").to_numpy(), _counts(b.column("parts"))]
                 held[:] = new if not held else [np.concatenate(x) for x in zip(held, new, strict=True)]
                 yield out(False)
         if held:
@@ -310,25 +324,20 @@ def _with_partners(points: DataFrame, radius: float) -> DataFrame:
 def _needed_sets(given: DataFrame, live: DataFrame, nodes: DataFrame, k: int, seed: int, scratch: Scratch) -> DataFrame:
     """node, set: the sets of the points in regions, made again from their first documents.
 
-    A filter of fixed size spares most other documents; a join decides.
+    A filter spares most other documents; the sets of those that it lets pass do no harm.
     """
-    slot = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(1 << FILTER_BITS)).cast("int")
     points = scratch.save(live.select("node").distinct().join(nodes.select("node", "first"), "node"))
-    shared = given.sparkSession.sparkContext.broadcast(_slots(points.select(slot("first"))))
+    shared = given.sparkSession.sparkContext.broadcast(Filter(points.select(F.xxhash64("first").alias("number")).distinct()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = shared.value
         for b in batches:
-            b = b.filter(pa.array(slots[b.column("slot").to_numpy()]))
+            b = b.filter(pa.array(shared.value(b.column("h").to_numpy())))
             for part, sets in _sets(b, k, seed):
                 full = [i for i, s in enumerate(sets) if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(pa.array(full, pa.int64())), pa.array([_node(sets[i], 0) for i in full], pa.int64()), pa.array([_signed(sets[i]) for i in full], pa.list_(pa.int64()))],
-                    ["first", "node", "set"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([_node(sets[i], 0) for i in full], pa.int64()), pa.array([_signed(sets[i]) for i in full], pa.list_(pa.int64()))], ["node", "set"])
 
-    made = given.withColumn("slot", slot("_id")).select("_id", "text", "slot").mapInArrow(make, "first long, node long, set array<long>")
-    return made.join(points, ["node", "first"]).dropDuplicates(["node"]).select("node", "set")
+    made = given.withColumn("h", F.xxhash64("_id")).select("text", "h").mapInArrow(make, "node long, set array<long>")
+    return made.dropDuplicates(["node"])
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_or_lowest, id_or_null
+from .common import Filter, Scratch, id_or_lowest, id_or_null
 from .hashing import Powers, mix, prefix_sums
 
 LENGTH, GRAM = 200, 48
@@ -38,8 +38,6 @@ _PLACE = np.uint64(34)
 _CHUNK = 1 << 21
 #: Windows of a cell.
 CELL = 16
-#: Filters have up to so many slots, as a power of 2: 16 MB.
-MOST_FILTER_BITS = 27
 _STEP = 2147483629
 
 
@@ -131,23 +129,6 @@ def own_hash(h, low):
     return h.bitwiseXOR(low.cast("long") * F.lit(_STEP))
 
 
-class Filter:
-    """A set of numbers that may hold others too; as large as the set asks for, up to MOST_FILTER_BITS."""
-
-    def __init__(self, numbers: DataFrame):
-        n = numbers.count()
-        self.bits = min(MOST_FILTER_BITS, max(16, (32 * n).bit_length()))
-        slot = F.col("number").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
-        at = numbers.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
-        flags = np.zeros(1 << self.bits, bool)
-        flags[at] = True
-        self.packed = np.packbits(flags, bitorder="little")
-
-    def __call__(self, numbers: np.ndarray) -> np.ndarray:
-        slot = numbers & ((1 << self.bits) - 1)
-        return (self.packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-
-
 def _scan(given: DataFrame, make, schema: str, filters: tuple = (), length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Runs make(texts, hashes of the texts, filters) over runs of texts; it returns (text numbers, columns).
 
