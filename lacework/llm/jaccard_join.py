@@ -46,7 +46,7 @@ PIVOTS = (1, 16, 128)
 SKETCH_BITS = 22
 #: Slots of the filters over copies, as a power of 2. As above.
 FILTER_BITS = 21
-_ROWS = 512
+_ROWS = 128
 
 
 def _sets(batch: pa.RecordBatch, k: int, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
