@@ -99,23 +99,30 @@ class Grammar:
         return not _CLASS.keys().isdisjoint(distinct) and any(_CLASS.get(w) == "threat" for w in distinct)
 
 
-def learn_lexicon(rows: list[tuple[frozenset[bytes], int]]) -> Grammar:
+def learn_lexicon(rows: list[tuple[bytes, int]]) -> Grammar:
     """Words and stems that mark toxic documents, chosen one by one for the toxic documents they newly explain.
 
-    Choosing for what is not explained yet keeps out words that merely stand beside an insult.
+    rows: each document's distinct words, joined by spaces, and its label; one is split at a time, which keeps
+    memory low. Choosing for what is not explained yet keeps out words that merely stand beside an insult.
     """
     toxic = [w for w, y in rows if y]
     n0, n1 = max(1, len(rows) - len(toxic)), max(1, len(toxic))
     holders: dict[bytes, set[int]] = defaultdict(set)
     clean: Counter[bytes] = Counter()
 
-    def terms(words):
+    def terms(joined):
+        words = joined.split()
         return {(0, w) for w in words if len(w) > 2} | {(1, w[:n]) for w in words for n in STEMS if len(w) > n}
 
+    often: Counter = Counter()
+    for words in toxic:
+        often.update(terms(words))
+    often = {t for t, n in often.items() if n >= 3}
     for i, words in enumerate(toxic):
         for t in terms(words):
-            holders[t].add(i)
-    holders = {t: d for t, d in holders.items() if len(d) >= 3}
+            if t in often:
+                holders[t].add(i)
+    del often
     for words, y in rows:
         if not y:
             clean.update(t for t in terms(words) if t in holders)
@@ -164,15 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Gramm
     seen = {}
     for r in sorted(rows, key=lambda r: r["_id"]):
         seen.setdefault(bytes(r["words"]), r["y"])
-    grammar = learn_lexicon([(frozenset(w.split()), y) for w, y in seen.items()])
-    ids = [r["_id"] for r in rows]
+    del rows
+    grammar = learn_lexicon(list(seen.items()))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [grammar.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column("y")], ["f", "y"])
 
-    rows = picked.mapInArrow(parse, "f array<double>, y int").limit(sample).collect() if ids else []
+    rows = picked.mapInArrow(parse, "f array<double>, y int").limit(sample).collect() if seen else []
     counts: Counter = Counter((tuple(r["f"]), r["y"]) for r in rows)
     if not counts:
         return grammar, np.array([0.0] * N_FEATURES + [-2.0])
