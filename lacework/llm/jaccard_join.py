@@ -16,7 +16,9 @@ ends can. Each round then
   if one lies within INNER, so points between INNER and INNER + radius of an earlier pivot go to it as well;
 - drops regions whose points are all connected already, since no link in them can change a component.
 
-It ends when no region is left. No pair of a group is written but those of points and pivots.
+Regions of up to LEAF points, and those that pivots replicate more than they split, are joined in tiles of LEAF
+points: only pairs of unlike components within the radius by their counts leave a tile, and their sets are
+compared. It ends when no region is left.
 """
 
 from __future__ import annotations
@@ -37,11 +39,13 @@ from .hashing import mix, shingle_sets
 SHINGLE, SIMILARITY = 4, 85
 INNER = 0.15
 #: Parts of all shingles; a power of 2.
-PARTS = 64
+PARTS = 256
 #: Points of a region that are held against one another by their counts before the first round.
 PARTNERS = 64
-#: Pivots of a region in the first rounds and in all later ones.
-PIVOTS = (1, 16, 128)
+#: Pivots of a region in the first round and in all later ones.
+PIVOTS = (1, 16)
+#: Points of a tile, copies of a point on average beyond which a region is not split by pivots, and rounds of pivots.
+LEAF, MOST_COPIES, MOST_ROUNDS = 256, 2, 8
 #: Buckets of the sketch of shingle frequencies, as a power of 2. Its size affects speed only.
 SKETCH_BITS = 22
 #: Slots of the filters over copies, as a power of 2. As above.
@@ -80,8 +84,8 @@ def describe(given: DataFrame, k: int, seed: int) -> DataFrame:
                 found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
                 sums[found] += n.astype(np.int32)
                 rows = len(sets)
-                parts = [np.bincount((s >> np.uint64(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS).astype(np.int32).tobytes() for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.array(parts, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                parts = [np.bincount((s >> np.uint64(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS) for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.array([_packed(x) for x in parts], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), *columns], names)
         if sums.any():
             chunks = [zlib.compress(c.tobytes(), 1) for c in sums.reshape(16, -1)]
@@ -204,24 +208,41 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
     live = live.withColumn("component", F.col("node"))
     links: list[DataFrame] = []
     labels = nodes.select("node", F.col("node").alias("component")).limit(0)
-    for turn in range(10**6):
+    def compare(unknown: DataFrame) -> None:
+        """Those of the pairs (node, pivot) that link are added to the links, and components to their labels."""
+        nonlocal labels
+        if not unknown.limit(1).count():
+            return
+        some_sets = _only(sets, Filter(unknown.select(F.col("node").alias("number")).union(unknown.select("pivot")).distinct()))
+        a, b = (some_sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
+        both = F.size(F.array_intersect("node_set", "pivot_set"))
+        compared = unknown.join(a, "node").join(b, "pivot").select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
+        new = compared.where(F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        new = scratch.save(new)
+        if new.limit(1).count():
+            links.append(new)
+            labels = components(scratch, reduce(DataFrame.unionByName, links))
+
+    def unlike(points: DataFrame) -> DataFrame:
+        """The points of regions that hold unlike components, by the labels as they are now."""
+        named = scratch.save(points.select("region", "node").join(labels, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")))
+        open_regions = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("region", "n")
+        out = scratch.save(named.join(open_regions, "region"))
+        scratch.drop(named)
+        return out
+
+    for turn in range(MOST_ROUNDS):
+        leaves = []
+        if turn:
+            leaves.append(live.where(F.col("n") <= LEAF))
+            live = live.where(F.col("n") > LEAF)
         pivots = live.groupBy("region", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)])).alias("slice"))
         pivots = pivots.agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))).alias("p")).select("region", "p.*")
-        met = scratch.save(live.join(pivots, "region"))
+        met = scratch.save(live.select("region", "node", "component").join(pivots, "region"))
         pairs = met.where("node <> pivot").select("node", "pivot", (F.col("component") != F.col("pivot_component")).alias("apart")).distinct()
         a, b = (nodes.select(F.col("node").alias(x), F.col("parts").alias(f"{x}_parts")) for x in ("node", "pivot"))
         near = scratch.save(pairs.join(a, "node").join(b, "pivot").mapInArrow(_measure(INNER + radius), "node long, pivot long, apart boolean, distance double"))
-        unknown = near.where(F.col("apart") & (F.col("distance") <= radius + 1e-9)).select("node", "pivot")
-        if unknown.limit(1).count():
-            some_sets = _only(sets, Filter(unknown.select(F.col("node").alias("number")).union(unknown.select("pivot")).distinct()))
-            a, b = (some_sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
-            both = F.size(F.array_intersect("node_set", "pivot_set"))
-            compared = unknown.join(a, "node").join(b, "pivot").select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
-            new = compared.where(F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-            new = scratch.save(new)
-            if new.limit(1).count():
-                links.append(new)
-                labels = components(scratch, reduce(DataFrame.unionByName, links))
+        compare(near.where(F.col("apart") & (F.col("distance") <= radius + 1e-9)).select("node", "pivot"))
         at = met.join(near.drop("apart"), ["node", "pivot"], "left")
         points = at.groupBy("region", "node").agg(
             F.max(F.col("node") == F.col("pivot")).alias("is_pivot"),
@@ -230,13 +251,17 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         ).where(~F.col("is_pivot"))
         earlier = F.filter("band", lambda p: F.col("home").isNull() | (p < F.col("home")))
         to = F.concat(F.transform(earlier, lambda p: p["pivot"]), F.array(F.coalesce("home.pivot", F.lit(0).cast("long"))))
-        points = points.select("node", F.explode(F.transform(to, lambda p: F.xxhash64("region", p))).alias("region"))
-        points = points.join(labels, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"))
-        points = scratch.save(points)
-        open_regions = points.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
-        scratch.drop(live, met)
-        live = scratch.save(points.join(open_regions, "region"))
-        scratch.drop(points)
+        points = scratch.save(points.select("region", "node", to.alias("to")))
+        whole = points.groupBy("region").agg(F.avg(F.size("to")).alias("copies")).select("region", (F.col("copies") > MOST_COPIES).alias("whole"))
+        points = points.join(whole, "region")
+        leaves.append(unlike(points.where("whole")))
+        live = unlike(points.where("not whole").select("node", F.explode(F.transform("to", lambda p: F.xxhash64("region", p))).alias("region")))
+        if turn == MOST_ROUNDS - 1:
+            leaves.append(live)
+        found = scratch.save(_join_leaves(reduce(DataFrame.unionByName, [x.select("region", "node", "component", "n") for x in leaves]), nodes, radius))
+        compare(found)
+        scratch.drop(met, near)
+        live = unlike(live)
         if not live.limit(1).count():
             break
     groups = nodes.select("node", "first").join(labels, "node").select("node", "first", "component")
@@ -256,8 +281,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * apart / np.maximum(a.sum(-1) + b.sum(-1) + apart, 1)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as the smallest numbers that hold them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
 def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, PARTS)
+    rows = column.to_pylist()
+    out = np.zeros((len(rows), PARTS), np.int32)
+    sizes = np.array([len(x) for x in rows]) // PARTS
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.frombuffer(b"".join([rows[i] for i in at]), f"u{size}").reshape(-1, PARTS)
+    return out
 
 
 def _measure(most: float):
@@ -273,6 +309,58 @@ def _measure(most: float):
     return run
 
 
+def _join_leaves(leaves: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """node, pivot: pairs of points (region, node, component, n) of unlike components whose counts do not exclude a link.
+
+    A region of n points is dealt into tiles; any two tiles meet in one group of rows, of which one is held at a time.
+    """
+    tiles = F.ceil(F.col("n") / LEAF).cast("int")
+    dealt = leaves.withColumns({"tile": F.pmod(F.xxhash64(F.lit(5), "node"), tiles).cast("int"), "with": F.explode(F.sequence(F.lit(0), tiles - 1))})
+    key = F.xxhash64("region", F.least("tile", "with"), F.greatest("tile", "with"))
+    rows = dealt.select(key.alias("key"), F.col("tile") <= F.col("with"), "node", "component").toDF("key", "left", "node", "component")
+    # Both tiles of a group of a single tile are the same; else left tells which tile a row is of.
+    rows = rows.join(nodes.select("node", "parts"), "node")
+
+    def pairs_of(left, node, component, parts) -> list[np.ndarray]:
+        a = np.flatnonzero(left)
+        b = np.flatnonzero(~left) if not left.all() else a
+        out = []
+        for lo in range(0, len(a), 16):
+            rows = a[lo : lo + 16]
+            near = (_distances(parts[rows, None], parts[None, b]) <= radius + 1e-9) & (component[rows, None] != component[None, b])
+            if b is a:
+                near &= node[rows, None] < node[None, b]
+            i, j = np.nonzero(near)
+            out.append(np.stack([node[rows[i]], node[b[j]]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def out(last):
+            key, left, node, component, parts = held
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            whole = len(edge) - (1 if last else 2)
+            found = [np.zeros((2, 0), np.int64)]
+            for lo, hi in zip(edge[:whole], edge[1 : whole + 1], strict=True):
+                found += pairs_of(*(x[lo:hi] for x in (left, node, component, parts)))
+            held[:] = [x[edge[whole] :] for x in held]
+            pairs = np.concatenate(found, 1)
+            pairs.sort(0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "pivot"])
+
+        for b in batches:
+            if b.num_rows:
+                new = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left", "node", "component")), _counts(b.column("parts"))]
+                held[:] = new if not held else [np.concatenate(x) for x in zip(held, new, strict=True)]
+                yield out(False)
+        if held:
+            yield out(True)
+
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "node long, pivot long").distinct()
+
+
 def _only(sets: DataFrame, wanted: Filter) -> DataFrame:
     """The sets that a filter lets pass, before they are dealt out."""
     shared = sets.sparkSession.sparkContext.broadcast(wanted)

@@ -63,7 +63,7 @@ def test_suffix_index(docs, empty, texts):
     assert suffix_index.remove_repeats(empty).count() == 0
 
 
-def test_jaccard_join(docs, empty, texts):
+def jaccard_brute_force(texts):
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
@@ -80,11 +80,30 @@ def test_jaccard_join(docs, empty, texts):
             if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join(docs, empty, texts):
     got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_groups(docs).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert got == jaccard_brute_force(texts)
     assert jaccard_join.linked_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [8, 256])
+def test_jaccard_join_of_a_group_of_near_copies(spark, monkeypatch, leaf):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rng = random.Random(7)
+    base, texts = prose(rng, 130).split(), {}
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(130), rng.randint(0, 7)):
+            words[at] = f"w{rng.randint(0, 10**6)}"
+        texts[i] = " ".join(words)
+    got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = jaccard_brute_force(texts)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 150
+
+
 def test_decontamination(spark, docs, empty, texts):
     bench = spark.createDataFrame([(1, " ".join(texts[2].split()[10:30]), "x"), (2, "One, TWO!", None), (3, None, ""), (4, "absent words here", "")], "item_id long, text string, start string")
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()}
