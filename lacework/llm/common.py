@@ -107,17 +107,28 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
+    """The lowest ``bits`` bits (15 at least) of the column number as set bits, packed from the lowest on.
+
+    Tasks set the bits; the driver receives 2 ** (bits - 3) bytes at most, however many numbers there are.
+    """
+    slot = F.col("number").bitwiseAND(F.lit((1 << bits) - 1)).cast("long")
+    low = (1 << 15) - 1
+    rows = numbers.select(F.shiftright(slot, 15).alias("chunk"), slot.bitwiseAND(F.lit(low)).alias("at"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in rows.groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        part = np.frombuffer(row["bits"], np.uint8)
+        out[row["chunk"] * len(part) : (row["chunk"] + 1) * len(part)] = part
+    return out
+
+
 class Filter:
     """A set of numbers that may hold others too; as large as the set asks for, up to MOST_FILTER_BITS."""
 
     def __init__(self, numbers: DataFrame):
         n = numbers.count()
         self.bits = min(MOST_FILTER_BITS, max(16, (32 * n).bit_length()))
-        slot = F.col("number").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
-        at = numbers.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
-        flags = np.zeros(1 << self.bits, bool)
-        flags[at] = True
-        self.packed = np.packbits(flags, bitorder="little")
+        self.packed = bitmap(numbers, self.bits)
 
     def __call__(self, numbers: np.ndarray) -> np.ndarray:
         slot = numbers & ((1 << self.bits) - 1)

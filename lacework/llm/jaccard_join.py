@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, Scratch, components, id_or_lowest, id_or_null
+from .common import Filter, Scratch, bitmap, components, id_or_lowest, id_or_null, small_side
 from .hashing import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
@@ -50,6 +50,8 @@ LEAF, MOST_COPIES, MOST_ROUNDS = 256, 2, 8
 SKETCH_BITS = 22
 #: Slots of the filters over copies, as a power of 2. As above.
 FILTER_BITS = 21
+#: Nodes that a join by broadcast picks sets for, before they are dealt out: 8 bytes each.
+MOST_WANTED = 500_000
 _ROWS = 128
 
 
@@ -110,9 +112,7 @@ def frequent_buckets(described: DataFrame) -> np.ndarray:
 
 def _slots(column: DataFrame) -> np.ndarray:
     """A filter of fixed size over a column of slots."""
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[column.toDF("slot").distinct().toArrow().column("slot").to_numpy()] = True
-    return out
+    return np.unpackbits(bitmap(column.toDF("number"), FILTER_BITS), bitorder="little").view(bool)
 
 
 def first_regions(given: DataFrame, nodes: DataFrame, k: int, similarity: int, seed: int, hot: np.ndarray) -> DataFrame:
@@ -148,33 +148,30 @@ def first_regions(given: DataFrame, nodes: DataFrame, k: int, similarity: int, s
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["shingle", "node", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        number = np.uint64(0)
-
-        def out(a, last):
-            """Passes on the runs of a that are whole; returns the rest, to be seen with the next batch."""
-            shingle, node, n = a
-            if not len(shingle):
-                return a, None
-            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < similarity * n[1:])])
-            starts = np.flatnonzero(new)
-            end = len(shingle) if last else starts[-1]
+        """Passes on the rows of runs of two or more. Of a run that goes on in the next batch, its region and its last row are held, however long it is."""
+        held, region, sent = None, None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(c).to_numpy().astype(np.int64) for c in ("shingle", "node", "n")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            shingle, node, n = rows
             # Copies that the filters let pass stand beside one another only by chance: same node, same region.
-            run = np.cumsum(new)[:end] - 1
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < similarity * n[1:])])
+            starts, run = np.flatnonzero(new), np.cumsum(new) - 1
             size = np.diff(np.concatenate([starts, [len(shingle)]]))
+            regions = mix(shingle[starts].astype(np.uint64) * np.uint64(31) + n[starts].astype(np.uint64)).view(np.int64)
             keep = size[run] > 1
-            region = mix(shingle[starts].astype(np.uint64) * np.uint64(31) + n[starts].astype(np.uint64)).view(np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array(region[run][keep]), pa.array(node[:end][keep])], ["region", "node"]) if keep.any() else None
-            return [x[end:] for x in a], batch
-
-        for b in batches:
-            columns = [b.column(c).to_numpy().astype(np.int64) for c in ("shingle", "node", "n")]
-            held, batch = out([np.concatenate(x) for x in zip(held, columns, strict=True)], False)
-            if batch:
-                yield batch
-        held, batch = out(held, True)
-        if batch:
-            yield batch
+            if held is not None:
+                regions[0] = region
+                if sent:
+                    keep[: size[0]] = True
+                    keep[0] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(regions[run][keep]), pa.array(node[keep])], ["region", "node"])
+            held, region = [x[-1:] for x in rows], regions[-1]
+            sent = bool(size[-1] > 1 or (sent and len(size) == 1))
 
     parts = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = given.withColumn("h", F.xxhash64("_id")).select("text", "h").mapInArrow(prefixes, "shingle long, node long, n int")
@@ -203,7 +200,9 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
             break
         seed += 1
     live = scratch.save(first_regions(given, nodes, k, similarity, seed, frequent_buckets(described)))
-    live = scratch.save(_with_partners(live.join(nodes.select("node", "parts"), "node"), radius))
+    large = scratch.save(live.groupBy("region").count().where(F.col("count") > PARTNERS).select("region"))
+    small = _with_partners(live.join(large, "region", "left_anti").join(nodes.select("node", "parts"), "node"), radius)
+    live = scratch.save(small.unionByName(live.join(large, "region", "left_semi").select("region", "node")))
     sets = scratch.save(_needed_sets(given, live, nodes, k, seed, scratch))
     live = live.withColumn("component", F.col("node"))
     links: list[DataFrame] = []
@@ -213,7 +212,7 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         nonlocal labels
         if not unknown.limit(1).count():
             return
-        some_sets = _only(sets, Filter(unknown.select(F.col("node").alias("number")).union(unknown.select("pivot")).distinct()))
+        some_sets = _only(sets, scratch.save(unknown.select("node").union(unknown.select("pivot")).distinct()))
         a, b = (some_sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in ("node", "pivot"))
         both = F.size(F.array_intersect("node_set", "pivot_set"))
         compared = unknown.join(a, "node").join(b, "pivot").select("node", "pivot", both.alias("both"), (F.size("node_set") + F.size("pivot_set")).alias("sum"))
@@ -361,9 +360,12 @@ def _join_leaves(leaves: DataFrame, nodes: DataFrame, radius: float) -> DataFram
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "node long, pivot long").distinct()
 
 
-def _only(sets: DataFrame, wanted: Filter) -> DataFrame:
-    """The sets that a filter lets pass, before they are dealt out."""
-    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the nodes wanted; of more than MOST_WANTED nodes, those that a filter of fixed size lets pass."""
+    known = small_side(wanted, MOST_WANTED)
+    if known is not wanted:
+        return sets.join(known, "node", "left_semi")
+    shared = sets.sparkSession.sparkContext.broadcast(Filter(wanted.toDF("number")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,7 +377,7 @@ def _only(sets: DataFrame, wanted: Filter) -> DataFrame:
 def _with_partners(points: DataFrame, radius: float) -> DataFrame:
     """region, node: without the points for which their counts exclude a link with any other of their region.
 
-    Regions of over PARTNERS points stay as they are.
+    A region is held whole: points are of regions of up to PARTNERS points.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,9 +389,6 @@ def _with_partners(points: DataFrame, radius: float) -> DataFrame:
             whole = len(edge) - (1 if last else 2)
             keep = np.zeros(len(region), bool)
             for lo, hi in zip(edge[:whole], edge[1 : whole + 1], strict=True):
-                if hi - lo > PARTNERS:
-                    keep[lo:hi] = True
-                    continue
                 near = _distances(parts[lo:hi, None], parts[None, lo:hi]) <= radius + 1e-9
                 keep[lo:hi] = near.sum(1) > 1  # itself is one
             start = edge[whole]
