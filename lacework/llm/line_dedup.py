@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, id_or_lowest, id_or_null, lower_ascii
@@ -32,15 +32,14 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, s
     key = key.withColumn("line", lower_ascii(F.col("line")))
     rows = scratch.save(key.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "_id", "_text", "pos"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
-        .repartitionByRange(parts, "h1", "salt")
-        .sortWithinPartitions("h1", "salt", "h2", F.desc("_id"), "pos")
-    )
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(max(salts, parts))))
+    sorted_rows = salted.repartitionByRange(parts, "h1", "salt").sortWithinPartitions("h1", "salt", "h2", F.desc("_id"), "pos")
     first = sorted_rows.groupBy("h1", "salt", "h2", "_id").agg(F.min("pos").alias("pos"))
     part = first.groupBy("h1", "salt", "h2").agg(F.count("*").alias("docs"), F.max("_id").alias("keeper"))
-    verdict = part.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper")).where(F.col("docs") >= min_docs)
-    lost = rows.join(verdict.drop("docs"), ["h1", "h2"]).where("_id <> keeper")
+    # A verdict for each salt of a hash, so that the join that follows deals a frequent hash by salt as well.
+    whole = Window.partitionBy("h1", "h2")
+    verdict = part.select("h1", "salt", "h2", F.sum("docs").over(whole).alias("docs"), F.max("keeper").over(whole).alias("keeper")).where(F.col("docs") >= min_docs)
+    lost = salted.join(verdict.drop("docs"), ["h1", "h2", "salt"]).where("_id <> keeper")
     lost = lost.groupBy("_id", "_text").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
     # Kept runs lie between neighbours of the lost positions; the last run is open and cut by slice().
     edges = F.concat(F.array(F.lit(-1)), F.col("lost"))
