@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lacework.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, nn_descent, quality, suffix_index, suffix_tree, toxicity
-from lacework.llm.common import Scratch, components
+from lacework.llm.common import Scratch, bitmap, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start int, label string"
 
@@ -89,6 +89,27 @@ def test_jaccard_join(docs, empty, texts):
     assert jaccard_join.linked_groups(empty).count() == 0
 
 
+def test_bitmap(spark):
+    rng = random.Random(11)
+    numbers = [rng.randint(-(2**63), 2**63 - 1) for _ in range(500)] + [0, -1, 0]
+    got = np.unpackbits(bitmap(spark.createDataFrame([(x,) for x in numbers], "number long"), 17), bitorder="little")
+    assert set(np.flatnonzero(got)) == {x % 2**17 for x in numbers}
+    assert not bitmap(spark.createDataFrame([], "number long"), 16).any()
+
+
+@pytest.mark.parametrize("wanted", [0, 500_000])
+def test_jaccard_join_in_small_batches(docs, texts, spark, monkeypatch, wanted):
+    """Runs and regions go on over batches; sets are picked by a filter, and by a join."""
+    monkeypatch.setattr(jaccard_join, "MOST_WANTED", wanted)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_groups(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == jaccard_brute_force(texts)
+
+
 @pytest.mark.parametrize("leaf", [8, 256])
 def test_jaccard_join_of_a_group_of_near_copies(spark, monkeypatch, leaf):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
