@@ -122,9 +122,10 @@ def first_regions(given: DataFrame, nodes: DataFrame, k: int, similarity: int, s
     Rows are dealt by shingle once, sorted by shingle and size, and only those with a near neighbour pass on.
     """
     mask = (1 << FILTER_BITS) - 1
-    copied = nodes.where("copies > 1")
     slot = lambda c: c.bitwiseAND(F.lit(mask)).cast("int")
-    copied_slots, first_slots = _slots(copied.select(slot(F.col("node")))), _slots(copied.select(slot(F.col("node").bitwiseXOR(F.xxhash64("first")))))
+    copied_slots = _slots(nodes.where("copies > 1").select(slot(F.col("node"))))
+    # Of all sets: one without copies may stand in a slot of copied ones, and its document must pass all the same.
+    first_slots = _slots(nodes.select(slot(F.col("node").bitwiseXOR(F.xxhash64("first")))))
     shared = given.sparkSession.sparkContext.broadcast((hot, copied_slots, first_slots))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

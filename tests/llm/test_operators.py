@@ -110,6 +110,19 @@ def test_jaccard_join_in_small_batches(docs, texts, spark, monkeypatch, wanted):
     assert got == jaccard_brute_force(texts)
 
 
+def test_jaccard_join_with_crowded_filters(spark, monkeypatch):
+    """Single sets that share a filter's slot with copied ones keep their links."""
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", 15)
+    rng = random.Random(13)
+    texts = [t for t in (prose(rng, 8) for _ in range(400)) for _ in range(2)]
+    for _ in range(400):
+        text = prose(rng, 40)
+        texts += [text, f"{text} changed"]
+    texts = dict(enumerate(texts))
+    got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == jaccard_brute_force(texts)
+
+
 @pytest.mark.parametrize("leaf", [8, 256])
 def test_jaccard_join_of_a_group_of_near_copies(spark, monkeypatch, leaf):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
