@@ -2,8 +2,9 @@
 
 A neighbour graph is started from random hyperplanes, as vectors on one side of all of them are likely near, and
 refined: the neighbours of a vector, and those that it is a neighbour of, are compared with one another, and
-each keeps its nearest. A vector whose list is full of links is saturated; its list is then enlarged to its
-whole component, which is compared tile by tile, as all its links must lie in it. Recall is audited against
+each keeps its nearest. A vector whose list is full of links is saturated; a link of two such may be in no list, so
+components that hold saturated vectors are joined where any of their vectors link, and a saturated vector's list is
+enlarged to its whole component, which is compared tile by tile. Recall is audited against
 brute force on a bounded sample, and the graph started from more hyperplanes if it falls short.
 """
 
@@ -40,18 +41,20 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _best(sims: np.ndarray, nodes: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """node, neighbour, similarity of the best of each row of a square matrix."""
+def _best(sims: np.ndarray, nodes: np.ndarray, keep: int, link: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, neighbour, similarity of the best of each row of a square matrix: keep, or as many links as fill a list."""
     np.fill_diagonal(sims, -2)
-    keep = min(keep, len(nodes) - 1)
-    if keep < 1:
+    most = min(max(keep, NEIGHBOURS), len(nodes) - 1)
+    if most < 1:
         return nodes[:0], nodes[:0], sims[0, :0]
-    best = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-    rows = np.repeat(np.arange(len(nodes)), keep)
-    return nodes[rows], nodes[best.ravel()], sims[rows, best.ravel()]
+    best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1), 1)
+    near = np.take_along_axis(sims, best, 1)
+    row, place = np.nonzero((np.arange(most) < keep) | (near >= link))
+    return nodes[row], nodes[best[row, place]], near[row, place]
 
 
-def _compare(size: int, keep: int):
+def _compare(size: int, keep: int, link: float):
     """Of rows sorted by key: compares up to size neighbours of a key at once. Pieces of a longer key overlap by half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +72,7 @@ def _compare(size: int, keep: int):
                     names, first = np.unique(node[part], return_index=True)
                     if len(names) > 1:
                         v = unit[part][first]
-                        out.append(_best(v @ v.T, names, keep))
+                        out.append(_best(v @ v.T, names, keep, link))
             start = edge[whole]
             held = (key[start:], node[start:], unit[start:])
             if out:
@@ -105,7 +108,7 @@ def _sorted(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", *order).select("key", "node", "unit")
 
 
-def start_graph(vectors: DataFrame, tables: int, seed: int = 1) -> DataFrame:
+def start_graph(vectors: DataFrame, tables: int, seed: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """Edges among vectors of like signs on random hyperplanes; in a large bucket, among those near on one more."""
     count = vectors.count()
     bits = max(1, int(np.ceil(np.log2(max(count / BUCKET, 2)))))
@@ -129,10 +132,10 @@ def start_graph(vectors: DataFrame, tables: int, seed: int = 1) -> DataFrame:
 
     rows = vectors.select("space", "node", "unit").mapInArrow(sign, "space long, table int, code long, place double, node long, unit array<float>")
     keyed = rows.select(F.xxhash64("space", "table", "code").alias("key"), "place", "node", "unit")
-    return _sorted(keyed, ["place"]).mapInArrow(_compare(BUCKET, PROPOSED), _EDGES)
+    return _sorted(keyed, ["place"]).mapInArrow(_compare(BUCKET, PROPOSED, threshold - _SLACK), _EDGES)
 
 
-def refine(scratch: Scratch, vectors: DataFrame, graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def refine(scratch: Scratch, vectors: DataFrame, graph: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """NN-descent: neighbourhoods, dealt into pieces, propose nearer neighbours until few lists change."""
     units = vectors.select(F.col("node").alias("member"), "unit")
     for _ in range(rounds):
@@ -140,7 +143,7 @@ def refine(scratch: Scratch, vectors: DataFrame, graph: DataFrame, rounds: int =
         sizes = both.groupBy("center").agg(F.count("*").alias("n"))
         dealt = both.join(sizes, "center").withColumn("key", F.xxhash64("center", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / PIECE))))
         rows = dealt.join(units, "member").select("key", F.col("member").alias("node"), "unit")
-        proposed = _sorted(rows, ["node"]).mapInArrow(_compare(2 * PIECE, PROPOSED), _EDGES)
+        proposed = _sorted(rows, ["node"]).mapInArrow(_compare(2 * PIECE, PROPOSED, threshold - _SLACK), _EDGES)
         new = scratch.save(_lists(graph.unionByName(proposed), NEIGHBOURS))
         changed = new.join(graph, ["node", "other"], "left_anti").count()
         total = new.count()
@@ -171,15 +174,20 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     nodes = nodes.withColumn("norm", norm).select("node", F.xxhash64("label", F.size("v")).alias("space"), F.transform("v", lambda x: x / F.col("norm")).alias("exact"), "copies", "least")
     nodes = scratch.save(nodes.withColumn("unit", F.transform("exact", lambda x: x.cast("float"))))
     while True:
-        graph = scratch.save(_lists(start_graph(nodes, tables), NEIGHBOURS))
-        graph = refine(scratch, nodes, graph)
+        graph = scratch.save(_lists(start_graph(nodes, tables, threshold=threshold), NEIGHBOURS))
+        graph = refine(scratch, nodes, graph, threshold=threshold)
         near = graph.where(F.col("sim") >= threshold - _SLACK).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         x, y = (nodes.select(F.col("node").alias(c), F.col("exact").alias(f"v{c}"), F.col("copies").alias(f"n{c}")) for c in ("a", "b"))
         dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
         links = scratch.save(near.join(x, "a").join(y, "b").where(dot >= threshold).select("a", "b", "na", "nb"))
         labels = scratch.save(components(scratch, links))
         full = graph.groupBy("node").agg(F.count(F.when(F.col("sim") >= threshold - _SLACK, 1)).alias("n")).where(F.col("n") >= NEIGHBOURS)
-        large = scratch.save(labels.join(full.select("node"), "node").select("component").distinct())
+        full = scratch.save(full.select("node"))
+        large = scratch.save(labels.join(full, "node").select("component").distinct())
+        between = scratch.save(_between(scratch, nodes, labels.join(large, "component"), threshold))
+        if between.limit(1).count():
+            labels = scratch.save(components(scratch, links.select("a", "b").unionByName(between)))
+            large = scratch.save(labels.join(full, "node").select("component").distinct())
         tiles = _tile_counts(nodes, labels.join(large, "component"), threshold)
         small = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
         small = small.join(labels.withColumnRenamed("node", "a"), "a").join(large, "component", "left_anti")
@@ -194,6 +202,59 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     return out.select("_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id")).withColumn("kept", F.col("_id") == F.col("component_id"))
 
 
+def _dot(a: str, b: str) -> F.Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+
+def _angle(a: str, b: str) -> F.Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b))))
+
+
+def _between(scratch: Scratch, nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between saturated components (node, component), one at least of any two that have some.
+
+    A link whose ends are both saturated may be in no list. A component is a ball around the node that names it:
+    of two balls no further apart than a link, the members within reach of the other's ball are compared in tiles.
+    """
+    reach = float(np.arccos(threshold)) + 1e-6
+    sides = members.select("node", "component").join(nodes.select("node", "space", "exact"), "node")
+    centers = sides.where("node = component").select("component", "space", F.col("exact").alias("center"))
+    sizes = sides.join(centers.drop("space"), "component").groupBy("component").agg(F.max(_angle("exact", "center")).alias("radius"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    balls = scratch.save(centers.join(sizes, "component"))
+    blocks = balls.groupBy("space").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    dealt = balls.join(blocks, "space").withColumn("block", F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("space", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "component", "center", "radius")
+
+    def touching(table: pa.Table) -> pa.Table:
+        block, name, radius = (table.column(c).to_numpy() for c in ("block", "component", "radius"))
+        v = _matrix(table.column("center").combine_chunks(), np.float64)
+        a, b = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("i", "j"))
+        near = np.arccos(np.clip(v[a] @ v[b].T, -1, 1)) <= radius[a][:, None] + radius[b][None] + reach
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            near &= name[a][:, None] < name[b][None]
+        x, y = np.nonzero(near)
+        return pa.table({"mine": name[a[x]], "theirs": name[b[y]]})
+
+    pairs = scratch.save(met.groupBy("space", "i", "j").applyInArrow(touching, "mine long, theirs long"))
+    both = pairs.withColumn("left", F.lit(True)).unionByName(pairs.select(F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), F.lit(False).alias("left")))
+    own = balls.select(F.col("component").alias("mine"), F.col("tiles").alias("own_tiles"))
+    other = balls.select(F.col("component").alias("theirs"), "center", "radius", "tiles")
+    rows = sides.select("node", "exact", F.col("component").alias("mine")).join(both, "mine").join(own, "mine").join(other, "theirs").where(_angle("exact", "center") <= F.col("radius") + reach)
+    rows = rows.withColumns({"tile": F.pmod(F.xxhash64("node"), F.col("own_tiles")).cast("int"), "with": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
+    sided = lambda x, y: F.when(F.col("left"), F.col(x)).otherwise(F.col(y))
+    rows = rows.select(sided("mine", "theirs").alias("p"), sided("theirs", "mine").alias("q"), sided("tile", "with").alias("i"), sided("with", "tile").alias("j"), "left", "node", "exact")
+
+    def first_link(table: pa.Table) -> pa.Table:
+        left, node = table.column("left").to_numpy(), table.column("node").to_numpy()
+        v = _matrix(table.column("exact").combine_chunks(), np.float64)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        x, y = np.nonzero(v[a] @ v[b].T >= threshold)
+        return pa.table({"a": node[a[x[:1]]], "b": node[b[y[:1]]]})
+
+    return rows.groupBy("p", "q", "i", "j").applyInArrow(first_link, "a long, b long")
+
+
 def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """node, links: copies that nodes of large components link with, from pairs of tiles; only counts leave a task."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))

@@ -182,6 +182,29 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(300, 305))
 
 
+def embedding_links(spark, x, **more):
+    """n_links and component_id as found, and by brute force, of vectors of one label."""
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    got = {r["_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **more).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    least = np.arange(len(x))
+    while (new := np.where(near, least[None], len(x)).min(1)).tolist() != least.tolist():
+        least = new
+    return got, {i: (int(near[i].sum()) - 1, int(least[i])) for i in range(len(x))}
+
+
+def test_embeddings_of_two_tight_groups(spark, monkeypatch):
+    """Groups that fill each other's lists with their own members, and one that fits no tile."""
+    monkeypatch.setattr(nn_descent, "TILE", 16)
+    rng = np.random.default_rng(8)
+    centers = np.zeros((2, 32))
+    centers[:, 0], centers[1, 1] = 1, math.tan(math.acos(0.985))
+    tight = [c / np.linalg.norm(c) + rng.normal(size=(40, 32)) * 0.001 for c in centers]
+    got, want = embedding_links(spark, np.concatenate([*tight, rng.normal(size=(40, 32))]))
+    assert got == want and want[79] == (79, 0)
+
+
 def test_toxicity_and_quality(spark, docs, empty):
     rng = random.Random(1)
     rows, marks = [], []
