@@ -5,7 +5,8 @@ refined: the neighbours of a vector, and those that it is a neighbour of, are co
 each keeps its nearest. A vector whose list is full of links is saturated; a link of two such may be in no list, so
 components that hold saturated vectors are joined where any of their vectors link, and a saturated vector's list is
 enlarged to its whole component, which is compared tile by tile. Recall is audited against
-brute force on a bounded sample, and the graph started from more hyperplanes if it falls short.
+brute force on a sample that grows until it has seen enough vectors with links, and the graph started from more
+hyperplanes if it falls short. If the most hyperplanes do not do, all vectors of a label are compared in tiles.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ PIECE = 64
 ROUNDS, LEAST_CHANGE = 4, 0.01
 #: Vectors of a tile of a saturated component.
 TILE = 1024
-#: Vectors of the audit, and the recall that it asks for.
+#: Vectors of the audit's first sample, and the recall that it asks for.
 AUDIT, LEAST_RECALL = 256, 0.99
+#: Vectors with links that an audit sees if there are so many, and vectors that it compares with all at once.
+AUDIT_LINKED, AUDIT_STEP = 256, 4096
 _SLACK = 1e-5
 
 
@@ -192,7 +195,10 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
         small = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
         small = small.join(labels.withColumnRenamed("node", "a"), "a").join(large, "component", "left_anti")
         counts = scratch.save(tiles.unionByName(small.select(F.col("a").alias("node"), F.col("nb").alias("links"))).groupBy("node").agg(F.sum("links").alias("links")))
-        if tables >= MOST_TABLES or audit_recall(nodes, counts, threshold) >= LEAST_RECALL:
+        if audit_recall(nodes, counts, threshold) >= LEAST_RECALL:
+            break
+        if tables >= MOST_TABLES:
+            labels, counts = _exact(scratch, nodes, threshold)
             break
         tables *= 2
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -255,8 +261,24 @@ def _between(scratch: Scratch, nodes: DataFrame, members: DataFrame, threshold:
     return rows.groupBy("p", "q", "i", "j").applyInArrow(first_link, "a long, b long")
 
 
-def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """node, links: copies that nodes of large components link with, from pairs of tiles; only counts leave a task."""
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    seen, a, b = np.zeros(len(near), bool), [], []
+    for root in np.flatnonzero(near.any(1)):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(near[x] & ~seen)
+            seen[new] = True
+            a += [x] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _tile_rows(nodes: DataFrame, members: DataFrame, threshold: float, forest: bool = False) -> DataFrame:
+    """node, links, other: copies that nodes of a component link with, from pairs of tiles; if wanted, also links that join all that link (links is 0)."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.join(nodes.select("node", "exact", "copies"), "node")
@@ -272,35 +294,85 @@ def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> Data
         near = v[a] @ v[b].T >= threshold
         if i == j:
             np.fill_diagonal(near, False)
-            return pa.table({"node": node[a], "links": near @ copies[b]})
-        return pa.table({"node": np.concatenate([node[a], node[b]]), "links": np.concatenate([near @ copies[b], copies[a] @ near])})
+            names, links = node[a], near @ copies[b]
+        else:
+            names, links = np.concatenate([node[a], node[b]]), np.concatenate([near @ copies[b], copies[a] @ near])
+        others = np.zeros(len(names), np.int64)
+        if forest:
+            x, y = _forest(near if i == j else np.block([[np.zeros((len(a), len(a)), bool), near], [near.T, np.zeros((len(b), len(b)), bool)]]))
+            linked = links > 0
+            names, links, others = (np.concatenate(c) for c in ((names[linked], names[x]), (links[linked], np.zeros(len(x), np.int64)), (others[linked], names[y])))
+        return pa.table({"node": names, "links": links, "other": others})
 
-    return met.groupBy("component", "i", "j").applyInArrow(count, "node long, links long")
+    return met.groupBy("component", "i", "j").applyInArrow(count, "node long, links long, other long")
+
+
+def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """node, links: copies that nodes of large components link with, from pairs of tiles; only counts leave a task."""
+    return _tile_rows(nodes, members, threshold).select("node", "links")
+
+
+def _exact(scratch: Scratch, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Components and counts of links from comparing all vectors of each space."""
+    rows = scratch.save(_tile_rows(nodes, nodes.select("node", F.col("space").alias("component")), threshold, forest=True))
+    labels = components(scratch, rows.where("links = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    return labels, scratch.save(rows.where("links > 0").groupBy("node").agg(F.sum("links").alias("links")))
 
 
 def audit_recall(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> float:
-    """Links found over links there are, of a bounded sample of nodes compared with all; 1 if there are none."""
-    picked = nodes.orderBy(F.xxhash64(F.lit(11), "node")).limit(sample).select("node", "space", "exact").toArrow()
-    if not picked.num_rows:
+    """The lesser of links found over links there are, and of nodes whose links are all found over nodes with links.
+
+    A sample is compared with all, and doubled until AUDIT_LINKED nodes with links were seen, or all nodes. 1 if
+    none has any; in a label of which a tenth of AUDIT_LINKED were seen, the recall of that label counts by itself.
+    """
+    total = nodes.count()
+    if not total:
         return 1.0
-    spaces: dict[int, list[tuple[int, list[float]]]] = {}
-    for node, space, exact in zip(*(picked.column(c).to_pylist() for c in ("node", "space", "exact")), strict=True):
-        spaces.setdefault(space, []).append((node, exact))
+    shares = -(-total // sample)
+    share = F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(shares))
+    seen: dict[int, np.ndarray] = {}  # of each space: links, links found, nodes with links, those found whole
+    done = 0
+    while done < shares and sum(x[2] for x in seen.values()) < AUDIT_LINKED:
+        to = min(shares, done + max(1, min(done, AUDIT_STEP // sample)))
+        for row in _audited(nodes, counts, nodes.where((share >= done) & (share < to)), threshold):
+            seen[row["space"]] = seen.get(row["space"], 0) + np.array([row[c] for c in ("truth", "found", "linked", "whole")])
+        done = to
+    whole = [sum(seen.values())] if seen else []
+    parts = [x for x in [*whole, *(x for x in seen.values() if x[2] >= AUDIT_LINKED / 10)] if x[0]]
+    return min([1.0, *(float(min(x[1] / x[0], x[3] / x[2])) for x in parts)])
+
+
+def _audited(nodes: DataFrame, counts: DataFrame, picked: DataFrame, threshold: float) -> list:
+    """For each space of the picked nodes with links: truth, found (links), linked, whole (nodes)."""
+    table = picked.select("node", "space", "exact").toArrow().combine_chunks()
+    if not table.num_rows:
+        return []
+    home = table.column("space").to_numpy()
+    spaces = {}
+    for s in np.unique(home):
+        part = table.filter(pa.array(home == s))
+        spaces[s] = part.column("node").to_numpy(), _matrix(part.column("exact").combine_chunks(), np.float64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {s: np.zeros(len(names), np.int64) for s, (names, _) in spaces.items()}
         for b in batches:
-            space, node, copies = (b.column(c).to_numpy() for c in ("space", "node", "copies"))
-            for s in np.unique(space):
-                if s in spaces:
-                    at = np.flatnonzero(space == s)
-                    names = np.array([x[0] for x in spaces[s]])
-                    near = np.array([x[1] for x in spaces[s]]) @ _matrix(b.column("exact").take(pa.array(at)), np.float64).T >= threshold
-                    near &= names[:, None] != node[at][None, :]
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(near @ copies[at])], ["node", "truth"])
-
-    truth = nodes.select("space", "node", "copies", "exact").mapInArrow(compare, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    row = truth.join(counts, "node", "left").agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return row["found"] / row["truth"] if row["truth"] else 1.0
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                space, node, copies = (part.column(c).to_numpy() for c in ("space", "node", "copies"))
+                for s in np.unique(space):
+                    if s in spaces:
+                        at = np.flatnonzero(space == s)
+                        names, v = spaces[s]
+                        near = v @ _matrix(part.column("exact").take(pa.array(at)), np.float64).T >= threshold
+                        near &= names[:, None] != node[at][None, :]
+                        sums[s] += near @ copies[at]
+        for s, links in sums.items():
+            linked = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(linked), s)), pa.array(spaces[s][0][linked]), pa.array(links[linked])], ["space", "node", "truth"])
+
+    truth = nodes.select("space", "node", "copies", "exact").mapInArrow(compare, "space long, node long, truth long").groupBy("space", "node").agg(F.sum("truth").alias("truth"))
+    found = truth.join(counts, "node", "left").withColumn("found", F.least("truth", F.coalesce("links", F.lit(0))))
+    return found.groupBy("space").agg(F.sum("truth").alias("truth"), F.sum("found").alias("found"), F.count("*").alias("linked"), F.count(F.when(F.col("found") == F.col("truth"), 1)).alias("whole")).collect()
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

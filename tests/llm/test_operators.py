@@ -205,6 +205,20 @@ def test_embeddings_of_two_tight_groups(spark, monkeypatch):
     assert got == want and want[79] == (79, 0)
 
 
+def test_embeddings_of_isolated_pairs(spark, monkeypatch):
+    """Few vectors of many have links, and the hyperplanes find too few of them."""
+    for name, value in (("BUCKET", 4), ("MOST_TABLES", 1), ("TILE", 100)):
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(20, 32))
+    side -= (side * x[:20]).sum(1)[:, None] * x[:20]
+    x[20:40] = x[:20] + math.tan(math.acos(0.9805)) * side / np.linalg.norm(side, axis=1)[:, None]
+    got, want = embedding_links(spark, x, tables=1)
+    assert got == want and sum(n for n, _ in want.values()) == 40
+
+
 def test_toxicity_and_quality(spark, docs, empty):
     rng = random.Random(1)
     rows, marks = [], []
