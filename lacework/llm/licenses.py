@@ -98,7 +98,8 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float =
 
     A text that lacks too many of a template's words cannot reach it, which spares most alignments and loses
     none. Around each place of the template's rarest word in the text, a window is aligned, so an alignment
-    never gathers words from all over a long text. If that word is one of those missing, the next rarest serve:
+    never gathers words from all over a long text; and a part of it that holds that word no more often than the
+    template does, as a window may hold a notice twice. If that word is one of those missing, the next rarest serve:
     as many of them as may be missing, and one more.
     """
     if not text:
@@ -122,20 +123,33 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float =
             if tried > spare or best[0] >= 1:
                 break
             done = -1
-            for at in places[w]:
-                if at <= done:  # lies well within a window that has been aligned
-                    continue
+            for i, at in enumerate(places[w]):
                 lo, hi = max(0, at - REACH * n), min(len(words), at + REACH * n + 1)
-                done = hi - REACH * n - 1 if have[w] > 4 * n else -1
-                pairs = align(words, template, lo, hi)
-                pairs = _dense(pairs, n)
-                if pairs and len(pairs) / n > best[0]:
-                    best = (len(pairs) / n, pairs[0][0], pairs[-1][0])
+                windows = _cuts(places[w], i, need[w], lo, hi)
+                if at > done:  # else it lies well within a window that has been aligned
+                    windows.append((lo, hi))
+                    done = hi - REACH * n - 1 if have[w] > 4 * n else -1
+                for lo, hi in windows:
+                    if hi - lo < least * n or hi - lo <= best[0] * n:
+                        continue
+                    pairs = _dense(align(words, template, lo, hi), n)
+                    if pairs and len(pairs) / n > best[0]:
+                        best = (len(pairs) / n, pairs[0][0], pairs[-1][0])
         if best[0] >= least:
             out.append((name, *best))
     return sorted(out, key=lambda x: (-x[1] * len(templates[x[0]]), x[0]))
 
 
+def _cuts(places: list[int], i: int, times: int, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Windows within lo and hi that hold a word from its i-th place on as often as a template does, or less often.
+
+    Where a notice stands twice, all its words do, and nothing anchors it; of such a window the word itself does.
+    """
+    first = max(lo, places[i - 1] + 1) if i else lo
+    ends = [min(hi, places[k]) if k < len(places) else hi for k in range(i + 1, i + times + 1)]
+    return [(first, end) for end in dict.fromkeys(ends) if (first, end) != (lo, hi)]
+
+
 def _dense(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """The longest run of pairs that spans at most REACH template lengths of text."""
     best, lo = [], 0

@@ -251,3 +251,13 @@ def test_licenses(docs):
     assert licenses.scan_text("the license of mit was released", split) == [] and licenses.scan_text(None, split) == []
     assert licenses.scan_licenses(docs).where("license is not null").count() == 0
     assert Counter(a for a, _ in licenses.align("a b c d".split(), "a c d".split())) == Counter([0, 2, 3])
+
+
+@pytest.mark.parametrize("times", [2, 3])
+def test_licenses_that_repeat_inside_other_text(times):
+    split = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+    for name in split:
+        text = "Some other words. " + (licenses.TEMPLATES[name] + " ") * times + "More words follow."
+        assert name in {x[0] for x in licenses.scan_text(text, split) if x[1] == 1}
+    once = "Released under the MIT License. "
+    assert licenses.scan_text(f"x {once * times}y", split)[0][:2] == ("MIT-notice", 1)
