@@ -116,6 +116,11 @@ def packed_variables(spark, d):
     return matrix.Matrix(_expr(spark, d, 4)).packed()
 
 
+@query(f"SELECT var_id, list(value ORDER BY obs_id) AS values FROM ({EXPR}) GROUP BY var_id")
+def packed_variables_all(spark, d):
+    return matrix.Matrix(_expr(spark, d)).packed()
+
+
 @query(f"SELECT obs_id, t.var_id, value, ord FROM ({EXPR}) t JOIN (SELECT unnest([5, 3, 60]) AS var_id, unnest([0, 1, 2]) AS ord) i ON i.var_id = t.var_id")
 def submatrix(spark, d):
     return matrix.Matrix(_expr(spark, d)).read_indices([5, 3, 60]).select("obs_id", "var_id", "value", "ord")
@@ -242,6 +247,22 @@ def puc_direct(spark, d):
     return puc.puc_direct(measures.specific_information(cells), measures.mutual_information(cells), _nobs(spark, d)).select("x", "y", micro("puc"))
 
 
+#: The two above over all variables.
+R64 = R16.replace(_with(16), _with())
+
+
+@query(f'{R64} SELECT about, t AS "by", other, {M.format("redundancy", "redundancy")} FROM r')
+def redundancy_triples_all(spark, d):
+    r = measures.redundancies(measures.specific_information(_cells(spark, d)), _nobs(spark, d))
+    return r.select("about", "by", "other", micro("redundancy"))
+
+
+@query(SQL["puc_direct"].replace(R16, R64))
+def puc_direct_all(spark, d):
+    cells = _cells(spark, d)
+    return puc.puc_direct(measures.specific_information(cells), measures.mutual_information(cells), _nobs(spark, d)).select("x", "y", micro("puc"))
+
+
 #: By the triple join, which does not follow the window's way.
 MS = "ms AS (SELECT a.about, a.t, sum(least(a.lmr, z.lmr)) AS ms FROM o a JOIN o z ON z.about = a.about AND z.state = a.state AND z.t <> a.t GROUP BY ALL)"
 
@@ -352,4 +373,5 @@ def gb_edges(spark, d):
 @query()
 def gb_cv_rounds(spark, d):
     m, tfs = _boosted(spark, d)
-    return boost.cv_rounds(m, tfs, [9, 20, 33], 5, boost.BoostParams(iterations=60, leaves=8, feature_fraction=0.5, min_iterations=8))
+    targets = sorted(r["var_id"] for r in m.expr.select("var_id").distinct().collect())
+    return boost.cv_rounds(m, tfs, targets, 5, boost.BoostParams(iterations=60, leaves=8, feature_fraction=0.5, min_iterations=8))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lacework.functions import scalars
 from lacework.operators import binning, boost, measures, pairs, puc
+from lacework.plans import queries
 from lacework.plans.config import BoostConfig, ConfigError, PucConfig
 from lacework.plans.workflow import BoostWorkflow, PucWorkflow
 from lacework.sources.matrix import Matrix
@@ -108,3 +109,30 @@ def test_boost_stops_early():
     q, y = rng.integers(0, 8, (80, 2)), rng.normal(size=80)
     p = boost.BoostParams(iterations=200, min_iterations=5, patience=3, feature_fraction=1.0)
     assert boost.boost(q, y, p, np.arange(60), np.arange(60, 80))[1] < 200
+
+
+def test_queries_over_all_variables(spark, tmp_path):
+    """Against brute force over 64 variables; boosting has a row for each variable and fold."""
+    x = np.round(np.random.default_rng(4).normal(size=(30, 64)), 2)
+    spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["var_id"]: r["values"] for r in run("packed_variables_all")} == dict(enumerate(x.T.tolist()))
+    edges = [x.min(0) + i * (x.max(0) - x.min(0)) / 8 for i in range(9)]
+    hot = np.eye(8)[np.clip(sum((e < x).astype(int) for e in edges) - 1, 0, 7)]  # observation, variable, bin
+    n = np.einsum("oxa,oyb->xyab", hot, hot)
+    size = hot.sum(0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cells = np.where(n > 0, n * np.log2(n * 30 / (size[:, None, :, None] * size[None, :, None, :])), 0)
+        si = np.nan_to_num(cells.sum(3) / size[:, None, :])  # about, by, state
+    mi = cells.sum((2, 3)) / 30
+    redundancy = np.einsum("xs,xyzs->xyz", size / 30, np.minimum(si[:, :, None], si[:, None]))
+    got = {(r["about"], r["by"], r["other"]): r["redundancy"] for r in run("redundancy_triples_all")}
+    assert len(got) == 64 * 63 * 62 and all(abs(v - redundancy[k]) < 2e-6 for k, v in got.items())
+    got = {(r["x"], r["y"]): r["puc"] for r in run("puc_direct_all")}
+    assert len(got) == 2016
+    for (a, b), v in got.items():
+        third = [z for z in range(64) if z not in (a, b)]
+        parts = [max(0, (mi[a, b] - r) / mi[a, b]) for r in (*redundancy[a, b, third], *redundancy[b, a, third])]
+        assert abs(v - sum(parts)) < 1e-4
+    rounds = [(r["target"], r["fold"]) for r in run("gb_cv_rounds")]
+    assert sorted(rounds) == [(t, k) for t in range(64) for k in range(5)]
