@@ -4,7 +4,7 @@ Word classes are recognised by transducers from words to classes: insults (whole
 ending) are learned from labels, threats, targets, negation and reported speech are closed lists of the
 grammar. A clause is the string of its classes, and a second machine walks over it: it carries whether a
 target, a negation or a reporting verb is in force, and each insult or threat emits the weight of the state it
-meets. The score is a calibrated function of what the matched clauses of a document emit, not of single words.
+meets; one that no target stands before is held until a target follows. The score is a calibrated function of what the matched clauses of a document emit, not of single words.
 """
 
 from __future__ import annotations
@@ -58,19 +58,28 @@ class Grammar:
     def clause(self, words: list[bytes]) -> tuple[float, float, float, float]:
         """What a clause emits: weights of plain, targeted, negated and reported insults and threats.
 
-        States last to the end of the clause; a negation is spent by what it meets within four words.
+        States last to the end of the clause; a negation is spent by what it meets within four words. A target
+        counts for what stands before it in the clause, too: threats without one emit nothing, insults as plain.
         """
         out = [0.0, 0.0, 0.0, 0.0]
         target = report = False
         negation = 0
+        pending = [0.0, 0.0, 0.0, 0.0]  # what the first target adds, by state
         for word in words:
             kind = _CLASS.get(word)
             weight = self.insult(word) or (1.0 if kind == "threat" and target else 0.0)
             if weight:
-                out[3 if report else 2 if negation else 1 if target else 0] += weight
+                state = 3 if report else 2 if negation else 1 if target else 0
+                out[state] += weight
+                if state == 0:
+                    pending[0] -= weight
+                    pending[1] += weight
                 negation = 0
-            elif kind == "target":
+            elif kind == "threat":
+                pending[3 if report else 2 if negation else 1] += 1.0
+            elif kind == "target" and not target:
                 target = True
+                out = [max(0.0, x + y) for x, y in zip(out, pending, strict=True)]
             elif kind == "report":
                 report = True
             negation = 5 if kind == "negation" else max(0, negation - 1)

@@ -261,3 +261,11 @@ def test_licenses_that_repeat_inside_other_text(times):
         assert name in {x[0] for x in licenses.scan_text(text, split) if x[1] == 1}
     once = "Released under the MIT License. "
     assert licenses.scan_text(f"x {once * times}y", split)[0][:2] == ("MIT-notice", 1)
+
+
+def test_toxicity_of_targets_that_follow():
+    clause = lambda text: toxicity.Grammar({b"idiot": 2.0}, {}).clause(toxicity.words_of(text.encode()))
+    assert clause("I will kill you") == clause("kill you and them") == clause("you I will kill") == (0, 1, 0, 0)
+    assert clause("idiot, you") == clause("you idiot") == (0, 2, 0, 0) and clause("idiot") == (2, 0, 0, 0)
+    assert clause("I will not kill you") == (0, 0, 1, 0) and clause("someone said kill you") == (0, 0, 0, 1)
+    assert clause("kill the process") == (0, 0, 0, 0)
