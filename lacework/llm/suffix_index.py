@@ -1,14 +1,14 @@
 """Removal of repeated byte strings by a logarithmic family of suffix indexes (operator 10).
 
-An index is a sparse suffix array: it holds the suffixes that start at anchors, ordered by their leading
-bytes' hash. The anchor of a window of LENGTH bytes is its run of GRAM bytes of the least hash (the leftmost, of
+An index holds the suffixes that start at anchors, grouped by their leading bytes' hash; it is a table of hashes,
+not sorted as a suffix array is. The anchor of a window of LENGTH bytes is its run of GRAM bytes of the least hash (the leftmost, of
 equals), which the window's content alone decides: equal windows have their anchors at the same offset. So two
 windows can be equal only if their anchors' leading bytes are, and an index with a hundredth of all suffixes
 misses none. With an anchor goes the hash of the span of all the windows that share it.
 
-New batches get an index of their own; it is scanned against the existing levels, and levels of the same rank
-merge, so that n batches leave log n levels and each entry is rewritten log n times. Long matches are then
-read off the family: an anchor whose whole span occurs twice lies in repeats only; where anchors are alike and
+New batches get an index of their own, and levels of the same rank merge by grouping, so that n batches leave
+log n levels and each entry is rewritten log n times. Long matches are read off the whole family after the last
+batch: an anchor whose whole span occurs twice lies in repeats only; where anchors are alike and
 their spans are not, spans are cut into cells of CELL windows, which are compared in the same way by what all
 their windows hold and by all that they hold together; and where cells are alike in the one and not in the
 other, window by window. One of equal spans stands for all of them, so copies are compared once.
