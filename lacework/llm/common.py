@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ LOWER = UPPER.lower()
 NULL_ID = -(2**63)
 #: Filters have up to so many slots, as a power of 2: 16 MB.
 MOST_FILTER_BITS = 27
+#: While a table is written, Arrow batches to and from Python workers have at most so many rows and bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def lower_ascii(text: Column) -> Column:
@@ -34,6 +39,51 @@ def id_or_null(column: str) -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+class Columns:
+    """A table under column names of our own, so that none of its names clashes with those an operator adds.
+
+    frame has the columns c0, c1 and so on; columns that operators add to it must be named otherwise.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.frame = table.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        """What a column of the table is called in frame: the first of that name, else the first that differs by case only."""
+        lower = [n.lower() for n in self.names]
+        return f"c{self.names.index(name) if name in self.names else lower.index(name.lower())}"
+
+    def restore(self, frame: DataFrame, *added: str, **replaced: str) -> DataFrame:
+        """The table's own columns under their names, replaced ones from other columns, and then the added ones.
+
+        An added column whose name the table has already, in any case, gets underscores until it is free.
+        """
+        taken = {n.lower() for n in self.names}
+        from_other = {self[n]: c for n, c in replaced.items()}
+        out = [F.col(from_other.get(f"c{i}", f"c{i}")).alias(n) for i, n in enumerate(self.names)]
+        for name in added:
+            free = name
+            while free.lower() in taken:
+                free += "_"
+            taken.add(free.lower())
+            out.append(F.col(name).alias(free))
+        return frame.select(*out)
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and bytes in a column of texts if they have more than one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > lo and (held + size > most_bytes or i - lo >= most_rows):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += int(size)
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 class Scratch:
     """Intermediate tables in the folder that driver and executors share.
 
@@ -58,10 +108,19 @@ class Scratch:
         self.written = 0
 
     def save(self, frame: DataFrame) -> DataFrame:
-        """Writes a table and returns it as read back."""
+        """Writes a table, in small Arrow batches where Python makes it, and returns it as read back."""
         self.written += 1
         path = f"{self.base}/{self.written}"
-        frame.write.parquet(path)
+        conf = self.spark.conf
+        were = {k: conf.get(k) for k in BATCH}
+        try:
+            for k, most in BATCH.items():
+                given = int(were[k].rstrip("b"))
+                conf.set(k, str(min(given, most) if given > 0 else most))
+            frame.write.parquet(path)
+        finally:
+            for k, v in were.items():
+                conf.set(k, v)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
@@ -107,6 +166,18 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_components(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after links (a, b) have been added; only the components that they touch are walked."""
+    a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
+    named = links.select("a", "b").join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    named = scratch.save(named)
+    roots = components(scratch, named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    ends = named.select(F.col("a").alias("node")).union(named.select("b")).distinct()
+    nodes = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return scratch.save(nodes.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
     """The lowest ``bits`` bits (15 at least) of the column number as set bits, packed from the lowest on.
 

@@ -29,10 +29,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, Scratch, bitmap, components, id_or_lowest, id_or_null, small_side
+from .common import Columns, Filter, Scratch, bitmap, id_or_lowest, id_or_null, joined_components, slices, small_side
 from .hashing import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
@@ -52,12 +53,14 @@ SKETCH_BITS = 22
 FILTER_BITS = 21
 #: Nodes that a join by broadcast picks sets for, before they are dealt out: 8 bytes each.
 MOST_WANTED = 500_000
-_ROWS = 128
+#: Documents, and bytes of them, whose sets are made at once; and pairs of counts that are measured at once.
+_ROWS, _BYTES, _PAIRS = 128, 1 << 19, 1024
+#: Sketches that are summed in one group.
+_SKETCHES = 32
 
 
 def _sets(batch: pa.RecordBatch, k: int, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for lo in range(0, batch.num_rows, _ROWS):
-        part = batch.slice(lo, _ROWS)
+    for part in slices(batch, "text", _BYTES, _ROWS):
         yield part, shingle_sets(part.column("text").to_pylist(), k, seed)
 
 
@@ -76,37 +79,48 @@ def _node(s: np.ndarray, salt: int) -> int:
 
 
 def describe(given: DataFrame, k: int, seed: int) -> DataFrame:
-    """_id, _text, n, node, check, parts: each row's set by size, hashes and counts in parts of all shingles; and rows (chunk, sums) of a sketch of how many sets hold shingles."""
+    """_id, _text, n, node, check, parts: each row's set by size, hashes and counts in parts of all shingles; and rows (chunk, task, sums) of a sketch of how many sets hold shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["_id", "_text", "n", "node", "check", "parts", "chunk", "sums"]
+        names = ["_id", "_text", "n", "node", "check", "parts", "chunk", "task", "sums"]
+        task = TaskContext.get().partitionId()
         for b in batches:
             for part, sets in _sets(b, k, seed):
                 found, n = np.unique((np.concatenate(sets) & np.uint64(len(sums) - 1)).astype(np.int64), return_counts=True)
                 sums[found] += n.astype(np.int32)
                 rows = len(sets)
                 parts = [np.bincount((s >> np.uint64(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS) for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.array([_packed(x) for x in parts], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s, 0) for s in sets], pa.int64()), pa.array([_node(s, 1) for s in sets], pa.int64()), pa.array([_packed(x) for x in parts], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), *columns], names)
         if sums.any():
             chunks = [zlib.compress(c.tobytes(), 1) for c in sums.reshape(16, -1)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(16, pa.int64())] * 5, pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array(chunks, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(16, pa.int64())] * 5, pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array([task] * 16, pa.int32()), pa.array(chunks, pa.binary())], names)
 
-    return given.mapInArrow(run, "_id long, _text long, n long, node long, check long, parts binary, chunk int, sums binary")
+    return given.mapInArrow(run, "_id long, _text long, n long, node long, check long, parts binary, chunk int, task int, sums binary")
 
 
-def frequent_buckets(described: DataFrame) -> np.ndarray:
-    """Which buckets of shingle hashes many more sets hold than others."""
+def frequent_buckets(described: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Which buckets of shingle hashes many more sets hold than others.
+
+    The tasks' sketches are summed in a tree, so that no group of rows holds more than _SKETCHES of them.
+    """
 
     def add(table: pa.Table) -> pa.Table:
         sums = 0
-        for x in table.column("sums").to_pylist():
-            sums = sums + np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "sums": pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())})
-
-    rows = described.where("chunk is not null").select("chunk", "sums").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
-    sums = np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(1 << SKETCH_BITS)
+        for x in table.column("sums"):
+            sums = sums + np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64)
+        sums = np.minimum(sums, 2**31 - 1).astype(np.int32)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "task": pa.array([table.column("task")[0].as_py() // _SKETCHES], pa.int32()), "sums": pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())})
+
+    rows = described.where("chunk is not null").select("chunk", "task", "sums")
+    most = rows.agg(F.max("task")).first()[0]
+    if most is None:
+        return np.zeros(1 << SKETCH_BITS, bool)
+    while most:
+        rows = scratch.save(rows.groupBy("chunk", F.floor(F.col("task") / _SKETCHES)).applyInArrow(add, "chunk int, task int, sums binary"))
+        most //= _SKETCHES
+    sums = np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), np.int32) for r in sorted(rows.collect(), key=lambda r: r["chunk"])])
     return sums > sums.mean() + 6 * np.sqrt(sums.mean()) + 4
 
 
@@ -200,16 +214,16 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         if not nodes.where("low <> high").limit(1).count():
             break
         seed += 1
-    live = scratch.save(first_regions(given, nodes, k, similarity, seed, frequent_buckets(described)))
+    live = scratch.save(first_regions(given, nodes, k, similarity, seed, frequent_buckets(described, scratch)))
     large = scratch.save(live.groupBy("region").count().where(F.col("count") > PARTNERS).select("region"))
     small = _with_partners(live.join(large, "region", "left_anti").join(nodes.select("node", "parts"), "node"), radius)
     live = scratch.save(small.unionByName(live.join(large, "region", "left_semi").select("region", "node")))
     sets = scratch.save(_needed_sets(given, live, nodes, k, seed, scratch))
     live = live.withColumn("component", F.col("node"))
-    links: list[DataFrame] = []
     labels = nodes.select("node", F.col("node").alias("component")).limit(0)
+
     def compare(unknown: DataFrame) -> None:
-        """Those of the pairs (node, pivot) that link are added to the links, and components to their labels."""
+        """Those of the pairs (node, pivot) that link join components."""
         nonlocal labels
         if not unknown.limit(1).count():
             return
@@ -220,8 +234,7 @@ def linked_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARIT
         new = compared.where(F.lit(100) * F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         new = scratch.save(new)
         if new.limit(1).count():
-            links.append(new)
-            labels = components(scratch, reduce(DataFrame.unionByName, links))
+            labels = joined_components(scratch, labels, new)
 
     def unlike(points: DataFrame) -> DataFrame:
         """The points of regions that hold unlike components, by the labels as they are now."""
@@ -301,9 +314,10 @@ def _measure(most: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                distance = _distances(_counts(batch.column("node_parts")), _counts(batch.column("pivot_parts")))
-                columns = [*(batch.column(c) for c in ("node", "pivot", "apart")), pa.array(distance)]
+            for lo in range(0, batch.num_rows, _PAIRS):
+                part = batch.slice(lo, _PAIRS)
+                distance = _distances(_counts(part.column("node_parts")), _counts(part.column("pivot_parts")))
+                columns = [*(part.column(c) for c in ("node", "pivot", "apart")), pa.array(distance)]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "pivot", "apart", "distance"]).filter(pa.array(distance <= most + 1e-9))
 
     return run
@@ -429,10 +443,14 @@ def _needed_sets(given: DataFrame, live: DataFrame, nodes: DataFrame, k: int, se
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """The documents of the smallest id of each group (of rows alike, one), with their columns."""
+    """The documents of the smallest id of each group (of rows alike, one), with their columns, whatever these are called.
+
+    A null id is the lowest. Texts without shingles are groups by themselves. Of an empty table nothing is left.
+    """
     marks = linked_groups(docs, k, similarity).where("_id = component_id").select("_id", "_text").distinct()
-    keyed = docs.withColumns({"_id": id_or_lowest("doc_id"), "_text": F.xxhash64("text")})
-    return keyed.join(marks, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).drop("_id", "_text")
+    own = Columns(docs)
+    keyed = own.frame.withColumns({"_id": id_or_lowest(own["doc_id"]), "_text": F.xxhash64(own["text"])})
+    return own.restore(keyed.join(marks, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
