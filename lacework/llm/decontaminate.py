@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, id_or_lowest, id_or_null, small_side
+from .common import LOWER, UPPER, Columns, Scratch, id_or_lowest, id_or_null, small_side
 
 #: Words that a window has.
 SPAN = 10
@@ -70,14 +70,8 @@ def _prints(table: DataFrame, keys: list[str], span: int, gram: int, once: bool)
     return out.distinct() if once else out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted ids, as strings) and starts (where hit windows begin) added.
-
-    An item of fewer words than span, but not none, is a window by itself. Null or empty texts have no words; a
-    null item_id is named "null"; items of the same words share one fingerprint set; ids that repeat count
-    once. A null doc_id is the lowest; rows that repeat an id are judged each by its own text. Extra columns of
-    docs pass through; those of the benchmark are not read.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> tuple[Columns, DataFrame]:
+    """The columns of docs, and their rows with what find_contamination() adds."""
     scratch = Scratch(docs.sparkSession)
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(F.col("text")).alias("words"))
@@ -90,8 +84,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     prints = scratch.save(prints.withColumnRenamed("at", "item_at"))
     prints = small_side(prints, MOST_PRINTS)
 
-    keyed = docs.withColumns({"_id": id_or_lowest("doc_id"), "_text": F.xxhash64("text")})
-    texts = keyed.select("_id", "_text", words_of(F.col("text")).alias("words")).select("_id", "_text", hashed.alias("hashes"))
+    own = Columns(docs)
+    text = F.col(own["text"])
+    keyed = own.frame.withColumns({"_id": id_or_lowest(own["doc_id"]), "_text": F.xxhash64(text)})
+    texts = keyed.select("_id", "_text", words_of(text).alias("words")).select("_id", "_text", hashed.alias("hashes"))
     seen = reduce(DataFrame.unionByName, [_prints(texts, ["_id", "_text"], s, g, False) for s, g in kinds])
     met = seen.join(prints, "hash").select("_id", "_text", "c1", "c2", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     laid = met.join(small_side(items, MOST_PRINTS // 100), ["c1", "c2"]).groupBy("_id", "_text").agg(F.collect_list(F.struct("items", "offset", F.col("words").alias("item"))).alias("laid"))
@@ -110,23 +106,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
         return F.struct(F.size(words).cast("long").alias("n_words"), F.filter(F.transform("laid", matches), lambda c: F.size(c["starts"]) > 0).alias("found"))
 
     # As above: the words get a name, lest they be split anew for each word compared.
-    judged = F.aggregate(F.array().cast("array<int>"), words_of(F.col("text")), lambda w, _: w, judge)
+    judged = F.aggregate(F.array().cast("array<int>"), words_of(text), lambda w, _: w, judge)
     both = both.withColumn("_judged", judged).withColumns({"n_words": F.col("_judged.n_words"), "_found": F.col("_judged.found")}).drop("_judged", "laid")
     places = F.array_distinct(F.flatten(F.transform("_found", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(s, s + c["size"] - 1))))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["items"]))))
     starts = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["starts"]))))
     none = F.col("_found").isNull()
-    return both.withColumns({
+    both = both.withColumns({
         "n_hit": F.when(none, F.lit(0)).otherwise(F.size(places)).cast("long"),
         "items": F.when(none, F.array().cast("array<string>")).otherwise(names),
         "starts": F.when(none, F.array().cast("array<int>")).otherwise(starts),
-    }).drop("_found", "_id", "_text")
+    })
+    return own, both
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """docs with n_words, n_hit, items (sorted ids, as strings) and starts (where hit windows begin) added.
+
+    An item of fewer words than span, but not none, is a window by itself. Null or empty texts have no words; a
+    null item_id is named "null"; items of the same words share one fingerprint set; ids that repeat count
+    once. A null doc_id is the lowest; rows that repeat an id are judged each by its own text. Extra columns of
+    docs pass through, and one that has the name of an added column keeps it (see Columns); those of the benchmark
+    are not read. Of empty documents there is no row; with an empty benchmark nothing is hit.
+    """
+    own, found = _found(docs, benchmark, span, gram)
+    return own.restore(found, "n_words", "n_hit", "items", "starts")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit word, with their columns."""
-    own = docs.columns
-    return find_contamination(docs, benchmark).where("n_hit = 0").select(*own)
+    """The documents without a hit word, with their columns, whatever these are called."""
+    own, found = _found(docs, benchmark, SPAN, GRAM)
+    return own.restore(found.where("n_hit = 0"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, id_or_lowest, id_or_null, lower_ascii
+from .common import SPACES, Columns, Scratch, id_or_lowest, lower_ascii
 
 
 def _lines(text):
@@ -53,18 +53,21 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, s
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """The documents with their repeated lines taken out of ``text``, and n_lines, n_dropped and keep_runs.
 
-    Extra columns pass through. The text of a document that loses nothing stays as it is (null stays null).
+    Extra columns pass through; one that has the name of an added column keeps it (see Columns). The text of a document that loses nothing stays as it is (null stays null).
     """
     marks = line_keep_bitmaps(docs, min_chars, min_docs)
-    keyed = docs.withColumns({"_id": id_or_lowest("doc_id"), "_text": F.xxhash64("text")})
+    own = Columns(docs)
+    text = own["text"]
+    keyed = own.frame.withColumns({"_id": id_or_lowest(own["doc_id"]), "_text": F.xxhash64(text)})
     both = keyed.join(marks, ["_id", "_text"], "left")
-    lines = _lines(F.col("text"))
+    lines = _lines(F.col(text))
     kept = F.array_join(F.flatten(F.transform("keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
-    return both.withColumns({
+    both = both.withColumns({
         "n_lines": F.size(lines).cast("long"),
         "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long")),
-        "text": F.when(F.col("keep_runs").isNull(), F.col("text")).otherwise(kept),
-    }).drop("_id", "_text")
+        "kept_text": F.when(F.col("keep_runs").isNull(), F.col(text)).otherwise(kept),
+    })
+    return own.restore(both, "n_lines", "n_dropped", "keep_runs", text="kept_text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_or_lowest, small_side
+from .common import Columns, Scratch, id_or_lowest, id_or_null, small_side, slices
 
 #: The model is fitted on at most this many labelled documents, those whose ids hash lowest.
 SAMPLE = 20_000
@@ -74,7 +74,7 @@ def logit_of(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) ->
 def _mapped(frame: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield make(batch)
+            yield from map(make, slices(batch, "text", 1 << 21, 2000))
 
     return frame.mapInArrow(run, schema)
 
@@ -103,8 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return fit_logistic(x[order], y[order]), prior
 
 
+def _site(column: str) -> F.Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("\0null"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
-    """_id, evidence, host_prior, path_prior, quality (posterior) and keep (quality >= 0.5), a row for each row of docs.
+    """_id, _text (hash of the text), host, path, evidence, host_prior, path_prior, quality (posterior) and keep (quality >= 0.5), a row for each row of docs.
 
     A null id is the lowest id; a null or empty text has the features of emptiness; null hosts and paths are
     sites of their own. Rows of one id are classified each by its own text. Without usable labels evidence is
@@ -119,8 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         evidence = np.clip(logit_of(model, x) - base, -15, 15) if model else np.zeros(len(x))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_text", "host", "path")), pa.array(evidence, pa.float64())], ["_id", "_text", "host", "path", "evidence"])
 
-    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
-    given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), site(host).alias("host"), site(path).alias("path"), F.col("text").cast("binary").alias("text"))
+    given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), _site(host).alias("host"), _site(path).alias("path"), F.col("text").cast("binary").alias("text"))
     scored = scratch.save(_mapped(given, make, "_id long, _text long, host string, path string, evidence double"))
 
     def posterior(log_prior):
@@ -143,7 +146,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     out = scored.join(small_side(priors, MOST_SITES), ["host", "path"])
     quality = posterior(F.log(F.col("path_prior") / (1 - F.col("path_prior"))))
     keep = quality >= 0.5 if model else F.lit(True)
-    return out.select("_id", "_text", "evidence", "host_prior", "path_prior", quality.alias("quality")).withColumn("keep", keep)
+    return out.select("_id", "_text", "host", "path", "evidence", "host_prior", "path_prior", quality.alias("quality")).withColumn("keep", keep)
 
 
 def _strength(sites: DataFrame, n: str, s: str) -> float:
@@ -157,12 +160,17 @@ def _strength(sites: DataFrame, n: str, s: str) -> float:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that classify() keeps, with their columns."""
-    marks = classify(docs, labels).where("keep").select("_id", "_text").distinct()
-    return docs.withColumns({"_id": id_or_lowest("doc_id"), "_text": F.xxhash64("text")}).join(marks, ["_id", "_text"], "left_semi").drop("_id", "_text")
+    """The documents that classify() keeps, with their columns, whatever these are called.
+
+    Rows of one id, text, host and path share a verdict. Of an empty table nothing is left.
+    """
+    marks = classify(docs, labels).where("keep").select("_id", "_text", "host", "path").distinct()
+    own = Columns(docs)
+    keyed = own.frame.withColumns({"_id": id_or_lowest(own["doc_id"]), "_text": F.xxhash64(own["text"]), "host": _site(own["source"]), "path": _site(own["lang"])})
+    return own.restore(keyed.join(marks, ["_id", "_text", "host", "path"], "left_semi"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select(F.col("_id").alias("doc_id"), "evidence", "host_prior", "path_prior", "quality", "keep")
+    return out.select(id_or_null("_id").alias("doc_id"), "evidence", "host_prior", "path_prior", "quality", "keep")
