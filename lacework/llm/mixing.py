@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import Columns, Scratch, small_side
 
 #: The largest mean that one draw inverts; larger ones are sums of equal draws.
 MOST_MEAN = 500
 #: Source tables up to this many rows are broadcast, larger ones shuffled.
 MOST_SOURCES = 10_000
+#: Copies of a row that one task makes at a time; rows that may have more are dealt out in pieces of so many.
+PIECE = 1_000
 _NULL = "\0null"
 
 
@@ -36,6 +38,39 @@ def poisson(mean: F.Column, u: F.Column) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])
 
 
+def _mixed(docs: DataFrame, weights: dict[str, float] | None, seed: str, size_factor: float) -> tuple[Columns, DataFrame]:
+    """The columns of docs, and their rows with what mix() adds."""
+    scratch = Scratch(docs.sparkSession)
+    own = Columns(docs)
+    doc_id, text = F.col(own["doc_id"]).cast("string"), F.col(own["text"])
+    given = own.frame.withColumn("source", F.coalesce(own["source"], F.lit(_NULL)))
+    sizes = given.groupBy("source").agg(F.sum(F.greatest(F.octet_length(F.coalesce(text, F.lit(""))), F.lit(1)).cast("long")).alias("size"))
+    sizes = scratch.save(sizes)
+    if weights is None:
+        sizes = sizes.withColumn("weight", F.lit(1.0))
+    else:
+        shares = docs.sparkSession.createDataFrame([(_NULL if k is None else k, float(v)) for k, v in weights.items()] or [("", 0.0)], "source string, weight double")
+        sizes = sizes.join(F.broadcast(shares), "source", "left").fillna(0.0, ["weight"])
+    total = sizes.agg(F.sum("size").alias("bytes"), F.sum("weight").alias("weights"), F.max(F.col("weight") / F.col("size")).alias("most")).first()
+    factor = size_factor * (total["bytes"] or 0) / total["weights"] if total["weights"] else 0.0
+    rates = sizes.select("source", (F.lit(float(factor)) * F.col("weight") / F.col("size")).alias("rate"))
+    rated = given.join(small_side(rates, MOST_SOURCES), "source").drop("source")
+    draws = F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int")
+    rated = rated.withColumn("mean", F.col("rate") / draws)
+    each = F.transform(F.sequence(F.lit(1), draws), lambda i: poisson(F.col("mean"), uniform(seed, doc_id, i.cast("string"))))
+    counted = rated.withColumn("n_copies", F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)).where("n_copies > 0")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if factor * (total["most"] or 0.0) <= PIECE / 2:
+        copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
+    else:
+        pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_copies") - 1) / PIECE))))
+        pieces = pieces.repartition(parts, F.xxhash64(doc_id, "piece"))
+        first = F.col("piece") * PIECE
+        copies = pieces.withColumn("copy_no", F.explode(F.sequence(first + 1, F.least(first + PIECE, F.col("n_copies")))))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(doc_id, F.lit("null")), F.col("copy_no").cast("string"))))
+    return own, keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix", size_factor: float = 1.0) -> DataFrame:
     """The documents, each repeated so that every source holds its target share of the bytes in the mean.
 
@@ -44,29 +79,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     1) and shuffle_key, by whose random order rows are dealt over the cluster.
 
     A null source is a source of its own, named by None in weights. A null or empty text counts as one
-    byte. Rows that repeat an id are repeated alike. Extra columns pass through.
+    byte. Rows that repeat an id are repeated alike. Extra columns pass through, and one that has the name of an
+    added column keeps it (see Columns). Copies of a row that has very many are made by many tasks, so neither one
+    task nor one array holds them all. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
-    source = F.coalesce("source", F.lit(_NULL))
-    sizes = docs.groupBy(source.alias("_source")).agg(F.sum(F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long")).alias("_size"))
-    sizes = scratch.save(sizes)
-    if weights is None:
-        sizes = sizes.withColumn("_weight", F.lit(1.0))
-    else:
-        shares = docs.sparkSession.createDataFrame([(_NULL if k is None else k, float(v)) for k, v in weights.items()] or [("", 0.0)], "_source string, _weight double")
-        sizes = sizes.join(F.broadcast(shares), "_source", "left").fillna(0.0, ["_weight"])
-    total = sizes.agg(F.sum("_size").alias("bytes"), F.sum("_weight").alias("weights")).first()
-    factor = size_factor * (total["bytes"] or 0) / total["weights"] if total["weights"] else 0.0
-    rates = sizes.select("_source", (F.lit(float(factor)) * F.col("_weight") / F.col("_size")).alias("rate"))
-    rated = docs.withColumn("_source", source).join(small_side(rates, MOST_SOURCES), "_source").drop("_source")
-    draws = F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int")
-    rated = rated.withColumn("_mean", F.col("rate") / draws)
-    each = F.transform(F.sequence(F.lit(1), draws), lambda i: poisson(F.col("_mean"), uniform(seed, F.col("doc_id").cast("string"), i.cast("string"))))
-    counted = rated.withColumn("n_copies", F.aggregate(each, F.lit(0), lambda a, b: a + b).cast("long")).where("n_copies > 0").drop("_mean")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    own, mixed = _mixed(docs, weights, seed, size_factor)
+    return own.restore(mixed, "rate", "n_copies", "copy_no", "shuffle_key")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
