@@ -89,6 +89,67 @@ def test_jaccard_join(docs, empty, texts):
     assert jaccard_join.linked_groups(empty).count() == 0
 
 
+#: Every name that the operators add or use within, beside the columns of documents.
+CLASHING = "_id _text keep_runs n_lines n_dropped kept_text lost pos h1 h2 salt keeper laid hashes words items starts n_words n_hit c1 c2 rate mean weight size piece n_copies copy_no shuffle_key evidence host path keep quality component_id node c0 c7 _judged _found".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Null ids, rows that repeat, ids with two texts, and columns of all names that the operators use."""
+    rng = random.Random(21)
+    line = "A line that many of the documents share, word by word."
+    a, b = prose(rng, 60), prose(rng, 70)
+    rows = [(None, a), (None, a), (None, f"{line}\n{a}"), (1, f"{line}\n{b}"), (1, f"{line}\nshort"), (2, f"{line}\n{b}"), (2, f"{line}\n{b}"), (3, None), (4, ""), (5, f"{line} "), (6, a + " " + b)]
+    rows = [(i, t, None if k % 3 else "de", f"s{k % 2}" if k % 4 else None, None, *[f"{k}:{c}" for c in CLASHING]) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+
+
+def test_clashing_columns(spark, clashing, texts):
+    whole = {tuple(r) for r in clashing.collect()}
+    names = clashing.columns
+    values = lambda frame, *less: Counter(tuple(r[c] for c in names if c not in less) for r in frame.select(*names).collect())
+    given = values(clashing, "text")
+    lines = line_dedup.dedup_lines(clashing)
+    assert values(lines, "text") == given and lines.columns[len(names) :] == ["n_lines_", "n_dropped_", "keep_runs_"]
+    assert {(r["doc_id"], r["n_dropped_"]) for r in lines.collect()} == {(None, 0), (None, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0)} | {(6, 0)}
+    bench = spark.createDataFrame([(None, " ".join((texts[0] or "").split()[:12])), (1, " ".join(clashing.where("doc_id = 2").first()["text"].split()[20:40]))], "item_id long, text string")
+    found = decontaminate.find_contamination(clashing, bench)
+    assert values(found) == values(clashing) and {r["doc_id"] for r in found.where("n_hit_ > 0").collect()} == {1, 2, 6}
+    clean = decontaminate.drop_contaminated(clashing, bench)
+    assert clean.columns == names and {tuple(r) for r in clean.collect()} <= whole and clean.count() == 7
+    mixed = mixing.mix(clashing)
+    assert {tuple(r) for r in mixed.select(*names).collect()} <= whole and mixed.columns[len(names) :] == ["rate_", "n_copies_", "copy_no_", "shuffle_key_"]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for frame in (quality.keep_good(clashing, labels), jaccard_join.keep_one_of_each_group(clashing)):
+        assert frame.columns == names and {tuple(r) for r in frame.collect()} <= whole
+    assert {r["_id"] for r in quality.classify(clashing, labels).collect()} == {-(2**63), 1, 2, 3, 4, 5, 6}
+    # Of rows alike and of groups one stays: the null id's text, 1's texts, 3, 4, 5 and 6.
+    kept = Counter(r["doc_id"] for r in jaccard_join.keep_one_of_each_group(clashing).collect())
+    assert kept[3] == kept[4] == 1 and kept[None] >= 1 and kept[2] == 0
+
+
+@pytest.mark.parametrize("piece", [2, 1000])
+def test_mixing_of_a_source_of_next_to_nothing(spark, monkeypatch, piece):
+    """Few bytes in one source: their copies are made in pieces, and are those of the closed form."""
+    monkeypatch.setattr(mixing, "PIECE", piece)
+    rows = [(1, "x", "small"), (1, "x", "small"), (2, "y" * 400, "large"), (None, None, None)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed="s").collect()
+    rates = {"small": 403 / 3 / 2, "large": 403 / 3 / 400, None: 403 / 3}
+    want = Counter()
+    for i, _, source in rows:
+        u = int(hashlib.md5(f"s:{'null' if i is None else i}:1".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, math.exp(-rates[source])
+        c = p
+        while u >= c:
+            n += 1
+            p *= rates[source] / n
+            c += p
+        for k in range(n):
+            want[(i, source, n, k + 1)] += 1
+    assert Counter((r["doc_id"], r["source"], r["n_copies"], r["copy_no"]) for r in out) == want
+    assert all(r["shuffle_key"] == hashlib.md5(f"s:order:{'null' if r['doc_id'] is None else r['doc_id']}:{r['copy_no']}".encode()).hexdigest() for r in out)
+
+
 def test_bitmap(spark):
     rng = random.Random(11)
     numbers = [rng.randint(-(2**63), 2**63 - 1) for _ in range(500)] + [0, -1, 0]
