@@ -1,17 +1,25 @@
-"""Removal of repeated byte strings by a logarithmic family of suffix indexes (operator 10).
-
-An index holds the suffixes that start at anchors, grouped by their leading bytes' hash; it is a table of hashes,
-not sorted as a suffix array is. The anchor of a window of LENGTH bytes is its run of GRAM bytes of the least hash (the leftmost, of
-equals), which the window's content alone decides: equal windows have their anchors at the same offset. So two
-windows can be equal only if their anchors' leading bytes are, and an index with a hundredth of all suffixes
-misses none. With an anchor goes the hash of the span of all the windows that share it.
-
-New batches get an index of their own, and levels of the same rank merge by grouping, so that n batches leave
-log n levels and each entry is rewritten log n times. Long matches are read off the whole family after the last
-batch: an anchor whose whole span occurs twice lies in repeats only; where anchors are alike and
-their spans are not, spans are cut into cells of CELL windows, which are compared in the same way by what all
+"""Removal of repeated byte strings by a logarithmic family of sparse suffix arrays (operator 10).
+
+An array holds the suffixes that start at anchors. The anchor of a window of LENGTH bytes is its run of GRAM bytes
+of the least hash (the leftmost, of equals), which the window's content alone decides: equal windows have their
+anchors at the same offset. So two windows can be equal only if their anchors' leading bytes are, and an array of a
+hundredth of all suffixes misses none. With an anchor goes the hash of the span of all the windows that share it.
+
+An array is sorted: by the hash of the leading GRAM bytes, then by that of the whole span. Suffixes that agree for
+GRAM bytes, and among them those that agree for all that matters, so stand beside one another, as in an array in the
+order of the bytes; the hashes take 16 bytes a suffix in place of 200 and more. Suffixes of equal span share an entry.
+
+A new batch gets an array of its own. It is merge-scanned against all levels: where a suffix of the batch stands
+beside another of the same leading bytes, in the batch or in a level, these have met. Then arrays of equal
+rank merge into one of the next, so that n batches leave log n levels and each entry is rewritten log n times.
+
+Of leading bytes that have met, an anchor whose whole span occurs twice lies in repeats only; where anchors are alike
+and their spans are not, spans are cut into cells of CELL windows, which are compared in the same way by what all
 their windows hold and by all that they hold together; and where cells are alike in the one and not in the
 other, window by window. One of equal spans stands for all of them, so copies are compared once.
+
+Bytes are compared by 64-bit hashes, and only within a group that agrees in another 64-bit hash already: texts are
+taken for equal wrongly if both agree by chance.
 """
 
 from __future__ import annotations
@@ -23,37 +31,23 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Filter, Scratch, id_or_lowest, id_or_null
+from .common import Filter, Scratch, id_or_lowest, id_or_null, slices
 from .hashing import Powers, mix, prefix_sums
 
 LENGTH, GRAM = 200, 48
 #: Batches in which a table is inserted.
-BATCHES = 2
+BATCHES = 4
 #: Bits for positions beside a hash in one number; enough for texts of 16 GiB.
 _PLACE = np.uint64(34)
 #: Bytes of text hashed at a time.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 #: Windows of a cell.
 CELL = 16
 _STEP = 2147483629
 
 
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about _CHUNK bytes, with the number of their first."""
-    first, size, held = 0, 0, []
-    for i, t in enumerate(texts):
-        held.append(t or b"")
-        size += len(held[-1])
-        if size >= _CHUNK:
-            yield first, held
-            first, size, held = i + 1, 0, []
-    if held:
-        yield first, held
-
-
 class Texts:
     """The anchors of a run of texts, and hashes of any part of them.
 
@@ -142,13 +136,12 @@ def _scan(given: DataFrame, make, schema: str, filters: tuple = (), length: int
         for b in batches:
             if filters:
                 b = b.filter(pa.array(filters[0](b.column("h").to_numpy())))
-            for first, held in _chunks(b.column("text").to_pylist()):
-                texts = Texts(held, length, gram)
+            for part in slices(b, "text", _CHUNK, b.num_rows):
+                texts = Texts([t or b"" for t in part.column("text").to_pylist()], length, gram)
                 if len(texts.text):
-                    h = b.column("h").to_numpy()[first : first + len(held)]
-                    text, columns = make(texts, h, filters)
-                    take = pa.array(text + first)
-                    yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_text").take(take), *map(pa.array, columns)], names)
+                    text, columns = make(texts, part.column("h").to_numpy(), filters)
+                    take = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([part.column("_id").take(take), part.column("_text").take(take), *map(pa.array, columns)], names)
 
     return given.select("_id", "_text", "text", F.xxhash64("_id", "_text").alias("h")).mapInArrow(run, schema)
 
@@ -165,37 +158,48 @@ def index_batch(given: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 
 class IndexFamily:
-    """Levels of (gram, span, n, first): how often each span occurs at anchors, and the place that stands for it."""
+    """Levels (rank, array): sorted (gram, span, n, first), how often each span occurs at anchors and the place that stands for it.
+
+    met: tables of the leading bytes (gram) that a batch, when it was inserted, shared with another suffix.
+    """
 
     def __init__(self, scratch: Scratch):
         self.scratch = scratch
         self.levels: list[tuple[int, DataFrame]] = []
+        self.met: list[DataFrame] = []
 
-    @staticmethod
-    def _merge(tables: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, tables).groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    def _array(self, entries: DataFrame) -> DataFrame:
+        """Entries of equal span as one, sorted. Parts are cut by both hashes, as many spans may share their leading bytes."""
+        parts = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        whole = entries.groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        return self.scratch.save(whole.repartitionByRange(parts, "gram", "span").sortWithinPartitions("gram", "span"))
 
     def insert(self, batch: DataFrame) -> None:
-        """A batch of anchors becomes a level; levels of equal rank merge, by a scan of both, into the next."""
-        own = batch.select("gram", "span", F.lit(1).cast("long").alias("n"), own_hash(F.xxhash64("_id", "_text"), F.col("low")).alias("first"))
-        rank, tables, old = 0, [own], []
-        while self.levels and self.levels[-1][0] == rank:
-            table = self.levels.pop()[1]
-            tables.append(table)
-            old.append(table)
-            rank += 1
-        self.levels.append((rank, self.scratch.save(self._merge(tables))))
-        self.scratch.drop(*old)
-
-    def all(self) -> DataFrame:
-        tables = [t for _, t in self.levels]
-        return tables[0] if len(tables) == 1 else self._merge(tables)
+        """A batch of anchors becomes a level, is scanned against all others, and levels of equal rank merge."""
+        own = self._array(batch.select("gram", "span", F.lit(1).cast("long").alias("n"), own_hash(F.xxhash64("_id", "_text"), F.col("low")).alias("first")))
+        scanned = reduce(DataFrame.unionByName, [t.select("gram", "n", F.lit(t is own).alias("new")) for t in (own, *(t for _, t in self.levels))])
+        beside = scanned.groupBy("gram").agg(F.sum("n").alias("n"), F.max("new").alias("new")).where("new and n > 1")
+        self.met.append(self.scratch.save(beside.select("gram")))
+        self.levels.append((0, own))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, self._array(a.unionByName(b))))
+            self.scratch.drop(a, b)
+
+    def alike(self) -> DataFrame:
+        """gram, span, n, first and kinds (spans of that gram) of all entries that have met another and are not its like alone."""
+        met = reduce(DataFrame.unionByName, self.met).distinct()
+        entries = reduce(DataFrame.unionByName, [t for _, t in self.levels]).join(met, "gram", "left_semi")
+        return _alike(entries.groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "gram")
+
+    def drop(self) -> None:
+        self.scratch.drop(*(t for _, t in self.levels), *self.met)
 
 
 def _alike(level: DataFrame, key: str) -> DataFrame:
     """The rows of a level that occur more than once, or whose key has more than one kind (kinds)."""
-    kinds = F.count("*").over(W.partitionBy(key))
-    return level.withColumn("kinds", kinds).where("n > 1 or kinds > 1")
+    kinds = level.groupBy(key).agg(F.count("*").alias("kinds"))
+    return level.join(kinds, key).where("n > 1 or kinds > 1")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -210,10 +214,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
     parts = scratch.save(index_batch(given, length, gram).withColumn("_batch", F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(batches))))
     for i in range(batches):
         family.insert(parts.where(F.col("_batch") == i))
-    met = _alike(family.all(), "gram").select("gram", "span", "n", "first", "kinds")
-    met = scratch.save(parts.drop("_batch").join(met, ["gram", "span"]).select("_id", "_text", "low", "high", "n", "kinds", (own_hash(h, F.col("low")) == F.col("first")).alias("stands")))
+    met = scratch.save(parts.drop("_batch").join(family.alike(), ["gram", "span"]).select("_id", "_text", "low", "high", "n", "kinds", (own_hash(h, F.col("low")) == F.col("first")).alias("stands")))
     found = [met.where("n > 1").select("_id", "_text", "low", "high")]
-    scratch.drop(parts, *[t for _, t in family.levels])
+    scratch.drop(parts)
+    family.drop()
 
     def members(rows: DataFrame) -> tuple[Filter, Filter]:
         """Filters over the texts and places of the rows that stand for a kind which is not the only one."""
@@ -235,18 +239,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
 
     def windows(t: Texts, h, filters):
         of = np.flatnonzero(filters[1](own_hash(h[t.text], t.low - t.begin[t.text])))
-        text, s0, s1, _, _ = t.cells(of)
+        text, s0, s1, common, _ = t.cells(of)
         keep = filters[2](own_hash(h[text], s0 - t.begin[text]))
-        text, s0, s1 = text[keep], s0[keep], s1[keep]
+        text, s0, s1, common = text[keep], s0[keep], s1[keep], common[keep]
         n = s1 - s0 + 1
         row = np.repeat(np.arange(len(n)), n)
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s0[row]
-        return text[row], [(start - t.begin[text[row]]).astype(np.int32), t.hash(start, start + t.length)]
+        return text[row], [(start - t.begin[text[row]]).astype(np.int32), common[row], t.hash(start, start + t.length)]
 
     of_texts, of_cells = members(alike)
-    single = scratch.save(_scan(given, windows, "_id long, _text long, low int, window long", (of_texts, of_spans[1], of_cells), length, gram))
-    twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    found.append(single.join(twice, "window").select("_id", "_text", "low", F.col("low").alias("high")))
+    single = scratch.save(_scan(given, windows, "_id long, _text long, low int, common long, window long", (of_texts, of_spans[1], of_cells), length, gram))
+    twice = single.groupBy("common", "window").agg(F.count("*").alias("n")).where("n > 1").select("common", "window")
+    found.append(single.join(twice, ["common", "window"]).select("_id", "_text", "low", F.col("low").alias("high")))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy("_id", "_text").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
@@ -255,7 +259,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     """_id, n_bytes, n_removed, n_spans and kept (binary), a row for each row of docs.
 
     A null text is empty and a null id the lowest. Rows alike are each other's repeats, whatever their ids.
-    Removed bytes need not end at character borders. Extra columns are not read.
+    Removed bytes need not end at character borders. Texts may be of any length up to 16 GiB. Of an empty table
+    there is no row. Extra columns are not read.
     """
     found = repeats(docs, length, gram, batches)
     given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lacework.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, nn_descent, quality, suffix_index, suffix_tree, toxicity
 from lacework.llm.common import Scratch, bitmap, components
@@ -56,13 +57,32 @@ def test_line_dedup(docs, empty, texts):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_suffix_index(docs, empty, texts):
+@pytest.mark.parametrize("batches", [1, 2, 5, 8])
+def test_suffix_index(docs, empty, texts, batches):
     want = suffix_index.brute_force({i: t.encode() if t else None for i, t in texts.items()})
-    got = {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_index.remove_repeats(docs).collect()}
+    got = {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_index.remove_repeats(docs, batches=batches).collect()}
     assert got == want and sum(x[1] for x in want.values()) > 1000
     assert suffix_index.remove_repeats(empty).count() == 0
 
 
+def test_suffix_arrays_form_a_logarithmic_family(spark):
+    """Levels are sorted, have ranks as the bits of the number of batches, and batches meet levels when they come."""
+    family, inserted = suffix_index.IndexFamily(Scratch(spark)), Counter()
+    rng = random.Random(31)
+    for i in range(7):
+        batch = [(i, i, low, rng.randint(0, 40), rng.randint(0, 2)) for low in range(12)]
+        before = {g for g, _ in inserted}
+        inserted.update((g, s) for *_, g, s in batch)
+        family.insert(spark.createDataFrame(batch, "_id long, _text long, low int, gram long, span long"))
+        own = Counter(g for *_, g, _ in batch)
+        assert {r["gram"] for r in family.met[-1].collect()} == {g for g, n in own.items() if n > 1 or g in before}
+        assert [rank for rank, _ in family.levels] == [k for k in (2, 1, 0) if (i + 1) >> k & 1]
+    levels = [[(r["gram"], r["span"], r["n"]) for r in t.sort(F.input_file_name(), F.monotonically_increasing_id()).collect()] for _, t in family.levels]
+    assert all(sorted(x) == x for x in levels) and sum(n for x in levels for *_, n in x) == 84
+    kinds = Counter(g for g, _ in inserted)
+    assert {(r["gram"], r["span"]): (r["n"], r["kinds"]) for r in family.alike().collect()} == {(g, s): (n, kinds[g]) for (g, s), n in inserted.items() if n > 1 or kinds[g] > 1}
+
+
 def jaccard_brute_force(texts):
     sets = {}
     for i, t in texts.items():
