@@ -5,7 +5,7 @@ of the least hash (the leftmost, of equals), which the window's content alone de
 anchors at the same offset. So two windows can be equal only if their anchors' leading bytes are, and an array of a
 hundredth of all suffixes misses none. With an anchor goes the hash of the span of all the windows that share it.
 
-An array is sorted: by the hash of the leading GRAM bytes, then by that of the whole span. Suffixes that agree for
+An array is sorted, part by part: by the hash of the leading GRAM bytes, then by that of the whole span. Suffixes that agree for
 GRAM bytes, and among them those that agree for all that matters, so stand beside one another, as in an array in the
 order of the bytes; the hashes take 16 bytes a suffix in place of 200 and more. Suffixes of equal span share an entry.
 
@@ -38,7 +38,7 @@ from .hashing import Powers, mix, prefix_sums
 
 LENGTH, GRAM = 200, 48
 #: Batches in which a table is inserted.
-BATCHES = 4
+BATCHES = 3
 #: Bits for positions beside a hash in one number; enough for texts of 16 GiB.
 _PLACE = np.uint64(34)
 #: Bytes of text hashed at a time.
@@ -169,10 +169,9 @@ class IndexFamily:
         self.met: list[DataFrame] = []
 
     def _array(self, entries: DataFrame) -> DataFrame:
-        """Entries of equal span as one, sorted. Parts are cut by both hashes, as many spans may share their leading bytes."""
-        parts = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        """Entries of equal span as one, dealt out by both hashes, as many spans may share their leading bytes, and each part sorted."""
         whole = entries.groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        return self.scratch.save(whole.repartitionByRange(parts, "gram", "span").sortWithinPartitions("gram", "span"))
+        return self.scratch.save(whole.sortWithinPartitions("gram", "span"))
 
     def insert(self, batch: DataFrame) -> None:
         """A batch of anchors becomes a level, is scanned against all others, and levels of equal rank merge."""
