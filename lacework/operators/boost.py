@@ -113,8 +113,8 @@ def kfold(observations: DataFrame, folds: int, seed: str = "72") -> DataFrame:
     return observations.select("obs_id").withColumn("place", place).withColumn("fold", block_owner(F.col("place"), folds, n))
 
 
-def gb_network(matrix: Matrix, tfs: list[int], params: BoostParams) -> DataFrame:
-    """tf, target, importance over 0: one regressor for each target; a regulator is no feature of itself."""
+def gb_network(matrix: Matrix, tfs: list[int], params: BoostParams, threshold: float | None = 0.0) -> DataFrame:
+    """tf, target, importance over a threshold (None: all): one regressor for each target; a regulator is no feature of itself."""
     x = _features(matrix, tfs)
     shared = matrix.expr.sparkSession.sparkContext.broadcast(quantised(x, params.bins))
 
@@ -126,7 +126,8 @@ def gb_network(matrix: Matrix, tfs: list[int], params: BoostParams) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([tfs[k] for k in use], pa.int32()), pa.array([target] * len(use), pa.int32()), pa.array(gains)], ["tf", "target", "importance"])
 
     parts = int(matrix.expr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return matrix.packed().repartition(parts, "var_id").mapInArrow(fit, "tf int, target int, importance double").where("importance > 0")
+    edges = matrix.packed().repartition(parts, "var_id").mapInArrow(fit, "tf int, target int, importance double")
+    return edges if threshold is None else edges.where(F.col("importance") > threshold)
 
 
 def cv_rounds(matrix: Matrix, tfs: list[int], targets: list[int], folds: int, params: BoostParams) -> DataFrame:

@@ -10,9 +10,9 @@ from ..functions.scalars import log_ratio
 
 
 def marginals(joint: DataFrame) -> DataFrame:
-    """The cells with their marginal counts n_x and n_y and the number of observations w."""
+    """The cells with their marginal counts n_x and n_y and the number of observations w. Dealt by pair once, for all sums."""
     pair = W.partitionBy("x", "y")
-    return joint.withColumns({
+    return joint.repartition("x", "y").withColumns({
         "n_x": F.sum("n").over(W.partitionBy("x", "y", "bx")),
         "n_y": F.sum("n").over(W.partitionBy("x", "y", "by")),
         "w": F.sum("n").over(pair),
@@ -46,6 +46,11 @@ def specific_information(cells: DataFrame) -> DataFrame:
     )
 
 
+def mutual_information_of(si: DataFrame) -> DataFrame:
+    """x, y, mi as the sum of lmr over a variable's states: without the cells."""
+    return si.where(F.col("about") < F.col("by")).groupBy(F.col("about").alias("x"), F.col("by").alias("y")).agg(F.sum("lmr").alias("mi"))
+
+
 def redundancies(si: DataFrame, nobs: int) -> DataFrame:
     """about, by, other, redundancy: of about's information on by and on a third variable, over all triples."""
     a = si.select("about", "state", "by", "si", "n_state")

@@ -17,35 +17,52 @@ def joint_histogram(binned: DataFrame) -> DataFrame:
     return a.join(b, "obs_id").where("x < y").groupBy("x", "y", "bx", "by").agg(F.count("*").alias("n"))
 
 
-def joint_histogram_blocks(binned: DataFrame, width: int = 16, observations: int = 65_536) -> DataFrame:
+def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int = 65_536) -> DataFrame:
     """The same, without a row for each observation and pair: for many variables.
 
-    Variables are dealt into blocks of some width and observations into slabs; a task holds two blocks of one
-    slab and counts all their pairs at once. A bin travels once for each block its variable meets.
+    Variables are dealt into blocks of some width and observations into slabs of about that many. A block of a
+    slab is packed into one row, a grid of 2 bytes a cell (4 where bins need them); packed rows travel once
+    for each block that theirs meets, and a task holds two of them at a time and counts all their pairs at once.
     """
-    blocks = binned.agg(F.max("var_id")).first()[0]
-    blocks = 0 if blocks is None else blocks // width + 1
-    slab = F.floor(F.col("obs_id") / observations).alias("slab")
-    own = binned.select(slab, F.floor(F.col("var_id") / width).cast("int").alias("block"), "obs_id", "var_id", "bin")
-    met = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
-    met = met.select("slab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "obs_id", "var_id", "bin")
+    sizes = binned.agg(F.max("var_id").alias("last"), F.approx_count_distinct("obs_id").alias("nobs")).first()
+    blocks = 0 if sizes["last"] is None else sizes["last"] // width + 1
+    slabs = max(1, -(-sizes["nobs"] // observations))
+    own = binned.select(F.pmod(F.xxhash64("obs_id"), F.lit(slabs)).alias("slab"), F.floor(F.col("var_id") / width).cast("int").alias("block"), "obs_id", "var_id", "bin")
 
-    def count(table: pa.Table) -> pa.Table:
+    def pack(table: pa.Table) -> pa.Table:
         obs, var, bins = (table.column(c).to_numpy() for c in ("obs_id", "var_id", "bin"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         names, v = np.unique(var, return_inverse=True)
-        _, o = np.unique(obs, return_inverse=True)
-        grid = np.full((len(names), o.max() + 1), -1, np.int64)
+        seen, o = np.unique(obs, return_inverse=True)
+        kind = np.int16 if bins.max() < 2**15 else np.int32
+        grid = np.full((len(names), len(seen)), -1, kind)
         grid[v, o] = bins
-        size = int(bins.max()) + 1
+        head = [table.column(c).slice(0, 1) for c in ("slab", "block")]
+        return pa.table([*head, pa.array([names.astype(np.int32)], pa.list_(pa.int32())), pa.array([seen.astype(np.int64).tobytes()], pa.binary()), pa.array([grid.tobytes()], pa.binary())], names=["slab", "block", "vars", "obs", "grid"])
+
+    packed = own.groupBy("slab", "block").applyInArrow(pack, "slab long, block int, vars array<int>, obs binary, grid binary")
+    met = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
+    met = met.select("slab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "vars", "obs", "grid")
+
+    def unpacked(row):
+        obs = np.frombuffer(row["obs"], np.int64)
+        kind = np.int16 if len(row["grid"]) == 2 * len(row["vars"]) * len(obs) else np.int32
+        return np.array(row["vars"]), obs, np.frombuffer(row["grid"], kind).reshape(-1, len(obs))
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         out = []
-        for a in range(len(names)):
-            for b in range(a + 1, len(names)):
-                if names[a] // width == i and names[b] // width == j:
-                    both = (grid[a] >= 0) & (grid[b] >= 0)
-                    cells = np.bincount(grid[a][both] * size + grid[b][both])
-                    at = np.flatnonzero(cells)
-                    out.append((np.full(len(at), names[a]), np.full(len(at), names[b]), at // size, at % size, cells[at]))
+        if rows[0]["i"] == rows[0]["j"] or len(rows) == 2:
+            first, second = unpacked(rows[0]), unpacked(rows[-1])
+            common, at, to = (first[1], ..., ...) if np.array_equal(first[1], second[1]) else np.intersect1d(first[1], second[1], True, True)
+            a, b = first[2][:, at].astype(np.int64), second[2][:, to].astype(np.int64)
+            size = int(b.max(initial=0)) + 1
+            for k, x in enumerate(first[0]):
+                for l, y in enumerate(second[0]):
+                    if x < y:
+                        both = (a[k] >= 0) & (b[l] >= 0)
+                        cells = np.bincount(a[k][both] * size + b[l][both])
+                        where = np.flatnonzero(cells)
+                        out.append((np.full(len(where), x), np.full(len(where), y), where // size, where % size, cells[where]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
         return pa.table({n: pa.array(c.astype(np.int64 if n == "n" else np.int32)) for n, c in zip(("x", "y", "bx", "by", "n"), columns, strict=True)})
 

@@ -17,6 +17,14 @@ def puc_direct(si: DataFrame, mi: DataFrame, nobs: int) -> DataFrame:
     return r.join(mi, ["x", "y"]).groupBy("x", "y").agg(F.sum(mpuc(F.col("mi"), F.col("redundancy"))).alias("puc"))
 
 
+def puc_direct_sampled(si: DataFrame, mi: DataFrame, nobs: int, subset: DataFrame) -> DataFrame:
+    """x, y, puc: the mean over rounds of puc_direct() over each round's third variables (round, var_id)."""
+    rounds = subset.select("round").distinct().count()
+    third = subset.select("round", F.col("var_id").alias("other"))
+    r = redundancies(si, nobs).withColumns({"x": F.least("about", "by"), "y": F.greatest("about", "by")}).join(small_side(third), "other")
+    return r.join(mi, ["x", "y"]).groupBy("x", "y").agg((F.sum(mpuc(F.col("mi"), F.col("redundancy"))) / F.lit(float(max(rounds, 1)))).alias("puc"))
+
+
 def min_sums(lmr: DataFrame, subset: DataFrame | None = None) -> DataFrame:
     """(round,) about, by, min_sum: over states and third variables, the sum of the lesser lmr.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import binning, boost, measures, pairs, puc
-from ..sources import matrix
+from ..sources import matrix, store
 from .config import PucConfig
 from .workflow import PucWorkflow
 
@@ -38,17 +38,17 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     return matrix.from_arrays(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
 
 
-def _expr(spark: SparkSession, d: str, most: int = 64) -> DataFrame:
-    return _raw(spark, d).where(F.col("var_id") < most).withColumn("value", scalars.around(F.col("value"), 2))
+def _expr(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d).withColumn("value", scalars.around(F.col("value"), 2))
 
 
-def _binned(spark: SparkSession, d: str, most: int = 64) -> DataFrame:
-    expr = _expr(spark, d, most)
+def _binned(spark: SparkSession, d: str) -> DataFrame:
+    expr = _expr(spark, d)
     return binning.assign(expr, binning.uniform_edges(expr, BINS))
 
 
-def _cells(spark: SparkSession, d: str, most: int = 64, base: str = "2") -> DataFrame:
-    return measures.log_ratios(pairs.joint_histogram(_binned(spark, d, most)), base)
+def _cells(spark: SparkSession, d: str, base: str = "2") -> DataFrame:
+    return measures.log_ratios(pairs.joint_histogram(_binned(spark, d)), base)
 
 
 def _genes(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +61,8 @@ EXPR = "SELECT vec_id AS obs_id, v AS var_id, round(val::DOUBLE * 100) / 100 + 0
 M = "round({} * 1e6) / 1e6 + 0.0 AS {}"
 
 
-def _with(most: int = 64, log: str = "log2") -> str:
-    return f"""WITH m AS (SELECT * FROM ({EXPR}) WHERE var_id < {most}),
+def _with(log: str = "log2") -> str:
+    return f"""WITH m AS ({EXPR}),
 s AS (SELECT var_id, min(value) AS lo, max(value) AS hi FROM m GROUP BY var_id),
 e AS (SELECT var_id, CASE WHEN lo = hi THEN [lo, hi] ELSE list_transform(range(0, {BINS + 1}), lambda i: lo + i * (hi - lo) / {BINS}.0::DOUBLE) END AS edges FROM s),
 b AS (SELECT obs_id, var_id, least(greatest(len(list_filter(edges, lambda x: x < value)) - 1, 0), len(edges) - 2)::INT AS bin FROM m JOIN e USING (var_id)),
@@ -96,7 +96,7 @@ BLOCKS_B = f"""{BLOCKS},
 b AS (SELECT obs_id, var_id, least(greatest(len(list_filter(edges, lambda x: x < value)) - 1, 0), len(edges) - 2)::INT AS bin FROM m JOIN e USING (var_id))"""
 
 
-@query("SELECT count(*) AS nobs, 64::BIGINT AS nvars, 2016::BIGINT AS npairs FROM embeddings")
+@query("SELECT count(*) AS nobs, max(len(embedding))::BIGINT AS nvars, (max(len(embedding)) * (max(len(embedding)) - 1) // 2)::BIGINT AS npairs FROM embeddings")
 def matrix_dims(spark, d):
     return matrix.Matrix(_raw(spark, d)).dims()
 
@@ -111,13 +111,8 @@ def column_range_scan(spark, d):
     return matrix.Matrix(_raw(spark, d)).read_range(8, 20, 2)
 
 
-@query(f"SELECT var_id, list(value ORDER BY obs_id) AS values FROM ({EXPR}) WHERE var_id < 4 GROUP BY var_id")
-def packed_variables(spark, d):
-    return matrix.Matrix(_expr(spark, d, 4)).packed()
-
-
 @query(f"SELECT var_id, list(value ORDER BY obs_id) AS values FROM ({EXPR}) GROUP BY var_id")
-def packed_variables_all(spark, d):
+def packed_variables(spark, d):
     return matrix.Matrix(_expr(spark, d)).packed()
 
 
@@ -141,9 +136,40 @@ def gene_set_join(spark, d):
     return rows.groupBy("gene").agg(F.count("*").alias("n"), F.max("var_id").alias("var_id"))
 
 
-@query("SELECT t.v::INT AS target, f.v::INT AS var_id FROM (SELECT unnest(range(0, 64)) AS v) t JOIN (SELECT unnest(range(0, 8)) AS v) f ON t.v <> f.v")
+@query(f"SELECT obs_id, value FROM ({EXPR}) WHERE var_id = (SELECT max(var_id) FROM {GENES} WHERE gene = (SELECT min(n_name) FROM nation))")
+def gene_column(spark, d):
+    """One variable by its name."""
+    name = spark.read.parquet(f"{d}/nation.parquet").agg(F.min("n_name")).first()[0]
+    return matrix.Matrix(_raw(spark, d), _genes(spark, d)).read_gene(name, 2).select("obs_id", "value")
+
+
+@query(f"SELECT obs_id, t.var_id, value FROM ({EXPR}) t JOIN (SELECT max(var_id) AS var_id FROM {GENES} WHERE gene IN (SELECT n_name FROM nation WHERE n_regionkey = 1) GROUP BY gene) USING (var_id)")
+def genes_by_name(spark, d):
+    """Variables by a list of names, one of which is unknown."""
+    names = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 1").select("n_name").collect()]
+    return matrix.Matrix(_raw(spark, d), _genes(spark, d)).read_genes([*names, "no such name"]).select("obs_id", "var_id", scalars.around(F.col("value"), 2).alias("value"))
+
+
+@query(f"SELECT n_name AS gene, (SELECT max(var_id) FROM {GENES} g WHERE g.gene = n_name) AS var_id FROM nation")
+def gene_set_from_csv(spark, d):
+    """Names of a CSV file with their variables."""
+    path = _folder(spark)
+    names = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("gene"), F.col("n_nationkey").alias("key"))
+    names.orderBy("gene").coalesce(1).write.option("header", True).csv(path)
+    return matrix.GeneSet(matrix.Matrix(_raw(spark, d), _genes(spark, d)), matrix.read_csv_column(spark, path, "gene")).members.select("gene", "var_id")
+
+
+@query(f"SELECT var_id, (row_number() OVER (PARTITION BY var_id ORDER BY obs_id) - 1)::INT AS place, value FROM ({EXPR}) WHERE var_id >= 40 AND var_id < 48")
+def packed_range_scan(spark, d):
+    """A range of variables of a packed table, where the range reaches the scan."""
+    path = _folder(spark)
+    matrix.Matrix(_raw(spark, d)).write_packed(path)
+    return matrix.open_packed(spark, path, 40, 48, 2)
+
+
+@query("SELECT t.v::INT AS target, f.v::INT AS var_id FROM (SELECT unnest(range(0, 64)) AS v) t JOIN (SELECT unnest(range(0, 64)) AS v) f ON t.v <> f.v")
 def leave_one_out(spark, d):
-    return matrix.leave_one_out(_raw(spark, d).where("var_id < 8"), _raw(spark, d))
+    return matrix.leave_one_out(_raw(spark, d), _raw(spark, d))
 
 
 @query(f"SELECT var_id, value, count(*) AS n FROM ({EXPR}) GROUP BY ALL")
@@ -203,7 +229,7 @@ def _mi(base):
 
 
 for _name, _base, _log in (("mi_pairs", "2", "log2"), ("mi_pairs_ln", "e", "ln"), ("mi_pairs_log10", "10", "log10")):
-    query(f"{_with(64, _log)} SELECT x, y, {M.format('mi', 'mi')} FROM mi", _name)(_mi(_base))
+    query(f"{_with(_log)} SELECT x, y, {M.format('mi', 'mi')} FROM mi", _name)(_mi(_base))
 
 
 @query(f"{BLOCKS_B}, {_tables()} SELECT x, y, {M.format('mi', 'mi')} FROM mi")
@@ -228,37 +254,21 @@ def lmr(spark, d):
     return measures.specific_information(_cells(spark, d)).select("about", "by", "state", micro("lmr"))
 
 
-R16 = f"""{_with(16)}, r AS (SELECT a.about, a.t, z.t AS other, sum(a.n_state / w.w * least(a.si, z.si)) AS redundancy FROM o a JOIN o z ON z.about = a.about AND z.state = a.state AND z.t <> a.t, w GROUP BY ALL)"""
+TRIPLES = f"""{_with()}, r AS (SELECT a.about, a.t, z.t AS other, sum(a.n_state / w.w * least(a.si, z.si)) AS redundancy FROM o a JOIN o z ON z.about = a.about AND z.state = a.state AND z.t <> a.t, w GROUP BY ALL)"""
 
 
 def _nobs(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").count()
 
 
-@query(f'{R16} SELECT about, t AS "by", other, {M.format("redundancy", "redundancy")} FROM r')
+@query(f'{TRIPLES} SELECT about, t AS "by", other, {M.format("redundancy", "redundancy")} FROM r')
 def redundancy_triples(spark, d):
-    r = measures.redundancies(measures.specific_information(_cells(spark, d, 16)), _nobs(spark, d))
-    return r.select("about", "by", "other", micro("redundancy"))
-
-
-@query(f"{R16} SELECT x, y, round(sum(CASE WHEN mi > 0 AND mi >= redundancy THEN (mi - redundancy) / mi ELSE 0 END) * 1e6) / 1e6 + 0.0 AS puc FROM r JOIN mi ON x = least(about, t) AND y = greatest(about, t) GROUP BY x, y")
-def puc_direct(spark, d):
-    cells = _cells(spark, d, 16)
-    return puc.puc_direct(measures.specific_information(cells), measures.mutual_information(cells), _nobs(spark, d)).select("x", "y", micro("puc"))
-
-
-#: The two above over all variables.
-R64 = R16.replace(_with(16), _with())
-
-
-@query(f'{R64} SELECT about, t AS "by", other, {M.format("redundancy", "redundancy")} FROM r')
-def redundancy_triples_all(spark, d):
     r = measures.redundancies(measures.specific_information(_cells(spark, d)), _nobs(spark, d))
     return r.select("about", "by", "other", micro("redundancy"))
 
 
-@query(SQL["puc_direct"].replace(R16, R64))
-def puc_direct_all(spark, d):
+@query(f"{TRIPLES} SELECT x, y, round(sum(CASE WHEN mi > 0 AND mi >= redundancy THEN (mi - redundancy) / mi ELSE 0 END) * 1e6) / 1e6 + 0.0 AS puc FROM r JOIN mi ON x = least(about, t) AND y = greatest(about, t) GROUP BY x, y")
+def puc_direct(spark, d):
     cells = _cells(spark, d)
     return puc.puc_direct(measures.specific_information(cells), measures.mutual_information(cells), _nobs(spark, d)).select("x", "y", micro("puc"))
 
@@ -303,6 +313,39 @@ def puc_sampled(spark, d):
     return puc.puc_sampled(*_sampled(spark, d)).select("x", "y", micro("puc"))
 
 
+@query(f"{TRIPLES}, {SAMPLES} SELECT x, y, round(sum(CASE WHEN mi > 0 AND mi >= redundancy THEN (mi - redundancy) / mi ELSE 0 END) / 4 * 1e6) / 1e6 + 0.0 AS puc FROM r JOIN sm ON sm.var_id = other JOIN mi ON x = least(about, t) AND y = greatest(about, t) GROUP BY x, y")
+def puc_direct_sampled(spark, d):
+    cells = _cells(spark, d)
+    si = measures.specific_information(cells)
+    samples = puc.sample_rounds(_expr(spark, d).select("var_id").distinct(), 4, 16)
+    return puc.puc_direct_sampled(si, measures.mutual_information_of(si), _nobs(spark, d), samples).select("x", "y", micro("puc"))
+
+
+def _information(spark, d):
+    si = measures.specific_information(_cells(spark, d))
+    return binning.uniform_edges(_expr(spark, d), BINS), measures.mutual_information_of(si), si, _nobs(spark, d)
+
+
+@query(f'{_with()} SELECT about, t AS "by", state, {M.format("si", "si")} FROM o WHERE (about >= 4 AND about < 8) OR (about >= 30 AND about < 33)')
+def information_of_ranges(spark, d):
+    view = store.InformationView.of_ranges(*_information(spark, d), range(4, 8), range(30, 33))
+    return view.ord_si.select("about", "by", "state", micro("si"))
+
+
+@query(f"{TRIPLES} SELECT other, {M.format('redundancy', 'redundancy')} FROM r WHERE about = 9 AND t = 3 AND other <> 9")
+def information_of_a_pair(spark, d):
+    """Redundancies of a pair with every third variable."""
+    view = store.InformationView.of_pair(*_information(spark, d), 3, 9)
+    return view.redundancies(9, 3).select("other", micro("redundancy"))
+
+
+@query(f"{TRIPLES}, {SAMPLES} SELECT other, {M.format('redundancy', 'redundancy')} FROM r WHERE about = 9 AND t = 3 AND other IN (SELECT var_id FROM sm WHERE round = 1)")
+def redundancies_of_a_subset(spark, d):
+    samples = puc.sample_rounds(_expr(spark, d).select("var_id").distinct(), 4, 16).where("round = 1")
+    view = store.InformationView.of_pair(*_information(spark, d), 3, 9)
+    return view.redundancies(9, 3, samples).select("other", micro("redundancy"))
+
+
 @query(f"WITH {SAMPLES} SELECT * FROM sm")
 def sample_rounds(spark, d):
     return puc.sample_rounds(_raw(spark, d).select("var_id").distinct(), 4, 16)
@@ -348,30 +391,76 @@ def unpivot_counts(spark, d):
 
 @query(f"{_with()} SELECT * FROM mi WHERE x < 32 UNION ALL SELECT * FROM mi WHERE x >= 32".replace("SELECT * FROM mi", f"SELECT x, y, {M.format('mi', 'mi')} FROM mi"))
 def merge_results(spark, d):
-    mi = measures.mutual_information(_cells(spark, d)).select("x", "y", micro("mi"))
-    return mi.where("x < 32").unionByName(mi.where("x >= 32"))
+    """Two shards, written one by one, as one table."""
+    mi, base = measures.mutual_information(_cells(spark, d)).select("x", "y", micro("mi")), _folder(spark)
+    for name, part in (("a", "x < 32"), ("b", "x >= 32")):
+        mi.where(part).write.parquet(f"{base}/{name}")
+    return store.merge_shards(spark, [f"{base}/a", f"{base}/b"], ["x", "y"])
+
+
+def _folder(spark) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='lacework-')}"
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def _workflow(spark, d, modes, **more) -> PucWorkflow:
+    return PucWorkflow(spark, PucConfig(matrix=f"{d}/embeddings.parquet", out=_folder(spark), mode=modes, nroundup=2, **more)).run()
 
 
 @query(f"{BLOCKS_B}, {_tables()}, {MS} {PUC.format(n=62)}")
 def workflow_puc(spark, d):
     """The staged run, through its tables: hist_nodes, hist_dist, misi_dist, puc_lmr_dist."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    config = PucConfig(matrix=f"{d}/embeddings.parquet", out=f"{base}/run-{uuid.uuid4().hex}", mode=["hist_nodes", "hist_dist", "misi_dist", "puc_lmr_dist"], nroundup=2)
-    return PucWorkflow(spark, config).run().read("puc").select("x", "y", micro("puc"))
+    return _workflow(spark, d, ["hist_nodes", "hist_dist", "misi_dist", "puc_lmr_dist"]).read("puc").select("x", "y", micro("puc"))
+
+
+@query(f"{_with()}, {MS} {PUC.format(n=62)}")
+def workflow_misi_puc_lmr(spark, d):
+    """The staged run with uniform bins: hist_nodes, misi and puc_lmr without sampling."""
+    return _workflow(spark, d, ["hist_nodes", "misi", "puc_lmr"], disc_method="uniform", nrounds=0).read("puc").select("x", "y", micro("puc"))
+
+
+@query(SQL["puc_direct"])
+def workflow_samples_ranges(spark, d):
+    """The staged run by direct sums: hist_nodes, hist2misi_dist and samples_ranges without sampling."""
+    return _workflow(spark, d, ["hist_nodes", "hist2misi_dist", "samples_ranges"], disc_method="uniform", nrounds=0).read("puc").select("x", "y", micro("puc"))
+
+
+@query(f"{_with()}, {MS} SELECT x, y, {M.format('mi', 'mi')} FROM mi WHERE y < 20")
+def workflow_first_variables(spark, d):
+    """Information among the first 20 variables only."""
+    return _workflow(spark, d, ["hist_nodes", "misi"], disc_method="uniform", nvars=20).read("pair_mi").select("x", "y", micro("mi"))
+
+
+@query(f"{_with()}, t AS (SELECT count(DISTINCT obs_id) AS nobs, count(DISTINCT var_id) AS nvars FROM b), z AS (SELECT sum(len(edges) - 1) AS bins FROM e) SELECT unnest(['nobs', 'nvars', 'npairs', 'nsi']) AS name, unnest([nobs, nvars, nvars * (nvars - 1) // 2, bins * nvars])::BIGINT AS value FROM t, z")
+def node_attributes(spark, d):
+    """The scalars that are stored beside nodes."""
+    return spark.read.parquet(_workflow(spark, d, ["hist_nodes"], disc_method="uniform").config.path("meta"))
+
+
+@query(f"{_with()}, z AS (SELECT DISTINCT var_id FROM b) SELECT var_id, (SELECT len(edges) FROM e WHERE e.var_id = z.var_id)::INT AS n_edges, (SELECT sum(n) FROM h WHERE h.var_id = z.var_id)::BIGINT AS n FROM z")
+def node_reload(spark, d):
+    """Nodes as a later run reads them."""
+    nodes = _workflow(spark, d, ["hist_nodes"], disc_method="uniform").nodes(reuse=True)
+    return nodes.select("var_id", "n_edges", F.aggregate("hist", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
 
 
 def _boosted(spark, d):
-    return matrix.Matrix(_expr(spark, d)), list(range(8))
+    """The matrix, and all its variables as regulators and targets."""
+    m = matrix.Matrix(_expr(spark, d))
+    return m, sorted(r["var_id"] for r in m.expr.select("var_id").distinct().collect())
 
 
 @query()
 def gb_edges(spark, d):
-    m, tfs = _boosted(spark, d)
-    return boost.gb_network(m, tfs, boost.BoostParams(iterations=32, leaves=8, feature_fraction=0.5))
+    return boost.gb_network(*_boosted(spark, d), boost.BoostParams(iterations=32, leaves=8, feature_fraction=0.1))
 
 
 @query()
 def gb_cv_rounds(spark, d):
-    m, tfs = _boosted(spark, d)
-    targets = sorted(r["var_id"] for r in m.expr.select("var_id").distinct().collect())
-    return boost.cv_rounds(m, tfs, targets, 5, boost.BoostParams(iterations=60, leaves=8, feature_fraction=0.5, min_iterations=8))
+    m, every = _boosted(spark, d)
+    return boost.cv_rounds(m, every, every, 5, boost.BoostParams(iterations=60, leaves=8, feature_fraction=0.1, min_iterations=8))

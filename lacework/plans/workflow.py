@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import around
 from ..operators import binning, boost, measures, pairs, puc
-from ..sources.matrix import Matrix, from_arrays
-from .config import BoostConfig, PucConfig
+from ..sources.matrix import GeneSet, Matrix, open_matrix, read_csv_column
+from ..sources.store import write_scalars
+from .config import BoostConfig, ConfigError, PucConfig
 
 
 class PucWorkflow:
     def __init__(self, spark: SparkSession, config: PucConfig):
         self.spark, self.config = spark, config
-        rows = from_arrays(spark.read.parquet(config.matrix), config.obs_col, config.values_col)
-        self.expr = rows.withColumn("value", around(F.col("value"), config.nroundup))
-
-    def _write(self, name: str, frame: DataFrame) -> DataFrame:
-        frame.write.mode("overwrite").parquet(f"{self.config.out}/{name}")
+        matrix = open_matrix(spark, config.matrix, config.obs_col, config.values_col, config.names, config.gene_id_col).first(config.nvars)
+        self.expr = matrix.expr.withColumn("value", around(F.col("value"), config.nroundup))
+        if config.packed_file:
+            matrix.write_packed(config.packed_file)
+
+    def _write(self, name: str, frame: DataFrame, order: str | None = None) -> DataFrame:
+        if order:  # so that the statistics of row groups spare the scans of a few variables
+            frame = frame.repartitionByRange(order).sortWithinPartitions(order)
+        frame.write.mode("overwrite").parquet(self.config.path(name))
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.config.out}/{name}")
+        """A table of results; nodes are cut to the first nvars variables if more are stored."""
+        frame = self.spark.read.parquet(self.config.path(name))
+        return frame.where(F.col("var_id") < self.config.nvars) if name == "nodes" and self.config.nvars else frame
+
+    def _nobs(self) -> int:
+        return self.expr.where(F.col("var_id") == 0).count()
 
-    def nodes(self, reuse: bool = False) -> DataFrame:
+    def nodes(self, reuse: bool = False, keep: bool = True) -> DataFrame:
         if reuse:
             try:
                 return self.read("nodes")
@@ -33,16 +45,24 @@ class PucWorkflow:
                 pass
         c = self.config
         edges = binning.bayesian_edges(self.expr) if c.disc_method == "bayesian_blocks" else binning.uniform_edges(self.expr, c.bins)
-        return self._write("nodes", binning.nodes(edges, binning.assign(self.expr, edges)))
+        made = binning.nodes(edges, binning.assign(self.expr, edges))
+        if not keep:
+            return made
+        stored = self._write("nodes", made, "var_id")
+        sums = stored.agg(F.count("*").alias("nvars"), F.sum("n_bins").alias("bins")).first()
+        nvars = sums["nvars"]
+        write_scalars(self.spark, c.path("meta"), {"nobs": self._nobs(), "nvars": nvars, "npairs": nvars * (nvars - 1) // 2, "nsi": (sums["bins"] or 0) * nvars})
+        return stored
 
     def joint(self, nodes: DataFrame) -> DataFrame:
-        return pairs.joint_histogram(binning.assign(self.expr, nodes.select("var_id", "edges")))
+        """By packed blocks: no row for each observation and pair."""
+        return pairs.joint_histogram_blocks(binning.assign(self.expr, nodes.select("var_id", "edges")))
 
     def misi(self, joint: DataFrame) -> None:
-        cells = measures.log_ratios(joint, self.config.tbase)
-        self._write("pair_mi", measures.mutual_information(cells))
-        si = measures.specific_information(cells)
-        self._write("ord_si", si.drop("si") if self.config.lmr_only else si)
+        """Specific information first; mutual information is read off it, so that the cells are made once."""
+        si = measures.specific_information(measures.log_ratios(joint, self.config.tbase))
+        stored = self._write("ord_si", si.drop("si") if self.config.lmr_only else si, "about")
+        self._write("pair_mi", measures.mutual_information_of(stored))
 
     def run(self) -> "PucWorkflow":
         for mode in self.config.mode:
@@ -56,7 +76,8 @@ class PucWorkflow:
         self._write("pair_hist", self.joint(self.nodes()))
 
     def mode_misi(self):
-        self.misi(self.joint(self.nodes(reuse=True)))
+        joint = self.joint(self.nodes(reuse=True))
+        self.misi(self._write("pair_hist", joint) if self.config.save_node_pairs else joint)
 
     def mode_misi_dist(self):
         if self.config.lmr_only:
@@ -64,7 +85,8 @@ class PucWorkflow:
         self.misi(self.read("pair_hist"))
 
     def mode_hist2misi_dist(self):
-        self.misi(self.joint(self.read("nodes")))
+        joint = self.joint(self.read("nodes"))
+        self.misi(self._write("pair_hist", joint) if self.config.save_node_pairs else joint)
 
     def _samples(self) -> DataFrame | None:
         c = self.config
@@ -76,13 +98,12 @@ class PucWorkflow:
         return self.read("nodes").count()
 
     def mode_samples_ranges(self):
-        """Direct sums; over sampled third variables where sampling is asked for."""
+        """Direct sums; over sampled third variables, and their mean over rounds, where sampling is asked for."""
+        if self.config.lmr_only:
+            raise ValueError("samples_ranges needs specific information, which lmr_only leaves out")
         si, mi, samples = self.read("ord_si"), self.read("pair_mi"), self._samples()
-        if samples is None:
-            nobs = self.expr.agg(F.countDistinct("obs_id")).first()[0]
-            self._write("puc", puc.puc_direct(si, mi, nobs))
-        else:
-            self._write("puc", puc.puc_sampled(si.select("about", "by", "state", "lmr"), mi, samples))
+        nobs = self._nobs()
+        self._write("puc", puc.puc_direct(si, mi, nobs) if samples is None else puc.puc_direct_sampled(si, mi, nobs, samples))
 
     def mode_puc_lmr(self):
         lmr, mi, samples = self.read("ord_si").select("about", "by", "state", "lmr"), self.read("pair_mi"), self._samples()
@@ -95,23 +116,33 @@ class PucWorkflow:
 class BoostWorkflow:
     def __init__(self, spark: SparkSession, config: BoostConfig):
         self.spark, self.config = spark, config
-        rows = from_arrays(spark.read.parquet(config.matrix), config.obs_col, config.values_col)
-        self.matrix = Matrix(rows.withColumn("value", around(F.col("value"), config.nroundup)))
+        matrix = open_matrix(spark, config.matrix, config.obs_col, config.values_col, config.names, config.gene_id_col)
+        self.matrix = Matrix(matrix.expr.withColumn("value", around(F.col("value"), config.nroundup)), matrix.genes)
+        self.tfs = list(config.tfs)
+        if config.tf_csv_file:
+            named = GeneSet(self.matrix, read_csv_column(spark, config.tf_csv_file, "gene")).members
+            self.tfs = list(dict.fromkeys(r["var_id"] for r in named.orderBy("ord").collect()))  # as many as regulators
+        if not self.tfs:
+            raise ConfigError("no regulator is among the variables")
 
     def cv(self) -> DataFrame:
         c = self.config
         variables = self.matrix.expr.select("var_id").distinct()
         targets = [r["var_id"] for r in puc.sample_rounds(variables, 1, c.n_sample_genes).collect()]
-        rounds = boost.cv_rounds(self.matrix, c.tfs, targets, c.folds, c.params)
+        rounds = boost.cv_rounds(self.matrix, self.tfs, targets, c.folds, c.params)
         rounds.write.mode("overwrite").parquet(f"{c.out}/cv_rounds")
-        return boost.cv_stats(self.spark.read.parquet(f"{c.out}/cv_rounds"))
+        stats = boost.cv_stats(self.spark.read.parquet(f"{c.out}/cv_rounds"))
+        stats.write.mode("overwrite").parquet(f"{c.out}/cv_stats")
+        return self.spark.read.parquet(f"{c.out}/cv_stats")
 
     def run(self) -> "BoostWorkflow":
-        c = self.config
+        """The network's number of rounds is the median of a cross-validation, of this run's if it made one already."""
+        c, stats = self.config, None
         for mode in c.mode:
-            if mode == "cv_gb":
-                self.cv().write.mode("overwrite").parquet(f"{c.out}/cv_stats")
-            else:
-                c.params.iterations = c.num_iterations if c.skip_cv else int(self.cv().first()["median"])
-                boost.gb_network(self.matrix, c.tfs, c.params).write.mode("overwrite").parquet(f"{c.out}/gb_edges")
+            if mode == "cv_gb" or not c.skip_cv and stats is None:
+                stats = self.cv()
+            if mode == "gb_grn":
+                rounds = c.num_iterations if c.skip_cv else int(stats.first()["median"])
+                edges = boost.gb_network(self.matrix, self.tfs, replace(c.params, iterations=rounds), c.importance_filter)
+                edges.write.mode("overwrite").parquet(f"{c.out}/gb_edges")
         return self

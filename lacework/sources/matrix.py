@@ -47,7 +47,7 @@ class Matrix:
         return self.genes.groupBy("gene").agg(F.max("var_id").alias("var_id"))
 
     def read_range(self, low: int, high: int, decimals: int | None = None) -> DataFrame:
-        """Variables low to high - 1; the range reaches the scan."""
+        """Variables low to high - 1. Of arrays these are picked after the scan; see open_packed() for a range that reaches it."""
         rows = self.expr.where(F.col("var_id").between(low, high - 1))
         return rows.withColumn("value", around(F.col("value"), decimals))
 
@@ -73,12 +73,86 @@ class Matrix:
         known = names.join(self.gene_index(), "gene")
         return self.expr.join(small_side(known), "var_id").withColumn("value", around(F.col("value"), decimals))
 
+    def first(self, nvars: int) -> "Matrix":
+        """The first nvars variables; 0: all."""
+        if not nvars:
+            return self
+        return Matrix(self.expr.where(F.col("var_id") < nvars), self.genes and self.genes.where(F.col("var_id") < nvars))
+
+    def write_packed(self, path: str) -> None:
+        """Rows (var_id, values), ranges of variables in files of their own and sorted, so that a range of variables reaches few row groups."""
+        parts = int(self.expr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.packed().repartitionByRange(parts, "var_id").sortWithinPartitions("var_id").write.mode("overwrite").parquet(path)
+
     def packed(self) -> DataFrame:
         """var_id, values: each variable's values in order of the observations."""
         each = F.array_sort(F.collect_list(F.struct("obs_id", "value")))
         return self.expr.groupBy("var_id").agg(F.transform(each, lambda x: x["value"]).alias("values"))
 
 
+def open_matrix(spark: SparkSession, path: str, obs: str, values: str, names: str | None = None, gene_col: str = "gene") -> Matrix:
+    """A matrix stored as arrays in Parquet, with names of its variables if a table of them (var_id, gene_col) is given."""
+    return Matrix(from_arrays(spark.read.parquet(path), obs, values), names and read_names(spark, names, gene_col))
+
+
+def read_names(spark: SparkSession, path: str, gene_col: str = "gene") -> DataFrame:
+    """gene, var_id: names of variables from Parquet; variables without a name have none."""
+    rows = spark.read.parquet(path)
+    if gene_col not in rows.columns:
+        raise KeyError(f"{path} has no column {gene_col!r}")
+    return rows.where(F.col(gene_col).isNotNull()).select(F.col(gene_col).alias("gene"), F.col("var_id").cast("int").alias("var_id"))
+
+
+def open_packed(spark: SparkSession, path: str, low: int, high: int, decimals: int | None = None) -> DataFrame:
+    """var_id, place, value of the variables low to high - 1 of a packed table; place is the observation's among all, in their order.
+
+    The range is a filter on stored columns, so it reaches the scan and skips row groups.
+    """
+    rows = spark.read.parquet(path).where((F.col("var_id") >= low) & (F.col("var_id") < high))
+    return rows.select("var_id", F.posexplode("values").alias("place", "value")).withColumn("value", around(F.col("value"), decimals))
+
+
+class GeneSet:
+    """The variables of a matrix that are named in names (ord, gene), in the order of ord; unknown names are dropped.
+
+    members: ord, gene, var_id, a row for each known name; the driver holds none of them.
+    """
+
+    def __init__(self, matrix: Matrix, names: DataFrame, decimals: int | None = None):
+        self.matrix, self.decimals = matrix, decimals
+        self.members = names.join(matrix.gene_index(), "gene").select("ord", "gene", "var_id")
+
+    def contains_gene(self, name: str) -> bool:
+        return self.members.where(F.col("gene") == name).limit(1).count() > 0
+
+    def contains(self, var_id: int) -> bool:
+        return self.members.where(F.col("var_id") == var_id).limit(1).count() > 0
+
+    def index_of(self, var_id: int) -> int:
+        """The place of a variable in the set, from 0; of one that is named twice, the last."""
+        found = self.members.where(F.col("var_id") == var_id).agg(F.max("ord")).first()[0]
+        if found is None:
+            raise KeyError(f"variable {var_id} is not in the set")
+        return self.members.where(F.col("ord") < found).count()
+
+    def column(self, var_id: int) -> DataFrame:
+        """obs_id, value of a variable of the set."""
+        if not self.contains(var_id):
+            raise KeyError(f"variable {var_id} is not in the set")
+        return self.matrix.read_range(var_id, var_id + 1, self.decimals).select("obs_id", "value")
+
+    def column_for(self, name: str) -> DataFrame:
+        """obs_id, value of the variable of a name in the set."""
+        found = self.members.where(F.col("gene") == name).agg(F.max("var_id")).first()[0]
+        if found is None:
+            raise KeyError(f"no variable of the set is named {name!r}")
+        return self.column(found)
+
+    def rows(self) -> DataFrame:
+        """obs_id, var_id, value, ord, gene of all variables of the set."""
+        return self.matrix.gene_set(self.members.select("ord", "gene"), self.decimals)
+
+
 def leave_one_out(features: DataFrame, targets: DataFrame) -> DataFrame:
     """target, var_id: for each target all features but itself."""
     t, f = targets.select(F.col("var_id").alias("target")).distinct(), features.select("var_id").distinct()
@@ -86,7 +160,7 @@ def leave_one_out(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def read_csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """A column of a CSV file with a header, and the rows' order; broken rows are skipped, a missing column is an error."""
+    """ord, gene: a column of a CSV file with a header; ord grows in the rows' order, with gaps. Broken rows are skipped, a missing column is an error."""
     rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
     if column not in rows.columns:
         raise KeyError(f"{path} has no column {column!r}")
