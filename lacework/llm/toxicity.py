@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 3).
 
-Word classes are recognised by transducers from words to classes: insults (whole words, or stems with any
-ending) are learned from labels, threats, targets, negation and reported speech are closed lists of the
-grammar. A clause is the string of its classes, and a second machine walks over it: it carries whether a
-target, a negation or a reporting verb is in force, and each insult or threat emits the weight of the state it
-meets; one that no target stands before is held until a target follows. The score is a calibrated function of what the matched clauses of a document emit, not of single words.
+A lexical transducer maps words to classes: insults (whole words, or stems with any ending) are learned from labels,
+with a weight each; threats, targets, negation and reported speech are closed lists of the grammar. A clause is the
+string of its classes. Transducers over classes mark the insults and threats in it: one for reported speech, one for
+negation and one for targets, composed into one machine that reads the clause from the left; and that for targets
+again from the right, as what follows is aimed at, too. What an arc of the composed machine emits, by kind
+and mark, is summed over the clause; the weights of the arcs are learned by logistic regression. So matched clauses are
+scored and no isolated words.
 """
 
 from __future__ import annotations
@@ -35,15 +37,70 @@ REPORTS = "said says wrote called quoted claimed reported sagte schrieb nannte b
 _SPACE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 or c == 39 else (c + 32 if 65 <= c < 91 else 32) for c in range(256))
 _CLAUSE = re.compile(rb"[.!?;:\n]+")
 _CLASS = {w.encode(): k for k, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
-N_FEATURES = 7
+N_FEATURES = 11
+#: What an insult or threat is marked with, and the words that a negation reaches.
+REPORTED, NEGATED, TARGETED = 4, 2, 1
+REACH = 5
+#: What is emitted by marks: 0 plain, 1 targeted, 2 negated, 3 reported; the stronger mark counts.
+_EMITS = [3 if m & REPORTED else 2 if m & NEGATED else 1 if m & TARGETED else 0 for m in range(8)]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_SPACE).split()
 
 
+class Machine:
+    """A deterministic transducer over symbols (class, marks): arcs[state][symbol] is the next state and what replaces the symbol."""
+
+    def __init__(self, start, step, symbols):
+        self.arcs, number, todo = [], {start: 0}, [start]
+        for state in todo:
+            arcs = {}
+            for symbol in symbols:
+                to, out = step(state, symbol)
+                if to not in number:
+                    number[to] = len(todo)
+                    todo.append(to)
+                arcs[symbol] = (number[to], out)
+            self.arcs.append(arcs)
+
+    def then(self, other: "Machine") -> "Machine":
+        """The composition: what this one puts out, the other reads."""
+
+        def step(states, symbol):
+            to, out = self.arcs[states[0]][symbol]
+            to_other, out = other.arcs[states[1]][out]
+            return (to, to_other), out
+
+        return Machine((0, 0), step, self.arcs[0])
+
+    def run(self, symbols) -> list:
+        state, out = 0, []
+        for symbol in symbols:
+            state, replaced = self.arcs[state][symbol]
+            out.append(replaced)
+        return out
+
+
+_SYMBOLS = [(k, m) for k in ("other", "insult", "threat", "target", "negation", "report") for m in range(8)]
+
+
+def _marked(symbol, mark, inside):
+    kind, marks = symbol
+    return (kind, marks | mark) if inside and kind in ("insult", "threat") else symbol
+
+
+#: After a reporting verb all is reported, to the end of the clause.
+REPORT = Machine(False, lambda s, x: (s or x[0] == "report", _marked(x, REPORTED, s)), _SYMBOLS)
+#: A negation reaches REACH words, and is spent by what it meets.
+NEGATION = Machine(0, lambda s, x: (REACH if x[0] == "negation" else 0 if x[0] in ("insult", "threat") else max(0, s - 1), _marked(x, NEGATED, s > 0)), _SYMBOLS)
+#: A target holds to the end of the clause, in the direction of reading.
+TARGET = Machine(False, lambda s, x: (s or x[0] == "target", _marked(x, TARGETED, s)), _SYMBOLS)
+CLAUSE = REPORT.then(NEGATION).then(TARGET)
+
+
 class Grammar:
-    """The two machines: words to classes, and classes to what a clause emits."""
+    """The lexical transducer, and what clauses emit through it and the machines over classes."""
 
     def __init__(self, words: dict[bytes, float], stems: dict[bytes, float]):
         self.words, self.stems = words, stems
@@ -55,38 +112,26 @@ class Grammar:
             return self.words[word]
         return max((self.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), default=0.0)
 
-    def clause(self, words: list[bytes]) -> tuple[float, float, float, float]:
-        """What a clause emits: weights of plain, targeted, negated and reported insults and threats.
+    def clause(self, words: list[bytes]) -> tuple[float, ...]:
+        """What a clause emits: weights of plain, targeted, negated and reported insults, and the same of threats.
 
-        States last to the end of the clause; a negation is spent by what it meets within four words. A target
-        counts for what stands before it in the clause, too: threats without one emit nothing, insults as plain.
+        A threat in a clause without a target emits nothing, whatever else stands there.
         """
-        out = [0.0, 0.0, 0.0, 0.0]
-        target = report = False
-        negation = 0
-        pending = [0.0, 0.0, 0.0, 0.0]  # what the first target adds, by state
+        out, symbols, weights = [0.0] * 8, [], []
         for word in words:
-            kind = _CLASS.get(word)
-            weight = self.insult(word) or (1.0 if kind == "threat" and target else 0.0)
-            if weight:
-                state = 3 if report else 2 if negation else 1 if target else 0
-                out[state] += weight
-                if state == 0:
-                    pending[0] -= weight
-                    pending[1] += weight
-                negation = 0
-            elif kind == "threat":
-                pending[3 if report else 2 if negation else 1] += 1.0
-            elif kind == "target" and not target:
-                target = True
-                out = [max(0.0, x + y) for x, y in zip(out, pending, strict=True)]
-            elif kind == "report":
-                report = True
-            negation = 5 if kind == "negation" else max(0, negation - 1)
+            weight = self.insult(word)
+            kind = "insult" if weight else _CLASS.get(word, "other")
+            symbols.append((kind, 0))
+            weights.append(weight or float(kind == "threat"))
+        if any(weights):
+            marked = TARGET.run(reversed(CLAUSE.run(symbols)))
+            for (kind, marks), weight in zip(marked, reversed(weights), strict=True):
+                if weight and (kind == "insult" or marks & TARGETED):
+                    out[_EMITS[marks] + 4 * (kind == "threat")] += weight
         return tuple(out)
 
     def features(self, text: bytes | None) -> np.ndarray:
-        """Sums over clauses by state, the largest clause, matched clauses and their density; zeros without a match."""
+        """Sums over clauses by kind and mark, the largest clause, matched clauses and their density; zeros without a match."""
         f = np.zeros(N_FEATURES)
         if not text or not self.any(set(words_of(text))):
             return f
@@ -94,10 +139,10 @@ class Grammar:
         emitted = [self.clause(c) for c in clauses if c]
         e = np.array([x for x in emitted if any(x)])
         if len(e):
-            f[:4] = np.log1p(e.sum(0))
-            f[4] = np.log1p((e @ np.array([1.0, 1.2, 0.3, 0.3])).max())
-            f[5] = np.log1p(len(e))
-            f[6] = len(e) / len(emitted)
+            f[:8] = np.log1p(e.sum(0))
+            f[8] = np.log1p((e @ np.array([1.0, 1.2, 0.3, 0.3] * 2)).max())
+            f[9] = np.log1p(len(e))
+            f[10] = len(e) / len(emitted)
         return f
 
     def any(self, distinct: set[bytes]) -> bool:
@@ -176,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Gramm
             texts = [t or b"" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([b" ".join(sorted(set(words_of(t)))) for t in texts], pa.binary()), b.column("y")], ["_id", "words", "y"])
 
-    rows = picked.mapInArrow(words, "_id long, words binary, y int").limit(sample).collect()
+    # Of an id with several texts the least counts, so there are no more rows than labels.
+    rows = picked.mapInArrow(words, "_id long, words binary, y int").groupBy("_id").agg(F.min("words").alias("words"), F.max("y").alias("y")).collect()
     seen = {}
     for r in sorted(rows, key=lambda r: r["_id"]):
         seen.setdefault(bytes(r["words"]), r["y"])
@@ -186,9 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Gramm
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [grammar.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column("y")], ["f", "y"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(f, pa.list_(pa.float64())), b.column("y")], ["_id", "f", "y"])
 
-    rows = picked.mapInArrow(parse, "f array<double>, y int").limit(sample).collect() if seen else []
+    rows = picked.mapInArrow(parse, "_id long, f array<double>, y int").groupBy("_id").agg(F.min("f").alias("f"), F.max("y").alias("y")).collect() if seen else []
     counts: Counter = Counter((tuple(r["f"]), r["y"]) for r in rows)
     if not counts:
         return grammar, np.array([0.0] * N_FEATURES + [-2.0])
@@ -212,7 +258,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     A null text is empty and scores as a text without a match, as empty ones do. A null id counts as held out
     (its crc32 is taken of the empty text). Labels of an id that differ: 1 wins. Rows that repeat an id are
-    scored each. Without labels every score is that of the intercept -2. Extra columns are not read.
+    scored each. Without labels every score is that of the intercept -2. Texts are read whole, however long; of an
+    empty table there is no row. Extra columns are not read.
     """
     grammar, w = fit(docs, labels, sample)
 
@@ -220,7 +267,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for b in batches:
             f = np.array([grammar.features(t) for t in b.column("text").to_pylist()]).reshape(-1, N_FEATURES)
             p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(p), pa.array(np.rint(np.expm1(f[:, 5])).astype(np.int32))], ["_id", "score", "n_clauses"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(p), pa.array(np.rint(np.expm1(f[:, 9])).astype(np.int32))], ["_id", "score", "n_clauses"])
 
     given = docs.select(id_or_lowest("doc_id").alias("_id"), F.col("text").cast("binary").alias("text"))
     out = given.mapInArrow(score, "_id long, score double, n_clauses int")
