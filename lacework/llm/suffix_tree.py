@@ -241,7 +241,8 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     training: which rows the model learns from. score is the log10 probability of the text's symbols, its end
     included. A null text is empty: one end token. A null id is the lowest id. Rows that repeat an id are
     scored each by its own text and count each in training. Without training rows every count is 0, base_score
-    is null and score takes every token for unknown, of probability 1/2. Extra columns are not read.
+    is 0 and score takes every token for unknown, of probability 1/2. Texts are scored whole; of an empty table there
+    is no row. Extra columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -260,7 +261,7 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     root = np.concatenate([(top_counts - discount) / whole, [0.0], [(n_texts - discount) / whole if n_texts else 0.5]])
     root[len(top)] = other = max(1 - root.sum(), 1e-9)
     tree = grow_tree(training_texts, Tree([bytes(r["word"]) for r in top], root), n_train, depth)
-    denominator = float(np.log10(n_train + 0.5 * (v + 1))) if v else float("nan")
+    denominator = float(np.log10(n_train + 0.5 * (v + 1)))
     bases = np.log10(np.concatenate([top_counts, [0.0], [n_texts]]) + 0.5) - denominator
     bases[len(top)] = 0.0
     shared = spark.sparkContext.broadcast((tree, bases))
@@ -317,7 +318,7 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
         share("n_tokens").cast("long").alias("n_tokens"),
         share("n_known").cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        F.when(~F.isnan(share("base_score")), share("base_score")).alias("base_score"),
+        share("base_score").alias("base_score"),
         share("score").alias("score"),
     )
 
