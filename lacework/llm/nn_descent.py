@@ -169,12 +169,12 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     e = F.col("embedding")
     raw = vectors.select(id_or_lowest("vec_id").alias("_id"), F.col("label").cast("long").alias("label"), F.transform(e, lambda x: x.cast("double")).alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sized = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    fit = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~odd & (sized > 0), F.lit(False))
+    # Components are taken relative to the largest, so that no square of a very small or large one is 0 or infinite.
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    fit = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~odd & (largest > 0), F.lit(False))
     rows = raw.withColumn("node", F.when(fit, F.xxhash64("label", "v")))
-    norm = F.sqrt(sized)
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("_id").alias("least"))
-    nodes = nodes.withColumn("norm", norm).select("node", F.xxhash64("label", F.size("v")).alias("space"), F.transform("v", lambda x: x / F.col("norm")).alias("exact"), "copies", "least")
+    nodes = nodes.withColumn("v", F.transform("v", lambda x: x / largest)).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).select("node", F.xxhash64("label", F.size("v")).alias("space"), F.transform("v", lambda x: x / F.col("norm")).alias("exact"), "copies", "least")
     nodes = scratch.save(nodes.withColumn("unit", F.transform("exact", lambda x: x.cast("float"))))
     while True:
         graph = scratch.save(_lists(start_graph(nodes, tables, threshold=threshold), NEIGHBOURS))
