@@ -264,6 +264,10 @@ def test_embeddings(spark):
     near = (u @ u.T >= 0.98) & (label[:, None] == label[None])
     np.fill_diagonal(near, False)
     assert [got[i]["n_links"] for i in range(300)] == near.sum(1).tolist()
+    least = np.arange(300)
+    while (new := np.minimum(least, np.where(near, least[None], 300).min(1))).tolist() != least.tolist():
+        least = new
+    assert [got[i]["component_id"] for i in range(300)] == least.tolist() and all(got[i]["kept"] == (least[i] == i) for i in range(300))
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(300, 305))
 
 
@@ -279,6 +283,14 @@ def embedding_links(spark, x, **more):
     return got, {i: (int(near[i].sum()) - 1, int(least[i])) for i in range(len(x))}
 
 
+def test_embeddings_of_extreme_size(spark):
+    """Cosines of vectors whose squares are 0 or infinite as doubles."""
+    x = np.array([[1e-200, 2e-200], [1e200, 2e200], [5e-324, 0], [1.0, 0.0], [0.0, 3e300]])
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    got = {r["_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+
+
 def test_embeddings_of_two_tight_groups(spark, monkeypatch):
     """Groups that fill each other's lists with their own members, and one that fits no tile."""
     monkeypatch.setattr(nn_descent, "TILE", 16)
@@ -350,7 +362,108 @@ def test_licenses_that_repeat_inside_other_text(times):
 
 def test_toxicity_of_targets_that_follow():
     clause = lambda text: toxicity.Grammar({b"idiot": 2.0}, {}).clause(toxicity.words_of(text.encode()))
-    assert clause("I will kill you") == clause("kill you and them") == clause("you I will kill") == (0, 1, 0, 0)
-    assert clause("idiot, you") == clause("you idiot") == (0, 2, 0, 0) and clause("idiot") == (2, 0, 0, 0)
-    assert clause("I will not kill you") == (0, 0, 1, 0) and clause("someone said kill you") == (0, 0, 0, 1)
-    assert clause("kill the process") == (0, 0, 0, 0)
+    none = (0,) * 4
+    assert clause("I will kill you") == clause("kill you and them") == clause("you I will kill") == (*none, 0, 1, 0, 0)
+    assert clause("idiot, you") == clause("you idiot") == (0, 2, 0, 0, *none) and clause("idiot") == (2, 0, 0, 0, *none)
+    assert clause("I will not kill you") == (*none, 0, 0, 1, 0) and clause("someone said kill you") == (*none, 0, 0, 0, 1)
+    assert clause("kill the process") == none * 2
+
+
+def test_toxicity_machines_by_enumeration():
+    """The composed machines against the grammar's rules, read off every place of random clauses."""
+    words = {"insult": b"idiot", "threat": b"kill", "target": b"you", "negation": b"not", "report": b"said", "other": b"the"}
+    grammar, rng = toxicity.Grammar({b"idiot": 2.0}, {b"idio": 1.0}), random.Random(5)
+    for _ in range(400):
+        kinds = [rng.choice([*words, "other", "other"]) for _ in range(rng.randint(0, 14))]
+        want = [0.0] * 8
+        for i, kind in enumerate(kinds):
+            if kind not in ("insult", "threat"):
+                continue
+            last = max([j for j in range(i) if kinds[j] == "negation"], default=-99)
+            spent = any(k in ("insult", "threat") for k in kinds[max(last, 0) + 1 : i])
+            negated = i - last <= toxicity.REACH and not spent
+            mark = 3 if "report" in kinds[:i] else 2 if negated else 1 if "target" in kinds else 0
+            if kind == "insult" or "target" in kinds:
+                want[mark + 4 * (kind == "threat")] += 2.0 if kind == "insult" else 1.0
+        assert grammar.clause([words[k] for k in kinds]) == tuple(want)
+    assert grammar.insult(b"idiotic") == 1.0 and grammar.insult(b"idiot") == 2.0
+
+
+def test_suffix_tree_base_by_brute_force(spark, clashing, texts):
+    """Counts and base scores by plain counting; without training rows they are 0; repeated rows and null ids count each."""
+    import zlib
+
+    rows = [(r["doc_id"], r["text"]) for r in clashing.collect()] + list(texts.items())[:12]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    counts = Counter()
+    for i, t in rows:
+        if not held(i):
+            counts.update([*split(t), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    base = lambda t: sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*split(t), "\n"])
+    want = sorted((-(2**63) if i is None else i, len(split(t)) + 1, sum(counts[w] > 0 for w in [*split(t), "\n"]), n, round(base(t), 6)) for i, t in rows)
+    got = suffix_tree.score_texts(docs, suffix_tree.remainder() != 1).collect()
+    assert sorted((r["_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    none = suffix_tree.score_texts(docs, F.lit(False)).collect()
+    assert all(r["base_score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
+    assert all(math.isclose(r["score"], r["n_tokens"] * math.log10(0.5), rel_tol=1e-6) for r in none if r["n_tokens"] == 1)
+
+
+def test_alignment_by_brute_force():
+    """Increasing subsequences against all subsets; alignments of words that occur once against the longest common subsequence."""
+    rng = random.Random(9)
+    for _ in range(60):
+        b = rng.sample(range(12), rng.randint(0, 9))
+        pairs = list(enumerate(b))
+        found = licenses._increasing(pairs)
+        assert all(x < y for (_, x), (_, y) in zip(found, found[1:], strict=False)) and set(found) <= set(pairs)
+        subsets = ([b[i] for i in range(len(b)) if m >> i & 1] for m in range(1 << len(b)))
+        longest = max(len(x) for x in subsets if x == sorted(x))
+        assert len(found) == longest
+        p, q = ([f"w{x}" for x in rng.sample(range(14), rng.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, x in enumerate(p):
+            for j, y in enumerate(q):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        matched = licenses.align(p, q)
+        assert len(matched) == table[-1][-1] and all(p[i] == q[j] for i, j in matched)
+        assert all(i < k and j < l for (i, j), (k, l) in zip(matched, matched[1:], strict=False))
+
+
+def test_quality_shrinkage_by_brute_force(spark):
+    """Priors of hosts and paths, and posteriors, from the documents' evidence by the closed forms."""
+    rng = random.Random(4)
+    rows = [(i, "JUNK!! " * 30 if rng.random() < (0.8 if i % 5 == 0 else 0.2) else prose(rng, 40), ["en", "de", None][i % 3], f"h{i % 5}" if i % 7 else None) for i in range(240)]
+    labels = spark.createDataFrame([(i, int("JUNK" not in t)) for i, t, _, _ in rows if i % 2], "doc_id long, quality int")
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), labels).collect()
+    known = [int("JUNK" not in t) for i, t, _, _ in rows if i % 2]
+    prior = (sum(known) + 1) / (len(known) + 2)
+    logit = lambda p: math.log(p / (1 - p))
+
+    def strength(sites):
+        n, s = (np.array(x, float) for x in zip(*sites, strict=True))
+        if len(n) < 2:
+            return 10.0
+        m = s.sum() / n.sum()
+        between = ((s * s / n).sum() - n.sum() * m * m - (len(n) - 1) * m * (1 - m)) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9)
+        return min(max(m * (1 - m) / max(between, 1e-9) - 1, 2.0), 10_000.0)
+
+    priors = {}
+    for _ in range(quality.ROUNDS):
+        paths, hosts = {}, {}
+        for r in got:
+            p = 1 / (1 + math.exp(-(r["evidence"] + logit(priors.get((r["host"], r["path"]), (0, prior))[1]))))
+            for table, key in ((paths, (r["host"], r["path"])), (hosts, r["host"])):
+                n, s = table.get(key, (0, 0.0))
+                table[key] = (n + 1, s + p)
+        a, within = strength(hosts.values()), strength(paths.values())
+        mean = min(max(sum(s for _, s in hosts.values()) / len(got), 1e-3), 1 - 1e-3)
+        of_host = {h: (a * mean + s) / (a + n) for h, (n, s) in hosts.items()}
+        priors = {k: (of_host[k[0]], min(max((within * of_host[k[0]] + s) / (within + n), 1e-3), 1 - 1e-3)) for k, (n, s) in paths.items()}
+    for r in got:
+        host, path = priors[r["host"], r["path"]]
+        posterior = 1 / (1 + math.exp(-(r["evidence"] + logit(path))))
+        assert math.isclose(r["host_prior"], host, rel_tol=1e-6) and math.isclose(r["path_prior"], path, rel_tol=1e-6)
+        assert math.isclose(r["quality"], posterior, rel_tol=1e-6) and r["keep"] == (posterior >= 0.5)
