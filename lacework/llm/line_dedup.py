@@ -34,7 +34,9 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, s
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(max(salts, parts))))
     sorted_rows = salted.repartitionByRange(parts, "h1", "salt").sortWithinPartitions("h1", "salt", "h2", F.desc("_id"), "pos")
-    first = sorted_rows.groupBy("h1", "salt", "h2", "_id").agg(F.min("pos").alias("pos"))
+    # Read in that order, a row that follows one of the same hash and document is no first occurrence.
+    order = Window.partitionBy("h1", "salt", "h2").orderBy(F.desc("_id"), "pos")
+    first = sorted_rows.select("h1", "salt", "h2", "_id", F.lag("_id").over(order).alias("before")).where("before is null or before <> _id")
     part = first.groupBy("h1", "salt", "h2").agg(F.count("*").alias("docs"), F.max("_id").alias("keeper"))
     # A verdict for each salt of a hash, so that the join that follows deals a frequent hash by salt as well.
     whole = Window.partitionBy("h1", "h2")
