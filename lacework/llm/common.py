@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -123,6 +124,14 @@ class Scratch:
                 conf.set(k, v)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of plans that no one holds any more, as those are whose tables have been written.
+
+        Its cleaner learns of them by the driver's garbage collection, which may else be long in coming.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -213,10 +213,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
     parts = scratch.save(index_batch(given, length, gram).withColumn("_batch", F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(batches))))
     for i in range(batches):
         family.insert(parts.where(F.col("_batch") == i))
+        scratch.free()
     met = scratch.save(parts.drop("_batch").join(family.alike(), ["gram", "span"]).select("_id", "_text", "low", "high", "n", "kinds", (own_hash(h, F.col("low")) == F.col("first")).alias("stands")))
     found = [met.where("n > 1").select("_id", "_text", "low", "high")]
     scratch.drop(parts)
     family.drop()
+    scratch.free()
 
     def members(rows: DataFrame) -> tuple[Filter, Filter]:
         """Filters over the texts and places of the rows that stand for a kind which is not the only one."""
@@ -234,6 +236,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
     alike = cut.join(_alike(level, "common"), ["common", "whole"]).select("_id", "_text", "low", "high", "n", "kinds", (own_hash(h, F.col("low")) == F.col("first")).alias("stands"))
     alike = scratch.save(alike)
     scratch.drop(cut)
+    scratch.free()
     found.append(alike.where("n > 1").select("_id", "_text", "low", "high"))
 
     def windows(t: Texts, h, filters):
