@@ -1,23 +1,29 @@
 """Language-model scoring by a probabilistic suffix tree (operator 1).
 
 Symbols are the V tokens known from training and one for all others. The tree's states are suffixes of what
-has been read: sequences of up to DEPTH frequent tokens (the edge of a text is one), kept as states if they
-are frequent enough and if their next-symbol distribution diverges from their parent's, the state of the next
-shorter suffix. A text is scored by the longest suffix state at each of its tokens.
-
-A state holds the probabilities of the symbols seen often after it; they are smoothed towards the parent's,
-and all other symbols share what is left in the parent's proportions, so that every distribution sums to 1.
-Infrequent tokens are one class to the states; within it the root's distribution holds, from exact counts over
-all training documents, discounted to leave mass for what is unknown. Those counts are looked up by a join.
-
-States and their symbols have a least share of the corpus, so there are at most 1 / LEAST_CONTEXT states of a
-depth and 1 / LEAST_PAIR entries: the tree that goes to all tasks is bounded whatever the corpus' size. What
-is counted (words, pairs, triples) grows with it.
+has been read: sequences of up to DEPTH tokens (the edge of a text is one), kept as states if their next-symbol
+distribution diverges from their parent's, the longest state among the shorter suffixes. A text is scored by the
+longest suffix state at each of its tokens.
+
+The tree has two parts. Contexts with a share of LEAST_CONTEXT of the training tokens form its top, which has at
+most 1 / LEAST_CONTEXT states of a depth and 1 / LEAST_PAIR entries whatever the corpus' size, and goes to all
+tasks. All other contexts of DEPTH tokens that training holds at least twice are tested in buckets dealt by the
+context's hash, with exact counts of all symbols after them; they grow with the corpus. None of them holds more
+than that share (or 20 occurrences), so no bucket is hot. Nothing of them is sent to the driver or to all tasks: a bucket receives the
+tokens to be scored along with those to learn from, and returns sums for each text.
+
+A state of the top holds the probabilities of the symbols seen often after it, smoothed towards the parent's; all
+other symbols share what is left in the parent's proportions. A state in a bucket adds PRIOR_RARE times its parent's
+distribution to its counts, and is kept if it tells each of its own occurrences better than its parent does when that
+occurrence is left out. So every distribution sums to 1. Infrequent words are one symbol to the states, though
+contexts tell them apart; within that class the root's distribution holds, from counts over all training
+documents, discounted to leave mass for what is unknown. Those counts are looked up by a join.
+
+Words are told apart by 64-bit hashes, contexts in buckets by 47 bits and what the bucket's number tells.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,114 +31,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_or_lowest, id_or_null
+from .common import Scratch, id_or_lowest, id_or_null, slices
+from .hashing import U, mix, word_hashes
 
 #: Longest context in tokens.
-DEPTH = 2
+DEPTH = 3
 #: Tokens with a symbol of their own in the tree; at most 2^17 - 2.
 FREQUENT = 100_000
-#: Least share of the training tokens that a context has, and a context followed by a symbol.
+#: Least share of the training tokens that a context in the top has, and a context followed by a symbol.
 LEAST_CONTEXT, LEAST_PAIR = 1e-5, 5e-7
-#: Times the parent's distribution is counted among what was seen.
-PRIOR = 30.0
-#: Bits for each entry that a state must save, and bits for each time it is met.
+#: How often, however small the corpus, a context in the top stands at least, so that buckets hold rarer ones.
+LEAST_TOP = 20
+#: Times the parent's distribution is counted among what was seen, in the top and in buckets.
+PRIOR, PRIOR_RARE = 30.0, 2.0
+#: In the top, bits for each entry that a state must save, and bits for each time it is met.
 ENTRY_BITS, LEAST_BITS = 8.0, 0.02
-#: Distinct words, and pairs, that a task counts before it hands them on.
-FLUSH_WORDS, FLUSH_PAIRS = 400_000, 3_000_000
+#: In buckets, how often training holds a context at least, and the bits that it must save.
+LEAST_RARE, LEAST_RARE_BITS = 2, 8.0
+#: Tokens, and pairs, that a task counts before it hands them on.
+FLUSH_WORDS, FLUSH_PAIRS = 2_000_000, 3_000_000
+#: Tokens of a bucket, about; there are at most 2^16 buckets.
+BUCKET = 3_000_000
+#: Bytes and rows of texts that are read at once.
+READ_BYTES, READ_ROWS = 8 << 20, 2_000
 BITS = 17
 MASK = (1 << BITS) - 1
+#: The edge of a text where contexts are hashed.
+EDGE = U(0xB5297A4D3C6EF35B)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, without the end token."""
-    return text.lower().split() if text else []
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often they occur, or the sums of their counts."""
+    key = np.concatenate(keys)
+    if counts is None:
+        return np.unique(key, return_counts=True)
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """word (binary), n: how often each word occurs in the column text (binary) of a table."""
+    """word (its hash), n: how often each word occurs in the column text (binary) of a table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size = [], 0
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return batch
+            words, n = _sums(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > FLUSH_WORDS:
+            for part in slices(b, "text", READ_BYTES, READ_ROWS):
+                held.append(word_hashes(part.column("text").to_pylist())[0])
+                size += len(held[-1])
+                if size > FLUSH_WORDS:
                     yield out()
-        yield out()
+                    size = 0
+        if held:
+            yield out()
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Tree:
-    """The root over symbols and the states over it.
+    """The root over symbols and the states of the top over it.
 
-    Symbols: 0 .. k-1 the frequent words, k the class of all others, k + 1 the edge of a text.
+    Symbols: 0 .. k-1 the frequent words, given by their hashes, k the class of all others, k + 1 the edge of a text.
     states[d]: sorted keys of the contexts of d + 1 symbols; a context's number is its place in the list, its
-    key its first symbols' number (or, at depth 1, nothing) and its last symbol. entries[d]: sorted keys
-    (state's number << BITS) + symbol, and the natural log of the entry's probability over the parent's;
-    rest[d]: the same for all symbols without an entry.
+    key its first symbols' number (or, at depth 1, nothing) and its last symbol. links[d]: the number, one depth
+    less, of the context without its first symbol. entries[d]: sorted keys (state's number << BITS) + symbol, and the
+    natural log of the entry's probability over the parent's; rest[d]: the same for all symbols without an entry.
     """
 
-    def __init__(self, words: list[bytes], root: np.ndarray):
-        self.words = {w: i for i, w in enumerate(words)}
+    def __init__(self, words: np.ndarray, root: np.ndarray):
+        self.order = np.argsort(words)
+        self.words = words[self.order]
         self.other, self.edge = len(words), len(words) + 1
         self.log_root = np.log(root)
         self.states: list[np.ndarray] = []
+        self.links: list[np.ndarray] = []
         self.kept: list[np.ndarray] = []
         self.entries: list[tuple[np.ndarray, np.ndarray]] = []
         self.rest: list[np.ndarray] = []
 
-    def symbols(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' symbols one after the other, each text between edges that neighbours share; their text's number."""
-        get, other = self.words.get, self.other
-        flat, sizes = [self.edge], []
-        for words in texts:
-            flat += [get(w, other) for w in words]
-            flat.append(self.edge)
-            sizes.append(len(words) + 1)
-        return np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    def symbols(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words and each text's first word's number: the texts' symbols one after the other, each text between edges
+        that neighbours share; the text's number of all symbols but the first; the words' hashes, EDGE at edges."""
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            symbol = np.where(self.words[at] == hashes, self.order[at], self.other)
+        else:
+            symbol = np.full(len(hashes), self.other)
+        sizes = np.diff(first)
+        flat = np.full(len(hashes) + len(sizes) + 1, self.edge)
+        around = np.full(len(flat), EDGE)
+        place = np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes) + 1
+        flat[place], around[place] = symbol, hashes
+        return flat, np.repeat(np.arange(len(sizes)), sizes + 1), around
 
     def contexts(self, flat: np.ndarray) -> list[np.ndarray]:
         """For each depth, the number of the counted context before each symbol but the first; -1: none.
 
         A context does not reach beyond an edge.
         """
-        out = []
+        out: list[np.ndarray] = []
+        last = flat[:-1]
         for d, keys in enumerate(self.states):
-            last = flat[:-1]
+            at = np.full(len(last), -1)
             if d == 0:
-                key = last
-            else:
+                numbers = np.full(self.edge + 1, -1)
+                numbers[keys] = np.arange(len(keys))
+                at = numbers[last]
+            elif len(keys):
                 before = np.concatenate([[-1], out[d - 1][:-1]])  # the context before the last symbol
-                key = np.where((before >= 0) & (last != self.edge), (before << BITS) + last, -1)
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            out.append(np.where(keys[at] == key, at, -1) if len(keys) else np.full(len(last), -1))
+                live = np.flatnonzero((before >= 0) & (last != self.edge))
+                at[live] = self._find(d, (before[live] << BITS) + last[live])
+            out.append(at)
         return out
 
-    def log_of(self, flat: np.ndarray) -> np.ndarray:
-        """The natural log of the probability of each symbol but the first, read from its longest suffix state."""
-        symbol = flat[1:]
+    def _find(self, d: int, key: np.ndarray) -> np.ndarray:
+        """Numbers of the contexts with these keys; -1: none."""
+        keys = self.states[d]
+        if not len(keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, at, -1)
+
+    def log_of(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """The natural log of the probability of symbols after contexts, read from the longest suffix state."""
         out = self.log_root[symbol]
-        for d, at in enumerate(self.contexts(flat)[: len(self.kept)]):
+        for d, at in enumerate(contexts[: len(self.kept)]):
             live = np.flatnonzero(at >= 0)
             live = live[self.kept[d][at[live]]]
-            key = (at[live] << BITS) + symbol[live]
             keys, logs = self.entries[d]
-            if len(keys):
+            if len(keys) and len(live):
+                key = (at[live] << BITS) + symbol[live]
                 place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                gain = np.where(keys[place] == key, logs[place], self.rest[d][at[live]])
-                out[live] += gain
+                out[live] += np.where(keys[place] == key, logs[place], self.rest[d][at[live]])
         return out
 
     def candidates(self, keys: np.ndarray) -> None:
         """Counts may now be taken for the contexts of the next depth."""
-        self.states.append(np.sort(keys.astype(np.int64)))
+        d, keys = len(self.states), np.sort(keys.astype(np.int64))
+        self.states.append(keys)
+        last = keys & MASK
+        if d == 0:
+            self.links.append(np.full(len(keys), -1))
+        elif d == 1:
+            self.links.append(self._find(0, last))
+        else:
+            shorter = self.links[d - 1][keys >> BITS]
+            self.links.append(np.where(shorter >= 0, self._find(d - 1, (shorter << BITS) + last), -1))
 
     def grow(self, keys: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> None:
         """Tests the last candidates: keys and counts of what follows them, and how often each is followed by anything."""
@@ -141,7 +190,7 @@ class Tree:
         keys, n = keys[order], n[order].astype(np.float64)
         state, symbol = keys >> BITS, keys & MASK
         count = len(self.states[d])
-        parent = np.exp(self._parent_log(d, state, symbol))
+        parent = np.exp(self.log_of(symbol, self._shorter(d, state)))
         p = (n + PRIOR * parent) / (sizes[state] + PRIOR)
         taken = np.bincount(state, p, count)
         were = np.bincount(state, parent, count)
@@ -153,30 +202,12 @@ class Tree:
         self.entries.append((keys[live], gain[live]))
         self.rest.append(rest)
 
-    def _parent_log(self, d: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Logs of symbols in the longest shorter suffix of states of depth d + 1."""
-        out = self.log_root[symbol]
-        for shorter in range(d):
-            last = self.states[d][state]
-            key = last & MASK  # the suffix of one symbol; depth is at most 2 but for it
-            tail = [key]
-            number = last >> BITS
-            for k in range(shorter):
-                before = self.states[d - 1 - k][number]
-                tail.append(before & MASK)
-                number = before >> BITS
-            at = np.full(len(state), -1)
-            for k, s in enumerate(tail[::-1]):
-                key = s if k == 0 else np.where(at >= 0, (at << BITS) + s, -1)
-                place = np.minimum(np.searchsorted(self.states[k], key), len(self.states[k]) - 1)
-                at = np.where(self.states[k][place] == key, place, -1)
-            live = np.flatnonzero(at >= 0)
-            live = live[self.kept[shorter][at[live]]]
-            keys, logs = self.entries[shorter]
-            if len(live) and len(keys):
-                key = (at[live] << BITS) + symbol[live]
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                out[live] += np.where(keys[place] == key, logs[place], self.rest[shorter][at[live]])
+    def _shorter(self, d: int, state: np.ndarray) -> list[np.ndarray]:
+        """The numbers of the shorter suffixes of contexts of d + 1 symbols, the shortest first; -1: none."""
+        out: list[np.ndarray] = []
+        for k in range(d, 0, -1):
+            state = np.where(state >= 0, self.links[k][state], -1)
+            out.insert(0, state)
         return out
 
 
@@ -195,8 +226,8 @@ def count_pairs(texts: DataFrame, tree: Tree) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, (heads << BITS) + MASK])), pa.array(np.concatenate([n, sums]))], ["key", "n"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                flat, _ = tree.symbols([tokens(t) for t in b.column("text").slice(lo, 1000).to_pylist()])
+            for part in slices(b, "text", READ_BYTES, READ_ROWS):
+                flat, _, _ = tree.symbols(*word_hashes(part.column("text").to_pylist()))
                 at = tree.contexts(flat)[-1]
                 keys = (at[at >= 0] << BITS) + flat[1:][at >= 0]
                 held.append(keys)
@@ -216,8 +247,8 @@ def _numbers(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grow_tree(texts: DataFrame, tree: Tree, n_train: int, depth: int = DEPTH) -> Tree:
-    """Adds the states of each depth in turn; the driver receives their entries, which are bounded."""
-    least, most = max(2, LEAST_PAIR * n_train), max(2, LEAST_CONTEXT * n_train)
+    """Adds the top's states of each depth in turn; the driver receives their entries, which are bounded."""
+    least, most = max(2, LEAST_PAIR * n_train), max(LEAST_TOP, LEAST_CONTEXT * n_train)
     heads = np.flatnonzero(np.exp(tree.log_root) * n_train >= most)
     tree.candidates(heads[heads != tree.other])
     for d in range(depth):
@@ -235,6 +266,99 @@ def grow_tree(texts: DataFrame, tree: Tree, n_train: int, depth: int = DEPTH) ->
     return tree
 
 
+def rare_keys(around: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """A 64-bit key of the ``depth`` tokens before each but the first; 0 where they would reach beyond an edge."""
+    n = len(around) - 1
+    out = np.zeros(n, U)
+    if n < depth:
+        return out
+    key, whole = np.zeros(n - depth + 1, U), np.ones(n - depth + 1, bool)
+    for k in range(depth):
+        part = around[k : k + len(key)]
+        key = mix(key + part)
+        if k:  # only the first may be an edge
+            whole &= part != EDGE
+    key[(key & U((1 << 47) - 1)) == 0] += U(1)
+    out[depth - 1 :] = np.where(whole, key, U(0))
+    return out
+
+
+def weigh(entries: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Natural logs of the probabilities of tokens in a bucket.
+
+    entries: the context's key << BITS, and the symbol; without a key there is no context here. logs: by the top's
+    states, below 0 for tokens to learn from; for others with the sign changed.
+    """
+    known, parent_log = logs < 0, -np.abs(logs.astype(np.float64))
+    deep = np.flatnonzero(entries >> U(BITS))
+    if not len(deep):
+        return parent_log
+    order = deep[np.argsort(entries[deep])]
+    entry = entries[order]
+    first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+    context = entry[first] >> U(BITS)
+    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    follows = np.diff(np.append(heads, len(first)))
+    n = np.add.reduceat(known[order].astype(np.float64), first)
+    whole = np.add.reduceat(n, heads)
+    parent = np.exp(parent_log[order[first]])
+    without = n * np.log((np.maximum(n - 1, 0) + PRIOR_RARE * parent) / parent)
+    saved = np.add.reduceat(without, heads) - whole * np.log(np.maximum(whole - 1, 0) + PRIOR_RARE)
+    kept = (whole >= LEAST_RARE) & (saved > LEAST_RARE_BITS * np.log(2))
+    gain = np.log((n + PRIOR_RARE * parent) / ((np.repeat(whole, follows) + PRIOR_RARE) * parent))
+    gain[~np.repeat(kept, follows)] = 0
+    parent_log[order] += np.repeat(gain, np.diff(np.append(first, len(order))))
+    return parent_log
+
+
+def score_in_buckets(given: DataFrame, tree: Tree, n_train: int, depth: int = DEPTH) -> DataFrame:
+    """_id, _text, score: log10 probabilities of the texts' symbols, a row for each text and bucket.
+
+    given: _id, _text, text and _train. The class of infrequent words counts as one symbol.
+    """
+    shared = given.sparkSession.sparkContext.broadcast(tree)
+    buckets = min(max(-(-n_train // BUCKET), 1), 1 << 16)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for b in batches:
+            for part in slices(b, "text", READ_BYTES, READ_ROWS):
+                flat, text, around = tree.symbols(*word_hashes(part.column("text").to_pylist()))
+                symbol, contexts = flat[1:], tree.contexts(flat)
+                logs = np.minimum(tree.log_of(symbol, contexts), -1e-7).astype(np.float32)
+                train = part.column("_train").to_numpy(zero_copy_only=False).astype(bool)
+                logs = np.where(train[text], logs, -logs)
+                key = rare_keys(around, depth)
+                if len(contexts) == depth:  # frequent contexts are the top's
+                    key[contexts[-1] >= 0] = 0
+                bucket = (((key >> U(47)) * U(buckets)) >> U(17)).astype(np.uint16)
+                none = np.flatnonzero(key == 0)
+                bucket[none] = none % buckets
+                order = np.argsort(bucket, kind="stable")
+                entries, logs, text = ((key << U(BITS)) | symbol.astype(U))[order], logs[order], text[order]
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                ids, hashes = (part.column(c).to_numpy() for c in ("_id", "_text"))
+                rows = []
+                for k, (lo, hi) in enumerate(zip(np.append(0, ends), ends, strict=False)):
+                    if hi > lo:
+                        which, n = np.unique(text[lo:hi], return_counts=True)
+                        rows.append((k, ids[which].tobytes(), hashes[which].tobytes(), n.tobytes(), entries[lo:hi].tobytes(), logs[lo:hi].tobytes()))
+                types = [pa.int32(), *[pa.binary()] * 5]
+                names = ["bucket", "ids", "hashes", "times", "entries", "logs"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def score(table: pa.Table) -> pa.Table:
+        ids, hashes, times, entries, logs = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("times", "i8"), ("entries", "u8"), ("logs", "f4"))
+        )
+        text = np.repeat(np.arange(len(ids)), times)
+        sums = np.bincount(text, weigh(entries, logs), len(ids)) / np.log(10)
+        return pa.table({"_id": ids, "_text": hashes, "score": sums})
+
+    sent = given.select("_id", "_text", "text", "_train").mapInArrow(send, "bucket int, ids binary, hashes binary, times binary, entries binary, logs binary")
+    return sent.groupBy("bucket").applyInArrow(score, "_id long, _text long, score double")
+
+
 def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, depth: int = DEPTH) -> DataFrame:
     """_id, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs.
 
@@ -246,7 +370,7 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"), training.alias("_train"))
+    given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("_train"))
     training_texts = given.where("_train").select("text")
     words = scratch.save(count_tokens(training_texts))
     n_texts = training_texts.count()
@@ -255,61 +379,69 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     v = sums["v"] + (n_texts > 0)
     discount = min(max(sums["n1"] / max(sums["n1"] + 2 * sums["n2"], 1), 0.05), 0.95)
     unknown = discount * v / n_train if n_train else 0.5
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    top_counts = np.array([r["n"] for r in top], np.float64)
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    top_words, top_counts = top.column("word").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy().astype(np.float64)
     whole = max(n_train, 1)
     root = np.concatenate([(top_counts - discount) / whole, [0.0], [(n_texts - discount) / whole if n_texts else 0.5]])
-    root[len(top)] = other = max(1 - root.sum(), 1e-9)
-    tree = grow_tree(training_texts, Tree([bytes(r["word"]) for r in top], root), n_train, depth)
+    root[len(top_words)] = other = max(1 - root.sum(), 1e-9)
+    tree = grow_tree(training_texts, Tree(top_words, root), n_train, depth)
     denominator = float(np.log10(n_train + 0.5 * (v + 1)))
     bases = np.log10(np.concatenate([top_counts, [0.0], [n_texts]]) + 0.5) - denominator
-    bases[len(top)] = 0.0
-    shared = spark.sparkContext.broadcast((tree, bases))
+    bases[len(top_words)] = 0.0
+    scratch.free()
+    scores = scratch.save(score_in_buckets(given, tree, n_train, depth).groupBy("_id", "_text").agg(F.sum("score").alias("score")))
+    scratch.free()
+    reader = Tree(top_words, root)
+    shared = spark.sparkContext.broadcast((reader, bases))
     ends = int(n_texts > 0)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with what its symbols sum to, and one for each word in it that is not frequent."""
         tree, bases = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [tokens(t) for t in part.column("text").to_pylist()]
-                flat, text = tree.symbols(texts)
-                n, symbol = len(texts), flat[1:]
-                score = np.bincount(text, tree.log_of(flat), n) / np.log(10)
+            for part in slices(b, "text", READ_BYTES, READ_ROWS):
+                flat, text, around = tree.symbols(*word_hashes(part.column("text").to_pylist()))
+                n, symbol = part.num_rows, flat[1:]
                 base = np.bincount(text, bases[symbol], n)
-                known = np.bincount(text, (symbol != tree.other) & (symbol != tree.edge), n).astype(np.int64) + ends
-                pairs = [(i, w, c) for i, words in enumerate(texts) for w, c in Counter(w for w in words if w not in tree.words).items()]
-                take = pa.array(np.concatenate([np.arange(n), [x[0] for x in pairs]]).astype(np.int64))
-                zero = np.zeros(len(pairs))
-                # A text's own row joins no word: its key holds a space.
-                own = [b" %d" % i for i in part.column("_text").to_pylist()]
+                known = np.bincount(text, symbol < tree.other, n).astype(np.int64) + ends
+                rare = np.flatnonzero(symbol == tree.other)
+                word, owner = around[1:][rare], text[rare]
+                order = np.lexsort((word, owner))
+                word, owner = word[order], owner[order]
+                new = np.flatnonzero((np.diff(word, prepend=U(0)) != 0) | (np.diff(owner, prepend=-1) != 0))
+                times = np.diff(np.append(new, len(word)))
+                take = pa.array(np.concatenate([np.arange(n), owner[new]]).astype(np.int64))
+                zero = np.zeros(len(new))
+                # A text's own row looks nothing up: any key will do that spreads the rows.
+                own = mix(part.column("_id").to_numpy().view(U) ^ part.column("_text").to_numpy().view(U))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("_id").take(take),
                         part.column("_text").take(take),
-                        pa.array(own + [x[1] for x in pairs], pa.binary()),
-                        pa.array([True] * n + [False] * len(pairs)),
-                        pa.array([len(t) + 1 for t in texts] + [x[2] for x in pairs], pa.int64()),
+                        pa.array(np.concatenate([own, word[new]]).view(np.int64)),
+                        pa.array(np.arange(len(take)) < n),
+                        pa.array(np.concatenate([np.bincount(text, minlength=n), times]).astype(np.int64)),
                         pa.array(np.concatenate([known, zero]).astype(np.int64)),
                         pa.array(np.concatenate([base, zero])),
-                        pa.array(np.concatenate([score, zero])),
                     ],
-                    ["_id", "_text", "word", "whole", "times", "known", "base", "score"],
+                    ["_id", "_text", "word", "whole", "times", "known", "base"],
                 )
 
-    seen = given.select("_id", "_text", "text").mapInArrow(look_up, "_id long, _text long, word binary, whole boolean, times long, known long, base double, score double")
-    found = seen.join(words, "word", "left")
-    c = F.coalesce("n", F.lit(0)).cast("double")
+    seen = given.select("_id", "_text", "text").mapInArrow(look_up, "_id long, _text long, word long, whole boolean, times long, known long, base double")
+    c = F.when(F.col("whole"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("double")
     # Of a word that is not frequent: its share of the class's mass at the root.
     within = F.when(c > 0, (c - discount) / whole).otherwise(unknown) / other
-    sums = found.groupBy("_id", "_text").agg(
-        F.sum(F.when(F.col("whole"), F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(F.col("whole"), F.col("known")).when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(F.col("whole"), F.col("base")).otherwise(F.col("times") * (F.log10(c + 0.5) - F.lit(denominator)))).alias("base_score"),
-        F.sum(F.when(F.col("whole"), F.col("score")).otherwise(F.col("times") * F.log10(within))).alias("score"),
-        F.count(F.when(F.col("whole"), 1)).alias("_rows"),
+    found = seen.join(words, "word", "left").select(
+        "_id",
+        "_text",
+        F.when(F.col("whole"), F.col("times")).alias("n_tokens"),
+        F.when(F.col("whole"), F.col("known")).when(c > 0, F.col("times")).otherwise(0).alias("n_known"),
+        F.when(F.col("whole"), F.col("base")).otherwise(F.col("times") * (F.log10(c + 0.5) - F.lit(denominator))).alias("base_score"),
+        F.when(~F.col("whole"), F.col("times") * F.log10(within)).otherwise(0).alias("score"),
+        F.when(F.col("whole"), 1).alias("_rows"),
     )
+    sums = found.unionByName(scores, allowMissingColumns=True).groupBy("_id", "_text")
+    sums = sums.agg(*[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base_score", "score", "_rows")])
     # Rows that are wholly alike were summed together; each gets its share.
     each = sums.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
     share = lambda c: F.col(c) / F.col("_rows")

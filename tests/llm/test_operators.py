@@ -235,15 +235,76 @@ def test_suffix_tree_is_a_distribution(docs, empty, texts):
     assert len(out) == len(texts) and out[19]["n_tokens"] == 1
     assert all(r["score"] < 0 for r in out.values())
     assert suffix_tree.score_texts(empty, suffix_tree.remainder() != 1).count() == 0
-    words = [b"a", b"b"]
-    tree = suffix_tree.Tree(words, np.array([0.4, 0.3, 0.1, 0.2]))
+    tree = suffix_tree.Tree(np.array([11, 7], np.uint64), np.array([0.4, 0.3, 0.1, 0.2]))
     tree.candidates(np.array([0]))
     tree.grow(np.array([1, 0]), np.array([500, 10]), np.array([600.0]))
     assert tree.kept[0][0]
-    total = sum(math.exp(tree.log_of(np.array([0, s]))[0]) for s in range(4))
+    total = sum(math.exp(tree.log_of(np.array([s]), tree.contexts(np.array([0, s])))[0]) for s in range(4))
     assert math.isclose(total, 1.0)
 
 
+def test_suffix_tree_in_buckets_by_brute_force():
+    """States of a bucket: sums to 1, the test with each occurrence left out, and nothing learned from held-out tokens."""
+    rng = np.random.default_rng(5)
+    parent = np.array([0.4, 0.3, 0.2, 0.1])
+    context, symbol, train = rng.integers(1, 60, 400), rng.choice(4, 400, p=[0.1, 0.1, 0.1, 0.7]), rng.random(400) < 0.7
+    symbol[context < 20] = context[context < 20] % 4
+    entries = (context.astype(np.uint64) << np.uint64(17)) | symbol.astype(np.uint64)
+    logs = np.log(parent)[symbol].astype(np.float32)
+    got = suffix_tree.weigh(entries, np.where(train, logs, -logs))
+    a, kept = suffix_tree.PRIOR_RARE, 0
+    for c in set(context.tolist()):
+        n = np.bincount(symbol[(context == c) & train], minlength=4)
+        bits = sum(math.log2((n[s] - 1 + a * parent[s]) / (n.sum() - 1 + a) / parent[s]) for s in symbol[(context == c) & train])
+        state = n.sum() >= 2 and bits > suffix_tree.LEAST_RARE_BITS
+        kept += state
+        p = (n + a * parent) / (n.sum() + a) if state else parent
+        assert math.isclose(p.sum(), 1.0)
+        for s, g in zip(symbol[context == c], got[context == c], strict=True):
+            assert math.isclose(g, math.log(p[s]), rel_tol=1e-4, abs_tol=1e-5)
+    assert 0 < kept < len(set(context.tolist()))
+    assert np.allclose(suffix_tree.weigh(np.arange(4, dtype=np.uint64), logs[:4]), logs[:4])
+
+
+def test_suffix_tree_keys_of_contexts():
+    """Contexts of three tokens, whose first alone may be the edge of a text."""
+    hashes = np.array([5, 6, 7, 5, 6, 7, 9], np.uint64)
+    tree = suffix_tree.Tree(np.array([5, 6], np.uint64), np.array([0.2, 0.2, 0.3, 0.3]))
+    flat, text, around = tree.symbols(hashes, np.array([0, 3, 3, 7]))
+    assert flat.tolist() == [3, 0, 1, 2, 3, 3, 0, 1, 2, 2, 3] and text.tolist() == [0, 0, 0, 0, 1, 2, 2, 2, 2, 2]
+    keys = suffix_tree.rare_keys(around, 3)
+    assert [bool(k) for k in keys] == [False, False, True, True, False, False, False, True, True, True]
+    assert keys[2] == keys[7] and keys[3] == keys[8] and len(set(keys.tolist())) == 4
+
+
+def test_suffix_tree_links():
+    """Contexts of the top know their shorter suffixes at every depth."""
+    tree = suffix_tree.Tree(np.array([5, 6], np.uint64), np.array([0.2, 0.2, 0.3, 0.3]))
+    bits = suffix_tree.BITS
+    tree.candidates(np.array([0, 1, 3]))
+    tree.candidates(np.array([(0 << bits) + 1, (1 << bits) + 0, (2 << bits) + 0]))  # 5 6, 6 5, edge 5
+    tree.candidates(np.array([(0 << bits) + 0, (2 << bits) + 1]))  # 5 6 5, edge 5 6
+    assert tree.links[1].tolist() == [1, 0, 0] and tree.links[2].tolist() == [1, 0]
+    at = tree.contexts(np.array([3, 0, 1, 0, 2]))
+    assert [a.tolist() for a in at] == [[2, 0, 1, 0], [-1, 2, 0, 1], [-1, -1, 1, 0]]
+    assert [s.tolist() for s in tree._shorter(2, np.array([0, 1]))] == [[0, 1], [1, 0]]
+
+
+def test_suffix_tree_tells_repeated_texts(spark, monkeypatch):
+    """Texts that training holds twice are likelier by the token than those it holds once, in one bucket as in many; copies of one text score alike."""
+    monkeypatch.setattr(suffix_tree, "BUCKET", 500)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(300)]
+    made = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*made, *made[:20]])), "doc_id long, text string")
+    many = {r["_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.lit(True)).collect()}
+    assert all(math.isclose(many[i], many[60 + i], rel_tol=1e-9) for i in range(20))
+    assert max(many[i] for i in range(20, 60)) < min(many[i] for i in range(20))
+    monkeypatch.setattr(suffix_tree, "BUCKET", 10**9)
+    one = {r["_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.lit(True)).collect()}
+    assert all(math.isclose(many[i], one[i], rel_tol=1e-6) for i in one)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs, {"s": 1.0}).collect()
     assert rows and all(r["source"] == "s" for r in rows)
