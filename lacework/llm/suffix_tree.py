@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,10 @@ ENTRY_BITS, LEAST_BITS = 8.0, 0.02
 LEAST_RARE, LEAST_RARE_BITS = 2, 8.0
 #: Tokens, and pairs, that a task counts before it hands them on.
 FLUSH_WORDS, FLUSH_PAIRS = 2_000_000, 3_000_000
-#: Tokens of a bucket, about; there are at most 2^16 buckets.
-BUCKET = 3_000_000
+#: Tokens of a bucket, about; there are at most 2^16 buckets, dealt in so many turns, so that a turn's share lies on disk at a time.
+BUCKET, TURNS = 1_500_000, 2
 #: Bytes and rows of texts that are read at once.
-READ_BYTES, READ_ROWS = 8 << 20, 2_000
+READ_BYTES, READ_ROWS = 2 << 20, 2_000
 BITS = 17
 MASK = (1 << BITS) - 1
 #: The edge of a text where contexts are hashed.
@@ -311,13 +312,13 @@ def weigh(entries: np.ndarray, logs: np.ndarray) -> np.ndarray:
     return parent_log
 
 
-def score_in_buckets(given: DataFrame, tree: Tree, n_train: int, depth: int = DEPTH) -> DataFrame:
-    """_id, _text, score: log10 probabilities of the texts' symbols, a row for each text and bucket.
+def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, turn: int, depth: int = DEPTH) -> DataFrame:
+    """_id, _text, score: log10 probabilities of the texts' symbols in a turn's buckets, a row for each text and bucket.
 
     given: _id, _text, text and _train. The class of infrequent words counts as one symbol.
     """
-    shared = given.sparkSession.sparkContext.broadcast(tree)
-    buckets = min(max(-(-n_train // BUCKET), 1), 1 << 16)
+    buckets = min(max(-(-n_train // BUCKET), TURNS), 1 << 16)
+    low, high = (buckets * t // TURNS for t in (turn, turn + 1))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
@@ -325,31 +326,33 @@ def score_in_buckets(given: DataFrame, tree: Tree, n_train: int, depth: int = DE
             for part in slices(b, "text", READ_BYTES, READ_ROWS):
                 flat, text, around = tree.symbols(*word_hashes(part.column("text").to_pylist()))
                 symbol, contexts = flat[1:], tree.contexts(flat)
-                logs = np.minimum(tree.log_of(symbol, contexts), -1e-7).astype(np.float32)
-                train = part.column("_train").to_numpy(zero_copy_only=False).astype(bool)
-                logs = np.where(train[text], logs, -logs)
                 key = rare_keys(around, depth)
                 if len(contexts) == depth:  # frequent contexts are the top's
                     key[contexts[-1] >= 0] = 0
                 bucket = (((key >> U(47)) * U(buckets)) >> U(17)).astype(np.uint16)
                 none = np.flatnonzero(key == 0)
                 bucket[none] = none % buckets
-                order = np.argsort(bucket, kind="stable")
-                entries, logs, text = ((key << U(BITS)) | symbol.astype(U))[order], logs[order], text[order]
-                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                order = np.flatnonzero((bucket >= low) & (bucket < high))
+                order = order[np.argsort(bucket[order], kind="stable")]
+                ends = np.cumsum(np.bincount(bucket[order], minlength=buckets))
+                entries, text = (key[order] << U(BITS)) | symbol[order].astype(U), text[order]
+                logs = np.minimum(tree.log_of(symbol[order], [c[order] for c in contexts]), -1e-7).astype(np.float32)
+                train = part.column("_train").to_numpy(zero_copy_only=False).astype(bool)
+                logs = np.where(train[text], logs, -logs)
                 ids, hashes = (part.column(c).to_numpy() for c in ("_id", "_text"))
                 rows = []
                 for k, (lo, hi) in enumerate(zip(np.append(0, ends), ends, strict=False)):
                     if hi > lo:
                         which, n = np.unique(text[lo:hi], return_counts=True)
-                        rows.append((k, ids[which].tobytes(), hashes[which].tobytes(), n.tobytes(), entries[lo:hi].tobytes(), logs[lo:hi].tobytes()))
+                        rows.append((k, ids[which].tobytes(), hashes[which].tobytes(), n.astype(np.int32).tobytes(), entries[lo:hi].tobytes(), logs[lo:hi].tobytes()))
                 types = [pa.int32(), *[pa.binary()] * 5]
                 names = ["bucket", "ids", "hashes", "times", "entries", "logs"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def score(table: pa.Table) -> pa.Table:
         ids, hashes, times, entries, logs = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("times", "i8"), ("entries", "u8"), ("logs", "f4"))
+            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("times", "i4"), ("entries", "u8"), ("logs", "f4"))
         )
         text = np.repeat(np.arange(len(ids)), times)
         sums = np.bincount(text, weigh(entries, logs), len(ids)) / np.log(10)
@@ -388,8 +391,10 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     denominator = float(np.log10(n_train + 0.5 * (v + 1)))
     bases = np.log10(np.concatenate([top_counts, [0.0], [n_texts]]) + 0.5) - denominator
     bases[len(top_words)] = 0.0
-    scratch.free()
-    scores = scratch.save(score_in_buckets(given, tree, n_train, depth).groupBy("_id", "_text").agg(F.sum("score").alias("score")))
+    scores, top_tree = [], spark.sparkContext.broadcast(tree)
+    for turn in range(TURNS):
+        scratch.free()
+        scores.append(scratch.save(score_in_buckets(given, top_tree, n_train, turn, depth).groupBy("_id", "_text").agg(F.sum("score").alias("score"))))
     scratch.free()
     reader = Tree(top_words, root)
     shared = spark.sparkContext.broadcast((reader, bases))
@@ -440,8 +445,9 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
         F.when(~F.col("whole"), F.col("times") * F.log10(within)).otherwise(0).alias("score"),
         F.when(F.col("whole"), 1).alias("_rows"),
     )
-    sums = found.unionByName(scores, allowMissingColumns=True).groupBy("_id", "_text")
-    sums = sums.agg(*[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base_score", "score", "_rows")])
+    for part in scores:
+        found = found.unionByName(part, allowMissingColumns=True)
+    sums = found.groupBy("_id", "_text").agg(*[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base_score", "score", "_rows")])
     # Rows that are wholly alike were summed together; each gets its share.
     each = sums.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
     share = lambda c: F.col(c) / F.col("_rows")
