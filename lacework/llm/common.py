@@ -23,6 +23,8 @@ NULL_ID = -(2**63)
 MOST_FILTER_BITS = 27
 #: While a table is written, Arrow batches to and from Python workers have at most so many rows and bytes.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: While this is set, Spark deletes the shuffle files of a query when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -109,15 +111,19 @@ class Scratch:
         self.written = 0
 
     def save(self, frame: DataFrame) -> DataFrame:
-        """Writes a table, in small Arrow batches where Python makes it, and returns it as read back."""
+        """Writes a table, in small Arrow batches where Python makes it, and returns it as read back.
+
+        What was shuffled for it is deleted once it stands: nothing reads that again.
+        """
         self.written += 1
         path = f"{self.base}/{self.written}"
         conf = self.spark.conf
-        were = {k: conf.get(k) for k in BATCH}
+        were = {k: conf.get(k) for k in (*BATCH, CLEAN)}
         try:
             for k, most in BATCH.items():
                 given = int(were[k].rstrip("b"))
                 conf.set(k, str(min(given, most) if given > 0 else most))
+            conf.set(CLEAN, "true")
             frame.write.parquet(path)
         finally:
             for k, v in were.items():
