@@ -53,6 +53,8 @@ LEAST_RARE, LEAST_RARE_BITS = 2, 8.0
 FLUSH_WORDS, FLUSH_PAIRS = 2_000_000, 3_000_000
 #: Tokens of a bucket, about; there are at most 2^16 buckets, dealt in so many turns, so that a turn's share lies on disk at a time.
 BUCKET, TURNS = 1_500_000, 2
+#: Texts, about, whose scores one task adds up over the buckets of a turn.
+PART = 2_000
 #: Bytes and rows of texts that are read at once.
 READ_BYTES, READ_ROWS = 2 << 20, 2_000
 BITS = 17
@@ -312,11 +314,13 @@ def weigh(entries: np.ndarray, logs: np.ndarray) -> np.ndarray:
     return parent_log
 
 
-def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, turn: int, depth: int = DEPTH) -> DataFrame:
-    """_id, _text, score: log10 probabilities of the texts' symbols in a turn's buckets, a row for each text and bucket.
+def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, turn: int, n_texts: int, depth: int = DEPTH) -> DataFrame:
+    """_id, _text, score: log10 probabilities of the texts' symbols in a turn's buckets, a row for each text that has any there.
 
-    given: _id, _text, text and _train. The class of infrequent words counts as one symbol.
+    given: _id, _text, text and _train. The class of infrequent words counts as one symbol. A bucket hands its sums on
+    packed, a row for each part of the texts; there is at most one sum for each of a text's tokens. n_texts: how many there are, about.
     """
+    parts = n_texts // PART + 1
     buckets = min(max(-(-n_train // BUCKET), TURNS), 1 << 16)
     low, high = (buckets * t // TURNS for t in (turn, turn + 1))
 
@@ -355,11 +359,27 @@ def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, tu
             np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("times", "i4"), ("entries", "u8"), ("logs", "f4"))
         )
         text = np.repeat(np.arange(len(ids)), times)
-        sums = np.bincount(text, weigh(entries, logs), len(ids)) / np.log(10)
-        return pa.table({"_id": ids, "_text": hashes, "score": sums})
+        ids, hashes, sums = add(ids, hashes, np.bincount(text, weigh(entries, logs), len(ids)) / np.log(10))
+        part = (mix(ids.view(U) ^ hashes.view(U)) % U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        which, first = np.unique(part[order], return_index=True)
+        packed = [[x.tobytes() for x in np.split(c[order], first[1:])] for c in (ids, hashes, sums)]
+        return pa.table([pa.array(which, pa.int32()), *(pa.array(c if len(which) else [], pa.binary()) for c in packed)], ["part", "ids", "hashes", "sums"])
+
+    def unpack(table: pa.Table) -> pa.Table:
+        columns = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("sums", "f8")))
+        return pa.table(dict(zip(("_id", "_text", "score"), add(*columns), strict=True)))
+
+    def add(ids: np.ndarray, hashes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sum for each id and hash, once."""
+        order = np.lexsort((hashes, ids))
+        ids, hashes = ids[order], hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])[: len(ids)])
+        return ids[first], hashes[first], np.add.reduceat(sums[order], first) if len(first) else sums
 
     sent = given.select("_id", "_text", "text", "_train").mapInArrow(send, "bucket int, ids binary, hashes binary, times binary, entries binary, logs binary")
-    return sent.groupBy("bucket").applyInArrow(score, "_id long, _text long, score double")
+    summed = sent.groupBy("bucket").applyInArrow(score, "part int, ids binary, hashes binary, sums binary")
+    return summed.groupBy("part").applyInArrow(unpack, "_id long, _text long, score double")
 
 
 def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, depth: int = DEPTH) -> DataFrame:
@@ -376,7 +396,8 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("_train"))
     training_texts = given.where("_train").select("text")
     words = scratch.save(count_tokens(training_texts))
-    n_texts = training_texts.count()
+    counts = given.agg(F.count("*").alias("all"), F.count_if("_train").alias("train")).first()
+    n_texts = counts["train"]
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2")).first()
     n_train = int(sums["n"] or 0) + n_texts
     v = sums["v"] + (n_texts > 0)
@@ -394,7 +415,7 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     scores, top_tree = [], spark.sparkContext.broadcast(tree)
     for turn in range(TURNS):
         scratch.free()
-        scores.append(scratch.save(score_in_buckets(given, top_tree, n_train, turn, depth).groupBy("_id", "_text").agg(F.sum("score").alias("score"))))
+        scores.append(scratch.save(score_in_buckets(given, top_tree, n_train, turn, counts["all"], depth)))
     scratch.free()
     reader = Tree(top_words, root)
     shared = spark.sparkContext.broadcast((reader, bases))
