@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lacework.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, nn_descent, quality, suffix_index, suffix_tree, toxicity
 from lacework.llm.common import Scratch, bitmap, components
 
@@ -87,11 +88,11 @@ def test_suffix_arrays_form_a_logarithmic_family(spark):
     assert {(r["gram"], r["span"]): (r["n"], r["kinds"]) for r in family.alike().collect()} == {(g, s): (n, kinds[g]) for (g, s), n in inserted.items() if n > 1 or kinds[g] > 1}
 
 
-def jaccard_brute_force(texts):
+def jaccard_brute_force(texts, k=4, percent=85):
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[i] = {tuple(w[j : j + 4]) for j in range(max(len(w) - 3, 1))} if w else set()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))} if w else set()
     parent = {i: i for i in sets}
 
     def find(i):
@@ -101,7 +102,7 @@ def jaccard_brute_force(texts):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -493,14 +494,8 @@ def test_alignment_by_brute_force():
         assert all(i < k and j < l for (i, j), (k, l) in zip(matched, matched[1:], strict=False))
 
 
-def test_quality_shrinkage_by_brute_force(spark):
-    """Priors of hosts and paths, and posteriors, from the documents' evidence by the closed forms."""
-    rng = random.Random(4)
-    rows = [(i, "JUNK!! " * 30 if rng.random() < (0.8 if i % 5 == 0 else 0.2) else prose(rng, 40), ["en", "de", None][i % 3], f"h{i % 5}" if i % 7 else None) for i in range(240)]
-    labels = spark.createDataFrame([(i, int("JUNK" not in t)) for i, t, _, _ in rows if i % 2], "doc_id long, quality int")
-    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), labels).collect()
-    known = [int("JUNK" not in t) for i, t, _, _ in rows if i % 2]
-    prior = (sum(known) + 1) / (len(known) + 2)
+def shrunk_priors(got, prior):
+    """(host's prior, path's prior) by host and path, from rows with host, path and evidence."""
     logit = lambda p: math.log(p / (1 - p))
 
     def strength(sites):
@@ -523,8 +518,96 @@ def test_quality_shrinkage_by_brute_force(spark):
         mean = min(max(sum(s for _, s in hosts.values()) / len(got), 1e-3), 1 - 1e-3)
         of_host = {h: (a * mean + s) / (a + n) for h, (n, s) in hosts.items()}
         priors = {k: (of_host[k[0]], min(max((within * of_host[k[0]] + s) / (within + n), 1e-3), 1 - 1e-3)) for k, (n, s) in paths.items()}
+    return priors
+
+
+def test_quality_shrinkage_by_brute_force(spark):
+    """Priors of hosts and paths, and posteriors, from the documents' evidence by the closed forms."""
+    rng = random.Random(4)
+    rows = [(i, "JUNK!! " * 30 if rng.random() < (0.8 if i % 5 == 0 else 0.2) else prose(rng, 40), ["en", "de", None][i % 3], f"h{i % 5}" if i % 7 else None) for i in range(240)]
+    labels = spark.createDataFrame([(i, int("JUNK" not in t)) for i, t, _, _ in rows if i % 2], "doc_id long, quality int")
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), labels).collect()
+    known = [int("JUNK" not in t) for i, t, _, _ in rows if i % 2]
+    prior = (sum(known) + 1) / (len(known) + 2)
+    logit = lambda p: math.log(p / (1 - p))
+    priors = shrunk_priors(got, prior)
     for r in got:
         host, path = priors[r["host"], r["path"]]
         posterior = 1 / (1 + math.exp(-(r["evidence"] + logit(path))))
         assert math.isclose(r["host_prior"], host, rel_tol=1e-6) and math.isclose(r["path_prior"], path, rel_tol=1e-6)
         assert math.isclose(r["quality"], posterior, rel_tol=1e-6) and r["keep"] == (posterior >= 0.5)
+
+
+def poisson_copies(doc_id, rate):
+    u, n, p = int(hashlib.md5(f"mix:{doc_id}:1".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+    c = p
+    while u >= c:
+        n += 1
+        p *= rate / n
+        c += p
+    return n
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage, and the whole, against plain Python on the rows that the stage before kept."""
+    rng = random.Random(41)
+    line, bench = "A line that many of these documents share, word by word.", [prose(rng, 25), "Two words", None]
+    texts = [f"{prose(rng, 60)}. " * 2 for _ in range(30)] + ["JUNK!! @@ " * 20 + prose(rng, 3) for _ in range(25)]
+    texts += [f"{line}\n{prose(rng, 50)}\n {line.upper()}" for _ in range(6)] + texts[:5] + [t.replace(t.split()[20], "changed", 1) for t in texts[5:9]]
+    texts += [f"{prose(rng, 30)} {' '.join(bench[0].split()[3:17]).upper()} {prose(rng, 30)}", f"{prose(rng, 40)}, two, WORDS! {prose(rng, 20)}", f"{prose(rng, 30)} {' '.join(bench[0].split()[:9])}", None, "", "a few words", line]
+    rows = [(i, t, ["en", "de", None][i % 3], f"s{i % 4}" if i % 5 else None, len(t or ""), f"x{i}") for i, t in enumerate(texts)]
+    labelled = [(r[0], int("JUNK" not in (r[1] or ""))) for r in rows if r[0] % 2 and r[1]]
+    sf_dir = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_hit string").write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame(labelled, "doc_id long, quality int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+
+    def good(docs):
+        y = np.array([float(q) for _, q in labelled])
+        x = quality.features([rows[i][1].encode() for i, _ in labelled])
+        order = np.lexsort(np.column_stack([x, y]).T)
+        model, prior = quality.fit_logistic(x[order], y[order]), (y.sum() + 1) / (len(y) + 2)
+        evidence = np.clip(quality.logit_of(model, quality.features([(t or "").encode() for _, t, *_ in docs])) - math.log(prior / (1 - prior)), -15, 15)
+        seen = [{"host": r[3], "path": r[2], "evidence": e} for r, e in zip(docs, evidence, strict=True)]
+        priors = shrunk_priors(seen, prior)
+        path = [priors[s["host"], s["path"]][1] for s in seen]
+        return [r for r, s, p in zip(docs, seen, path, strict=True) if s["evidence"] + math.log(p / (1 - p)) >= 0]
+
+    def lines(docs):
+        key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+        held = {}
+        for i, t, *_ in docs:
+            for k in {key(x) for x in (t or "").split("\n") if len(key(x)) >= 20}:
+                held.setdefault(k, []).append(i)
+        kept = lambda i, t: "\n".join(x for x in (t or "").split("\n") if len(held.get(key(x), ())) < 3 or max(held[key(x)]) == i)
+        return [(r[0], kept(*r[:2]), *r[2:4], None if r[1] is None else len(kept(*r[:2])), *r[5:]) for r in docs]
+
+    def groups(docs):
+        found = jaccard_brute_force({r[0]: r[1] for r in docs}, 5, 80)
+        return [r for r in docs if found[r[0]][1] == r[0]]
+
+    def clean(docs):
+        words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        windows = {tuple(w[j : j + 10]) for w in map(words, bench) if w for j in range(max(len(w) - 9, 1))}
+        return [r for r in docs if not any(tuple(words(r[1])[j : j + n]) in windows for n in {len(w) for w in windows} for j in range(len(words(r[1]))))]
+
+    def copies(docs):
+        size = Counter()
+        for r in docs:
+            size[r[3]] += max(len((r[1] or "").encode()), 1)
+        return [(*r, n, k + 1) for r in docs for n in [poisson_copies(r[0], sum(size.values()) / len(size) / size[r[3]])] for k in range(n)]
+
+    alike = lambda found: sorted([tuple("" if c is None else c for c in r[:2]) + tuple(map(str, r[2:])) for r in found])
+    docs, want, left = spark.read.parquet(f"{sf_dir}/documents.parquet"), rows, [len(rows)]
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (good, lines, groups, clean, copies), strict=True):
+        docs, want = Scratch(spark).save(stage(spark, docs, sf_dir)), plain(want)
+        columns = ["doc_id", "text", "lang", "source", "n_chars", "n_hit", *["n_copies", "copy_no"] * (name == "source_mixing")]
+        assert alike(docs.select(*columns).collect()) == alike(want), name
+        left.append(len(want))
+    assert left[0] > left[1] == left[2] > left[3] > left[4] > 20
+    assert alike(corpus_pipeline.run(spark, sf_dir).select(*columns).collect()) == alike(want)
+    # Nothing comes of nothing.
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf_dir}/none/documents.parquet")
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{sf_dir}/none/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
