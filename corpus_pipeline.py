@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters and more in three documents or more go, but for the largest id's; n_chars follows. Documents that lose all lines stay, empty."""
+    """Lines of 20 characters and more in three documents or more go, but for the largest id's; n_chars follows (null for a null text). Documents that lose all lines stay, empty."""
     out = dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
