@@ -193,6 +193,26 @@ def joined_components(scratch: Scratch, labels: DataFrame, links: DataFrame) ->
     return scratch.save(nodes.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
 
 
+def global_ranks(scratch: Scratch, frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """frame with the place of each row in an order, from 0, in column name; no task holds all rows.
+
+    Rows are dealt in ranges of the order and sorted there, and written with their place in their range, as ranges
+    may fall otherwise if they are made again. Only the sizes of the ranges, one for each partition, are collected.
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows alike would all fall into one range; a random number tells them apart.
+    tied = frame.withColumn("_tie", F.rand(7))
+    dealt = tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_at", F.monotonically_increasing_id())
+    dealt = scratch.save(dealt.drop("_tie"))
+    part = F.shiftright("_at", 33)
+    before, total = [], 0
+    for row in dealt.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before.append((row["part"], total))
+        total += row["count"]
+    offsets = F.broadcast(frame.sparkSession.createDataFrame(before, "_part long, _before long"))
+    return dealt.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_part", "_before", "_at")
+
+
 def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
     """The lowest ``bits`` bits (15 at least) of the column number as set bits, packed from the lowest on.
 
