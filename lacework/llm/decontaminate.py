@@ -2,9 +2,9 @@
 
 The hashes of all runs of GRAM words are taken; of each window of as many neighbouring hashes as fit into SPAN
 words, the least is kept as a fingerprint (the leftmost, of equals). So any span of SPAN words that two texts
-share has a fingerprint in both, at the same place in the span. Fingerprints of documents meet those of the
-benchmark; each meeting lays an item against a document at one offset, where equal words are then extended to
-all windows of SPAN words that match.
+share has a fingerprint in both, at the same place in the span. Where a document's fingerprint is one of the
+benchmark's, it is extended to all windows of SPAN words around it, and those whose words are a window of the
+benchmark hit. A repetitive text meets a repetitive item's few distinct windows, not each of its places.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ SPAN = 10
 GRAM = 5
 #: Benchmark fingerprints (of 8 bytes and a place) up to this many rows are broadcast, more are shuffled.
 MOST_PRINTS = 200_000
+#: Documents with fingerprints of the benchmark, with their places, up to this many are broadcast.
+MOST_SPOTTED = 50_000
 _MARKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -57,17 +59,32 @@ def _windows(grams: Column, last: Column, width: int) -> Column:
     return F.aggregate(F.array().cast("array<int>"), grams, lambda g, _: g, windows)
 
 
-def _prints(table: DataFrame, keys: list[str], span: int, gram: int, once: bool) -> DataFrame:
+def _prints(table: DataFrame, keys: list[str], span: int, gram: int) -> DataFrame:
     """keys, hash, at: fingerprints of a table with word hashes in ``hashes``, and their places.
 
-    once: neighbouring windows that keep the same one give it once.
+    Neighbouring windows that keep the same one give it once.
     """
     width = span - gram + 1
     mask = (1 << max(1, (width - 1).bit_length())) - 1
-    rows = table.select(*keys, F.posexplode(fingerprints(F.col("hashes"), span, gram)).alias("_i", "_h"))
-    offset = F.col("_h").bitwiseAND(F.lit(mask)).cast("int")
-    out = rows.select(*keys, F.xxhash64(F.lit(span), F.col("_h").bitwiseAND(F.lit(~mask))).alias("hash"), (F.col("_i") + offset).alias("at"))
-    return out.distinct() if once else out
+
+    def thinned(kept):
+        def place(h, i):
+            return i + h.bitwiseAND(F.lit(mask)).cast("int")
+
+        each = F.transform(kept, lambda h, i: F.struct(place(h, i).alias("at"), F.xxhash64(F.lit(span), h.bitwiseAND(F.lit(~mask))).alias("hash")))
+        return F.filter(each, lambda p, i: (i == 0) | (p["at"] != place(F.get(kept, i - 1), i - 1)))
+
+    # As above: fingerprints get a name.
+    found = F.aggregate(F.array().cast("array<int>"), fingerprints(F.col("hashes"), span, gram), lambda g, _: g, thinned)
+    return table.select(*keys, F.explode(found).alias("_p")).select(*keys, F.col("_p.hash").alias("hash"), F.col("_p.at").alias("at"))
+
+
+def _windows_of(items: DataFrame, span: int) -> DataFrame:
+    """gram, items: the distinct windows of items (words, item) as text, and the sorted ids of all items that hold each."""
+    size = F.least(F.size("words"), F.lit(span))
+    starts = F.sequence(F.lit(1), F.size("words") - size + 1)
+    rows = items.select("items", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, size), " ")))).alias("gram"))
+    return rows.select("gram", F.explode("items").alias("item")).groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> tuple[Columns, DataFrame]:
@@ -75,47 +92,45 @@ def _found(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> tuple
     scratch = Scratch(docs.sparkSession)
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(F.col("text")).alias("words"))
-    items = items.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item").alias("items"))
-    items = scratch.save(items.select("words", "items", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2")))
+    items = scratch.save(items.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item").alias("items")))
     short = sorted(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
     kinds = [(span, gram), *((n, n) for n in short)]
-    known = items.select("c1", "c2", F.size("words").alias("n"), hashed.alias("hashes"))
-    prints = reduce(DataFrame.unionByName, [_prints(known.where(F.col("n") >= s if s == span else F.col("n") == s), ["c1", "c2"], s, g, True) for s, g in kinds])
-    prints = scratch.save(prints.withColumnRenamed("at", "item_at"))
-    prints = small_side(prints, MOST_PRINTS)
+    known = items.select(F.size("words").alias("n"), hashed.alias("hashes"))
+    prints = reduce(DataFrame.unionByName, [_prints(known.where(F.col("n") >= s if s == span else F.col("n") == s), [], s, g).select("hash").distinct() for s, g in kinds])
+    prints, windows = scratch.save(prints), scratch.save(_windows_of(items, span))
 
     own = Columns(docs)
     text = F.col(own["text"])
+    keys = ["_id", "_text"]
     keyed = own.frame.withColumns({"_id": id_or_lowest(own["doc_id"]), "_text": F.xxhash64(text)})
-    texts = keyed.select("_id", "_text", words_of(text).alias("words")).select("_id", "_text", hashed.alias("hashes"))
-    seen = reduce(DataFrame.unionByName, [_prints(texts, ["_id", "_text"], s, g, False) for s, g in kinds])
-    met = seen.join(prints, "hash").select("_id", "_text", "c1", "c2", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
-    laid = met.join(small_side(items, MOST_PRINTS // 100), ["c1", "c2"]).groupBy("_id", "_text").agg(F.collect_list(F.struct("items", "offset", F.col("words").alias("item"))).alias("laid"))
-
-    both = keyed.join(laid, ["_id", "_text"], "left")
-
-    def judge(words):
-        def matches(c):
-            m = F.size(c["item"])
-            size = F.least(m, F.lit(span))
-            same = F.array_join(F.transform(c["item"], lambda w, j: F.when(F.get(words, c["offset"] + j) == w, "1").otherwise("0")), "")
-            ones = F.repeat(F.lit("1"), size)
-            starts = F.filter(F.sequence(F.lit(0), m - size), lambda j: F.substring(same, j + 1, size) == ones)
-            return F.struct(c["items"].alias("items"), size.alias("size"), F.transform(starts, lambda j: j + c["offset"]).alias("starts"))
-
-        return F.struct(F.size(words).cast("long").alias("n_words"), F.filter(F.transform("laid", matches), lambda c: F.size(c["starts"]) > 0).alias("found"))
-
-    # As above: the words get a name, lest they be split anew for each word compared.
-    judged = F.aggregate(F.array().cast("array<int>"), words_of(text), lambda w, _: w, judge)
-    both = both.withColumn("_judged", judged).withColumns({"n_words": F.col("_judged.n_words"), "_found": F.col("_judged.found")}).drop("_judged", "laid")
-    places = F.array_distinct(F.flatten(F.transform("_found", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(s, s + c["size"] - 1))))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["items"]))))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["starts"]))))
-    none = F.col("_found").isNull()
+    texts = keyed.select(*keys, words_of(text).alias("words")).select(*keys, hashed.alias("hashes"))
+    # A window that begins at start has its fingerprint at most span - gram words on.
+    code = span + 1
+    seen = [_prints(texts, keys, s, g).withColumns({"low": F.greatest(F.col("at") - (s - g), F.lit(0)), "size": F.lit(s)}) for s, g in kinds]
+    met = reduce(DataFrame.unionByName, seen).join(small_side(prints, MOST_PRINTS), "hash", "left_semi")
+    spots = scratch.save(met.groupBy(*keys).agg(F.collect_set(F.struct("low", "at", "size")).alias("spots")))
+
+    def candidates(words):
+        ends = lambda p: F.least(p["at"], F.size(words) - p["size"])
+        starts = F.transform(F.filter("spots", lambda p: p["low"] <= ends(p)), lambda p: F.transform(F.sequence(p["low"], ends(p)), lambda s: s.cast("long") * code + p["size"]))
+        each = F.array_distinct(F.flatten(starts))
+        start, size = lambda c: F.floor(c / code).cast("int"), lambda c: F.pmod(c, F.lit(code)).cast("int")
+        return F.transform(each, lambda c: F.struct(start(c).alias("start"), size(c).alias("size"), F.array_join(F.slice(words, start(c) + 1, size(c)), " ").alias("gram")))
+
+    # As above: the words get a name, lest they be split anew for each window.
+    spotted = keyed.join(small_side(spots, MOST_SPOTTED), keys).select(*keys, F.explode(F.aggregate(F.array().cast("array<int>"), words_of(text), lambda w, _: w, candidates)).alias("c"))
+    hits = spotted.select(*keys, "c.start", "c.size", "c.gram").join(small_side(windows, MOST_PRINTS), "gram")
+    hits = scratch.save(hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
+
+    both = keyed.join(small_side(hits, MOST_SPOTTED), keys, "left")
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    # Windows come by their start, so each adds what lies beyond all before it.
+    add = lambda a, h: F.struct(F.greatest(a["end"], h["start"] + h["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["start"] + h["size"] - F.greatest(a["end"], h["start"]))).alias("n"))
     both = both.withColumns({
-        "n_hit": F.when(none, F.lit(0)).otherwise(F.size(places)).cast("long"),
-        "items": F.when(none, F.array().cast("array<string>")).otherwise(names),
-        "starts": F.when(none, F.array().cast("array<int>")).otherwise(starts),
+        "n_words": F.size(words_of(text)).cast("long"),
+        "n_hit": F.coalesce(F.aggregate("_hits", none, add, lambda a: a["n"]), F.lit(0).cast("long")),
+        "items": F.coalesce("items", F.array().cast("array<string>")),
+        "starts": F.coalesce(F.array_distinct(F.transform("_hits", lambda h: h["start"])), F.array().cast("array<int>")),
     })
     return own, both
 
@@ -127,7 +142,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     null item_id is named "null"; items of the same words share one fingerprint set; ids that repeat count
     once. A null doc_id is the lowest; rows that repeat an id are judged each by its own text. Extra columns of
     docs pass through, and one that has the name of an added column keeps it (see Columns); those of the benchmark
-    are not read. Of empty documents there is no row; with an empty benchmark nothing is hit.
+    are not read. Of empty documents there is no row; with an empty benchmark nothing is hit. Texts are taken whole;
+    the work and the arrays of a row grow with its own length, whatever the items repeat.
     """
     own, found = _found(docs, benchmark, span, gram)
     return own.restore(found, "n_words", "n_hit", "items", "starts")

@@ -44,6 +44,14 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _padded(column: pa.Array, least: int = 0) -> np.ndarray:
+    """Vectors of several lengths in a matrix; zeros at the ends leave products as they are."""
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), max(least, int(lengths.max(initial=0)))), np.float32)
+    out[np.arange(out.shape[1])[None] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def _best(sims: np.ndarray, nodes: np.ndarray, keep: int, link: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """node, neighbour, similarity of the best of each row of a square matrix: keep, or as many links as fill a list."""
     np.fill_diagonal(sims, -2)
@@ -86,7 +94,9 @@ def _compare(size: int, keep: int, link: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            new = (b.column("key").to_numpy(), b.column("node").to_numpy(), _matrix(b.column("unit")))
+            new = (b.column("key").to_numpy(), b.column("node").to_numpy(), _padded(b.column("unit"), 0 if held is None else held[2].shape[1]))
+            if held is not None and held[2].shape[1] < new[2].shape[1]:
+                held = (*held[:2], np.pad(held[2], ((0, 0), (0, new[2].shape[1] - held[2].shape[1]))))
             held = new if held is None or not len(held[0]) else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             if len(held[0]) and (batch := groups(False)):
                 yield batch
@@ -96,6 +106,21 @@ def _compare(size: int, keep: int, link: float):
     return run
 
 
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors at length 1, in doubles and floats; those of one length together."""
+    for b in batches:
+        v = b.column("v")
+        lengths = np.diff(v.offsets.to_numpy())
+        for length in np.unique(lengths):
+            part = b.filter(pa.array(lengths == length))
+            m = _matrix(part.column("v"), np.float64)
+            # Relative to the largest, so that no square of a very small or large one is 0 or infinite.
+            m /= np.abs(m).max(1, keepdims=True)
+            m /= np.sqrt((m * m).sum(1, keepdims=True))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(length)).cast(pa.list_(kind)) for x, kind in ((m, pa.float64()), (m.astype(np.float32), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("space"), lists[0], part.column("copies"), part.column("least"), lists[1]], ["node", "space", "exact", "copies", "least", "unit"])
+
+
 _EDGES = "node long, other long, sim float"
 
 
@@ -162,20 +187,18 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
 
     Vectors are compared only with those of the same label and length. Null labels and null, empty or zero
     vectors, and those with null or non-finite components, link with nothing. A null id is the lowest. Equal
-    vectors of one label are one node of the graph that counts once for each row, so rows alike link. Extra
-    columns are not read.
+    vectors of one label are one node of the graph that counts once for each row, so rows alike link; they are told
+    from others by a 64-bit hash. Extra columns are not read. Of an empty table there is no row.
     """
     scratch = Scratch(vectors.sparkSession)
     e = F.col("embedding")
     raw = vectors.select(id_or_lowest("vec_id").alias("_id"), F.col("label").cast("long").alias("label"), F.transform(e, lambda x: x.cast("double")).alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # Components are taken relative to the largest, so that no square of a very small or large one is 0 or infinite.
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    fit = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~odd & (largest > 0), F.lit(False))
+    fit = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~odd & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = raw.withColumn("node", F.when(fit, F.xxhash64("label", "v")))
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("_id").alias("least"))
-    nodes = nodes.withColumn("v", F.transform("v", lambda x: x / largest)).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).select("node", F.xxhash64("label", F.size("v")).alias("space"), F.transform("v", lambda x: x / F.col("norm")).alias("exact"), "copies", "least")
-    nodes = scratch.save(nodes.withColumn("unit", F.transform("exact", lambda x: x.cast("float"))))
+    nodes = nodes.select("node", F.xxhash64("label", F.size("v")).alias("space"), "v", "copies", "least")
+    nodes = scratch.save(nodes.mapInArrow(_normalised, "node long, space long, exact array<double>, copies long, least long, unit array<float>"))
     while True:
         graph = scratch.save(_lists(start_graph(nodes, tables, threshold=threshold), NEIGHBOURS))
         graph = refine(scratch, nodes, graph, threshold=threshold)

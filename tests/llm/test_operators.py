@@ -611,3 +611,23 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     for table in ("labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{sf_dir}/none/{table}.parquet")
     assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """The work does not grow with the product of a text's and an item's repeats."""
+    rows = [(1, "a " * 30_000), (2, "b " + "a " * 9 + "c"), (3, "x " + "a " * 10 + "y"), (4, "p q " * 8_000), (5, "q p " * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a " * 200), (2, "p q " * 300), (3, "p q")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], len(r["starts"]), r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {1: (30_000, 29_991, ["1"]), 2: (0, 0, []), 3: (10, 1, ["1"]), 4: (16_000, 15_995, ["2", "3"]), 5: (12, 7, ["2", "3"])}
+
+
+def test_vectors_are_normalised_in_one_go(spark):
+    """Long vectors cost as their length does, and no aggregate is made anew for each component."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(30, 700))
+    v[7], v[8], v[9, :], v[10, :] = v[3] * 1e-200, v[3] * 1e200, 0.0, 0.0
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(40, [1.0, 2.0], 1), (41, [2.0, 4.0], 1), (42, [], 1)]
+    got = {r["_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (0, i) for i in range(43) if i < 30 or i > 39} | {i: (2, 3) for i in (3, 7, 8)} | {40: (1, 40), 41: (1, 40)}
+    assert nn_descent.find_links(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
