@@ -49,9 +49,9 @@ def block_owner(item: Column, ranks: int, n: Column | int) -> Column:
 
 
 def bin_of(value: Column, edges: Column) -> Column:
-    """The right-closed bin of a value: edges below it less one, clamped; NaN lies in the last bin."""
+    """The right-closed bin of a value: edges below it less one, clamped; NaN lies in the last bin, null in none."""
     below = F.size(F.filter(edges, lambda e: e < value))
-    return F.least(F.greatest(below - 1, F.lit(0)), F.size(edges) - 2)
+    return F.when(value.isNotNull(), F.least(F.greatest(below - 1, F.lit(0)), F.size(edges) - 2))
 
 
 def spline_weight(z: Column, i: int, order: int, bins: int) -> Column:

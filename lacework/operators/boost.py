@@ -1,9 +1,17 @@
-"""Gradient-boosted regression of each target variable: edges by gain, and cross-validation."""
+"""Gradient-boosted regression of each target variable: edges by gain, and cross-validation.
+
+Observations are dealt in slabs, packed rows of the regulators' bins and the targets' values. Trees of all runs (a
+target, or a target and fold) grow together: a job sums the gradients of each leaf that a run must know by feature
+and bin within tasks, sums the sums, and finds each leaf's best split; what comes to the driver is a split for each
+leaf. No task holds more of the matrix than a slab at a time; where all observations are one slab, tasks train their
+runs on it by the same steps, without the driver. Gradients are whole numbers, so sums, splits and gains
+are the same however observations are dealt.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +20,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import block_owner
-from ..sources.matrix import Matrix
+from ..sources.matrix import Matrix, small_side
+from ..sources.store import new_folder, written
+from .quantiles import quantile_cuts, summary
 
-#: Cells of the feature matrix that every task may hold.
-MOST_CELLS = 500_000_000
+#: Bytes of sums that a task may hold; runs that need more are trained one lot after another.
+MOST_SUMS = 256 << 20
+#: Rounds after which the runs' predictions are written, so that later jobs need not follow all trees from the first.
+KEPT_EVERY = 8
+#: Bytes of a row of sums: features are dealt into pieces of so many.
+PIECE = 1 << 18
+#: The number of a missing value; it lies beyond every cut.
+MISSING = 255
+#: Bits of a gradient, relative to a target's largest value, and rows of a slab at most: sums of a slab are exact in doubles,
+#: and those of two billion observations in 64 bits.
+BITS, MOST_ROWS = 32, 1 << 20
+METRICS = ("rmse", "l2", "l1")
 
 
 @dataclass
 class BoostParams:
+    """metric: of validation rows, that patience looks at. bagging_freq: rounds that share a bag; 0: all rows always.
+
+    slab_cells: cells (of 8 bytes at most) of a slab. It changes how the work is dealt, not its result.
+    """
+
     iterations: int = 300
     learning_rate: float = 0.1
     leaves: int = 31
@@ -31,127 +56,552 @@ class BoostParams:
     patience: int = 10
     min_iterations: int = 32
     tolerance: float = 1e-4
+    bagging_freq: int = 1
+    metric: str = "rmse"
+    slab_cells: int = 4_000_000
 
+    def __post_init__(self):
+        if not 2 <= self.bins < MISSING:
+            raise ValueError(f"bins must be 2 to {MISSING - 1}")
+        if self.metric not in METRICS:
+            raise ValueError(f"metric is one of {METRICS}")
 
-def quantised(x: np.ndarray, bins: int) -> np.ndarray:
-    """Columns as bin numbers at their quantiles."""
-    out = np.empty(x.shape, np.int64)
-    for j in range(x.shape[1]):
-        cuts = np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]))
-        out[:, j] = np.searchsorted(cuts, x[:, j], "left")
-    return out
 
+@dataclass
+class Tree:
+    """Nodes with children after their parents; a feature of -1 is a leaf."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    cut: list[int] = field(default_factory=lambda: [0])
+    left: list[int] = field(default_factory=lambda: [0])
+    value: list[float] = field(default_factory=lambda: [0.0])
+
+    def split(self, node: int, feature: int, cut: int) -> int:
+        """Makes two leaves of a leaf; the right one follows the left."""
+        self.feature[node], self.cut[node], self.left[node] = feature, cut, len(self.feature)
+        for column, empty in ((self.feature, -1), (self.cut, 0), (self.left, 0), (self.value, 0.0)):
+            column += [empty, empty]
+        return self.left[node]
+
+    def route(self, q: np.ndarray) -> np.ndarray:
+        """The leaf of each column of bins (features by observations)."""
+        at = np.zeros(q.shape[1], np.int32)
+        for node, feature in enumerate(self.feature):
+            if feature >= 0:
+                here = np.flatnonzero(at == node)
+                at[here] = self.left[node] + (q[feature, here] > self.cut[node])
+        return at
+
+
+@dataclass
+class Split:
+    """The best split of a leaf, and the sums of gradients and rows of it and its left side."""
+
+    gain: float
+    feature: int
+    cut: int
+    g_left: int
+    n_left: int
+    g: int
+    n: int
 
-def _split(q, residual, rows, features, p):
-    """The best (gain, feature, bin) of some rows, by squared-error gain."""
-    g, n = residual[rows].sum(), len(rows)
-    best = (0.0, -1, -1)
-    for f in features:
-        sums = np.bincount(q[rows, f], residual[rows], p.bins + 1).cumsum()
-        sizes = np.bincount(q[rows, f], minlength=p.bins + 1).cumsum()
-        ok = (sizes >= p.least_leaf) & (n - sizes >= p.least_leaf)
+
+def best_splits(g: np.ndarray, n: np.ndarray, least: int) -> list[Split]:
+    """Of sums by leaf, feature and bin: each leaf's first split of the largest gain in squared error; feature -1 if none has any."""
+    out = []
+    for gs, ns in zip(g, n, strict=True):
+        total_g, total_n = int(gs[0].sum()), int(ns[0].sum())
+        left_g, left_n = gs.cumsum(1)[:, :-1], ns.cumsum(1)[:, :-1]
+        ok = (left_n >= least) & (total_n - left_n >= least)
+        best = Split(0.0, -1, 0, 0, 0, total_g, total_n)
         if ok.any():
-            gain = np.where(ok, sums**2 / np.maximum(sizes, 1) + (g - sums) ** 2 / np.maximum(n - sizes, 1) - g * g / n, -1)
-            at = int(gain.argmax())
-            if gain[at] > best[0] + 1e-12:
-                best = (float(gain[at]), f, at)
-    return best
+            a, b = left_g.astype(float), (total_g - left_g).astype(float)
+            gain = np.where(ok, a * a / np.maximum(left_n, 1) + b * b / np.maximum(total_n - left_n, 1) - float(total_g) ** 2 / total_n, -1.0)
+            f, cut = np.unravel_index(gain.argmax(), gain.shape)
+            if gain[f, cut] > 0:
+                best = Split(float(gain[f, cut]), int(f), int(cut), int(left_g[f, cut]), int(left_n[f, cut]), total_g, total_n)
+        out.append(best)
+    return out
 
 
-def boost(q: np.ndarray, y: np.ndarray, p: BoostParams, train: np.ndarray | None = None, val: np.ndarray | None = None, target: int = 0) -> tuple[np.ndarray, int]:
-    """Gains by feature and the number of rounds kept. Trees grow leaf by leaf, each time where the gain is largest.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
+    u = np.uint64
+    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return x ^ (x >> u(31))
 
-    With validation rows it stops once their error has not fallen by over tolerance for patience rounds, after
-    min_iterations at least; the best round is returned.
-    """
-    rng = np.random.default_rng([p.seed, target])
-    train = np.arange(len(y)) if train is None else train
-    gains = np.zeros(q.shape[1])
-    f = np.full(len(y), y[train].mean() if len(train) else 0.0)
-    best, best_round = np.inf, 0
-    take = max(1, int(round(p.feature_fraction * q.shape[1])))
-    for turn in range(1, p.iterations + 1):
-        rows = np.sort(rng.choice(train, max(1, int(p.bagging * len(train))), replace=False))
-        features = np.sort(rng.choice(q.shape[1], take, replace=False))
-        residual = y - f
-        leaves = [(*_split(q, residual, rows, features, p), rows, np.arange(len(y)))]
-        while len(leaves) < p.leaves:
-            i = max(range(len(leaves)), key=lambda k: leaves[k][0])
-            gain, feature, cut, inside, everyone = leaves[i]
-            if gain <= 0:
+
+def in_bag(obs: np.ndarray, target: int, turn: int, p: BoostParams) -> np.ndarray:
+    """Which observations a round of a target sees: by a hash of their ids, wherever they lie."""
+    if p.bagging >= 1 or p.bagging_freq < 1:
+        return np.ones(len(obs), bool)
+    salt = np.array([p.seed, target, (turn - 1) // p.bagging_freq], np.int64).view(np.uint64)
+    key = np.uint64(0)
+    for s in salt:
+        key = _mixed(np.atleast_1d(key ^ s) + np.uint64(0x9E3779B97F4A7C15))[0]
+    return _mixed(obs.view(np.uint64) ^ key) < np.uint64(int(p.bagging * 2**64))
+
+
+@dataclass
+class Job:
+    """What tasks need to know of a run: trees since predictions were written, the tree that grows and its unknown leaves."""
+
+    run: int
+    target: int
+    place: int
+    fold: int | None
+    scale: float
+    start: float
+    trees: list[Tree]
+    tree: Tree
+    unknown: list[int]
+    features: np.ndarray
+    turn: int
+    validates: bool
+
+
+@dataclass
+class Slab:
+    """Some observations: bins of features, values of targets (NaN: none), folds, and predictions of runs or None before the first round."""
+
+    obs: np.ndarray
+    q: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    f: dict[int, np.ndarray]
+
+    def predicted(self, job: Job) -> np.ndarray:
+        f = self.f[job.run] if job.run in self.f else np.full(len(self.obs), job.start)
+        for tree in job.trees:
+            f = f + np.array(tree.value)[tree.route(self.q)]
+        return f
+
+
+def gradient_sums(slab: Slab, job: Job, p: BoostParams) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Sums of gradients and rows by unknown leaf, feature and bin, and the error and number of validation rows."""
+    f, y = slab.predicted(job), slab.y[job.place]
+    known = ~np.isnan(y)
+    error, rows = 0.0, 0
+    train = known
+    if job.fold is not None:
+        train = known & (slab.fold != job.fold)
+        if job.validates:
+            off = (y - f)[known & (slab.fold == job.fold)]
+            error, rows = float(np.abs(off).sum() if p.metric == "l1" else (off * off).sum()), len(off)
+    use = np.flatnonzero(train & in_bag(slab.obs, job.target, job.turn, p))
+    slot = np.full(len(job.tree.feature), -1)
+    slot[job.unknown] = np.arange(len(job.unknown))
+    slot = slot[job.tree.route(slab.q[:, use])]
+    use, slot = use[slot >= 0], slot[slot >= 0]
+    shape = (len(job.unknown), len(job.features), p.bins + 1)
+    bins = np.minimum(slab.q[np.ix_(job.features, use)], p.bins).astype(np.int64)
+    keys = ((slot[None] * shape[1] + np.arange(shape[1])[:, None]) * shape[2] + bins).ravel()
+    # Whole numbers of up to 2^53 are exact in doubles.
+    g = np.rint((y[use] - f[use]) * job.scale)
+    size = shape[0] * shape[1] * shape[2]
+    sums = np.bincount(keys, np.broadcast_to(g, bins.shape).ravel(), size).astype(np.int64)
+    return sums.reshape(shape), np.bincount(keys, minlength=size).reshape(shape), error, rows
+
+
+class Run:
+    """A run's state on the driver: the tree that grows, what is known of its leaves, its gains and validation errors."""
+
+    def __init__(self, number: int, target: int, place: int, fold: int | None, features: list[int], largest: float, p: BoostParams, width: int):
+        self.number, self.target, self.place, self.fold, self.p = number, target, place, fold, p
+        self.usable = np.array([i for i, t in enumerate(features) if t != target])
+        # A power of 2, by which gradients become whole numbers.
+        self.scale = float(2.0 ** (BITS - max(0 if largest <= 0 else int(np.ceil(np.log2(largest))) + 1, -500)))
+        self.start, self.trees, self.turn = 0.0, [], 0
+        self.gains = np.zeros(width)
+        self.best, self.best_round, self.done = np.inf, 0, not len(self.usable)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.turn += 1
+        self.tree, self.known, self.fresh = Tree(), {}, True
+        take = max(1, int(round(self.p.feature_fraction * len(self.usable))))
+        rng = np.random.default_rng([self.p.seed, self.target, self.turn])
+        self.features = np.sort(rng.choice(self.usable, min(take, len(self.usable)), replace=False)) if len(self.usable) else self.usable
+        self.unknown = [0]
+
+    def job(self) -> Job:
+        return Job(self.number, self.target, self.place, self.fold, self.scale, self.start, self.trees, self.tree, self.unknown, self.features, self.turn, self.fresh and self.turn > 1)
+
+    def take(self, splits: list[Split], error: float, rows: int) -> None:
+        """What a job found out; goes on with the tree, or to the next round."""
+        if self.fresh and self.fold is not None and self.turn > 1 and self._stops(error, rows):
+            self.done = True
+            return
+        self.fresh = False
+        self.known |= dict(zip(self.unknown, splits, strict=True))
+        self._grow()
+        if not self.unknown:
+            self._finish()
+
+    def _stops(self, error: float, rows: int) -> bool:
+        mean = error / rows if rows else 0.0
+        error = float(np.sqrt(mean)) if self.p.metric == "rmse" else mean
+        if error < self.best - self.p.tolerance:
+            self.best, self.best_round = error, self.turn - 1
+        elif self.turn - 1 >= self.p.min_iterations and self.turn - 1 - self.best_round >= self.p.patience:
+            return True
+        return self.turn > self.p.iterations
+
+    def _grow(self) -> None:
+        """Splits best leaves first, as far as all leaves are known; those that may be split next are opened, too.
+
+        The tree holds nodes that were opened early; final says which of them growth has come to.
+        """
+        leaves, self.final, blocked = [0], [], False
+        while len(leaves) < self.p.leaves:
+            if any(x not in self.known for x in leaves):
+                blocked = True
                 break
-            gains[feature] += gain
-            leaves.pop(i)
-            for side in (True, False):
-                a = inside[(q[inside, feature] <= cut) == side]
-                leaves.append((*_split(q, residual, a, features, p), a, everyone[(q[everyone, feature] <= cut) == side]))
-        for _, _, _, inside, everyone in leaves:
-            if len(inside):
-                f[everyone] += p.learning_rate * residual[inside].mean()
-        if val is not None:
-            error = float(np.sqrt(np.mean((y[val] - f[val]) ** 2)))
-            if error < best - p.tolerance:
-                best, best_round = error, turn
-            elif turn >= p.min_iterations and turn - best_round >= p.patience:
-                return gains, max(best_round, 1)
-    return gains, best_round if val is not None else p.iterations
-
-
-def _features(matrix: Matrix, tfs: list[int]):
-    """The regulators' values, observations by regulators, for all tasks; its size is checked first."""
-    rows = matrix.expr.where(F.col("var_id").isin(tfs)).agg(F.count("*")).first()[0]
-    if rows > MOST_CELLS:
-        raise ValueError(f"{rows} cells of regulators are more than a task may hold ({MOST_CELLS}); deal the regulators over several runs")
-    packed = {r["var_id"]: r["values"] for r in Matrix(matrix.expr.where(F.col("var_id").isin(tfs))).packed().collect()}
-    return np.array([packed[t] for t in tfs]).T
+            best = max(leaves, key=lambda x: self.known[x].gain)
+            if self.known[best].gain <= 0:
+                break
+            leaves.remove(best)
+            self.final.append(best)
+            left = self._open(best)
+            leaves += [left, left + 1]
+        self.unknown = []
+        if not blocked:
+            self.leaves = leaves
+            return
+        waiting = [x for x in leaves if x not in self.known]
+        ready = sorted((x for x in leaves if x in self.known and self.known[x].gain > 0), key=lambda x: -self.known[x].gain)
+        for x in ready[: max(0, min(self.p.leaves - len(leaves), (self.p.leaves - len(waiting)) // 2))]:
+            left = self._open(x)
+            waiting += [c for c in (left, left + 1) if c not in self.known]
+        self.unknown = waiting
+
+    def _open(self, node: int) -> int:
+        if self.tree.feature[node] < 0:
+            self.tree.split(node, int(self.features[self.known[node].feature]), self.known[node].cut)
+        return self.tree.left[node]
+
+    def _finish(self) -> None:
+        """The tree without nodes that were opened in vain, and the next round."""
+        sums = {0: (self.known[0].g, self.known[0].n)}
+        out, name = Tree(), {0: 0}
+        for node in self.final:
+            s, left = self.known[node], self.tree.left[node]
+            name[left] = out.split(name[node], self.tree.feature[node], self.tree.cut[node])
+            name[left + 1] = name[left] + 1
+            sums[left], sums[left + 1] = (s.g_left, s.n_left), (s.g - s.g_left, s.n - s.n_left)
+            self.gains[self.tree.feature[node]] += s.gain / self.scale / self.scale
+        for leaf in self.leaves:
+            g, n = sums[leaf]
+            out.value[name[leaf]] = self.p.learning_rate * (g / n) / self.scale if n else 0.0
+        self.trees = [*self.trees, out]
+        if self.fold is None and self.turn >= self.p.iterations:
+            self.done = True
+        else:
+            self._begin()
+
+
+def train(runs: list[Run], step: Callable[[list[Job]], dict], keep: Callable[[list[Job]], None] | None = None) -> None:
+    """Trains all runs together. step gives for each job its leaves' splits, the validation error and its rows; keep writes predictions."""
+    kept = 0
+    while alive := [r for r in runs if not r.done]:
+        if keep and min(r.turn for r in alive) - 1 - kept >= KEPT_EVERY:
+            keep([r.job() for r in alive])
+            for r in runs:
+                r.trees = []
+            kept = min(r.turn for r in alive) - 1
+        found = step([r.job() for r in alive])
+        for r in alive:
+            if r.number in found:
+                r.take(*found[r.number])
+            else:  # there is no observation
+                r.done = True
+
+
+def _starts(runs: list[Run], sums: dict[int, tuple[int, int]]) -> None:
+    """First predictions: the mean of a run's training rows, from whole numbers."""
+    for r in runs:
+        g, n = sums.get(r.number, (0, 0))
+        r.start = g / n / r.scale if n else 0.0
+
+
+def _start_sums(slab: Slab, job: Job) -> tuple[int, int]:
+    y = slab.y[job.place]
+    use = ~np.isnan(y) & (slab.fold != job.fold if job.fold is not None else True)
+    return int(np.rint(y[use] * job.scale).astype(np.int64).sum()), int(use.sum())
+
+
+def boost(q: np.ndarray, y: np.ndarray, p: BoostParams, fold: np.ndarray | None = None, val: int | None = None, target: int = 0) -> tuple[np.ndarray, int]:
+    """One run on one slab: gains by feature and the number of rounds kept.
+
+    q: bins, observations by features; the target is none of them, and seeds the draws. With val, the fold that
+    validates, it stops once the error has not fallen by over tolerance for patience rounds, after min_iterations at
+    least; the best round is returned.
+    """
+    slab = Slab(np.arange(len(y)), np.ascontiguousarray(q.T), y[None].astype(float), np.zeros(len(y), int) if fold is None else fold, {})
+    run = Run(0, target, 0, val, list(range(1, q.shape[1] + 1)), float(np.abs(y).max(initial=0)), p, q.shape[1])
+    train_on(slab, [run], p)
+    return run.gains, p.iterations if val is None else max(run.best_round, 1)
+
+
+def train_on(slab: Slab, runs: list[Run], p: BoostParams) -> None:
+    """Trains runs on one slab that has all observations."""
+
+    def step(jobs):
+        out = {}
+        for job in jobs:
+            g, n, error, rows = gradient_sums(slab, job, p)
+            out[job.run] = (best_splits(g, n, p.least_leaf), error, rows)
+        return out
+
+    def keep(jobs):
+        slab.f = {job.run: slab.predicted(job) for job in jobs}
+
+    _starts(runs, {r.number: _start_sums(slab, r.job()) for r in runs})
+    train(runs, step, keep)
+
+
+RESULT = "target int, fold int, rounds int, tfs array<int>, gains array<double>"
+_RESULT_TYPE = pa.schema([("target", pa.int32()), ("fold", pa.int32()), ("rounds", pa.int32()), ("tfs", pa.list_(pa.int32())), ("gains", pa.list_(pa.float64()))])
+
+
+def _result(r: Run, features: list[int]) -> tuple:
+    return (int(r.target), r.fold, max(r.best_round, 1), [int(features[f]) for f in r.usable], [float(r.gains[f]) for f in r.usable])
+
+
+_SLAB = "slab long, part int, obs binary, q binary, y binary, fold binary, runs binary, f binary"
+_PIECE = "run int, piece int, sums binary, error double, rows long"
+_BEST = "run int, slot int, gain double, piece int, feature int, cut int, g_left long, n_left long, g long, n long, error double, rows long"
+
+
+class Slabs:
+    """The packed observations of some runs, dealt over the cluster."""
+
+    def __init__(self, matrix: Matrix, features: list[int], runs: list[Run], folds: DataFrame | None, p: BoostParams):
+        self.p, self.features, self.width = p, features, len(features)
+        self.spark = matrix.expr.sparkSession
+        targets = list(dict.fromkeys(r.target for r in runs))
+        parts = self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        nobs = matrix.expr.select(F.approx_count_distinct("obs_id")).first()[0]
+        slabs = max(1, -(-int(nobs * 1.1) * (len(features) + len(targets) + 1) // p.slab_cells), -(-int(nobs * 1.1) // MOST_ROWS))
+        self.alone = slabs == 1
+        # Where slabs are fewer than tasks, each is dealt in copies, of which each serves a part of the runs.
+        copies = max(1, min(-(-parts // slabs), len(runs) // 8))
+        self.frame = written(self._packed(matrix, features, targets, folds, slabs, copies, [r.number for r in runs]).repartition(min(parts, slabs * copies), "slab", "part"))
+
+    def _packed(self, matrix, features, targets, folds, slabs, copies, runs) -> DataFrame:
+        kinds = matrix.expr.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
+        cuts = quantile_cuts(kinds.where(F.col("var_id").isin(features)), self.p.bins)
+        below = F.size(F.filter("cuts", lambda c: c < F.col("value"))).cast("double")
+        binned = kinds.join(small_side(cuts), "var_id").select("obs_id", F.lit(0).alias("kind"), "var_id", F.when(F.col("value").isNotNull(), below).alias("value"))
+        rows = binned.unionByName(kinds.where(F.col("var_id").isin(targets)).select("obs_id", F.lit(1).alias("kind"), "var_id", "value"))
+        if folds is not None:
+            rows = rows.unionByName(folds.select("obs_id", F.lit(2).alias("kind"), F.lit(0).alias("var_id"), F.col("fold").cast("double").alias("value")))
+        names = [np.array(x, np.int64) for x in (features, targets)]
+        order = [np.argsort(x) for x in names]
+
+        def pack(table: pa.Table) -> pa.Table:
+            obs, kind, var, value = (table.column(c).to_numpy() for c in ("obs_id", "kind", "var_id", "value"))
+            seen, at = np.unique(obs, return_inverse=True)
+            q = np.full((len(features), len(seen)), MISSING, np.uint8)
+            y = np.full((len(targets), len(seen)), np.nan)
+            fold = np.full(len(seen), -1, np.int16)
+            for grid, k in ((q, 0), (y, 1)):
+                use = np.flatnonzero((kind == k) & ~np.isnan(value))
+                if len(use):
+                    grid[order[k][np.searchsorted(names[k], var[use], sorter=order[k])], at[use]] = value[use]
+            use = np.flatnonzero(kind == 2)
+            fold[at[use]] = value[use]
+            cells = [seen.astype(np.int64), q, y, fold]
+            out = []
+            for part in range(copies):
+                own = np.array(runs[part::copies], np.int32)
+                out.append([table.column("slab")[0].as_py(), part, *(c.tobytes() for c in cells), own.tobytes(), None])
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)], names=[c.split()[0] for c in _SLAB.split(", ")])
+
+        return rows.withColumn("slab", F.pmod(F.xxhash64("obs_id"), F.lit(slabs))).groupBy("slab").applyInArrow(pack, _SLAB)
+
+    @staticmethod
+    def _read(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[dict, Slab, list[int]]]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                obs, runs = np.frombuffer(row["obs"], np.int64), np.frombuffer(row["runs"], np.int32).tolist()
+                n = len(obs)
+                f = dict(zip(runs, np.frombuffer(row["f"]).reshape(len(runs), n), strict=True)) if row["f"] else {}
+                yield row, Slab(obs, np.frombuffer(row["q"], np.uint8).reshape(width, n), np.frombuffer(row["y"]).reshape(-1, n), np.frombuffer(row["fold"], np.int16), f), runs
+
+    def train_in_tasks(self, runs: list[Run]) -> DataFrame:
+        """RESULT of all runs, where each task has all observations in its one slab."""
+        p, width, features, given = self.p, self.width, self.features, {r.number: r for r in runs}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, slab, own in Slabs._read(batches, width):
+                mine = [given[r] for r in own]
+                train_on(slab, mine, p)
+                out = [_result(r, features) for r in mine]
+                yield pa.RecordBatch.from_pylist([dict(zip(("target", "fold", "rounds", "tfs", "gains"), x, strict=True)) for x in out], _RESULT_TYPE)
+
+        return self.frame.mapInArrow(run, RESULT)
+
+    def starts(self, runs: list[Run]) -> None:
+        width, jobs = self.width, {r.number: r.job() for r in runs}
+
+        def run(batches):
+            for _, slab, own in Slabs._read(batches, width):
+                sums = [_start_sums(slab, jobs[r]) for r in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64())], ["run", "g", "n"])
+
+        found = self.frame.mapInArrow(run, "run int, g long, n long").groupBy("run").agg(F.sum("g"), F.sum("n")).collect()
+        _starts(runs, {r[0]: (r[1], r[2]) for r in found})
+
+    def step(self, jobs: list[Job]) -> dict:
+        """A leaf's best split is sought within pieces of the features, then among them."""
+        p, width = self.p, self.width
+        shared = self.spark.sparkContext.broadcast({j.run: j for j in jobs})
+        piece = max(1, PIECE // (16 * (p.bins + 1) * max(len(j.unknown) for j in jobs)))
+        pieces = -(-max(len(j.features) for j in jobs) // piece)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for _, slab, own in Slabs._read(batches, width):
+                for r in own:
+                    if r in shared.value:
+                        new = gradient_sums(slab, shared.value[r], p)
+                        if r in sums:
+                            for k, x in enumerate(new):
+                                sums[r][k] += x
+                        else:
+                            sums[r] = list(new)
+            for r, (g, n, error, rows) in sums.items():
+                for k in range(0, g.shape[1], piece):
+                    both = np.stack([g[:, k : k + piece], n[:, k : k + piece]]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k // piece], pa.int32()), pa.array([both], pa.binary()), pa.array([error if k == 0 else 0.0]), pa.array([rows if k == 0 else 0])], ["run", "piece", "sums", "error", "rows"])
+
+        def pick(table: pa.Table) -> pa.Table:
+            job, k = shared.value[table.column("run")[0].as_py()], table.column("piece")[0].as_py()
+            both = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums")).reshape(2, len(job.unknown), -1, p.bins + 1)
+            error, rows = sum(table.column("error").to_pylist()), sum(table.column("rows").to_pylist())
+            out = [(job.run, slot, s.gain, k, s.feature + k * piece if s.feature >= 0 else -1, s.cut, s.g_left, s.n_left, s.g, s.n, error, rows) for slot, s in enumerate(best_splits(*both, p.least_leaf))]
+            kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+            return pa.table({name: pa.array(c, kinds[t]) for (name, t), c in zip((x.split() for x in _BEST.split(", ")), zip(*out, strict=True), strict=True)})
+
+        sums = self.frame.mapInArrow(add, _PIECE)
+        best = sums.repartition(min(self.parts, len(jobs) * pieces), "run", "piece").groupBy("run", "piece").applyInArrow(pick, _BEST)
+        if pieces > 1:
+            first = F.max(F.struct("gain", (-F.col("piece")).alias("piece"), "feature", "cut", "g_left", "n_left", "g", "n")).alias("s")
+            best = best.groupBy("run", "slot").agg(first, F.sum("error").alias("error"), F.sum("rows").alias("rows")).select("run", "slot", "s.*", "error", "rows")
+        out: dict[int, list] = {}
+        for r in sorted(self._collected(best), key=lambda r: (r["run"], r["slot"])):
+            splits, _, _ = out.setdefault(r["run"], [[], r["error"], r["rows"]])
+            splits.append(Split(r["gain"], r["feature"], r["cut"], r["g_left"], r["n_left"], r["g"], r["n"]))
+        shared.destroy()
+        return out
+
+    def _collected(self, frame: DataFrame) -> list:
+        """Rows of a short job. Its stages are known, so it is not planned anew between them."""
+        was = self.spark.conf.get("spark.sql.adaptive.enabled")
+        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return frame.collect()
+        finally:
+            self.spark.conf.set("spark.sql.adaptive.enabled", was)
+
+    def keep(self, jobs: list[Job]) -> None:
+        """Writes the predictions after the rounds so far; runs that have ended are left out."""
+        width, shared = self.width, self.spark.sparkContext.broadcast({j.run: j for j in jobs})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row, slab, own in Slabs._read(batches, width):
+                alive = [r for r in own if r in shared.value]
+                row["runs"] = np.array(alive, np.int32).tobytes()
+                row["f"] = b"".join(slab.predicted(shared.value[r]).tobytes() for r in alive)
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("slab", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("obs", "q", "y", "fold", "runs", "f"))]))
+
+        self.frame = written(self.frame.mapInArrow(run, _SLAB))
 
 
 def kfold(observations: DataFrame, folds: int, seed: str = "72") -> DataFrame:
-    """obs_id, place, fold: contiguous blocks of a permutation in the order of an md5."""
+    """obs_id, place, fold: contiguous blocks of a permutation in the order of an md5.
+
+    The md5's leading digits deal the observations into ranges of that order, of about a million at most; a place is
+    the number of observations in earlier ranges, and that of earlier ones in its own. Only the sizes of ranges are
+    collected.
+    """
+    keyed = observations.select("obs_id").withColumn("_key", F.md5(F.concat_ws(":", "obs_id", F.lit(seed))))
     n = observations.count()
-    place = (F.row_number().over(W.orderBy(F.md5(F.concat_ws(":", "obs_id", F.lit(seed))), "obs_id")) - 1).cast("long")
-    return observations.select("obs_id").withColumn("place", place).withColumn("fold", block_owner(F.col("place"), folds, n))
+    digits = 2
+    while n / 16**digits > 1_000_000:
+        digits += 1
+    keyed = keyed.withColumn("_range", F.substring("_key", 1, digits))
+    before, total = [], 0
+    for r in sorted(keyed.groupBy("_range").count().collect()):
+        before.append((r["_range"], total))
+        total += r["count"]
+    offsets = observations.sparkSession.createDataFrame(before, "_range string, _before long")
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("_key", "obs_id")) - 1
+    placed = keyed.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn("place", F.col("_before") + F.col("_inside"))
+    return placed.select("obs_id", "place", block_owner(F.col("place"), folds, n).alias("fold"))
 
 
-def gb_network(matrix: Matrix, tfs: list[int], params: BoostParams, threshold: float | None = 0.0) -> DataFrame:
-    """tf, target, importance over a threshold (None: all): one regressor for each target; a regulator is no feature of itself."""
-    x = _features(matrix, tfs)
-    shared = matrix.expr.sparkSession.sparkContext.broadcast(quantised(x, params.bins))
+def _largest(matrix: Matrix, targets: DataFrame) -> dict[int, float]:
+    """The largest absolute value of each target."""
+    rows = matrix.expr.where(~F.isnan("value") & (F.abs("value") < float("inf"))).join(small_side(targets), "var_id")
+    return {r[0]: r[1] for r in rows.groupBy("var_id").agg(F.max(F.abs("value"))).collect()}
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for target, values in zip(b.column("var_id").to_pylist(), b.column("values").to_pylist(), strict=True):
-                use = [k for k, t in enumerate(tfs) if t != target]
-                gains, _ = boost(shared.value[:, use], np.array(values), params, target=target)
-                yield pa.RecordBatch.from_arrays([pa.array([tfs[k] for k in use], pa.int32()), pa.array([target] * len(use), pa.int32()), pa.array(gains)], ["tf", "target", "importance"])
 
-    parts = int(matrix.expr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = matrix.packed().repartition(parts, "var_id").mapInArrow(fit, "tf int, target int, importance double")
+def _lots(targets: list[int], folds: int, width: int, p: BoostParams) -> Iterator[list[int]]:
+    """Targets in lots, whose runs' sums a task may hold."""
+    take = max(1, int(round(p.feature_fraction * width)))
+    runs = MOST_SUMS // (16 * p.leaves * take * (p.bins + 1))
+    size = max(1, runs // max(folds, 1))
+    for lo in range(0, len(targets), size):
+        yield targets[lo : lo + size]
+
+
+def _trained(matrix: Matrix, tfs: list[int], targets: list[int], folds: int, params: BoostParams) -> DataFrame:
+    """RESULT of a run for each target, or for each target and fold. Each lot's results are appended to a table once it is trained."""
+    spark = matrix.expr.sparkSession
+    path = new_folder(spark)
+    spark.createDataFrame([], RESULT).write.parquet(path)
+    dealt = written(kfold(matrix.expr.select("obs_id").distinct(), folds)) if folds else None
+    for lot in _lots(targets, folds, len(tfs), params):
+        largest = _largest(matrix, spark.createDataFrame([(t,) for t in lot], "var_id int"))
+        of = [(t, k) for t in lot for k in (range(folds) if folds else [None])]
+        place = {t: i for i, t in enumerate(lot)}
+        runs = [Run(i, t, place[t], k, tfs, largest.get(t, 0.0), params, len(tfs)) for i, (t, k) in enumerate(of)]
+        slabs = Slabs(matrix, tfs, runs, dealt, params)
+        if slabs.alone:
+            results = slabs.train_in_tasks(runs)
+        else:
+            slabs.starts(runs)
+            train(runs, slabs.step, slabs.keep)
+            results = spark.createDataFrame([_result(r, tfs) for r in runs], RESULT)
+        results.write.mode("append").parquet(path)
+    return spark.read.schema(RESULT).parquet(path)
+
+
+def _targets(matrix: Matrix) -> list[int]:
+    return sorted(r[0] for r in matrix.expr.select("var_id").distinct().collect())
+
+
+def gb_network(matrix: Matrix, tfs: list[int], params: BoostParams, threshold: float | None = 0.0) -> DataFrame:
+    """tf, target, importance over a threshold (None: all): one regressor for each target; a regulator is no feature of itself.
+
+    Null and non-finite values are missing: beyond every cut as a feature, left out as a target's. A repeated
+    (obs_id, var_id) counts once, by any of its values.
+    """
+    found = _trained(matrix, tfs, _targets(matrix), 0, params)
+    edges = found.select("target", F.explode(F.arrays_zip("tfs", "gains")).alias("e")).select(F.col("e.tfs").alias("tf"), "target", F.col("e.gains").alias("importance"))
     return edges if threshold is None else edges.where(F.col("importance") > threshold)
 
 
 def cv_rounds(matrix: Matrix, tfs: list[int], targets: list[int], folds: int, params: BoostParams) -> DataFrame:
-    """target, fold, rounds: one task's unit is a target and fold."""
-    x = _features(matrix, tfs)
-    own = matrix.expr.where(F.col("var_id") == tfs[0]).select("obs_id")
-    fold = np.array([r["fold"] for r in kfold(own, folds).orderBy("obs_id").collect()])
-    shared = matrix.expr.sparkSession.sparkContext.broadcast((quantised(x, params.bins), fold))
-    runs = Matrix(matrix.expr.where(F.col("var_id").isin(targets))).packed().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, fold = shared.value
-        for b in batches:
-            for target, values, k in zip(*(b.column(c).to_pylist() for c in ("var_id", "values", "fold")), strict=True):
-                use = [i for i, t in enumerate(tfs) if t != target]
-                _, rounds = boost(q[:, use], np.array(values), params, np.flatnonzero(fold != k), np.flatnonzero(fold == k), target)
-                yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([k], pa.int32()), pa.array([rounds], pa.int32())], ["target", "fold", "rounds"])
-
-    parts = int(matrix.expr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(parts, "var_id", "fold").mapInArrow(fit, "target int, fold int, rounds int")
+    """target, fold, rounds: the best round of a run without the fold, by its error on the fold."""
+    return _trained(matrix, tfs, targets, folds, params).select("target", "fold", "rounds")
 
 
 def cv_stats(rounds: DataFrame) -> DataFrame:
-    """mean, stdev (population), median, p25, p75, least and most of column rounds; order statistics are elements at n div 2, n div 4 and 3n div 4."""
-    s = rounds.agg(F.avg("rounds").alias("mean"), F.stddev_pop("rounds").alias("stdev"), F.array_sort(F.collect_list(F.col("rounds").cast("long"))).alias("r"), F.count("*").alias("n"))
-    at = lambda k: F.get("r", F.floor(F.col("n") * k / 4).cast("int"))
-    return s.select("mean", "stdev", at(2).alias("median"), at(1).alias("p25"), at(3).alias("p75"), F.array_min("r").alias("least"), F.array_max("r").alias("most"))
+    """summary() of column rounds, its order statistics as whole numbers."""
+    s = summary(rounds, "rounds")
+    return s.select("mean", "stdev", *[F.col(c).cast("long").alias(c) for c in ("median", "p25", "p75", "least", "most")])

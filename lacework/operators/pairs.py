@@ -9,24 +9,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Blocks on a side of a task's square at most.
+MOST_SIDE = 8
+
 
 def joint_histogram(binned: DataFrame) -> DataFrame:
-    """x, y, bx, by, n for x < y, by a self-join on the observation; cells are summed before the shuffle."""
+    """x, y, bx, by, n for x < y, by a self-join on the observation; cells are summed before the shuffle.
+
+    A repeated (obs_id, var_id) counts once, in its greatest bin; an observation counts for the pairs that it has both of.
+    """
+    binned = binned.repartition("obs_id").groupBy("obs_id", "var_id").agg(F.max("bin").alias("bin"))
     a = binned.select("obs_id", F.col("var_id").alias("x"), F.col("bin").alias("bx"))
     b = binned.select("obs_id", F.col("var_id").alias("y"), F.col("bin").alias("by"))
     return a.join(b, "obs_id").where("x < y").groupBy("x", "y", "bx", "by").agg(F.count("*").alias("n"))
 
 
-def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int = 65_536) -> DataFrame:
+def squares(packed: DataFrame, blocks: int, side: int) -> DataFrame:
+    """packed rows of blocks, once for each square (i, j) of side by side blocks that they are part of."""
+    last = max(-(-blocks // side) - 1, 0)
+    own = F.floor(F.col("block") / side).cast("int")
+    met = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    return met.select("slab", F.least(own, "with").alias("i"), F.greatest(own, "with").alias("j"), "block", "vars", "obs", "grid")
+
+
+def _side(blocks: int, slabs: int, parts: int) -> int:
+    """Blocks on a side of a task's square: as many as leave enough squares for all tasks."""
+    side = MOST_SIDE
+    while side > 1 and slabs * (-(-blocks // side)) * (-(-blocks // side) + 1) // 2 < 2 * parts:
+        side //= 2
+    return side
+
+
+def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int = 65_536, side: int | None = None) -> DataFrame:
     """The same, without a row for each observation and pair: for many variables.
 
     Variables are dealt into blocks of some width and observations into slabs of about that many. A block of a
-    slab is packed into one row, a grid of 2 bytes a cell (4 where bins need them); packed rows travel once
-    for each block that theirs meets, and a task holds two of them at a time and counts all their pairs at once.
+    slab is packed into one row, a grid of 2 bytes a cell (4 where bins need them). A task counts a square of side by
+    side blocks against one another, so packed rows travel once for each side blocks that they meet, and it holds
+    the rows of two sides at a time. Repeated cells count as in joint_histogram().
     """
     sizes = binned.agg(F.max("var_id").alias("last"), F.approx_count_distinct("obs_id").alias("nobs")).first()
     blocks = 0 if sizes["last"] is None else sizes["last"] // width + 1
     slabs = max(1, -(-sizes["nobs"] // observations))
+    side = side or _side(blocks, slabs, int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = binned.select(F.pmod(F.xxhash64("obs_id"), F.lit(slabs)).alias("slab"), F.floor(F.col("var_id") / width).cast("int").alias("block"), "obs_id", "var_id", "bin")
 
     def pack(table: pa.Table) -> pa.Table:
@@ -35,34 +60,39 @@ def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int
         seen, o = np.unique(obs, return_inverse=True)
         kind = np.int16 if bins.max() < 2**15 else np.int32
         grid = np.full((len(names), len(seen)), -1, kind)
-        grid[v, o] = bins
+        np.maximum.at(grid, (v, o), bins.astype(kind))
         head = [table.column(c).slice(0, 1) for c in ("slab", "block")]
         return pa.table([*head, pa.array([names.astype(np.int32)], pa.list_(pa.int32())), pa.array([seen.astype(np.int64).tobytes()], pa.binary()), pa.array([grid.tobytes()], pa.binary())], names=["slab", "block", "vars", "obs", "grid"])
 
     packed = own.groupBy("slab", "block").applyInArrow(pack, "slab long, block int, vars array<int>, obs binary, grid binary")
-    met = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
-    met = met.select("slab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "vars", "obs", "grid")
+    met = squares(packed, blocks, side)
+
+    def unpacked(table: pa.Table, k: int):
+        obs, grid = (np.frombuffer(table.column(c)[k].as_py(), kind) for c, kind in (("obs", np.int64), ("grid", np.uint8)))
+        names = np.array(table.column("vars")[k].as_py())
+        kind = np.int16 if len(grid) == 2 * len(names) * len(obs) else np.int32
+        return names, obs, grid.view(kind).reshape(-1, len(obs))
 
-    def unpacked(row):
-        obs = np.frombuffer(row["obs"], np.int64)
-        kind = np.int16 if len(row["grid"]) == 2 * len(row["vars"]) * len(obs) else np.int32
-        return np.array(row["vars"]), obs, np.frombuffer(row["grid"], kind).reshape(-1, len(obs))
+    def pair(first, second, out: list) -> None:
+        common, at, to = (first[1], ..., ...) if np.array_equal(first[1], second[1]) else np.intersect1d(first[1], second[1], True, True)
+        a, b = first[2][:, at].astype(np.int64), second[2][:, to].astype(np.int64)
+        size = int(b.max(initial=0)) + 1
+        for k, x in enumerate(first[0]):
+            for l, y in enumerate(second[0]):
+                if x < y:
+                    both = (a[k] >= 0) & (b[l] >= 0)
+                    cells = np.bincount(a[k][both] * size + b[l][both])
+                    where = np.flatnonzero(cells)
+                    out.append((np.full(len(where), x), np.full(len(where), y), where // size, where % size, cells[where]))
 
     def count(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        at = {b: k for k, b in enumerate(table.column("block").to_pylist())}
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         out = []
-        if rows[0]["i"] == rows[0]["j"] or len(rows) == 2:
-            first, second = unpacked(rows[0]), unpacked(rows[-1])
-            common, at, to = (first[1], ..., ...) if np.array_equal(first[1], second[1]) else np.intersect1d(first[1], second[1], True, True)
-            a, b = first[2][:, at].astype(np.int64), second[2][:, to].astype(np.int64)
-            size = int(b.max(initial=0)) + 1
-            for k, x in enumerate(first[0]):
-                for l, y in enumerate(second[0]):
-                    if x < y:
-                        both = (a[k] >= 0) & (b[l] >= 0)
-                        cells = np.bincount(a[k][both] * size + b[l][both])
-                        where = np.flatnonzero(cells)
-                        out.append((np.full(len(where), x), np.full(len(where), y), where // size, where % size, cells[where]))
+        for p in sorted(b for b in at if b // side == i):
+            first = unpacked(table, at[p])
+            for q in sorted(b for b in at if b // side == j and b >= p):
+                pair(first, first if p == q else unpacked(table, at[q]), out)
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
         return pa.table({n: pa.array(c.astype(np.int64 if n == "n" else np.int32)) for n, c in zip(("x", "y", "bx", "by", "n"), columns, strict=True)})
 

@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mpuc
 from ..sources.matrix import small_side
-from .measures import redundancies
+from .measures import unique_shares
 
 
-def puc_direct(si: DataFrame, mi: DataFrame, nobs: int) -> DataFrame:
-    """x, y, puc: the sum over third variables of what is not redundant, for both orders. Cubic: the cross-check."""
-    r = redundancies(si, nobs).withColumns({"x": F.least("about", "by"), "y": F.greatest("about", "by")})
-    return r.join(mi, ["x", "y"]).groupBy("x", "y").agg(F.sum(mpuc(F.col("mi"), F.col("redundancy"))).alias("puc"))
+def _by_pair(shares: DataFrame) -> DataFrame:
+    return shares.groupBy(F.least("about", "by").alias("x"), F.greatest("about", "by").alias("y")).agg(F.sum("share").alias("puc"))
 
 
-def puc_direct_sampled(si: DataFrame, mi: DataFrame, nobs: int, subset: DataFrame) -> DataFrame:
-    """x, y, puc: the mean over rounds of puc_direct() over each round's third variables (round, var_id)."""
+def puc_direct(si: DataFrame, nobs: int) -> DataFrame:
+    """x, y, puc: the sum over third variables of what is not redundant, for both orders. Cubic work, in tiles: the cross-check."""
+    return _by_pair(unique_shares(si, nobs))
+
+
+def puc_direct_sampled(si: DataFrame, nobs: int, subset: DataFrame) -> DataFrame:
+    """x, y, puc: the mean over rounds of puc_direct() over each round's third variables (round, var_id).
+
+    A third variable counts as often as rounds have it, so all rounds are one pass. A weight for each variable goes
+    to all tasks.
+    """
     rounds = subset.select("round").distinct().count()
-    third = subset.select("round", F.col("var_id").alias("other"))
-    r = redundancies(si, nobs).withColumns({"x": F.least("about", "by"), "y": F.greatest("about", "by")}).join(small_side(third), "other")
-    return r.join(mi, ["x", "y"]).groupBy("x", "y").agg((F.sum(mpuc(F.col("mi"), F.col("redundancy"))) / F.lit(float(max(rounds, 1)))).alias("puc"))
+    held = subset.groupBy("var_id").agg(F.count("*").alias("n")).collect()
+    return _by_pair(unique_shares(si, nobs, {r["var_id"]: r["n"] / max(rounds, 1) for r in held}))
 
 
 def min_sums(lmr: DataFrame, subset: DataFrame | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ BOOST_KEYS = {"num_iterations": "iterations", "early_stopping_rounds": "patience
 # Keys that may stand in a configuration and change nothing here. Spark logs, times and threads by its own
 # settings; the others belong to modes without a meaning.
 UNUSED = ("enable_timers", "log_level", "nodes_pickle", "nodes_pairs_pickle", "samples_file", "sub_net_files", "wflow_dir", "quantile_filter", "npairs")
-UNUSED_BOOST = ("verbose", "num_threads", "metric", "bagging_freq")
+UNUSED_BOOST = ("verbose", "num_threads")
 
 
 class ConfigError(ValueError):
@@ -37,7 +37,9 @@ class PucConfig:
 
     Tables of histograms go to hist_data_file, of information to misi_data_file and of scores to puc_file, or all
     to out. names is a table of the variables' names in gene_id_col. nvars: only the first so many variables, 0: all;
-    nobs is taken from the data. save_nodes and save_node_pairs: modes that make histograms on the way write them too.
+    nobs is taken from the data. buckets: into which specific information is clustered (0: as
+    many as shuffles have partitions). resume: tables that an
+    earlier run of like settings has finished are not made again. save_nodes and save_node_pairs: modes that make histograms on the way write them too.
     """
 
     matrix: str
@@ -63,6 +65,8 @@ class PucConfig:
     tbase: str = "2"
     disc_method: str = "bayesian_blocks"
     bins: int = 8
+    buckets: int = 0
+    resume: bool = False
 
     def __post_init__(self):
         self.tbase, self.mode = str(self.tbase), _modes(self.mode)
@@ -120,7 +124,7 @@ class BoostConfig:
         given = {BOOST_KEYS.get(k, k): v for k, v in self.gbm_params.items() if k not in UNUSED_BOOST}
         try:
             self.params = BoostParams(**given)
-        except TypeError as e:
+        except (TypeError, ValueError) as e:
             raise ConfigError(str(e)) from None
 
 

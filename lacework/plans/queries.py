@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import binning, boost, measures, pairs, puc
+from ..operators import binning, boost, measures, pairs, puc, quantiles
 from ..sources import matrix, store
 from .config import PucConfig
 from .workflow import PucWorkflow
@@ -48,7 +45,7 @@ def _binned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str, base: str = "2") -> DataFrame:
-    return measures.log_ratios(pairs.joint_histogram(_binned(spark, d)), base)
+    return measures.log_ratios(pairs.joint_histogram_blocks(_binned(spark, d)), base)
 
 
 def _genes(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +150,7 @@ def genes_by_name(spark, d):
 @query(f"SELECT n_name AS gene, (SELECT max(var_id) FROM {GENES} g WHERE g.gene = n_name) AS var_id FROM nation")
 def gene_set_from_csv(spark, d):
     """Names of a CSV file with their variables."""
-    path = _folder(spark)
+    path = store.new_folder(spark)
     names = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("gene"), F.col("n_nationkey").alias("key"))
     names.orderBy("gene").coalesce(1).write.option("header", True).csv(path)
     return matrix.GeneSet(matrix.Matrix(_raw(spark, d), _genes(spark, d)), matrix.read_csv_column(spark, path, "gene")).members.select("gene", "var_id")
@@ -162,7 +159,7 @@ def gene_set_from_csv(spark, d):
 @query(f"SELECT var_id, (row_number() OVER (PARTITION BY var_id ORDER BY obs_id) - 1)::INT AS place, value FROM ({EXPR}) WHERE var_id >= 40 AND var_id < 48")
 def packed_range_scan(spark, d):
     """A range of variables of a packed table, where the range reaches the scan."""
-    path = _folder(spark)
+    path = store.new_folder(spark)
     matrix.Matrix(_raw(spark, d)).write_packed(path)
     return matrix.open_packed(spark, path, 40, 48, 2)
 
@@ -216,7 +213,7 @@ def hist_2d_blocks(spark, d):
 
 @query(f'{_with()} SELECT x, y, bx, "by", n, n_x, n_y, w::BIGINT AS w FROM c')
 def joint_marginals(spark, d):
-    return measures.marginals(pairs.joint_histogram(_binned(spark, d)))
+    return measures.marginals(pairs.joint_histogram_blocks(_binned(spark, d)))
 
 
 @query(f'{_with()} SELECT x, y, bx, "by", {M.format("lr", "lr")} FROM c')
@@ -235,7 +232,7 @@ for _name, _base, _log in (("mi_pairs", "2", "log2"), ("mi_pairs_ln", "e", "ln")
 @query(f"{BLOCKS_B}, {_tables()} SELECT x, y, {M.format('mi', 'mi')} FROM mi")
 def mi_pairs_bayesian(spark, d):
     expr = _expr(spark, d)
-    joint = pairs.joint_histogram(binning.assign(expr, binning.bayesian_edges(expr)))
+    joint = pairs.joint_histogram_blocks(binning.assign(expr, binning.bayesian_edges(expr)))
     return measures.mutual_information(measures.log_ratios(joint)).select("x", "y", micro("mi"))
 
 
@@ -269,8 +266,7 @@ def redundancy_triples(spark, d):
 
 @query(f"{TRIPLES} SELECT x, y, round(sum(CASE WHEN mi > 0 AND mi >= redundancy THEN (mi - redundancy) / mi ELSE 0 END) * 1e6) / 1e6 + 0.0 AS puc FROM r JOIN mi ON x = least(about, t) AND y = greatest(about, t) GROUP BY x, y")
 def puc_direct(spark, d):
-    cells = _cells(spark, d)
-    return puc.puc_direct(measures.specific_information(cells), measures.mutual_information(cells), _nobs(spark, d)).select("x", "y", micro("puc"))
+    return puc.puc_direct(measures.specific_information(_cells(spark, d)), _nobs(spark, d)).select("x", "y", micro("puc"))
 
 
 #: By the triple join, which does not follow the window's way.
@@ -285,10 +281,11 @@ def minsum_window(spark, d):
 PUC = "SELECT least(about, t) AS x, greatest(about, t) AS y, round(sum(CASE WHEN mi > 0 THEN {n} - ms / mi ELSE 0 END) * 1e6) / 1e6 + 0.0 AS puc FROM ms JOIN mi ON x = least(about, t) AND y = greatest(about, t) GROUP BY ALL"
 
 
-@query(f"{_with()}, {MS} {PUC.format(n=62)}")
+@query(f"{_with()}, {MS} {PUC.format(n='(SELECT count(DISTINCT var_id) - 2 FROM b)')}")
 def puc_lmr(spark, d):
     cells = _cells(spark, d)
-    return puc.puc_lmr(measures.specific_information(cells), measures.mutual_information(cells), 64).select("x", "y", micro("puc"))
+    nvars = _raw(spark, d).select("var_id").distinct().count()
+    return puc.puc_lmr(measures.specific_information(cells), measures.mutual_information(cells), nvars).select("x", "y", micro("puc"))
 
 
 SAMPLES = "sm AS (SELECT round, var_id FROM (SELECT r AS round, v AS var_id, row_number() OVER (PARTITION BY r ORDER BY md5(r || ':' || v || ':72')) AS rn FROM (SELECT unnest(range(0, 64))::INT AS v), (SELECT unnest(range(0, 4))::INT AS r)) WHERE rn <= 16)"
@@ -315,10 +312,8 @@ def puc_sampled(spark, d):
 
 @query(f"{TRIPLES}, {SAMPLES} SELECT x, y, round(sum(CASE WHEN mi > 0 AND mi >= redundancy THEN (mi - redundancy) / mi ELSE 0 END) / 4 * 1e6) / 1e6 + 0.0 AS puc FROM r JOIN sm ON sm.var_id = other JOIN mi ON x = least(about, t) AND y = greatest(about, t) GROUP BY x, y")
 def puc_direct_sampled(spark, d):
-    cells = _cells(spark, d)
-    si = measures.specific_information(cells)
     samples = puc.sample_rounds(_expr(spark, d).select("var_id").distinct(), 4, 16)
-    return puc.puc_direct_sampled(si, measures.mutual_information_of(si), _nobs(spark, d), samples).select("x", "y", micro("puc"))
+    return puc.puc_direct_sampled(measures.specific_information(_cells(spark, d)), _nobs(spark, d), samples).select("x", "y", micro("puc"))
 
 
 def _information(spark, d):
@@ -356,28 +351,72 @@ def kfold_assign(spark, d):
     return boost.kfold(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("obs_id")), 5)
 
 
-@query("SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k, i AS i2, j AS j2 FROM (SELECT unnest(range(0, 64)) AS i) a JOIN (SELECT unnest(range(0, 64)) AS j) b ON i < j")
+@query(f"{_with()} SELECT x AS i, y AS j, row_number() OVER (ORDER BY x, y) - 1 AS k, x AS i2, y AS j2 FROM (SELECT DISTINCT x, y FROM j)")
 def triu_index_roundtrip(spark, d):
-    n = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))
-    pairs_ = spark.range(64).withColumnRenamed("id", "i").withColumn("j", n).where("i < j").withColumn("k", scalars.triu_index(64, F.col("i"), F.col("j")))
-    i2, j2 = scalars.triu_pair(64, F.col("k"))
-    return pairs_.withColumns({"i2": i2, "j2": j2})
+    """Places of all pairs of the matrix's variables, and the pairs at these places."""
+    every = pairs.joint_histogram_blocks(_binned(spark, d)).select(F.col("x").cast("long").alias("i"), F.col("y").cast("long").alias("j")).distinct()
+    n = _raw(spark, d).select("var_id").distinct().count()
+    placed = every.withColumn("k", scalars.triu_index(n, F.col("i"), F.col("j")))
+    i2, j2 = scalars.triu_pair(n, F.col("k"))
+    return placed.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "k", i2.cast("int").alias("i2"), j2.cast("int").alias("j2"))
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM supplier), r AS (SELECT unnest(range(0, 7)) AS rank) SELECT rank, (rank * n) // 7 AS low, ((rank + 1) * n) // 7 - 1 AS high, ((rank + 1) * n) // 7 - (rank * n) // 7 AS size FROM r, n")
+@query("WITH p AS (SELECT l_orderkey AS o, row_number() OVER (ORDER BY md5(l_orderkey || ':72'), l_orderkey) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem)), r AS (SELECT unnest(range(0, 7)) AS rank) SELECT rank, min(place) AS low, max(place) AS high, count(*) AS size, (rank * any_value(n)) // 7 AS block_low FROM p JOIN r ON place >= (rank * n) // 7 AND place < ((rank + 1) * n) // 7 GROUP BY rank")
 def block_ranges(spark, d):
-    n = spark.read.parquet(f"{d}/supplier.parquet").count()
-    low, after = scalars.block_low(F.col("rank"), 7, n), scalars.block_low(F.col("rank") + 1, 7, n)
-    return spark.range(7).withColumnRenamed("id", "rank").select("rank", low.alias("low"), (after - 1).alias("high"), (after - low).alias("size"))
+    """Ranges of places that ranks own, as their owners are found for all orders, with each block's first place by itself."""
+    orders = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("obs_id")).distinct()
+    owned = boost.kfold(orders, 7)
+    n = orders.count()
+    ranks = owned.groupBy(F.col("fold").alias("rank")).agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("size"))
+    return ranks.withColumn("block_low", scalars.block_low(F.col("rank"), 7, n))
 
 
-@query("WITH r AS (SELECT (n_nationkey * 37) % 101 AS r FROM nation), l AS (SELECT list(r ORDER BY r) AS l, count(*) AS n FROM r) SELECT round((SELECT avg(r) FROM r) * 1e6) / 1e6 + 0.0 AS mean, round((SELECT stddev_pop(r) FROM r) * 1e6) / 1e6 + 0.0 AS stdev, l[n // 2 + 1]::BIGINT AS median, l[n // 4 + 1]::BIGINT AS p25, l[3 * n // 4 + 1]::BIGINT AS p75, l[1]::BIGINT AS least, l[n]::BIGINT AS most FROM l")
+STATS = "round(avg(v) * 1e6) / 1e6 + 0.0 AS mean, round(stddev_pop(v) * 1e6) / 1e6 + 0.0 AS stdev"
+
+
+@query(f"WITH r AS (SELECT l_quantity::BIGINT AS v FROM lineitem), l AS (SELECT list(v ORDER BY v) AS l, count(*) AS n FROM r) SELECT mean, stdev, l[n // 2 + 1] AS median, l[n // 4 + 1] AS p25, l[3 * n // 4 + 1] AS p75, l[1] AS least, l[n] AS most FROM l, (SELECT {STATS} FROM r)")
 def cv_stats(spark, d):
-    rounds = spark.read.parquet(f"{d}/nation.parquet").select(((F.col("n_nationkey") * 37) % 101).alias("rounds"))
+    """Statistics as of numbers of rounds, over a column of many ties."""
+    rounds = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("long").alias("rounds"))
     s = boost.cv_stats(rounds)
     return s.select(micro("mean"), micro("stdev"), "median", "p25", "p75", "least", "most")
 
 
+@query(f"WITH m AS (SELECT var_id, value AS v FROM ({EXPR})), l AS (SELECT var_id, list(v ORDER BY v) AS l, count(*) AS n, {STATS} FROM m GROUP BY var_id) SELECT var_id, mean, stdev, l[n // 2 + 1] AS median, l[n // 4 + 1] AS p25, l[3 * n // 4 + 1] AS p75, l[1] AS least, l[n] AS most FROM l")
+def variable_statistics(spark, d):
+    return quantiles.summary(_expr(spark, d), "value", ["var_id"]).select("var_id", micro("mean"), micro("stdev"), "median", "p25", "p75", "least", "most")
+
+
+@query(f"WITH l AS (SELECT var_id, list(value ORDER BY value) AS l, count(*) AS n FROM ({EXPR}) GROUP BY var_id) SELECT DISTINCT var_id, l[n * i // 64 + 1] AS cut FROM l, (SELECT unnest(range(1, 64)) AS i)")
+def quantile_cuts(spark, d):
+    """The cuts by which boosting bins regulators."""
+    return quantiles.quantile_cuts(_expr(spark, d), 64).select("var_id", F.explode("cuts").alias("cut"))
+
+
+def _dense(spark, d):
+    si = measures.specific_information(_cells(spark, d))
+    return store.dense_rows(si.withColumn("si", micro("si")), "si", _raw(spark, d).select("var_id").distinct().count())
+
+
+DENSE = f"{_with()}, dn AS (SELECT about, state, list(coalesce(si, 0.0) ORDER BY v) AS values FROM (SELECT k.about, k.state, v, {M.format('si', 'si')} FROM (SELECT DISTINCT about, state FROM o) k JOIN (SELECT DISTINCT var_id AS v FROM b) z ON true LEFT JOIN o ON o.about = k.about AND o.state = k.state AND o.t = v) GROUP BY ALL)"
+
+
+@query(f"{DENSE} SELECT * FROM dn")
+def dense_information(spark, d):
+    """Specific information as packed rows over all variables, zeros filled in."""
+    return _dense(spark, d)
+
+
+@query(f"{DENSE} SELECT state, values[34] AS value FROM dn WHERE about = 7")
+def dense_point(spark, d):
+    return store.read_point(_dense(spark, d), 7, 33)
+
+
+@query(f"{DENSE} SELECT state, values[21:40] AS values FROM dn WHERE about = 7")
+def dense_slice(spark, d):
+    return store.read_slice(_dense(spark, d), 7, 20, 40)
+
+
 @query(f"WITH m AS ({EXPR}), z AS (SELECT m.var_id, (value - lo) / (hi - lo) * 5 AS z FROM m JOIN (SELECT var_id, min(value) AS lo, max(value) AS hi FROM m GROUP BY ALL) s ON s.var_id = m.var_id), p AS (SELECT var_id, i, avg(greatest(0, 1 - abs(z - i))) AS p FROM z, (SELECT unnest(range(0, 6)) AS i) GROUP BY ALL) SELECT var_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) * 1e6) / 1e6 + 0.0 AS entropy FROM p GROUP BY var_id")
 def spline_entropy(spark, d):
     return binning.spline_entropy(_expr(spark, d), 6, 2).select("var_id", micro("entropy"))
@@ -392,24 +431,14 @@ def unpivot_counts(spark, d):
 @query(f"{_with()} SELECT * FROM mi WHERE x < 32 UNION ALL SELECT * FROM mi WHERE x >= 32".replace("SELECT * FROM mi", f"SELECT x, y, {M.format('mi', 'mi')} FROM mi"))
 def merge_results(spark, d):
     """Two shards, written one by one, as one table."""
-    mi, base = measures.mutual_information(_cells(spark, d)).select("x", "y", micro("mi")), _folder(spark)
+    mi, base = measures.mutual_information(_cells(spark, d)).select("x", "y", micro("mi")), store.new_folder(spark)
     for name, part in (("a", "x < 32"), ("b", "x >= 32")):
         mi.where(part).write.parquet(f"{base}/{name}")
     return store.merge_shards(spark, [f"{base}/a", f"{base}/b"], ["x", "y"])
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='lacework-')}"
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def _workflow(spark, d, modes, **more) -> PucWorkflow:
-    return PucWorkflow(spark, PucConfig(matrix=f"{d}/embeddings.parquet", out=_folder(spark), mode=modes, nroundup=2, **more)).run()
+    return PucWorkflow(spark, PucConfig(matrix=f"{d}/embeddings.parquet", out=store.new_folder(spark), mode=modes, nroundup=2, **more)).run()
 
 
 @query(f"{BLOCKS_B}, {_tables()}, {MS} {PUC.format(n=62)}")
@@ -460,6 +489,12 @@ def gb_edges(spark, d):
     return boost.gb_network(*_boosted(spark, d), boost.BoostParams(iterations=32, leaves=8, feature_fraction=0.1))
 
 
+@query()
+def gb_edges_in_slabs(spark, d):
+    """The same over slabs of observations, whose sums are summed in turn; few rounds, as each asks for several jobs."""
+    return boost.gb_network(*_boosted(spark, d), boost.BoostParams(iterations=3, leaves=8, feature_fraction=0.1, slab_cells=20_000))
+
+
 @query()
 def gb_cv_rounds(spark, d):
     m, every = _boosted(spark, d)

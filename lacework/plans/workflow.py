@@ -2,47 +2,78 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import around
 from ..operators import binning, boost, measures, pairs, puc
 from ..sources.matrix import GeneSet, Matrix, open_matrix, read_csv_column
-from ..sources.store import write_scalars
+from ..sources.store import mark_of, mark_whole, read_clustered, unmark, write_clustered, write_scalars
 from .config import BoostConfig, ConfigError, PucConfig
 
+SI_ORDER = ["about", "state"]
+
 
 class PucWorkflow:
     def __init__(self, spark: SparkSession, config: PucConfig):
-        self.spark, self.config = spark, config
+        self.spark, self.config, self.mode = spark, config, None
         matrix = open_matrix(spark, config.matrix, config.obs_col, config.values_col, config.names, config.gene_id_col).first(config.nvars)
         self.expr = matrix.expr.withColumn("value", around(F.col("value"), config.nroundup))
         if config.packed_file:
             matrix.write_packed(config.packed_file)
 
+    def _digest(self, name: str) -> str:
+        """Of all that a table's rows follow from: the matrix's files and the settings that count up to it."""
+        c = self.config
+        settings = [c.obs_col, c.values_col, c.nroundup, c.nvars, c.disc_method, c.bins if c.disc_method == "uniform" else 0]
+        if name in ("pair_mi", "ord_si", "puc"):
+            settings += [c.tbase, c.lmr_only]
+        if name == "puc":
+            settings += [c.nrounds, c.nsamples, self.mode]
+        files = sorted(self.spark.read.parquet(c.matrix).inputFiles())
+        return hashlib.sha256(json.dumps([name, files, settings]).encode()).hexdigest()
+
     def _write(self, name: str, frame: DataFrame, order: str | None = None) -> DataFrame:
-        if order:  # so that the statistics of row groups spare the scans of a few variables
-            frame = frame.repartitionByRange(order).sortWithinPartitions(order)
-        frame.write.mode("overwrite").parquet(self.config.path(name))
+        """Writes a table, and then says that it is whole; till then it counts as not there."""
+        path = self.config.path(name)
+        unmark(self.spark, path)
+        buckets = 0
+        if name == "ord_si":
+            buckets = self.config.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            write_clustered(frame, path, "about", buckets, SI_ORDER)
+        else:
+            if order:  # so that the statistics of row groups spare the scans of a few variables
+                frame = frame.repartitionByRange(order).sortWithinPartitions(order)
+            frame.write.mode("overwrite").parquet(path)
+        mark_whole(self.spark, path, self._digest(name), buckets)
         return self.read(name)
 
+    def whole(self, name: str) -> bool:
+        """Whether a table is whole and was made from this matrix by these settings."""
+        mark = mark_of(self.spark, self.config.path(name))
+        return mark is not None and mark["digest"] == self._digest(name)
+
     def read(self, name: str) -> DataFrame:
-        """A table of results; nodes are cut to the first nvars variables if more are stored."""
-        frame = self.spark.read.parquet(self.config.path(name))
+        """A table of results; nodes are cut to the first nvars variables if more are stored. One that is not whole is an error."""
+        path = self.config.path(name)
+        mark = mark_of(self.spark, path)
+        if mark is None:
+            raise FileNotFoundError(f"there is no whole table {name} at {path}")
+        if mark["buckets"]:
+            return read_clustered(self.spark, path, "about", mark["buckets"], SI_ORDER)
+        frame = self.spark.read.parquet(path)
         return frame.where(F.col("var_id") < self.config.nvars) if name == "nodes" and self.config.nvars else frame
 
     def _nobs(self) -> int:
         return self.expr.where(F.col("var_id") == 0).count()
 
     def nodes(self, reuse: bool = False, keep: bool = True) -> DataFrame:
-        if reuse:
-            try:
-                return self.read("nodes")
-            except AnalysisException:
-                pass
+        if reuse and self.whole("nodes"):
+            return self.read("nodes")
         c = self.config
         edges = binning.bayesian_edges(self.expr) if c.disc_method == "bayesian_blocks" else binning.uniform_edges(self.expr, c.bins)
         made = binning.nodes(edges, binning.assign(self.expr, edges))
@@ -65,10 +96,18 @@ class PucWorkflow:
         self._write("pair_mi", measures.mutual_information_of(stored))
 
     def run(self) -> "PucWorkflow":
-        for mode in self.config.mode:
-            getattr(self, f"mode_{mode}")()
+        """Runs the modes in turn. With resume, those whose tables are whole already are passed over."""
+        for self.mode in self.config.mode:
+            if not (self.config.resume and all(self.whole(t) for t in self._tables(self.mode))):
+                getattr(self, f"mode_{self.mode}")()
         return self
 
+    def _tables(self, mode: str) -> list[str]:
+        """The tables that a mode writes."""
+        hist = ["pair_hist"] if self.config.save_node_pairs else []
+        information = ["ord_si", "pair_mi"]
+        return {"hist_nodes": ["nodes"], "hist_dist": ["nodes", "pair_hist"], "misi": ["nodes", *hist, *information], "misi_dist": information, "hist2misi_dist": [*hist, *information]}.get(mode, ["puc"])
+
     def mode_hist_nodes(self):
         self.nodes()
 
@@ -101,9 +140,9 @@ class PucWorkflow:
         """Direct sums; over sampled third variables, and their mean over rounds, where sampling is asked for."""
         if self.config.lmr_only:
             raise ValueError("samples_ranges needs specific information, which lmr_only leaves out")
-        si, mi, samples = self.read("ord_si"), self.read("pair_mi"), self._samples()
+        si, samples = self.read("ord_si"), self._samples()
         nobs = self._nobs()
-        self._write("puc", puc.puc_direct(si, mi, nobs) if samples is None else puc.puc_direct_sampled(si, mi, nobs, samples))
+        self._write("puc", puc.puc_direct(si, nobs) if samples is None else puc.puc_direct_sampled(si, nobs, samples))
 
     def mode_puc_lmr(self):
         lmr, mi, samples = self.read("ord_si").select("about", "by", "state", "lmr"), self.read("pair_mi"), self._samples()

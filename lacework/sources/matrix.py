@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import around
@@ -160,8 +161,20 @@ def leave_one_out(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def read_csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """ord, gene: a column of a CSV file with a header; ord grows in the rows' order, with gaps. Broken rows are skipped, a missing column is an error."""
-    rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """ord, gene: a column of CSV files with headers; ord is dense, in the order of files by name and of rows in a file.
+
+    Broken rows are skipped, a missing column is an error. A row's place is that of its piece of a file, plus the
+    number of rows of the piece before it; only the pieces' sizes are collected.
+    """
+    rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path)
     if column not in rows.columns:
         raise KeyError(f"{path} has no column {column!r}")
-    return rows.select(F.monotonically_increasing_id().alias("ord"), F.col(column).alias("gene"))
+    piece = ["_file", "_start"]
+    rows = rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), F.col(column).alias("gene"))
+    before, total = [], 0
+    for r in rows.groupBy(*piece).count().orderBy(*piece).collect():
+        before.append((r["_file"], r["_start"], total))
+        total += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(before, "_file string, _start long, _before long"))
+    inside = F.row_number().over(W.partitionBy(*piece).orderBy("_row")) - 1
+    return rows.withColumn("_inside", inside).join(offsets, piece).select((F.col("_before") + F.col("_inside")).alias("ord"), "gene")

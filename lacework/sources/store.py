@@ -2,13 +2,93 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import small_side
 
+MARK = "digest string, buckets int"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in the session's checkpoint folder, or a local one where that is unset and the master local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='lacework-')}"
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """A table as read back from a new shared folder: what follows neither makes it again nor depends on an executor."""
+    path = new_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def write_clustered(frame: DataFrame, path: str, column: str, buckets: int, order: list[str]) -> None:
+    """A table in buckets by a column, each one file and sorted; see read_clustered()."""
+    name = f"lacework_{uuid.uuid4().hex}"
+    writer = frame.repartition(buckets, column).write.mode("overwrite").bucketBy(buckets, column).sortBy(*order)
+    writer.option("path", path).saveAsTable(name)
+    frame.sparkSession.sql(f"DROP TABLE {name}")  # the catalogue's entry; files at a path of our own stay
+
+
+def read_clustered(spark: SparkSession, path: str, column: str, buckets: int, order: list[str]) -> DataFrame:
+    """The table as clustered by its column, so that joins, groupings and windows by it need no exchange."""
+    schema = spark.read.parquet(path).schema
+    name = f"lacework_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    keys = ", ".join(f"`{c}`" for c in order)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{column}`) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    frame = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # as above
+    return frame
+
+
+def mark_whole(spark: SparkSession, path: str, digest: str, buckets: int = 0) -> None:
+    """Says that the table at a path is whole, by what it was made, and how it is clustered. To be written after the table."""
+    spark.createDataFrame([(digest, buckets)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}.whole")
+
+
+def unmark(spark: SparkSession, path: str) -> None:
+    """To be called before a table is written anew: from here on it is not whole."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.whole")
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def mark_of(spark: SparkSession, path: str) -> Row | None:
+    """digest and buckets of a whole table; None if there is none or it is not whole."""
+    try:
+        return spark.read.schema(MARK).parquet(f"{path.rstrip('/')}.whole").first()
+    except AnalysisException:
+        return None
+
+
+def dense_rows(si: DataFrame, value: str, nvars: int) -> DataFrame:
+    """about, state, values: for each state of each variable a value for every other one, by its number; 0 where there is none.
+
+    A row's array is made from its own entries, so the domain is never joined or exploded. It has nvars values.
+    """
+    held = si.groupBy("about", "state").agg(F.map_from_entries(F.collect_list(F.struct("by", value))).alias("_held"))
+    return held.select("about", "state", F.transform(F.sequence(F.lit(0), F.lit(nvars - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0.0))).alias("values"))
+
+
+def read_point(dense: DataFrame, about: int, by: int) -> DataFrame:
+    """state, value of a pair, by its offset in the dense rows of about."""
+    return dense.where(F.col("about") == about).select("state", F.get("values", F.lit(by)).alias("value"))
+
+
+def read_slice(dense: DataFrame, about: int, low: int, high: int) -> DataFrame:
+    """state, values of the variables low to high - 1, by their offsets in the dense rows of about."""
+    return dense.where(F.col("about") == about).select("state", F.slice("values", low + 1, high - low).alias("values"))
+
 
 def write_scalars(spark: SparkSession, path: str, values: dict[str, int]) -> None:
     """A table (name, value) of whole numbers."""
