@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,27 @@ def squares(packed: DataFrame, blocks: int, side: int) -> DataFrame:
     return met.select("slab", F.least(own, "with").alias("i"), F.greatest(own, "with").alias("j"), "block", "vars", "obs", "grid")
 
 
+def placement(bins: dict[int, int], side: int, tasks: int, width: int, observations: int) -> dict[tuple[int, int], int]:
+    """The task of each square (i, j), so that all have like work: the dearest squares first, each to the task of least work so far.
+
+    bins: numbers of bins by block. A square counts its blocks' pairs over all observations of a slab, and makes as
+    many cells as the product of their bins.
+    """
+    sums: dict[int, list[int]] = {}
+    for block, n in bins.items():
+        one = sums.setdefault(block // side, [0, 0])
+        one[0], one[1] = one[0] + 1, one[1] + n
+    squares_ = [(i, j) for i in sorted(sums) for j in sorted(sums) if i <= j]
+    cost = {(i, j): (width * width * observations * sums[i][0] * sums[j][0] + sums[i][1] * sums[j][1]) // (2 if i == j else 1) for i, j in squares_}
+    loads = [(0, t) for t in range(tasks)]
+    out = {}
+    for square in sorted(squares_, key=lambda s: (-cost[s], s)):
+        load, task = heapq.heappop(loads)
+        out[square] = task
+        heapq.heappush(loads, (load + cost[square], task))
+    return out
+
+
 def _side(blocks: int, slabs: int, parts: int) -> int:
     """Blocks on a side of a task's square: as many as leave enough squares for all tasks."""
     side = MOST_SIDE
@@ -46,12 +68,15 @@ def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int
     Variables are dealt into blocks of some width and observations into slabs of about that many. A block of a
     slab is packed into one row, a grid of 2 bytes a cell (4 where bins need them). A task counts a square of side by
     side blocks against one another, so packed rows travel once for each side blocks that they meet, and it holds
-    the rows of two sides at a time. Repeated cells count as in joint_histogram().
+    the rows of two sides at a time. Squares are dealt to tasks by their work, see placement(). Repeated cells count as in joint_histogram().
     """
-    sizes = binned.agg(F.max("var_id").alias("last"), F.approx_count_distinct("obs_id").alias("nobs")).first()
-    blocks = 0 if sizes["last"] is None else sizes["last"] // width + 1
-    slabs = max(1, -(-sizes["nobs"] // observations))
-    side = side or _side(blocks, slabs, int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = binned.groupBy("var_id").agg((F.max("bin") + 1).alias("bins")).groupBy(F.floor(F.col("var_id") / width).cast("int").alias("block")).agg(F.sum("bins").alias("bins"))
+    bins = {r["block"]: r["bins"] for r in held.collect()}  # a number for each block of variables
+    blocks = max(bins, default=-1) + 1
+    nobs = binned.agg(F.approx_count_distinct("obs_id")).first()[0]
+    slabs = max(1, -(-nobs // observations))
+    side = side or _side(blocks, slabs, parts)
     own = binned.select(F.pmod(F.xxhash64("obs_id"), F.lit(slabs)).alias("slab"), F.floor(F.col("var_id") / width).cast("int").alias("block"), "obs_id", "var_id", "bin")
 
     def pack(table: pa.Table) -> pa.Table:
@@ -67,9 +92,8 @@ def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int
     packed = own.groupBy("slab", "block").applyInArrow(pack, "slab long, block int, vars array<int>, obs binary, grid binary")
     met = squares(packed, blocks, side)
 
-    def unpacked(table: pa.Table, k: int):
-        obs, grid = (np.frombuffer(table.column(c)[k].as_py(), kind) for c, kind in (("obs", np.int64), ("grid", np.uint8)))
-        names = np.array(table.column("vars")[k].as_py())
+    def unpacked(row: dict):
+        obs, grid, names = np.frombuffer(row["obs"], np.int64), np.frombuffer(row["grid"], np.uint8), np.array(row["vars"])
         kind = np.int16 if len(grid) == 2 * len(names) * len(obs) else np.int32
         return names, obs, grid.view(kind).reshape(-1, len(obs))
 
@@ -85,16 +109,34 @@ def joint_histogram_blocks(binned: DataFrame, width: int = 64, observations: int
                     where = np.flatnonzero(cells)
                     out.append((np.full(len(where), x), np.full(len(where), y), where // size, where % size, cells[where]))
 
-    def count(table: pa.Table) -> pa.Table:
-        at = {b: k for k, b in enumerate(table.column("block").to_pylist())}
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    def count(rows: list[dict]) -> pa.RecordBatch:
+        at = {r["block"]: r for r in rows}
+        i, j = rows[0]["i"], rows[0]["j"]
         out = []
         for p in sorted(b for b in at if b // side == i):
-            first = unpacked(table, at[p])
+            first = unpacked(at[p])
             for q in sorted(b for b in at if b // side == j and b >= p):
-                pair(first, first if p == q else unpacked(table, at[q]), out)
+                pair(first, first if p == q else unpacked(at[q]), out)
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table({n: pa.array(c.astype(np.int64 if n == "n" else np.int32)) for n, c in zip(("x", "y", "bx", "by", "n"), columns, strict=True)})
-
-    cells = met.groupBy("slab", "i", "j").applyInArrow(count, "x int, y int, bx int, by int, n long")
+        names = ("x", "y", "bx", "by", "n")
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if n == "n" else np.int32)) for n, c in zip(names, columns, strict=True)], list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                if held and any(held[0][c] != row[c] for c in ("slab", "i", "j")):
+                    yield count(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield count(held)
+
+    tasks = min(parts, max(1, slabs * (-(-blocks // side)) ** 2))
+    owners = placement(bins, side, tasks, width, min(nobs, observations))
+    placed = F.broadcast(binned.sparkSession.createDataFrame([(*s, t) for s, t in owners.items()], "i int, j int, owner int"))
+    # Slabs have like squares, so their tasks are turned on by one from slab to slab.
+    dealt = met.join(placed, ["i", "j"]).repartitionById(tasks, F.pmod(F.col("owner") + F.col("slab"), F.lit(tasks)).cast("int"))
+    cells = dealt.sortWithinPartitions("slab", "i", "j").mapInArrow(run, "x int, y int, bx int, by int, n long")
     return cells.groupBy("x", "y", "bx", "by").agg(F.sum("n").alias("n"))

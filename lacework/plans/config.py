@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -18,8 +19,9 @@ GB_MODES = ("cv_gb", "gb_grn")
 KEYS = {"h5ad_file": "matrix", "row_major_h5_file": "packed_file", "output_file": "out"}
 BOOST_KEYS = {"num_iterations": "iterations", "early_stopping_rounds": "patience", "bagging_fraction": "bagging"}
 # Keys that may stand in a configuration and change nothing here. Spark logs, times and threads by its own
-# settings; the others belong to modes without a meaning.
-UNUSED = ("enable_timers", "log_level", "nodes_pickle", "nodes_pairs_pickle", "samples_file", "sub_net_files", "wflow_dir", "quantile_filter", "npairs")
+# settings, and npairs follows from the data; those without a meaning belong to modes that have none.
+UNUSED = ("enable_timers", "log_level", "wflow_dir", "npairs")
+WITHOUT_MEANING = ("nodes_pickle", "nodes_pairs_pickle", "samples_file", "sub_net_files", "quantile_filter")
 UNUSED_BOOST = ("verbose", "num_threads")
 
 
@@ -53,7 +55,7 @@ class PucConfig:
     names: str | None = None
     gene_id_col: str = "gene_ids"
     obs_col: str = "vec_id"
-    values_col: str = "embedding"
+    values_col: str | None = "embedding"
     save_nodes: bool = False
     save_node_pairs: bool = False
     nroundup: int | None = 4
@@ -93,7 +95,7 @@ class PucConfig:
 class BoostConfig:
     """The boosting pipeline. Regulators are variables by number (tfs) or by name, in the column gene of tf_csv_file.
 
-    Names are looked up in names, a Parquet table of them in gene_id_col and var_id. Edges have importances over
+    Names are looked up in names, a Parquet table of them in gene_id_col and var_id, or are the matrix's columns where values_col is null. Edges have importances over
     importance_filter; null: all edges.
     """
 
@@ -105,7 +107,7 @@ class BoostConfig:
     names: str | None = None
     gene_id_col: str = "_index"
     obs_col: str = "vec_id"
-    values_col: str = "embedding"
+    values_col: str | None = "embedding"
     nroundup: int | None = 4
     n_sample_genes: int = 200
     folds: int = 5
@@ -119,8 +121,8 @@ class BoostConfig:
         for m in self.mode:
             if m not in GB_MODES:
                 raise ConfigError(f"no mode is named {m}")
-        if self.tf_csv_file and not self.names:
-            raise ConfigError("tf_csv_file needs names, a table of the variables' names")
+        if self.tf_csv_file and not self.names and self.values_col is not None:
+            raise ConfigError("tf_csv_file needs names, a table of the variables' names, or a matrix of named columns (values_col: null)")
         given = {BOOST_KEYS.get(k, k): v for k, v in self.gbm_params.items() if k not in UNUSED_BOOST}
         try:
             self.params = BoostParams(**given)
@@ -130,7 +132,10 @@ class BoostConfig:
 
 def read_config(path: str, kind):
     """A configuration of a kind from a YAML file; unknown and missing keys are errors."""
-    given = {KEYS.get(k, k): v for k, v in yaml.safe_load(Path(path).read_text()).items() if k not in UNUSED}
+    settings = yaml.safe_load(Path(path).read_text())
+    if idle := sorted(k for k in settings if k in WITHOUT_MEANING):
+        warnings.warn(f"these keys belong to modes without a meaning and change nothing: {idle}", stacklevel=2)
+    given = {KEYS.get(k, k): v for k, v in settings.items() if k not in UNUSED and k not in WITHOUT_MEANING}
     known = {f.name for f in fields(kind)}
     if odd := set(given) - known:
         raise ConfigError(f"unknown keys: {sorted(odd)}")

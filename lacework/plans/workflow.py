@@ -20,7 +20,7 @@ SI_ORDER = ["about", "state"]
 
 class PucWorkflow:
     def __init__(self, spark: SparkSession, config: PucConfig):
-        self.spark, self.config, self.mode = spark, config, None
+        self.spark, self.config, self.mode, self.files = spark, config, None, None
         matrix = open_matrix(spark, config.matrix, config.obs_col, config.values_col, config.names, config.gene_id_col).first(config.nvars)
         self.expr = matrix.expr.withColumn("value", around(F.col("value"), config.nroundup))
         if config.packed_file:
@@ -34,8 +34,9 @@ class PucWorkflow:
             settings += [c.tbase, c.lmr_only]
         if name == "puc":
             settings += [c.nrounds, c.nsamples, self.mode]
-        files = sorted(self.spark.read.parquet(c.matrix).inputFiles())
-        return hashlib.sha256(json.dumps([name, files, settings]).encode()).hexdigest()
+        if self.files is None:
+            self.files = sorted(self.spark.read.parquet(c.matrix).inputFiles())
+        return hashlib.sha256(json.dumps([name, self.files, settings]).encode()).hexdigest()
 
     def _write(self, name: str, frame: DataFrame, order: str | None = None) -> DataFrame:
         """Writes a table, and then says that it is whole; till then it counts as not there."""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.scalars import around
 
@@ -27,7 +28,7 @@ def from_arrays(frame: DataFrame, obs: str, values: str) -> DataFrame:
 def from_columns(frame: DataFrame, obs: str | list[str], columns: list[str]) -> DataFrame:
     """A row for each of some numeric columns; variables are numbered in their order."""
     key = F.col(obs) if isinstance(obs, str) else F.xxhash64(*obs)
-    pairs = F.array(*[F.struct(F.lit(i).alias("var_id"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("var_id"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(columns)])
     return frame.select(key.cast("long").alias("obs_id"), F.inline(pairs))
 
 
@@ -91,9 +92,17 @@ class Matrix:
         return self.expr.groupBy("var_id").agg(F.transform(each, lambda x: x["value"]).alias("values"))
 
 
-def open_matrix(spark: SparkSession, path: str, obs: str, values: str, names: str | None = None, gene_col: str = "gene") -> Matrix:
-    """A matrix stored as arrays in Parquet, with names of its variables if a table of them (var_id, gene_col) is given."""
-    return Matrix(from_arrays(spark.read.parquet(path), obs, values), names and read_names(spark, names, gene_col))
+def open_matrix(spark: SparkSession, path: str, obs: str, values: str | None, names: str | None = None, gene_col: str = "gene") -> Matrix:
+    """A matrix stored in Parquet, as arrays in the column values or, where that is None, as a numeric column for each variable.
+
+    Columns' names are those of their variables. Else a table of names (var_id, gene_col) may be given.
+    """
+    rows = spark.read.parquet(path)
+    if values is not None:
+        return Matrix(from_arrays(rows, obs, values), names and read_names(spark, names, gene_col))
+    columns = [f.name for f in rows.schema if isinstance(f.dataType, NumericType) and f.name != obs]
+    genes = spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "gene string, var_id int")
+    return Matrix(from_columns(rows, obs, columns), names and read_names(spark, names, gene_col) or genes)
 
 
 def read_names(spark: SparkSession, path: str, gene_col: str = "gene") -> DataFrame:

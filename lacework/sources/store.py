@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import small_side
 
-MARK = "digest string, buckets int"
-
 
 def new_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in the session's checkpoint folder, or a local one where that is unset and the master local."""
@@ -52,22 +50,39 @@ def read_clustered(spark: SparkSession, path: str, column: str, buckets: int, or
     return frame
 
 
+def _mark(spark: SparkSession, path: str):
+    """The file that says a table is whole, and its file system."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.whole")
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def mark_whole(spark: SparkSession, path: str, digest: str, buckets: int = 0) -> None:
     """Says that the table at a path is whole, by what it was made, and how it is clustered. To be written after the table."""
-    spark.createDataFrame([(digest, buckets)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}.whole")
+    file, system = _mark(spark, path)
+    out = system.create(file, True)
+    out.write(bytearray(json.dumps({"digest": digest, "buckets": buckets}).encode()))
+    out.close()
 
 
 def unmark(spark: SparkSession, path: str) -> None:
     """To be called before a table is written anew: from here on it is not whole."""
-    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.whole")
-    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+    file, system = _mark(spark, path)
+    system.delete(file, True)
 
 
-def mark_of(spark: SparkSession, path: str) -> Row | None:
+def mark_of(spark: SparkSession, path: str) -> dict | None:
     """digest and buckets of a whole table; None if there is none or it is not whole."""
+    file, system = _mark(spark, path)
+    if not system.exists(file):
+        return None
+    stream = system.open(file)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
     try:
-        return spark.read.schema(MARK).parquet(f"{path.rstrip('/')}.whole").first()
-    except AnalysisException:
+        return json.loads(text)
+    except ValueError:  # broken off while it was written
         return None
 
 

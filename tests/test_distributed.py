@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from lacework.functions import scalars
 from lacework.operators import binning, boost, measures, pairs, puc, quantiles
-from lacework.plans.config import BoostConfig, ConfigError, PucConfig
-from lacework.plans.workflow import PucWorkflow
+from lacework.plans.config import BoostConfig, ConfigError, PucConfig, read_config
+from lacework.plans.workflow import BoostWorkflow, PucWorkflow
 from lacework.sources import store
-from lacework.sources.matrix import Matrix, read_csv_column
+from lacework.sources.matrix import Matrix, open_matrix, read_csv_column
 
 CELL = "obs_id long, var_id int, value double"
 
@@ -234,6 +234,16 @@ def test_blocks_travel_once_for_a_side(spark):
     assert [pairs.squares(packed, 96, side).count() for side in (1, 4, 8)] == [96 * 96, 96 * 24, 96 * 12]
 
 
+def test_squares_are_dealt_by_their_work():
+    bins = {b: 64 * (1 + 400 * (b % 5 == 0)) for b in range(60)}
+    owners = pairs.placement(bins, 4, 7, 64, 1)
+    assert owners.keys() == {(i, j) for i in range(15) for j in range(i, 15)}
+    wide = [sum(n for b, n in bins.items() if b // 4 == k) for k in range(15)]
+    cost = {(i, j): (64 * 64 * 16 + wide[i] * wide[j]) // (2 if i == j else 1) for i, j in owners}
+    loads = [sum(c for s, c in cost.items() if owners[s] == t) for t in range(7)]
+    assert max(loads) <= 4 / 3 * max(sum(cost.values()) / 7, max(cost.values()))
+
+
 def whole_programme(values, counts):
     n = len(values)
     edges = np.concatenate([values[:1], (values[1:] + values[:-1]) / 2, values[-1:]])
@@ -315,6 +325,21 @@ def test_a_broken_run_goes_on(spark, stored, tmp_path, monkeypatch):
         again.read("nodes")
 
 
+def test_matrices_of_named_columns(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(40, 3)).round(2)
+    wide_ = spark.createDataFrame([(i, *map(float, r), "text") for i, r in enumerate(x)], "cell long, `g.a` double, gb double, gc double, note string")
+    wide_.write.parquet(f"{tmp_path}/wide")
+    m = open_matrix(spark, f"{tmp_path}/wide", "cell", None)
+    assert m.read_genes(["gc", "g.a", "note"]).select("var_id").distinct().count() == 2 and m.dims().first()["nvars"] == 3
+    assert {r["obs_id"]: r["value"] for r in m.read_gene("g.a").collect()} == dict(enumerate(x[:, 0].tolist()))
+    (tmp_path / "tf.csv").write_text("gene\ngc\nnone\n")
+    (tmp_path / "gb.yml").write_text(f"h5ad_file: {tmp_path}/wide\nobs_col: cell\nvalues_col: null\ntf_csv_file: {tmp_path}/tf.csv\noutput_file: {tmp_path}/gb\nmode: gb_grn\nskip_cv: true\nnum_iterations: 2\nsamples_file: x\ngbm_params:\n  feature_fraction: 1.0\n  least_leaf: 5\n")
+    with pytest.warns(UserWarning, match="samples_file"):
+        config = read_config(f"{tmp_path}/gb.yml", BoostConfig)
+    assert BoostWorkflow(spark, config).run().tfs == [2]
+    assert {r["target"] for r in spark.read.parquet(f"{tmp_path}/gb/gb_edges").collect()} <= {0, 1}
+
+
 def test_dense_rows(spark):
     si = spark.createDataFrame([(0, 0, 1, 0.5), (0, 0, 4, 0.25), (0, 1, 1, 2.0), (3, 0, 0, 1.0)], "about int, state int, by int, si double")
     dense = store.dense_rows(si, "si", 5)
