@@ -21,8 +21,8 @@ SPAN = 10
 GRAM = 5
 #: Benchmark fingerprints (of 8 bytes and a place) up to this many rows are broadcast, more are shuffled.
 MOST_PRINTS = 200_000
-#: Documents with fingerprints of the benchmark, with their places, up to this many are broadcast.
-MOST_SPOTTED = 50_000
+#: Documents with fingerprints of the benchmark are broadcast with their places up to this many places (of some 40 bytes).
+MOST_PLACES = 1_000_000
 _MARKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -87,6 +87,12 @@ def _windows_of(items: DataFrame, span: int) -> DataFrame:
     return rows.select("gram", F.explode("items").alias("item")).groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def _few_places(frame: DataFrame, places: str) -> DataFrame:
+    """Marks rows with arrays of places for broadcast only if counted to have at most MOST_PLACES, and as many rows."""
+    total = frame.agg(F.sum(F.size(places) + 1)).first()[0] or 0
+    return F.broadcast(frame) if total <= MOST_PLACES else frame
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> tuple[Columns, DataFrame]:
     """The columns of docs, and their rows with what find_contamination() adds."""
     scratch = Scratch(docs.sparkSession)
@@ -118,11 +124,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> tuple
         return F.transform(each, lambda c: F.struct(start(c).alias("start"), size(c).alias("size"), F.array_join(F.slice(words, start(c) + 1, size(c)), " ").alias("gram")))
 
     # As above: the words get a name, lest they be split anew for each window.
-    spotted = keyed.join(small_side(spots, MOST_SPOTTED), keys).select(*keys, F.explode(F.aggregate(F.array().cast("array<int>"), words_of(text), lambda w, _: w, candidates)).alias("c"))
+    spotted = keyed.join(_few_places(spots, "spots"), keys).select(*keys, F.explode(F.aggregate(F.array().cast("array<int>"), words_of(text), lambda w, _: w, candidates)).alias("c"))
     hits = spotted.select(*keys, "c.start", "c.size", "c.gram").join(small_side(windows, MOST_PRINTS), "gram")
     hits = scratch.save(hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
 
-    both = keyed.join(small_side(hits, MOST_SPOTTED), keys, "left")
+    both = keyed.join(_few_places(hits, "_hits"), keys, "left")
     none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     # Windows come by their start, so each adds what lies beyond all before it.
     add = lambda a, h: F.struct(F.greatest(a["end"], h["start"] + h["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["start"] + h["size"] - F.greatest(a["end"], h["start"]))).alias("n"))
