@@ -59,9 +59,8 @@ def block_edges(values: np.ndarray, counts: np.ndarray, chunk: int | None = None
         if done:
             bound = bounds[:done] + fit(ends[:done], k) - prior
             slack = 1e-9 + 1e-12 * abs(top)
-            for c in sorted(np.flatnonzero(bound >= top - slack), key=lambda c: -bound[c]):
-                if bound[c] < top - slack:
-                    break
+            while bound[c := int(bound.argmax())] >= top - slack:
+                bound[c] = -np.inf
                 span = slice(c * chunk, (c + 1) * chunk)
                 x = fit(span, k) - prior + best[span]
                 at = chunk - 1 - int(np.argmax(x[::-1]))
