@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import around
 from ..operators import binning, boost, measures, pairs, puc
 from ..sources.matrix import GeneSet, Matrix, open_matrix, read_csv_column
-from ..sources.store import mark_of, mark_whole, read_clustered, unmark, write_clustered, write_scalars
+from ..sources.store import mark_of, mark_whole, read_clustered, unmark, write_clustered, write_scalars, written
 from .config import BoostConfig, ConfigError, PucConfig
 
 SI_ORDER = ["about", "state"]
+ORDERS = {"nodes": ["var_id"], "pair_mi": ["x", "y"], "puc": ["x", "y"]}
 
 
 class PucWorkflow:
@@ -38,8 +39,13 @@ class PucWorkflow:
             self.files = sorted(self.spark.read.parquet(c.matrix).inputFiles())
         return hashlib.sha256(json.dumps([name, self.files, settings]).encode()).hexdigest()
 
-    def _write(self, name: str, frame: DataFrame, order: str | None = None) -> DataFrame:
-        """Writes a table, and then says that it is whole; till then it counts as not there."""
+    def _write(self, name: str, frame: DataFrame) -> DataFrame:
+        """Writes a table, and then says that it is whole; till then it counts as not there.
+
+        Nodes, and tables of a row for each pair, are in order over all files, so that the statistics of row groups
+        spare the scans of a few variables. They are written once before they are sorted, lest the sample that
+        sorting takes make them twice.
+        """
         path = self.config.path(name)
         unmark(self.spark, path)
         buckets = 0
@@ -47,8 +53,8 @@ class PucWorkflow:
             buckets = self.config.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             write_clustered(frame, path, "about", buckets, SI_ORDER)
         else:
-            if order:  # so that the statistics of row groups spare the scans of a few variables
-                frame = frame.repartitionByRange(order).sortWithinPartitions(order)
+            if order := ORDERS.get(name):
+                frame = written(frame).repartitionByRange(*order).sortWithinPartitions(*order)
             frame.write.mode("overwrite").parquet(path)
         mark_whole(self.spark, path, self._digest(name), buckets)
         return self.read(name)
@@ -80,7 +86,7 @@ class PucWorkflow:
         made = binning.nodes(edges, binning.assign(self.expr, edges))
         if not keep:
             return made
-        stored = self._write("nodes", made, "var_id")
+        stored = self._write("nodes", made)
         sums = stored.agg(F.count("*").alias("nvars"), F.sum("n_bins").alias("bins")).first()
         nvars = sums["nvars"]
         write_scalars(self.spark, c.path("meta"), {"nobs": self._nobs(), "nvars": nvars, "npairs": nvars * (nvars - 1) // 2, "nsi": (sums["bins"] or 0) * nvars})
@@ -93,7 +99,7 @@ class PucWorkflow:
     def misi(self, joint: DataFrame) -> None:
         """Specific information first; mutual information is read off it, so that the cells are made once."""
         si = measures.specific_information(measures.log_ratios(joint, self.config.tbase))
-        stored = self._write("ord_si", si.drop("si") if self.config.lmr_only else si, "about")
+        stored = self._write("ord_si", si.drop("si") if self.config.lmr_only else si)
         self._write("pair_mi", measures.mutual_information_of(stored))
 
     def run(self) -> "PucWorkflow":
