@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import block_owner
 from ..sources.matrix import Matrix, small_side
-from ..sources.store import new_folder, written
+from ..sources.store import discard, new_folder, written
 from .quantiles import quantile_cuts, summary
 
 #: Bytes of sums that a task may hold; runs that need more are trained one lot after another.
@@ -518,7 +518,9 @@ class Slabs:
                 row["f"] = b"".join(slab.predicted(shared.value[r]).tobytes() for r in alive)
                 yield pa.RecordBatch.from_pylist([row], pa.schema([("slab", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("obs", "q", "y", "fold", "runs", "f"))]))
 
-        self.frame = written(self.frame.mapInArrow(run, _SLAB))
+        before, self.frame = self.frame, written(self.frame.mapInArrow(run, _SLAB))
+        discard(before)
+        shared.destroy()
 
 
 def kfold(observations: DataFrame, folds: int, seed: str = "72") -> DataFrame:
@@ -578,6 +580,7 @@ def _trained(matrix: Matrix, tfs: list[int], targets: list[int], folds: int, par
             train(runs, slabs.step, slabs.keep)
             results = spark.createDataFrame([_result(r, tfs) for r in runs], RESULT)
         results.write.mode("append").parquet(path)
+        discard(slabs.frame)
     return spark.read.schema(RESULT).parquet(path)
 
 

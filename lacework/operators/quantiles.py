@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.matrix import small_side
-from ..sources.store import written
+from ..sources.store import discard, written
 
 #: Parts that a pass splits a range of values into.
 SPLIT = 512
@@ -55,7 +55,8 @@ def order_statistics(frame: DataFrame, keys: list[str], value: str, places: Call
         place = F.col("_place") - F.col("below")
         found = ranges.join(counts, [*group, "lo", "hi"]).where((place >= F.col("_before")) & (place < F.col("_before") + F.col("_n")))
         found = found.select(*group, "n", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "_i", "_place", (F.col("below") + F.col("_before")).alias("below"))
-        ranges = written(found.unionByName(ranges.where("lo = hi")))
+        before, ranges = ranges, written(found.unionByName(ranges.where("lo = hi")))
+        discard(before)
         turn += 1
     each = F.transform(F.array_sort(F.collect_list(F.struct("_i", "lo"))), lambda x: x["lo"])
     return ranges.groupBy(*group).agg(F.first("n").alias("n"), each.alias("stats")).select(*keys, "n", "stats")

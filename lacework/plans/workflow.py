@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import around
 from ..operators import binning, boost, measures, pairs, puc
 from ..sources.matrix import GeneSet, Matrix, open_matrix, read_csv_column
-from ..sources.store import mark_of, mark_whole, read_clustered, unmark, write_clustered, write_scalars, written
+from ..sources.store import discard, mark_of, mark_whole, read_clustered, unmark, write_clustered, write_scalars, written
 from .config import BoostConfig, ConfigError, PucConfig
 
 SI_ORDER = ["about", "state"]
@@ -53,9 +53,13 @@ class PucWorkflow:
             buckets = self.config.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             write_clustered(frame, path, "about", buckets, SI_ORDER)
         else:
+            once = None
             if order := ORDERS.get(name):
-                frame = written(frame).repartitionByRange(*order).sortWithinPartitions(*order)
+                once = written(frame)
+                frame = once.repartitionByRange(*order).sortWithinPartitions(*order)
             frame.write.mode("overwrite").parquet(path)
+            if once is not None:
+                discard(once)
         mark_whole(self.spark, path, self._digest(name), buckets)
         return self.read(name)
 

@@ -30,6 +30,15 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Deletes a table that written() made and that nothing reads any more."""
+    spark = frame.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("run-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_clustered(frame: DataFrame, path: str, column: str, buckets: int, order: list[str]) -> None:
     """A table in buckets by a column, each one file and sorted; see read_clustered()."""
     name = f"lacework_{uuid.uuid4().hex}"

@@ -138,6 +138,16 @@ def test_boosting_in_slabs_is_boosting_in_one(spark, wide, monkeypatch):
     assert max((t for t in want if t[1] == 6), key=want.get)[0] in (0, 1)
 
 
+def test_written_tables_are_discarded(spark):
+    import os
+
+    frame = store.written(spark.range(10))
+    folder = frame.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    store.discard(frame)
+    assert not os.path.exists(folder)
+
+
 def test_bags_and_folds_do_not_depend_on_slabs(spark, wide):
     given = dict(iterations=7, leaves=3, least_leaf=8, bins=16, feature_fraction=0.5, bagging=0.7, bagging_freq=2, min_iterations=2, patience=3, metric="l1")
     holes = wide.astype(object)
