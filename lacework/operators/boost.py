@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from ..sources.matrix import Matrix, small_side
 from ..sources.store import discard, new_folder, written
 from .quantiles import quantile_cuts, summary
 
-#: Bytes of sums that a task may hold; runs that need more are trained one lot after another.
-MOST_SUMS = 256 << 20
+#: Runs that are trained together; more are trained one lot after another.
+MOST_RUNS = 1_000
+#: Slabs whose sums a task adds up before it hands them on. It holds these slabs, and the sums of one run.
+HELD = 4
 #: Rounds after which the runs' predictions are written, so that later jobs need not follow all trees from the first.
 KEPT_EVERY = 8
 #: Bytes of a row of sums: features are dealt into pieces of so many.
@@ -463,20 +466,14 @@ class Slabs:
         pieces = -(-max(len(j.features) for j in jobs) // piece)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for _, slab, own in Slabs._read(batches, width):
-                for r in own:
-                    if r in shared.value:
-                        new = gradient_sums(slab, shared.value[r], p)
-                        if r in sums:
-                            for k, x in enumerate(new):
-                                sums[r][k] += x
-                        else:
-                            sums[r] = list(new)
-            for r, (g, n, error, rows) in sums.items():
-                for k in range(0, g.shape[1], piece):
-                    both = np.stack([g[:, k : k + piece], n[:, k : k + piece]]).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k // piece], pa.int32()), pa.array([both], pa.binary()), pa.array([error if k == 0 else 0.0]), pa.array([rows if k == 0 else 0])], ["run", "piece", "sums", "error", "rows"])
+            slabs = ((slab, set(own)) for _, slab, own in Slabs._read(batches, width))
+            while held := list(islice(slabs, HELD)):
+                for r in sorted(set().union(*(own for _, own in held)) & shared.value.keys()):
+                    parts = [gradient_sums(slab, shared.value[r], p) for slab, own in held if r in own]
+                    g, n, error, rows = (sum(x[1:], x[0]) for x in zip(*parts, strict=True))
+                    for k in range(0, g.shape[1], piece):
+                        both = np.stack([g[:, k : k + piece], n[:, k : k + piece]]).tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k // piece], pa.int32()), pa.array([both], pa.binary()), pa.array([error if k == 0 else 0.0]), pa.array([rows if k == 0 else 0])], ["run", "piece", "sums", "error", "rows"])
 
         def pick(table: pa.Table) -> pa.Table:
             job, k = shared.value[table.column("run")[0].as_py()], table.column("piece")[0].as_py()
@@ -552,11 +549,9 @@ def _largest(matrix: Matrix, targets: DataFrame) -> dict[int, float]:
     return {r[0]: r[1] for r in rows.groupBy("var_id").agg(F.max(F.abs("value"))).collect()}
 
 
-def _lots(targets: list[int], folds: int, width: int, p: BoostParams) -> Iterator[list[int]]:
-    """Targets in lots, whose runs' sums a task may hold."""
-    take = max(1, int(round(p.feature_fraction * width)))
-    runs = MOST_SUMS // (16 * p.leaves * take * (p.bins + 1))
-    size = max(1, runs // max(folds, 1))
+def _lots(targets: list[int], folds: int) -> Iterator[list[int]]:
+    """Targets in lots of up to MOST_RUNS runs."""
+    size = max(1, MOST_RUNS // max(folds, 1))
     for lo in range(0, len(targets), size):
         yield targets[lo : lo + size]
 
@@ -567,7 +562,7 @@ def _trained(matrix: Matrix, tfs: list[int], targets: list[int], folds: int, par
     path = new_folder(spark)
     spark.createDataFrame([], RESULT).write.parquet(path)
     dealt = written(kfold(matrix.expr.select("obs_id").distinct(), folds)) if folds else None
-    for lot in _lots(targets, folds, len(tfs), params):
+    for lot in _lots(targets, folds):
         largest = _largest(matrix, spark.createDataFrame([(t,) for t in lot], "var_id int"))
         of = [(t, k) for t in lot for k in (range(folds) if folds else [None])]
         place = {t: i for i, t in enumerate(lot)}

@@ -128,10 +128,11 @@ def test_boosting_in_slabs_is_boosting_in_one(spark, wide, monkeypatch):
         # Draws are of all features here, so the order of places is all that counts.
         want |= {(tfs[i], t): g for i, g in zip(use, boost.boost(q[:, use], wide[:, t], p)[0], strict=True)}
     m = Matrix(long_form(spark, wide))
-    for cells, piece, sums in ((p.slab_cells, boost.PIECE, boost.MOST_SUMS), (700, 16 * 17 * 2, 16 * 5 * 5 * 17 * 5)):
+    for cells, piece, most in ((p.slab_cells, boost.PIECE, boost.MOST_RUNS), (700, 16 * 17 * 2, 5)):
         p = boost.BoostParams(**given, slab_cells=cells)
         monkeypatch.setattr(boost, "PIECE", piece)
-        monkeypatch.setattr(boost, "MOST_SUMS", sums)
+        monkeypatch.setattr(boost, "MOST_RUNS", most)
+        monkeypatch.setattr(boost, "HELD", 2)
         monkeypatch.setattr(boost, "KEPT_EVERY", 2)
         got = {(r["tf"], r["target"]): r["importance"] for r in boost.gb_network(m, tfs, p, None).collect()}
         assert got == want
