@@ -9,17 +9,18 @@ An array is sorted, part by part: by the hash of the leading GRAM bytes, then by
 GRAM bytes, and among them those that agree for all that matters, so stand beside one another, as in an array in the
 order of the bytes; the hashes take 16 bytes a suffix in place of 200 and more. Suffixes of equal span share an entry.
 
-A new batch gets an array of its own. It is merge-scanned against all levels: where a suffix of the batch stands
-beside another of the same leading bytes, in the batch or in a level, these have met. Then arrays of equal
-rank merge into one of the next, so that n batches leave log n levels and each entry is rewritten log n times.
+A new batch gets an array of its own. It is compared with all levels: an exchange by the leading hash brings equal
+ones of the batch and of the levels together, where a grouping finds those that have met; sorted files are not read
+side by side. Then arrays of equal rank merge into one of the next, so that n batches leave log n levels and each
+entry is rewritten log n times.
 
 Of leading bytes that have met, an anchor whose whole span occurs twice lies in repeats only; where anchors are alike
 and their spans are not, spans are cut into cells of CELL windows, which are compared in the same way by what all
 their windows hold and by all that they hold together; and where cells are alike in the one and not in the
 other, window by window. One of equal spans stands for all of them, so copies are compared once.
 
-Bytes are compared by 64-bit hashes, and only within a group that agrees in another 64-bit hash already: texts are
-taken for equal wrongly if both agree by chance.
+Bytes are compared by 64-bit hashes. Texts that differ in their leading GRAM bytes are taken for equal wrongly only
+if two such hashes agree by chance; texts that share these bytes, if the one of their span does.
 """
 
 from __future__ import annotations
@@ -261,7 +262,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     """_id, n_bytes, n_removed, n_spans and kept (binary), a row for each row of docs.
 
     A null text is empty and a null id the lowest. Rows alike are each other's repeats, whatever their ids.
-    Removed bytes need not end at character borders. Texts may be of any length up to 16 GiB. Of an empty table
+    Removed bytes need not end at character borders. A task takes some 75 bytes for each
+    byte of its longest text, so texts of some 40 MB ask for 3 GB. Of an empty table
     there is no row. Extra columns are not read.
     """
     found = repeats(docs, length, gram, batches)
