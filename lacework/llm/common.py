@@ -110,7 +110,7 @@ class Scratch:
         self.base = f"{base.rstrip('/')}/lacework-{uuid.uuid4().hex}"
         self.written = 0
 
-    def save(self, frame: DataFrame) -> DataFrame:
+    def save(self, frame: DataFrame, **options: str) -> DataFrame:
         """Writes a table, in small Arrow batches where Python makes it, and returns it as read back.
 
         What was shuffled for it is deleted once it stands: nothing reads that again.
@@ -124,7 +124,7 @@ class Scratch:
                 given = int(were[k].rstrip("b"))
                 conf.set(k, str(min(given, most) if given > 0 else most))
             conf.set(CLEAN, "true")
-            frame.write.parquet(path)
+            frame.write.options(**options).parquet(path)
         finally:
             for k, v in were.items():
                 conf.set(k, v)

@@ -7,19 +7,23 @@ longest suffix state at each of its tokens.
 
 The tree has two parts. Contexts with a share of LEAST_CONTEXT of the training tokens form its top, which has at
 most 1 / LEAST_CONTEXT states of a depth and 1 / LEAST_PAIR entries whatever the corpus' size, and goes to all
-tasks. All other contexts of DEPTH tokens that training holds at least twice are tested in buckets dealt by the
-context's hash, with exact counts of all symbols after them; they grow with the corpus. None of them holds more
-than that share (or 20 occurrences), so no bucket is hot. Nothing of them is sent to the driver or to all tasks: a bucket receives the
-tokens to be scored along with those to learn from, and returns sums for each text.
+tasks. All other contexts, of one token and of more, that training holds at least twice are tested in buckets, with
+exact counts of all symbols after them; they grow with the corpus. A token is sent once, to the bucket of the shortest
+context before it that is not in the top, along with what tells the longer ones: they all lie in that bucket, as
+longer contexts are parts of shorter ones. None of these contexts holds more than that share (or 20 occurrences), so no
+bucket is hot. Nothing of them is sent to the driver or to all tasks: a bucket receives the tokens to be scored along
+with those to learn from, and returns sums for each text.
 
 A state of the top holds the probabilities of the symbols seen often after it, smoothed towards the parent's; all
 other symbols share what is left in the parent's proportions. A state in a bucket adds PRIOR_RARE times its parent's
 distribution to its counts, and is kept if it tells each of its own occurrences better than its parent does when that
-occurrence is left out. So every distribution sums to 1. Infrequent words are one symbol to the states, though
-contexts tell them apart; within that class the root's distribution holds, from counts over all training
-documents, discounted to leave mass for what is unknown. Those counts are looked up by a join.
+occurrence is left out; else the next longer context has the same parent. So every distribution sums to 1. Infrequent
+words are one symbol to the states, though contexts tell them apart; within that class the root's distribution holds,
+from counts over all training documents, discounted to leave mass for what is unknown. Those counts are looked up by a join.
 
-Words are told apart by 64-bit hashes, contexts in buckets by 47 bits and what the bucket's number tells.
+Texts are hashed twice: to count words, and to write their symbols to a table, which all later passes read.
+Words are told apart by 64-bit hashes; contexts in buckets by 47 bits and what the bucket's number tells, each further
+token of a longer one by 32 bits within the shorter.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ DEPTH = 3
 FREQUENT = 100_000
 #: Least share of the training tokens that a context in the top has, and a context followed by a symbol.
 LEAST_CONTEXT, LEAST_PAIR = 1e-5, 5e-7
-#: How often, however small the corpus, a context in the top stands at least, so that buckets hold rarer ones.
+#: How often, however small the corpus, a context in the top stands at least; buckets hold all rarer ones.
 LEAST_TOP = 20
 #: Times the parent's distribution is counted among what was seen, in the top and in buckets.
 PRIOR, PRIOR_RARE = 30.0, 2.0
@@ -52,7 +56,7 @@ LEAST_RARE, LEAST_RARE_BITS = 2, 8.0
 #: Tokens, and pairs, that a task counts before it hands them on.
 FLUSH_WORDS, FLUSH_PAIRS = 2_000_000, 3_000_000
 #: Tokens of a bucket, about; there are at most 2^16 buckets, dealt in so many turns, so that a turn's share lies on disk at a time.
-BUCKET, TURNS = 1_500_000, 2
+BUCKET, TURNS = 1_500_000, 3
 #: Texts, about, whose scores one task adds up over the buckets of a turn.
 PART = 2_000
 #: Bytes and rows of texts that are read at once.
@@ -61,6 +65,8 @@ BITS = 17
 MASK = (1 << BITS) - 1
 #: The edge of a text where contexts are hashed.
 EDGE = U(0xB5297A4D3C6EF35B)
+#: Keys of contexts have so many bits in a bucket.
+KEY = U((1 << 47) - 1)
 
 
 def _sums(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +114,7 @@ class Tree:
 
     def __init__(self, words: np.ndarray, root: np.ndarray):
         self.order = np.argsort(words)
-        self.words = words[self.order]
+        self.by_symbol, self.words = words, words[self.order]
         self.other, self.edge = len(words), len(words) + 1
         self.log_root = np.log(root)
         self.states: list[np.ndarray] = []
@@ -117,20 +123,26 @@ class Tree:
         self.entries: list[tuple[np.ndarray, np.ndarray]] = []
         self.rest: list[np.ndarray] = []
 
-    def symbols(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words and each text's first word's number: the texts' symbols one after the other, each text between edges
-        that neighbours share; the text's number of all symbols but the first; the words' hashes, EDGE at edges."""
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            symbol = np.where(self.words[at] == hashes, self.order[at], self.other)
-        else:
-            symbol = np.full(len(hashes), self.other)
-        sizes = np.diff(first)
-        flat = np.full(len(hashes) + len(sizes) + 1, self.edge)
-        around = np.full(len(flat), EDGE)
-        place = np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes) + 1
-        flat[place], around[place] = symbol, hashes
-        return flat, np.repeat(np.arange(len(sizes)), sizes + 1), around
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Of words, given by their hashes."""
+        if not len(self.words):
+            return np.full(len(hashes), self.other)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.order[at], self.other)
+
+    def lay(self, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts' symbols one after the other, each text between edges that neighbours share; the text's number of all symbols but the first."""
+        sizes = np.array([len(x) // 4 for x in symbols], np.int64)
+        words = np.frombuffer(b"".join(symbols), "<i4")
+        flat = np.full(len(words) + len(sizes) + 1, self.edge)
+        flat[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = words
+        return flat, np.repeat(np.arange(len(sizes)), sizes + 1)
+
+    def hashes(self, flat: np.ndarray, rare: list[bytes]) -> np.ndarray:
+        """The hashes of laid symbols, EDGE at edges; rare: those of each text's infrequent words."""
+        out = np.append(self.by_symbol, [U(0), EDGE])[flat]
+        out[flat == self.other] = np.frombuffer(b"".join(rare), "<u8")
+        return out
 
     def contexts(self, flat: np.ndarray) -> list[np.ndarray]:
         """For each depth, the number of the counted context before each symbol but the first; -1: none.
@@ -214,8 +226,26 @@ class Tree:
         return out
 
 
+def encode(given: DataFrame, tree: Tree) -> DataFrame:
+    """_id, _text, _train, and of each text: symbols (4 bytes each, its edges left out), rare (the hashes, 8 bytes each, of its infrequent words)."""
+    shared = given.sparkSession.sparkContext.broadcast(tree)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for b in batches:
+            for part in slices(b, "text", READ_BYTES, READ_ROWS):
+                hashes, first = word_hashes(part.column("text").to_pylist())
+                symbol = tree.symbols(hashes).astype("<i4")
+                other = symbol == tree.other
+                hashes, before = hashes[other], np.concatenate([[0], np.cumsum(other)])[first]
+                packed = [[x[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)] for x, at in ((symbol, first), (hashes, before))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_text", "_train")), *(pa.array(x, pa.binary()) for x in packed)], ["_id", "_text", "_train", "symbols", "rare"])
+
+    return given.select("_id", "_text", "_train", "text").mapInArrow(code, "_id long, _text long, _train boolean, symbols binary, rare binary")
+
+
 def count_pairs(texts: DataFrame, tree: Tree) -> DataFrame:
-    """key, n: how often each symbol follows each candidate context of the tree's last depth. Symbol MASK: any."""
+    """key, n: how often each symbol follows each candidate context of the tree's last depth, in texts as encode() gives them. Symbol MASK: any."""
     shared = texts.sparkSession.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +259,8 @@ def count_pairs(texts: DataFrame, tree: Tree) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, (heads << BITS) + MASK])), pa.array(np.concatenate([n, sums]))], ["key", "n"])
 
         for b in batches:
-            for part in slices(b, "text", READ_BYTES, READ_ROWS):
-                flat, _, _ = tree.symbols(*word_hashes(part.column("text").to_pylist()))
+            for part in slices(b, "symbols", READ_BYTES, READ_ROWS):
+                flat, _ = tree.lay(part.column("symbols").to_pylist())
                 at = tree.contexts(flat)[-1]
                 keys = (at[at >= 0] << BITS) + flat[1:][at >= 0]
                 held.append(keys)
@@ -241,7 +271,7 @@ def count_pairs(texts: DataFrame, tree: Tree) -> DataFrame:
         if size:
             yield out()
 
-    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("symbols").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _numbers(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -269,34 +299,40 @@ def grow_tree(texts: DataFrame, tree: Tree, n_train: int, depth: int = DEPTH) ->
     return tree
 
 
-def rare_keys(around: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """A 64-bit key of the ``depth`` tokens before each but the first; 0 where they would reach beyond an edge."""
-    n = len(around) - 1
-    out = np.zeros(n, U)
-    if n < depth:
-        return out
-    key, whole = np.zeros(n - depth + 1, U), np.ones(n - depth + 1, bool)
-    for k in range(depth):
-        part = around[k : k + len(key)]
-        key = mix(key + part)
-        if k:  # only the first may be an edge
-            whole &= part != EDGE
-    key[(key & U((1 << 47) - 1)) == 0] += U(1)
-    out[depth - 1 :] = np.where(whole, key, U(0))
-    return out
-
-
-def weigh(entries: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Natural logs of the probabilities of tokens in a bucket.
+def rare_keys(around: np.ndarray, top: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token but the first: a 64-bit key of the shortest context before it that is not in the top, 0 where there is none,
+    and, in a row for each longer one, 32 bits of the hash of the token that it has in addition, 0 where there is none.
 
-    entries: the context's key << BITS, and the symbol; without a key there is no context here. logs: by the top's
-    states, below 0 for tokens to learn from; for others with the sign changed.
+    around: the hashes of the tokens, EDGE at edges, of which a context may have one as its first token alone.
+    top: how many of the contexts before a token, the shortest first, are in the top.
+    """
+    n = len(around) - 1
+    before = np.zeros((depth, n), U)  # the tokens of the contexts; 0: no context reaches so far
+    reach, key, out = np.ones(n, bool), np.zeros(n, U), np.zeros(n, U)
+    for d in range(min(depth, n)):
+        before[d, d:] = np.where(reach[d:], around[: n - d], U(0))
+        reach[:d] = False
+        key = mix(key + before[d])
+        key[(key & KEY) == 0] += U(1)
+        here = reach & (top == d)
+        out[here] = key[here]
+        reach &= before[d] != EDGE
+    more = np.zeros((depth - 1, n), np.uint32)
+    for d in range(depth - 1):
+        at = top + d + 1
+        live = np.flatnonzero((out != 0) & (at < depth))
+        further = before[at[live], live]
+        more[d, live] = np.where(further != 0, np.maximum(further >> U(32), U(1)), U(0))
+    return out, more
+
+
+def refine(key: np.ndarray, symbol: np.ndarray, known: np.ndarray, parent_log: np.ndarray) -> np.ndarray:
+    """Natural logs of the probabilities of symbols after contexts of one depth, given by keys of 47 bits, from their parents'.
+
+    known: which of them are there to learn from.
     """
-    known, parent_log = logs < 0, -np.abs(logs.astype(np.float64))
-    deep = np.flatnonzero(entries >> U(BITS))
-    if not len(deep):
-        return parent_log
-    order = deep[np.argsort(entries[deep])]
+    entries = (key << U(BITS)) | symbol
+    order = np.argsort(entries)
     entry = entries[order]
     first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
     context = entry[first] >> U(BITS)
@@ -310,14 +346,35 @@ def weigh(entries: np.ndarray, logs: np.ndarray) -> np.ndarray:
     kept = (whole >= LEAST_RARE) & (saved > LEAST_RARE_BITS * np.log(2))
     gain = np.log((n + PRIOR_RARE * parent) / ((np.repeat(whole, follows) + PRIOR_RARE) * parent))
     gain[~np.repeat(kept, follows)] = 0
-    parent_log[order] += np.repeat(gain, np.diff(np.append(first, len(order))))
-    return parent_log
+    out = parent_log.copy()
+    out[order] += np.repeat(gain, np.diff(np.append(first, len(order))))
+    return out
+
+
+def weigh(entries: np.ndarray, more: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Natural logs of the probabilities of tokens in a bucket.
+
+    entries: the shortest context's key << BITS, and the symbol; without a key there is no context here. more: what
+    tells the longer ones, as of rare_keys(). logs: by the top's states, below 0 for tokens to learn from; for others
+    with the sign changed.
+    """
+    known, out = logs < 0, -np.abs(logs.astype(np.float64))
+    key, symbol = entries >> U(BITS), entries & U(MASK)
+    live = np.flatnonzero(key)
+    for further in [None, *more]:
+        if further is not None:
+            live = live[further[live] != 0]
+            key[live] = mix((key[live] << U(BITS)) ^ mix(further[live].astype(U))) & KEY
+        if not len(live):
+            break
+        out[live] = refine(key[live], symbol[live], known[live], out[live])
+    return out
 
 
 def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, turn: int, n_texts: int, depth: int = DEPTH) -> DataFrame:
     """_id, _text, score: log10 probabilities of the texts' symbols in a turn's buckets, a row for each text that has any there.
 
-    given: _id, _text, text and _train. The class of infrequent words counts as one symbol. A bucket hands its sums on
+    given: texts as encode() gives them. The class of infrequent words counts as one symbol. A bucket hands its sums on
     packed, a row for each part of the texts; there is at most one sum for each of a text's tokens. n_texts: how many there are, about.
     """
     parts = n_texts // PART + 1
@@ -327,19 +384,18 @@ def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, tu
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for b in batches:
-            for part in slices(b, "text", READ_BYTES, READ_ROWS):
-                flat, text, around = tree.symbols(*word_hashes(part.column("text").to_pylist()))
+            for part in slices(b, "symbols", READ_BYTES, READ_ROWS):
+                flat, text = tree.lay(part.column("symbols").to_pylist())
                 symbol, contexts = flat[1:], tree.contexts(flat)
-                key = rare_keys(around, depth)
-                if len(contexts) == depth:  # frequent contexts are the top's
-                    key[contexts[-1] >= 0] = 0
+                top = np.sum([at >= 0 for at in contexts[:depth]], axis=0, dtype=np.int64) if contexts else np.zeros(len(symbol), np.int64)
+                key, more = rare_keys(tree.hashes(flat, part.column("rare").to_pylist()), top, depth)
                 bucket = (((key >> U(47)) * U(buckets)) >> U(17)).astype(np.uint16)
                 none = np.flatnonzero(key == 0)
                 bucket[none] = none % buckets
                 order = np.flatnonzero((bucket >= low) & (bucket < high))
                 order = order[np.argsort(bucket[order], kind="stable")]
                 ends = np.cumsum(np.bincount(bucket[order], minlength=buckets))
-                entries, text = (key[order] << U(BITS)) | symbol[order].astype(U), text[order]
+                entries, more, text = (key[order] << U(BITS)) | symbol[order].astype(U), more[:, order], text[order]
                 logs = np.minimum(tree.log_of(symbol[order], [c[order] for c in contexts]), -1e-7).astype(np.float32)
                 train = part.column("_train").to_numpy(zero_copy_only=False).astype(bool)
                 logs = np.where(train[text], logs, -logs)
@@ -348,18 +404,19 @@ def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, tu
                 for k, (lo, hi) in enumerate(zip(np.append(0, ends), ends, strict=False)):
                     if hi > lo:
                         which, n = np.unique(text[lo:hi], return_counts=True)
-                        rows.append((k, ids[which].tobytes(), hashes[which].tobytes(), n.astype(np.int32).tobytes(), entries[lo:hi].tobytes(), logs[lo:hi].tobytes()))
-                types = [pa.int32(), *[pa.binary()] * 5]
-                names = ["bucket", "ids", "hashes", "times", "entries", "logs"]
+                        rows.append((k, ids[which].tobytes(), hashes[which].tobytes(), n.astype(np.int32).tobytes(), entries[lo:hi].tobytes(), more[:, lo:hi].T.tobytes(), logs[lo:hi].tobytes()))
+                types = [pa.int32(), *[pa.binary()] * 6]
+                names = ["bucket", "ids", "hashes", "times", "entries", "more", "logs"]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def score(table: pa.Table) -> pa.Table:
-        ids, hashes, times, entries, logs = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("times", "i4"), ("entries", "u8"), ("logs", "f4"))
+        ids, hashes, times, entries, more, logs = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", "i8"), ("hashes", "i8"), ("times", "i4"), ("entries", "u8"), ("more", "u4"), ("logs", "f4"))
         )
+        more = more.reshape(len(entries), depth - 1).T
         text = np.repeat(np.arange(len(ids)), times)
-        ids, hashes, sums = add(ids, hashes, np.bincount(text, weigh(entries, logs), len(ids)) / np.log(10))
+        ids, hashes, sums = add(ids, hashes, np.bincount(text, weigh(entries, more, logs), len(ids)) / np.log(10))
         part = (mix(ids.view(U) ^ hashes.view(U)) % U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         which, first = np.unique(part[order], return_index=True)
@@ -377,7 +434,7 @@ def score_in_buckets(given: DataFrame, shared: Broadcast[Tree], n_train: int, tu
         first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])[: len(ids)])
         return ids[first], hashes[first], np.add.reduceat(sums[order], first) if len(first) else sums
 
-    sent = given.select("_id", "_text", "text", "_train").mapInArrow(send, "bucket int, ids binary, hashes binary, times binary, entries binary, logs binary")
+    sent = given.mapInArrow(send, "bucket int, ids binary, hashes binary, times binary, entries binary, more binary, logs binary")
     summed = sent.groupBy("bucket").applyInArrow(score, "part int, ids binary, hashes binary, sums binary")
     return summed.groupBy("part").applyInArrow(unpack, "_id long, _text long, score double")
 
@@ -394,8 +451,7 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     spark = docs.sparkSession
     scratch = Scratch(spark)
     given = docs.select(id_or_lowest("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("_train"))
-    training_texts = given.where("_train").select("text")
-    words = scratch.save(count_tokens(training_texts))
+    words = scratch.save(count_tokens(given.where("_train").select("text")))
     counts = given.agg(F.count("*").alias("all"), F.count_if("_train").alias("train")).first()
     n_texts = counts["train"]
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2")).first()
@@ -408,14 +464,15 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
     whole = max(n_train, 1)
     root = np.concatenate([(top_counts - discount) / whole, [0.0], [(n_texts - discount) / whole if n_texts else 0.5]])
     root[len(top_words)] = other = max(1 - root.sum(), 1e-9)
-    tree = grow_tree(training_texts, Tree(top_words, root), n_train, depth)
+    coded = scratch.save(encode(given, Tree(top_words, root)), compression="zstd")
+    tree = grow_tree(coded.where("_train"), Tree(top_words, root), n_train, depth)
     denominator = float(np.log10(n_train + 0.5 * (v + 1)))
     bases = np.log10(np.concatenate([top_counts, [0.0], [n_texts]]) + 0.5) - denominator
     bases[len(top_words)] = 0.0
     scores, top_tree = [], spark.sparkContext.broadcast(tree)
     for turn in range(TURNS):
         scratch.free()
-        scores.append(scratch.save(score_in_buckets(given, top_tree, n_train, turn, counts["all"], depth)))
+        scores.append(scratch.save(score_in_buckets(coded, top_tree, n_train, turn, counts["all"], depth)))
     scratch.free()
     reader = Tree(top_words, root)
     shared = spark.sparkContext.broadcast((reader, bases))
@@ -425,13 +482,13 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
         """A row for each text with what its symbols sum to, and one for each word in it that is not frequent."""
         tree, bases = shared.value
         for b in batches:
-            for part in slices(b, "text", READ_BYTES, READ_ROWS):
-                flat, text, around = tree.symbols(*word_hashes(part.column("text").to_pylist()))
+            for part in slices(b, "symbols", READ_BYTES, READ_ROWS):
+                flat, text = tree.lay(part.column("symbols").to_pylist())
                 n, symbol = part.num_rows, flat[1:]
                 base = np.bincount(text, bases[symbol], n)
                 known = np.bincount(text, symbol < tree.other, n).astype(np.int64) + ends
                 rare = np.flatnonzero(symbol == tree.other)
-                word, owner = around[1:][rare], text[rare]
+                word, owner = np.frombuffer(b"".join(part.column("rare").to_pylist()), "<u8"), text[rare]
                 order = np.lexsort((word, owner))
                 word, owner = word[order], owner[order]
                 new = np.flatnonzero((np.diff(word, prepend=U(0)) != 0) | (np.diff(owner, prepend=-1) != 0))
@@ -453,7 +510,7 @@ def score_texts(docs: DataFrame, training: F.Column, frequent: int = FREQUENT, d
                     ["_id", "_text", "word", "whole", "times", "known", "base"],
                 )
 
-    seen = given.select("_id", "_text", "text").mapInArrow(look_up, "_id long, _text long, word long, whole boolean, times long, known long, base double")
+    seen = coded.select("_id", "_text", "symbols", "rare").mapInArrow(look_up, "_id long, _text long, word long, whole boolean, times long, known long, base double")
     c = F.when(F.col("whole"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("double")
     # Of a word that is not frequent: its share of the class's mass at the root.
     within = F.when(c > 0, (c - discount) / whole).otherwise(unknown) / other

@@ -252,7 +252,8 @@ def test_suffix_tree_in_buckets_by_brute_force():
     symbol[context < 20] = context[context < 20] % 4
     entries = (context.astype(np.uint64) << np.uint64(17)) | symbol.astype(np.uint64)
     logs = np.log(parent)[symbol].astype(np.float32)
-    got = suffix_tree.weigh(entries, np.where(train, logs, -logs))
+    more = np.zeros((2, len(entries)), np.uint32)
+    got = suffix_tree.weigh(entries, more, np.where(train, logs, -logs))
     a, kept = suffix_tree.PRIOR_RARE, 0
     for c in set(context.tolist()):
         n = np.bincount(symbol[(context == c) & train], minlength=4)
@@ -264,18 +265,116 @@ def test_suffix_tree_in_buckets_by_brute_force():
         for s, g in zip(symbol[context == c], got[context == c], strict=True):
             assert math.isclose(g, math.log(p[s]), rel_tol=1e-4, abs_tol=1e-5)
     assert 0 < kept < len(set(context.tolist()))
-    assert np.allclose(suffix_tree.weigh(np.arange(4, dtype=np.uint64), logs[:4]), logs[:4])
+    assert np.allclose(suffix_tree.weigh(np.arange(4, dtype=np.uint64), more[:, :4], logs[:4]), logs[:4])
 
 
 def test_suffix_tree_keys_of_contexts():
-    """Contexts of three tokens, whose first alone may be the edge of a text."""
-    hashes = np.array([5, 6, 7, 5, 6, 7, 9], np.uint64)
-    tree = suffix_tree.Tree(np.array([5, 6], np.uint64), np.array([0.2, 0.2, 0.3, 0.3]))
-    flat, text, around = tree.symbols(hashes, np.array([0, 3, 3, 7]))
+    """The shortest context beyond the top has the key, longer ones a part each; the first token alone may be the edge of a text."""
+    hashes = np.array([5, 6, 7, 5, 6, 7, 9], np.uint64) << np.uint64(40)
+    tree = suffix_tree.Tree(hashes[:2], np.array([0.2, 0.2, 0.3, 0.3]))
+    symbols = tree.symbols(hashes).astype("<i4")
+    flat, text = tree.lay([symbols[:3].tobytes(), b"", symbols[3:].tobytes()])
     assert flat.tolist() == [3, 0, 1, 2, 3, 3, 0, 1, 2, 2, 3] and text.tolist() == [0, 0, 0, 0, 1, 2, 2, 2, 2, 2]
-    keys = suffix_tree.rare_keys(around, 3)
-    assert [bool(k) for k in keys] == [False, False, True, True, False, False, False, True, True, True]
+    around = tree.hashes(flat, [hashes[2:3].tobytes(), b"", hashes[5:].tobytes()])
+    assert (around[flat != 3] == hashes).all() and (around[flat == 3] == suffix_tree.EDGE).all()
+    none = np.zeros(len(text), np.int64)
+    keys, more = suffix_tree.rare_keys(around, none, 3)
+    assert (keys != 0).all() and len(set(keys.tolist())) == 5  # the edge, 5, 6, 7, 9
+    assert [bool(x) for x in more[0]] == [False, True, True, True, False, False, True, True, True, True]
+    assert [bool(x) for x in more[1]] == [False, False, True, True, False, False, False, True, True, True]
+    assert more[:, 3].tolist() == more[:, 8].tolist() and more[0, 1] == more[0, 6] != more[0, 2]
+    keys, more = suffix_tree.rare_keys(around, none + 2, 3)
+    assert [bool(k) for k in keys] == [False, False, True, True, False, False, False, True, True, True] and not more.any()
     assert keys[2] == keys[7] and keys[3] == keys[8] and len(set(keys.tolist())) == 4
+    keys, more = suffix_tree.rare_keys(around, none + 3, 3)
+    assert not keys.any() and not more.any()
+
+
+def _plain_scores(rows, training, depth=3):
+    """Scores by a plain suffix tree: contexts in dictionaries, one after the other."""
+    s = suffix_tree
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]
+    texts = [split(t) for t in rows]
+    counts = Counter(w for t, k in zip(texts, training, strict=True) if k for w in t)
+    n_texts, v = sum(training), len(counts) + 1
+    n = sum(counts.values()) + n_texts
+    ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = min(max(ones / max(ones + 2 * twos, 1), 0.05), 0.95)
+    root = {w: (c - discount) / n for w, c in counts.items()} | {"</s>": (n_texts - discount) / n}
+    other = max(1 - sum(root.values()), 1e-9)
+    base = lambda w: root.get(w, other)
+    symbol = lambda w: w if w in root else None
+    places = []  # text, learned from, the contexts from the shortest on, the next symbol
+    for i, t in enumerate(texts):
+        line = ["</s>", *t, "</s>"]
+        for j in range(1, len(line)):
+            places.append((i, training[i], [tuple(line[j - d : j]) for d in range(1, min(depth, j) + 1)], symbol(line[j])))
+    follow = {}
+    for _, learned, contexts, x in places:
+        if learned:
+            for c in contexts:
+                follow.setdefault(c, Counter())[x] += 1
+    least, most = max(2, s.LEAST_PAIR * n), max(s.LEAST_TOP, s.LEAST_CONTEXT * n)
+    known = {}
+
+    def state(context):
+        """The distribution after a context, as a function of the symbol."""
+        if not context:
+            return base
+        if context in known:
+            return known[context]
+        parent, seen = state(context[1:]), follow.get(context, Counter())
+        whole, out = sum(seen.values()), state(context[1:])
+        if whole - discount * (len(context) == 1) >= most:
+            seen = {x: c for x, c in seen.items() if c >= least}
+            p = {x: (c + s.PRIOR * parent(x)) / (whole + s.PRIOR) for x, c in seen.items()}
+            rest = max(1 - sum(p.values()), 1e-12) / max(1 - sum(parent(x) for x in p), 1e-12)
+            bits = sum(c * math.log2(p[x] / parent(x)) for x, c in seen.items()) + (whole - sum(seen.values())) * math.log2(rest)
+            if bits > max(s.ENTRY_BITS * (1 + len(p)), s.LEAST_BITS * whole):
+                out = lambda x: p.get(x, parent(x) * rest)
+        elif whole >= s.LEAST_RARE:
+            saved = sum(c * math.log2((c - 1 + s.PRIOR_RARE * parent(x)) / (whole - 1 + s.PRIOR_RARE) / parent(x)) for x, c in seen.items())
+            if saved > s.LEAST_RARE_BITS:
+                out = lambda x: (seen[x] + s.PRIOR_RARE * parent(x)) / (whole + s.PRIOR_RARE)
+        known[context] = out
+        return out
+
+    unknown, out = discount * v / n, [0.0] * len(rows)
+    for i, _, contexts, x in places:
+        out[i] += math.log10(state(contexts[-1])(x)) + (math.log10(unknown / other) if x is None else 0)
+    return out
+
+
+def test_suffix_tree_scores_by_brute_force(spark, monkeypatch):
+    """Whole scores, from contexts of all lengths, are those of a plain tree; in many buckets as in few."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(120)]
+    after = {w: [rng.choice(words) for _ in range(3)] for w in words}
+    texts = []
+    for _ in range(150):
+        line = [rng.choice(words)]
+        for _ in range(rng.randrange(60)):
+            line.append(rng.choice(after.get(line[-1], words)) if rng.random() < 0.7 else rng.choice(words) if rng.random() < 0.9 else f"u{rng.randrange(10**6)}")
+        texts.append(" ".join(line))
+    texts += ["", None, "u1", *texts[:5], *[texts[9]] * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _plain_scores(texts, [i % 5 != 1 for i in range(len(texts))])
+    for bucket in (400, 10**9):
+        monkeypatch.setattr(suffix_tree, "BUCKET", bucket)
+        got = {r["_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") % 5 != 1).collect()}
+        assert len(got) == len(texts)
+        for i, w in enumerate(want):
+            assert math.isclose(got[i], w, rel_tol=1e-5), (i, got[i], w)
+
+
+def test_suffix_tree_learns_rare_contexts_of_every_length(spark):
+    """What always follows a word is expected after it, seen 19 times as seen 40 times, whatever stood before."""
+    for times in (19, 40):
+        seen = [f"a{2 * i} a{2 * i + 1} alpha beta" for i in range(times)] + [f"b{i} c{i} d{i} u{i % 9}" for i in range(200)]
+        rows = [*enumerate(seen), (1000, "q1 q2 alpha beta"), (1001, "q1 q2 alpha u7")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") < 1000).collect()}
+        assert got[1000] - got[1001] > 1
 
 
 def test_suffix_tree_links():
