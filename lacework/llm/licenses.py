@@ -100,7 +100,8 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float =
     none. Around each place of the template's rarest word in the text, a window is aligned, so an alignment
     never gathers words from all over a long text; and a part of it that holds that word no more often than the
     template does, as a window may hold a notice twice. If that word is one of those missing, the next rarest serve:
-    as many of them as may be missing, and one more.
+    as many of them as may be missing, and one more. Every place is tried, so time grows with how often that word
+    stands in the text, and with the template's length.
     """
     if not text:
         return []
@@ -122,14 +123,9 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float =
         for tried, (_, w) in enumerate(rarest):
             if tried > spare or best[0] >= 1:
                 break
-            done = -1
             for i, at in enumerate(places[w]):
                 lo, hi = max(0, at - REACH * n), min(len(words), at + REACH * n + 1)
-                windows = _cuts(places[w], i, need[w], lo, hi)
-                if at > done:  # else it lies well within a window that has been aligned
-                    windows.append((lo, hi))
-                    done = hi - REACH * n - 1 if have[w] > 4 * n else -1
-                for lo, hi in windows:
+                for lo, hi in [*_cuts(places[w], i, need[w], lo, hi), (lo, hi)]:
                     if hi - lo < least * n or hi - lo <= best[0] * n:
                         continue
                     pairs = _dense(align(words, template, lo, hi), n)
@@ -165,7 +161,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     """doc_id, license (best match or null), coverage, first_word, last_word, licenses (all): a row for each row of docs.
 
     Best is the template with the most aligned words; ties go to the smaller name. Null and empty texts hold
-    no licence; a null id stays null; repeated rows are scanned each; extra columns are not read.
+    no licence; a null id stays null; repeated rows are scanned each; extra columns are not read; of an empty table
+    there is no row. Texts are scanned whole, however long; a task holds the words of one at a time.
     """
     split = {k: words_of(v) for k, v in sorted((templates or TEMPLATES).items())}
 
