@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 3).
 
 A lexical transducer maps words to classes: insults (whole words, or stems with any ending) are learned from labels,
-with a weight each; threats, targets, negation and reported speech are closed lists of the grammar. A clause is the
+with a weight each, and so are threats, which are words that mark toxic documents only where their clause has a target.
+Some threats are given, with weight 1; targets, negation and reported speech are closed lists of the grammar. A clause is the
 string of its classes. Transducers over classes mark the insults and threats in it: one for reported speech, one for
 negation and one for targets, composed into one machine that reads the clause from the left; and that for targets
 again from the right, as what follows is aimed at, too. What an arc of the composed machine emits, by kind
@@ -24,9 +25,9 @@ from .common import id_or_lowest, id_or_null
 
 #: The lexicon is learned on at most this many labelled training documents, those whose ids hash lowest.
 SAMPLE = 30_000
-#: Entries of a learned lexicon, words and stems together.
-MOST_TERMS = 2_000
 STEMS = (4, 5, 6, 7)
+#: A threat's log odds in clauses with a target exceed those of the word anywhere by so much.
+LEAST_AIM = 1.0
 
 # Closed word classes of the grammar, in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat shoot stab burn murder töten umbringen verletzen schlagen tuer tuerai frapper détruire matar matarte golpear quemar".split()
@@ -102,8 +103,9 @@ CLAUSE = REPORT.then(NEGATION).then(TARGET)
 class Grammar:
     """The lexical transducer, and what clauses emit through it and the machines over classes."""
 
-    def __init__(self, words: dict[bytes, float], stems: dict[bytes, float]):
+    def __init__(self, words: dict[bytes, float], stems: dict[bytes, float], threats: dict[bytes, float] | None = None):
         self.words, self.stems = words, stems
+        self.threats = {w: 1.0 for w, k in _CLASS.items() if k == "threat"} | (threats or {})
         self.lengths = sorted({len(s) for s in stems})
 
     def insult(self, word: bytes) -> float:
@@ -120,9 +122,9 @@ class Grammar:
         out, symbols, weights = [0.0] * 8, [], []
         for word in words:
             weight = self.insult(word)
-            kind = "insult" if weight else _CLASS.get(word, "other")
+            kind = "insult" if weight else "threat" if word in self.threats else _CLASS.get(word, "other")
             symbols.append((kind, 0))
-            weights.append(weight or float(kind == "threat"))
+            weights.append(weight or self.threats.get(word, 0.0))
         if any(weights):
             marked = TARGET.run(reversed(CLAUSE.run(symbols)))
             for (kind, marks), weight in zip(marked, reversed(weights), strict=True):
@@ -150,44 +152,52 @@ class Grammar:
             return True
         if any(not self.stems.keys().isdisjoint({w[:n] for w in distinct}) for n in self.lengths):
             return True
-        return not _CLASS.keys().isdisjoint(distinct) and any(_CLASS.get(w) == "threat" for w in distinct)
+        return not self.threats.keys().isdisjoint(distinct)
 
 
-def learn_lexicon(rows: list[tuple[bytes, int]]) -> Grammar:
-    """Words and stems that mark toxic documents, chosen one by one for the toxic documents they newly explain.
+def aimed_words(text: bytes) -> set[bytes]:
+    """The distinct words of the clauses that have a target, but for words of the closed classes."""
+    clauses = [set(words_of(c)) for c in _CLAUSE.split(text)]
+    return {w for c in clauses if any(_CLASS.get(w) == "target" for w in c) for w in c if w not in _CLASS}
 
-    rows: each document's distinct words, joined by spaces, and its label; one is split at a time, which keeps
-    memory low. Choosing for what is not explained yet keeps out words that merely stand beside an insult.
+
+def learn_lexicon(rows: list[tuple[bytes, bytes, int]]) -> Grammar:
+    """Words, stems and words beside a target that mark toxic documents, chosen one by one for the toxic documents they newly explain.
+
+    rows: each document's distinct words, and those of clauses with a target, joined by spaces, and its label; one is
+    split at a time, which keeps memory low. Choosing for what is not explained yet keeps out words that merely stand
+    beside an insult. A word beside a target, a threat, may be chosen only if it tells more there than anywhere. A term
+    must newly explain three toxic documents, so a lexicon has no more than a third of these.
     """
-    toxic = [w for w, y in rows if y]
+    toxic = [(w, aimed) for w, aimed, y in rows if y]
     n0, n1 = max(1, len(rows) - len(toxic)), max(1, len(toxic))
     holders: dict[bytes, set[int]] = defaultdict(set)
     clean: Counter[bytes] = Counter()
 
-    def terms(joined):
+    def terms(joined, aimed):
         words = joined.split()
-        return {(0, w) for w in words if len(w) > 2} | {(1, w[:n]) for w in words for n in STEMS if len(w) > n}
+        return {(0, w) for w in words if len(w) > 2} | {(1, w[:n]) for w in words for n in STEMS if len(w) > n} | {(2, w) for w in aimed.split() if len(w) > 2}
 
     often: Counter = Counter()
     for words in toxic:
-        often.update(terms(words))
+        often.update(terms(*words))
     often = {t for t, n in often.items() if n >= 3}
     for i, words in enumerate(toxic):
-        for t in terms(words):
+        for t in terms(*words):
             if t in often:
                 holders[t].add(i)
     del often
-    for words, y in rows:
+    for words, aimed, y in rows:
         if not y:
-            clean.update(t for t in terms(words) if t in holders)
+            clean.update(t for t in terms(words, aimed) if t in holders)
 
     def weight(t):
         return float(np.log((len(holders[t]) + 0.5) / (n1 + 1) / ((clean[t] + 0.5) / (n0 + 1))))
 
-    good = {t: w for t in holders if (w := weight(t)) > 1.5}
+    good = {t: w for t in holders if (w := weight(t)) > 1.5 and (t[0] < 2 or w > weight((0, t[1])) + LEAST_AIM)}
     left, chosen = set(range(len(toxic))), {}
     gain = {t: len(holders[t]) for t in good}
-    while good and len(chosen) < MOST_TERMS:
+    while good:
         best = max(gain, key=lambda t: (gain[t] * good[t], good[t], -len(t[1]), t), default=None)
         if best is None or gain[best] < 3:
             break
@@ -202,9 +212,9 @@ def learn_lexicon(rows: list[tuple[bytes, int]]) -> Grammar:
     if chosen:
         floor = max(3, 0.02 * n1)
         for t, w in sorted(good.items(), key=lambda x: (-x[1], x[0])):
-            if len(holders[t]) >= floor and clean[t] == 0 and len(chosen) < MOST_TERMS:
+            if t[0] < 2 and len(holders[t]) >= floor and clean[t] == 0:
                 chosen.setdefault(t, w)
-    return Grammar({t: w for (k, t), w in chosen.items() if k == 0}, {t: w for (k, t), w in chosen.items() if k == 1})
+    return Grammar(*({t: w for (k, t), w in chosen.items() if k == kind} for kind in range(3)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Grammar, np.ndarray]:
@@ -219,15 +229,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Gramm
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([b" ".join(sorted(set(words_of(t)))) for t in texts], pa.binary()), b.column("y")], ["_id", "words", "y"])
+            words, aimed = (pa.array([b" ".join(sorted(of(t))) for t in texts], pa.binary()) for of in (lambda t: set(words_of(t)), aimed_words))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), words, aimed, b.column("y")], ["_id", "words", "aimed", "y"])
 
     # Of an id with several texts the least counts, so there are no more rows than labels.
-    rows = picked.mapInArrow(words, "_id long, words binary, y int").groupBy("_id").agg(F.min("words").alias("words"), F.max("y").alias("y")).collect()
+    rows = picked.mapInArrow(words, "_id long, words binary, aimed binary, y int").groupBy("_id").agg(F.min(F.struct("words", "aimed")).alias("words"), F.max("y").alias("y")).collect()
     seen = {}
     for r in sorted(rows, key=lambda r: r["_id"]):
-        seen.setdefault(bytes(r["words"]), r["y"])
+        seen.setdefault((bytes(r["words"]["words"]), bytes(r["words"]["aimed"])), r["y"])
     del rows
-    grammar = learn_lexicon(list(seen.items()))
+    grammar = learn_lexicon([(*k, y) for k, y in seen.items()])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

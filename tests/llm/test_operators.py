@@ -521,6 +521,46 @@ def test_licenses_that_repeat_inside_other_text(times):
     assert licenses.scan_text(f"x {once * times}y", split)[0][:2] == ("MIT-notice", 1)
 
 
+def test_licenses_by_all_windows(docs, empty):
+    """Notices with words left out or changed, amid other prose, against an alignment around every place of a text."""
+    split, rng = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}, random.Random(4)
+    held = 0
+    for _ in range(40):
+        parts = []
+        for name in rng.sample(sorted(split), rng.randint(0, 2)):
+            rate = rng.choice([0, 0.05, 0.15, 0.3])
+            parts += prose(rng, rng.randint(0, 40)).split() + [w if rng.random() > rate else rng.choice(["", "zzz"]) for w in split[name]]
+        words = licenses.words_of(" ".join(parts + prose(rng, 30).split()))
+        want = {}
+        for name, template in split.items():
+            n, best = len(template), 0
+            for at in range(len(words)):
+                pairs = licenses.align(words, template, max(0, at - licenses.REACH * n), min(len(words), at + licenses.REACH * n + 1))
+                best = max(best, len(licenses._dense(pairs, n)) / n)
+            if best >= licenses.LEAST_COVERAGE:
+                want[name] = best
+        got = {name: coverage for name, coverage, _, _ in licenses.scan_text(" ".join(words), split)}
+        assert got == want
+        held += len(want)
+    assert held > 20 and licenses.scan_licenses(empty).count() == 0
+
+
+def test_toxicity_learns_threats(spark):
+    """A verb that is a threat only where it has a target is learned as such, and not held against clauses without one."""
+    rng, rows, marks = random.Random(6), [], []
+    for i in range(400):
+        text, toxic = prose(rng, 40), i % 4 == 0
+        aside = rng.choice(["we gribble you now", "they will gribble soon"]) if toxic else rng.choice(["we gribble the wood now", "they will sit down soon", "you see we came now", "to gribble will do"])
+        rows.append((i, f"{text}. {aside}. {prose(rng, 5)}", "en", "s", 0, 0, ""))
+        marks.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    grammar, _ = toxicity.fit(docs, labels)
+    assert list(k for k in grammar.threats if k not in toxicity._CLASS) == [b"gribble"] and not grammar.words and not grammar.stems
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert all(got[i] == t for i, _, t in marks)
+
+
 def test_toxicity_of_targets_that_follow():
     clause = lambda text: toxicity.Grammar({b"idiot": 2.0}, {}).clause(toxicity.words_of(text.encode()))
     none = (0,) * 4
