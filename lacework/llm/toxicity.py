@@ -13,7 +13,8 @@ scored and no isolated words.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,22 +172,25 @@ def learn_lexicon(rows: list[tuple[bytes, bytes, int]]) -> Grammar:
     """
     toxic = [(w, aimed) for w, aimed, y in rows if y]
     n0, n1 = max(1, len(rows) - len(toxic)), max(1, len(toxic))
-    holders: dict[bytes, set[int]] = defaultdict(set)
-    clean: Counter[bytes] = Counter()
+    holders: dict[tuple[int, bytes], array] = {}
+    clean: Counter[tuple[int, bytes]] = Counter()
 
-    def terms(joined, aimed):
-        words = joined.split()
-        return {(0, w) for w in words if len(w) > 2} | {(1, w[:n]) for w in words for n in STEMS if len(w) > n} | {(2, w) for w in aimed.split() if len(w) > 2}
+    parts = [lambda words, _: {(0, w) for w in words.split() if len(w) > 2}, lambda _, aimed: {(2, w) for w in aimed.split() if len(w) > 2}]
+    parts += [lambda words, _, n=n: {(1, w[:n]) for w in words.split() if len(w) > n} for n in STEMS]
 
-    often: Counter = Counter()
-    for words in toxic:
-        often.update(terms(*words))
-    often = {t for t, n in often.items() if n >= 3}
+    def terms(*words):
+        return set().union(*(part(*words) for part in parts))
+
+    for part in parts:  # one at a time, so that not all terms that are too rare are held at once
+        often: Counter = Counter()
+        for words in toxic:
+            often.update(part(*words))
+        holders |= {t: array("i") for t, n in often.items() if n >= 3}
+    del often
     for i, words in enumerate(toxic):
         for t in terms(*words):
-            if t in often:
-                holders[t].add(i)
-    del often
+            if t in holders:
+                holders[t].append(i)
     for words, aimed, y in rows:
         if not y:
             clean.update(t for t in terms(words, aimed) if t in holders)
@@ -201,7 +205,7 @@ def learn_lexicon(rows: list[tuple[bytes, bytes, int]]) -> Grammar:
         best = max(gain, key=lambda t: (gain[t] * good[t], good[t], -len(t[1]), t), default=None)
         if best is None or gain[best] < 3:
             break
-        new = holders[best] & left
+        new = left.intersection(holders[best])
         if len(new) < gain[best]:  # the gain was stale: put it right and look again
             gain[best] = len(new)
             continue
