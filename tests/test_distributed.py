@@ -169,6 +169,49 @@ def test_bags_and_folds_do_not_depend_on_slabs(spark, wide):
     assert (s["median"], s["p25"], s["p75"], s["least"], s["most"]) == (order[3], order[1], order[4], order[0], order[5])
 
 
+def test_runs_are_trained_whole_where_a_task_can_hold_them(spark, wide, monkeypatch):
+    """More cells than a slab has, without a job for each step: tasks put the packed slabs together. The same results as by steps."""
+    given = dict(iterations=5, leaves=6, least_leaf=8, bins=16, feature_fraction=0.5, bagging=0.8, min_iterations=2, patience=2)
+    m = Matrix(long_form(spark, wide))
+
+    def found(**more):
+        p = boost.BoostParams(**given, **more)
+        rounds, edges = boost.cv_rounds(m, [0, 1, 2, 3], [6, 8], 3, p), boost.gb_network(m, [0, 1, 2, 3], p, None)
+        return sorted(map(tuple, rounds.collect())), sorted(map(tuple, edges.collect()))
+
+    want = found(slab_cells=500)
+    monkeypatch.setattr(boost, "SLAB_CELLS", 500)
+    monkeypatch.setattr(boost, "SENT_CELLS", 300)
+    with monkeypatch.context() as steps:
+        steps.setattr(boost.Slabs, "step", lambda *a: 1 / 0)
+        assert found() == want
+        steps.setattr(boost, "WHOLE", 1000)
+        with pytest.raises(ZeroDivisionError):
+            found()
+
+
+def test_sums_of_a_run_at_hand_are_those_of_steps():
+    """The smaller side is counted, the other is what is left."""
+    rng = np.random.default_rng(1)
+    q = rng.integers(0, 9, (5, 400)).astype(np.uint8)
+    q[2, ::9] = boost.MISSING
+    y = q[0] * 0.5 + rng.normal(size=400)
+    y[::13] = np.nan
+    p = boost.BoostParams(iterations=6, leaves=7, least_leaf=5, bins=10, feature_fraction=0.6)
+    slab = boost.Slab(np.arange(400), q, {3: y}, rng.integers(0, 4, 400).astype(np.int16), {})
+    run = boost.Run(0, 9, 3, 1, [1, 2, 3, 4, 5], float(np.nanmax(np.abs(y))), p, 5)
+    boost._starts([run], {0: boost._start_sums(slab, run.job())})
+    held, seen = boost.Whole(slab, run.job(), p), 0
+    while not run.done:
+        job = run.job()
+        g, n, error, rows = held.gradient_sums(job)
+        for a, b in zip((g, n, error, rows), boost.gradient_sums(slab, job, p), strict=True):
+            assert np.array_equal(a, b)
+        run.take(boost.best_splits(g, n, p.least_leaf), error, rows)
+        seen += 1
+    assert seen > 12
+
+
 def test_boosting_parameters():
     for odd in ({"bins": 255}, {"metric": "auc"}):
         with pytest.raises(ConfigError):
