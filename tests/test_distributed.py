@@ -288,6 +288,23 @@ def test_blocks_travel_once_for_a_side(spark):
     assert [pairs.squares(packed, 96, side).count() for side in (1, 4, 8)] == [96 * 96, 96 * 24, 96 * 12]
 
 
+def test_no_group_packs_a_slab_whole(spark, monkeypatch):
+    """A slab of a block comes in pieces, of which some lack a variable; the counts are those of the join."""
+    x = np.random.default_rng(3).normal(size=(90, 7)).round(1).astype(object)
+    x[1:, 2] = None
+    x[::4, 5] = None
+    binned = store.written(binning.assign(expr := long_form(spark, x), binning.uniform_edges(expr, 3)))
+    want = sorted(map(tuple, pairs.joint_histogram(binned).collect()))
+    sizes, frame, plain = [], type(binned), pairs.squares
+    monkeypatch.setattr(pairs, "PACKED_CELLS", 32)
+    monkeypatch.setattr(pairs, "squares", lambda packed, *a: sizes.append(packed.select(F.size("vars").alias("n"), (F.length("obs") / 8).alias("o")).collect()) or plain(packed, *a))
+    for observations in (1000, 40):
+        sizes.clear()
+        assert isinstance(got := pairs.joint_histogram_blocks(binned, width=4, observations=observations), frame)
+        assert sorted(map(tuple, got.collect())) == want
+        assert max(r["n"] * r["o"] for r in sizes[0]) <= 32 * 3 and sum(r["o"] for r in sizes[0]) <= 180
+
+
 def test_squares_are_dealt_by_their_work():
     bins = {b: 64 * (1 + 400 * (b % 5 == 0)) for b in range(60)}
     owners = pairs.placement(bins, 4, 7, 64, 1)
