@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,26 @@ def test_runs_are_trained_whole_where_a_task_can_hold_them(spark, wide, monkeypa
             found()
 
 
+def test_small_slabs_are_summed_as_one(monkeypatch):
+    """A task makes one slab of its small ones, each part's by themselves, so that what it hands on does not grow with their number."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(30):
+        n, part = int(rng.integers(1, 5)), k % 2
+        cells = [np.arange(n) + 10 * k, rng.integers(0, 9, (2, n)).astype(np.uint8), [rng.normal(size=n)], np.zeros(n, np.int16), [rng.normal(size=n)]]
+        rows.append(dict(slab=k, part=part, runs=[part], places=[7], obs=cells[0].tobytes(), q=cells[1].tobytes(), y=[x.tobytes() for x in cells[2]], fold=cells[3].tobytes(), f=[x.tobytes() for x in cells[4]]))
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 7], boost._SLAB_TYPE) for i in range(0, 30, 7)]
+    single = [(slab, own) for _, slab, own in boost.Slabs._read(batches, 2)]
+    held = list(boost.Slabs._held(batches, 2))
+    assert [own for _, own in held] == [[0], [1]]
+    for slab, own in held:
+        mine = [s for s, o in single if o == own]
+        assert np.array_equal(slab.q, np.concatenate([s.q for s in mine], 1)) and np.array_equal(slab.y[7], np.concatenate([s.y[7] for s in mine]))
+        assert np.array_equal(slab.f[own[0]], np.concatenate([s.f[own[0]] for s in mine])) and np.array_equal(slab.obs, np.concatenate([s.obs for s in mine]))
+    monkeypatch.setattr(boost, "HELD_CELLS", 1)
+    assert len(list(boost.Slabs._held(batches, 2))) == 8, "large ones up to HELD at a time"
+
+
 def test_sums_of_a_run_at_hand_are_those_of_steps():
     """The smaller side is counted, the other is what is left."""
     rng = np.random.default_rng(1)
