@@ -1,6 +1,7 @@
 """What is dealt over tasks against plain computations."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -326,6 +327,25 @@ def test_no_group_packs_a_slab_whole(spark, monkeypatch):
         assert max(r["n"] * r["o"] for r in sizes[0]) <= 32 * 3 and sum(r["o"] for r in sizes[0]) <= 180
 
 
+def test_grids_are_not_widened_whole():
+    """Counting two blocks takes far less than their grids in 64 bits, and counts what a plain count does."""
+    rng = np.random.default_rng(3)
+    blocks = [(np.arange(lo, lo + 64), np.arange(at, at + 65_536), rng.integers(-1, 4, (64, 65_536)).astype(np.int16)) for lo, at in ((0, 0), (64, 0), (64, 7))]
+    for first, second in ((0, 0), (0, 1), (0, 2)):
+        tracemalloc.start()
+        found = list(pairs.counted(blocks[first], blocks[second]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 * 65_536 * 8 / 2
+        assert len(found) == (64 * 63 // 2 if first == second else 64 * 64)
+        a, b = blocks[first], blocks[second]
+        x, y, bx, by, n = found[100]
+        lag = b[1][0] - a[1][0]
+        row, other = a[2][x[0] - a[0][0]][lag:], b[2][y[0] - b[0][0]][: 65_536 - lag]
+        want = {(u, v): int(((row == u) & (other == v)).sum()) for u in range(4) for v in range(4)}
+        assert dict(zip(zip(bx.tolist(), by.tolist(), strict=True), n.tolist(), strict=True)) == want
+
+
 def test_squares_are_dealt_by_their_work():
     bins = {b: 64 * (1 + 400 * (b % 5 == 0)) for b in range(60)}
     owners = pairs.placement(bins, 4, 7, 64, 1)
